@@ -17,3 +17,20 @@ degree AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
 SELECT w.doc_id, class.class_id, least(w.doc_id, coalesce(copy_id, w.doc_id)) AS copy_id, coalesce(n_links, 0)::BIGINT AS n_links
 FROM w JOIN class ON class.a = w.r LEFT JOIN copies ON copies.a = w.r LEFT JOIN degree ON degree.a = w.r
 """
+
+OP6 = rf"""
+WITH {_WORDS.replace("doc_id, list", "doc_id, coalesce(text, '') AS t, source, list")},
+lines AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+win AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k FROM win) WHERE k > 1),
+cover AS (SELECT r, sum(least(5, coalesce(after - i, 5))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS after FROM twice) GROUP BY r),
+d AS (SELECT w.r, doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM w JOIN lines USING (r) LEFT JOIN cover USING (r)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, 100 * n_symbols > 25 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR n_dup_lines > n_words / 10 AS soft_failed FROM d),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft_failed) AS k FROM f GROUP BY source),
+p0 AS (SELECT greatest(least(avg(k / n), 0.999), 0.001) AS m, coalesce(var_samp(k / n), 0) AS v, avg(n) AS size FROM h),
+p1 AS (SELECT m, least(CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 1) ELSE size END, size) AS s FROM p0),
+ab AS (SELECT source, m * s + k AS a, (1 - m) * s + n - k AS b FROM h, p1),
+bad AS (SELECT source FROM ab WHERE a / (a + b) - 2 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.6)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (soft_failed AND source IN (SELECT source FROM bad)) AS kept FROM f
+"""
