@@ -34,3 +34,18 @@ ab AS (SELECT source, m * s + k AS a, (1 - m) * s + n - k AS b FROM h, p1),
 bad AS (SELECT source FROM ab WHERE a / (a + b) - 2 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.6)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (soft_failed AND source IN (SELECT source FROM bad)) AS kept FROM f
 """
+
+OP2 = rf"""
+WITH {_WORDS},
+i0 AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+it AS (SELECT row_number() OVER () AS item, item_id, len(w) AS size, w FROM i0 WHERE len(w) >= 5),
+ig AS (SELECT item, item_id, size, i - 1 AS q, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM it)),
+dg AS (SELECT r, doc_id, n, i - 1 AS p, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT *, len(w) AS n, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+win AS (SELECT DISTINCT r, doc_id, item, item_id, size, p - q AS start, greatest(p - q, 0) AS begin, least(p - q + size, n) - 5 AS last FROM dg JOIN ig USING (g)),
+iw AS (SELECT item, g, count(*) AS k FROM ig GROUP BY item, g),
+dw AS (SELECT win.*, dg.g, count(*) AS k FROM win JOIN dg ON dg.r = win.r AND p BETWEEN begin AND last GROUP BY ALL),
+j AS (SELECT r, doc_id, item, item_id, size, start, last - begin + 1 AS n, sum(least(dw.k, iw.k)) AS shared FROM dw JOIN iw USING (item, g) GROUP BY ALL),
+f AS (SELECT *, round(shared / (n + size - 4 - shared), 6) AS similarity FROM j WHERE 5 * shared >= 4 * (n + size - 4 - shared)),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start, shared DESC) AS k FROM f)
+SELECT doc_id, item_id, start AS start_word, shared::BIGINT AS n_shared, similarity FROM b WHERE k = 1
+"""
