@@ -7,11 +7,11 @@ texts are candidates if they share a node. The prefix is shortened from the full
 to the longest one at which the chance to share a node in some tree reaches the target
 recall at the threshold (`stop_depth`). Candidates are then verified exactly on their sets.
 
-Nodes of more than NODE texts do not pair all their members: each trie node below them, from
-the full signature up to the stop depth, links its members to its least member; what these
-links leave in different classes is joined exactly by its rarest shingles (prefix filter),
-so no cap loses a pair. Links inside a class that large nodes touch are counted in blocks of
-texts, in numpy, without emitting pairs.
+Nodes of more than NODE texts do not pair their members. All texts of such nodes are joined
+exactly instead: a pair that reaches the threshold shares one of each text's rarest shingles
+(prefix filter), so texts that share such shingles gather in clusters, which a passage that
+many texts have in common does not join. A cluster is compared in blocks of texts, in numpy,
+which emit the links' number for each text and a spanning forest, never the pairs.
 
 Results for odd input: null, empty and blank texts have no shingles, link to nothing and are
 their own class; texts of one to four words have one shingle, all their words; a repeated row
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,12 +31,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, doc_key, staged, window_hashes, word_hashes
+from .common import components, doc_key, small_side, staged, window_hashes, word_hashes
 
 TREES = 24
 DEEPEST = 6
 TARGET = 0.99999
-NODE = 24
+NODE = 40
 BLOCK = 256
 SHINGLE = 5
 #: The threshold as a fraction, so that ties are exact: |a and b| * DENOMINATOR >= |a or b| * NUMERATOR.
@@ -78,23 +77,19 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(x) for x in sets])
         real = np.flatnonzero(sizes)
         prints = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
-        keys: list = [[[], []] for _ in sets]
+        nodes: list = [None] * len(sets)
         if len(real):
             flat = np.concatenate([sets[i] for i in real])
             starts = np.concatenate([[0], np.cumsum(sizes[real])[:-1]])
-            signature = np.stack([np.minimum.reduceat(flat * m + a, starts) for m, a in zip(mult, add, strict=True)], 1).reshape(len(real), TREES, DEEPEST)
-            state, levels = np.broadcast_to(np.arange(TREES, dtype=np.uint64), (len(real), TREES)), []
-            for level in range(DEEPEST):
-                state = (state ^ signature[:, :, level]) * np.uint64(0x9E3779B97F4A7C15)
-                state = state ^ (state >> np.uint64(31))
-                if level + 1 in (depth, DEEPEST):
-                    levels.append(state.view(np.int64))
+            # the path of each text from a tree's root to its node at the stop depth
+            path = np.broadcast_to(np.arange(TREES, dtype=np.uint64), (len(real), TREES))
+            for level in range(depth):
+                least = np.stack([np.minimum.reduceat(flat * m + a, starts) for m, a in zip(mult[level::DEEPEST], add[level::DEEPEST], strict=True)], 1)
+                path = (path ^ least) * np.uint64(0x9E3779B97F4A7C15)
+                path = path ^ (path >> np.uint64(31))
             for i, row in enumerate(real):
-                keys[row] = [x[i] for x in levels]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("key"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array([k[0] for k in keys], pa.list_(pa.int64())), pa.array([k[-1] for k in keys], pa.list_(pa.int64()))],
-            ["doc_id", "key", "print", "n", "nodes", "leaves"],
-        )
+                nodes[row] = path[i].view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(prints, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], ["doc_id", "key", "print", "nodes"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,14 +122,27 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = _unpacked(batch.column("packed").to_pylist())
         counts = [len(x) for x in sets]
         row = np.repeat(np.arange(len(sets)), counts)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("print").take(pa.array(row)), pa.array(np.repeat(counts, counts), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))],
-            ["print", "n", "shingle"],
-        )
+        yield pa.RecordBatch.from_arrays([batch.column("print").take(pa.array(row)), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["print", "shingle"])
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what the links connect, one fewer than the texts of each component."""
+    open_, edges = set(range(len(linked))), []
+    while open_:
+        stack = [open_.pop()]
+        while stack:
+            at = stack.pop()
+            near = [int(x) for x in np.flatnonzero(linked[at]) if int(x) in open_]
+            open_.difference_update(near)
+            edges += [(at, x) for x in near]
+            stack += near
+    return edges
 
 
 def _block_links(part: pd.DataFrame) -> pd.DataFrame:
-    """Links between the texts of two blocks of one class (or within one), as copies at the other end."""
+    """Links between the texts of two blocks of a cluster (or within one): for each text how many
+    documents it links to, and the edges of a spanning forest.
+    """
     sets = _unpacked(part["packed"].tolist())
     sizes = np.array([len(x) for x in sets])
     shingles, index, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -152,88 +160,73 @@ def _block_links(part: pd.DataFrame) -> pd.DataFrame:
     both = np.rint(both).astype(np.int64)
     linked = DENOMINATOR * both >= NUMERATOR * (sizes[:, None] + sizes[None, :] - both)
     np.fill_diagonal(linked, False)
-    low, block = part["low"].iloc[0], part["block"].to_numpy()
-    high = part["high"].iloc[0]
-    if low != high:  # pairs within a block are counted where the block meets itself
+    edges = _forest(linked)
+    if part["low"].iloc[0] != part["high"].iloc[0]:  # pairs within a block are counted where it meets itself
+        block = part["block"].to_numpy()
         linked &= block[:, None] != block[None, :]
-    return pd.DataFrame({"print": part["print"], "links": linked @ part["copies"].to_numpy()})
-
-
-def jaccard_classes(docs: DataFrame, nodes_limit: int = NODE) -> DataFrame:
+    prints = part["print"].to_numpy()
+    counts = pd.DataFrame({"print": prints, "other": None, "links": linked @ part["copies"].to_numpy()})
+    forest = pd.DataFrame({"print": [prints[a] for a, _ in edges], "other": [prints[b] for _, b in edges], "links": 0})
+    return pd.concat([counts[counts["links"] > 0], forest], ignore_index=True) if edges else counts[counts["links"] > 0]
+
+
+def _compared(crowd: DataFrame, weights: DataFrame) -> DataFrame:
+    """All links among the texts of `crowd` (print, packed), exactly: rows (print, null, links) and forest edges (print, other, 0)."""
+    postings = staged(crowd.mapInArrow(_postings, "print binary, shingle bigint"), "postings")
+    frequent = staged(postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > NODE), "frequent")
+    ranked = postings.join(small_side(frequent), "shingle", "left").select("print", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle").alias("x"))
+    # the rarest n - ceil(0.8 n) + 1 shingles of each text; one that is alone links nothing
+    whole = ranked.groupBy("print").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    few = F.slice("xs", F.lit(1), F.size("xs") - F.ceil(F.size("xs") * F.lit(NUMERATOR) / F.lit(DENOMINATOR)).cast("int") + 1)
+    prefix = staged(whole.select("print", F.explode_outer(few).alias("x")).select("print", F.col("x.shingle").alias("shingle")), "prefix")
+    least = prefix.groupBy("shingle").agg(F.min("print").alias("src"), F.max("print").alias("top")).where("src < top").drop("top")
+    clusters = components(prefix.join(least, "shingle").select("src", F.col("print").alias("dst")), "clusters")
+
+    members = staged(clusters.select(F.col("node").alias("print"), F.col("component").alias("cluster")), "members")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")).join(weights, "print").join(crowd, "print")
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    return staged(met.groupBy("cluster", "low", "high").applyInPandas(_block_links, "print binary, other binary, links bigint"), "compared")
+
+
+def jaccard_classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its connected class), copy_id (least
     doc_id with the same shingles), n_links (other documents of Jaccard similarity 0.8 or more).
     """
-    rows = docs.select("doc_id", "text")
-    source = rows.withColumn("key", doc_key(F.col("doc_id"), F.col("text")))
-    signed = staged(source.select("doc_id", "key", "text").mapInArrow(_signatures, "doc_id bigint, key bigint, print binary, n int, nodes array<bigint>, leaves array<bigint>"), "signed")
-
-    found = signed.where("print is not null")
-    groups = found.groupBy("print").agg(F.min("doc_id").alias("copy_id"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
+    source = docs.select("doc_id", doc_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
+    signed = staged(source.mapInArrow(_signatures, "doc_id bigint, key bigint, print binary, nodes array<bigint>"), "signed")
+    groups = signed.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("copy_id"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("nodes").alias("nodes"))
     groups = staged(groups, "groups")
-    # one row of each copy group speaks for it: the one whose key is least, once
-    one = found.join(groups.select("print", "key"), ["print", "key"], "left_semi").dropDuplicates(["print"])
-    placed = staged(one.select("print", F.posexplode(F.arrays_zip("nodes", "leaves")).alias("tree", "at")).select("print", F.col("at.nodes").alias("node"), F.col("at.leaves").alias("leaf")), "placed")
+    weights = groups.select("print", "copies")
 
+    placed = groups.select("print", F.explode_outer("nodes").alias("node"))
     sizes = placed.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = staged(placed.join(sizes, "node"), "shared")
-    small = shared.where(F.col("members") <= nodes_limit).select("node", "print")
-    pairs = small.alias("a").join(small.alias("b"), "node").where("a.print < b.print").select(F.col("a.print").alias("src"), F.col("b.print").alias("dst"))
-    large = shared.where(F.col("members") > nodes_limit)
-    stars = [large.join(large.groupBy(level).agg(F.min("print").alias("least")), level).select(F.col("least").alias("src"), F.col("print").alias("dst")).where("src != dst") for level in ("node", "leaf")]
-    pairs = staged(reduce(DataFrame.unionByName, [pairs, *stars]).distinct(), "pairs")
-
-    # the texts of all who share a node, once, packed; every later step reads these
-    wanted = groups.join(shared.select("print").distinct(), "print", "left_semi").select("print", "key")
-    texts = source.join(wanted.select("key").distinct(), "key", "left_semi").mapInArrow(_packed, "key bigint, packed binary").dropDuplicates(["key"])
-    texts = staged(wanted.join(texts, "key").select("print", "packed"), "texts")
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        left, right = (texts.select(F.col("print").alias(at), F.col("packed").alias(name)) for at, name in (("src", "left"), ("dst", "right")))
-        return candidates.join(left, "src").join(right, "dst").mapInArrow(_verified, "src binary, dst binary")
-
-    edges = staged(verified(pairs), "edges")
-    classes = staged(components(edges), "classes")
-    mixed = large.select("node", "print").join(classes.select(F.col("node").alias("print"), "component"), "print", "left").withColumn("component", F.coalesce("component", "print"))
-    split_nodes = mixed.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("node")
-    open_texts = staged(mixed.join(split_nodes, "node", "left_semi").select("print", "component").distinct(), "open")
-    if not open_texts.isEmpty():
-        more = staged(verified(staged(_rare_pairs(open_texts, texts), "rare")), "more")
-        if not more.isEmpty():
-            edges = staged(edges.unionByName(more).distinct(), "edges")
-            classes = staged(components(edges), "classes")
-
-    crowded = classes.join(large.select(F.col("print").alias("node")).distinct(), "node", "left_semi").select("component").distinct()
-    members = classes.select(F.col("node").alias("print"), "component")
-    weights = groups.select("print", "copies")
-    dense = staged(members.join(crowded, "component", "left_semi"), "dense")
-    sparse = members.join(crowded, "component", "left_anti").select("print")
-    both_ways = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    single = both_ways.join(sparse, F.col("src") == F.col("print"), "left_semi").join(weights, F.col("dst") == F.col("print")).groupBy(F.col("src").alias("print")).agg(F.sum("copies").alias("links"))
+    standing = staged(shared.groupBy("print").agg((F.max("members") > NODE).alias("crowded")), "standing")
+    small = shared.where(F.col("members") <= NODE).join(standing, "print").select("node", "print", "crowded")
+    pairs = small.alias("a").join(small.alias("b"), "node").where("a.print < b.print and not (a.crowded and b.crowded)")
+    pairs = staged(pairs.select(F.col("a.print").alias("src"), F.col("b.print").alias("dst")).distinct(), "pairs")
+
+    # the texts of all who share a node, packed; every later step reads these
+    wanted = groups.select("print", "key").join(standing, "print")
+    texts = source.select("key", "text").mapInArrow(_packed, "key bigint, packed binary").join(wanted.hint("merge"), "key").dropDuplicates(["print"])
+    texts = staged(texts.select("print", "crowded", "packed"), "texts")
+
+    left, right = (texts.select(F.col("print").alias(at), F.col("packed").alias(name)) for at, name in (("src", "left"), ("dst", "right")))
+    edges = staged(pairs.join(left, "src").join(right, "dst").mapInArrow(_verified, "src binary, dst binary"), "edges")
+    compared = _compared(texts.where("crowded").select("print", "packed"), weights)
+    every_edge = edges.unionByName(compared.where("other is not null").select(F.col("print").alias("src"), F.col("other").alias("dst")))
+    members = components(every_edge, "classes").select(F.col("node").alias("print"), "component")
 
-    blocked = dense.join(dense.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "component")
-    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")).join(weights, "print").join(texts, "print")
-    met = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    counted = met.groupBy("component", "low", "high").applyInPandas(_block_links, "print binary, links bigint").groupBy("print").agg(F.sum("links").alias("links"))
+    both_ways = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    found = both_ways.join(weights.withColumnRenamed("print", "dst"), "dst").select(F.col("src").alias("print"), F.col("copies").alias("links"))
+    links = found.unionByName(compared.where("other is null").select("print", "links")).groupBy("print").agg(F.sum("links").alias("links"))
 
-    links = single.unionByName(counted)
-    per_print = groups.join(members, "print", "left").withColumn("component", F.coalesce("component", "print")).join(links, "print", "left")
+    per_print = groups.drop("nodes", "key").join(members, "print", "left").join(links, "print", "left").withColumn("component", F.coalesce("component", "print"))
     names = per_print.groupBy("component").agg(F.min("copy_id").alias("class_id"))
     per_print = per_print.join(names, "component").select("print", "class_id", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "print").join(per_print, "print", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def _rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """All pairs of different classes among `members` that can reach the threshold: they share one of each text's rarest shingles."""
-    postings = members.select("print").distinct().join(texts, "print").mapInArrow(_postings, "print binary, n int, shingle bigint")
-    postings = staged(postings, "postings")
-    df = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = postings.join(df, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    # the rarest n - ceil(0.8 n) + 1 shingles of a text
-    few = ranked.groupBy("print").agg(F.first("n").alias("n"), F.slice(F.sort_array(F.collect_list(F.struct("df", "shingle"))), F.lit(1), (F.first("n") - F.ceil(F.first("n") * F.lit(NUMERATOR) / F.lit(DENOMINATOR)) + 1).cast("int")).alias("rare"))
-    prefix = few.select("print", "n", F.explode("rare").alias("x")).where("x.df > 1").select("print", "n", F.col("x.shingle").alias("shingle")).join(members, "print")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.n") * DENOMINATOR >= F.col("b.n") * NUMERATOR) & (F.col("b.n") * DENOMINATOR >= F.col("a.n") * NUMERATOR)
-    return a.join(b, "shingle").where((F.col("a.print") < F.col("b.print")) & (F.col("a.component") != F.col("b.component")) & near).select(F.col("a.print").alias("src"), F.col("b.print").alias("dst")).distinct()
+    joined = signed.select("doc_id", "print").join(per_print, "print", "left")
+    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
