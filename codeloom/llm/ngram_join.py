@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, doc_key, small_side, staged, window_hashes, word_hashes
+from .common import components, doc_key, staged, window_hashes, word_hashes
 
 TREES = 24
 DEEPEST = 6
@@ -42,6 +42,8 @@ SHINGLE = 5
 #: The threshold as a fraction, so that ties are exact: |a and b| * DENOMINATOR >= |a or b| * NUMERATOR.
 NUMERATOR, DENOMINATOR = 4, 5
 SLICE = 400
+#: Buckets of the table that orders shingles from rare to frequent.
+BUCKETS = 1 << 20
 
 
 def stop_depth(threshold: float = NUMERATOR / DENOMINATOR, trees: int = TREES, deepest: int = DEEPEST, target: float = TARGET) -> int:
@@ -117,12 +119,38 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, texts): in how many texts of a batch each bucket of shingles occurs."""
     for batch in (s for b in batches for s in _slices(b)):
         sets = _unpacked(batch.column("packed").to_pylist())
-        counts = [len(x) for x in sets]
-        row = np.repeat(np.arange(len(sets)), counts)
-        yield pa.RecordBatch.from_arrays([batch.column("print").take(pa.array(row)), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["print", "shingle"])
+        buckets, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]) % np.uint64(BUCKETS), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(counts.astype(np.int64))], ["bucket", "texts"])
+
+
+def _prefixes(crowd: DataFrame) -> DataFrame:
+    """(print, shingle): the rarest n - ceil(0.8 n) + 1 shingles of each text.
+
+    Any order that is the same for all texts makes the filter exact. Rare ones go first by a
+    table of fixed size, the texts that each of BUCKETS buckets of shingles occurs in.
+    """
+    counted = crowd.mapInArrow(_bucket_counts, "bucket int, texts bigint").groupBy("bucket").agg(F.sum("texts").alias("texts")).toPandas()  # BUCKETS rows at most
+    table = np.zeros(BUCKETS, np.int64)
+    table[counted["bucket"]] = counted["texts"]
+    known = crowd.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = known.value
+        for batch in (s for b in batches for s in _slices(b)):
+            rows, shingles = [], [np.zeros(0, np.uint64)]
+            for print_, x in zip(batch.column("print").to_pylist(), _unpacked(batch.column("packed").to_pylist()), strict=True):
+                often = texts[x % np.uint64(BUCKETS)]
+                first = np.lexsort((x, often))[: len(x) - math.ceil(len(x) * NUMERATOR / DENOMINATOR) + 1]
+                first = first[often[first] > 1]  # one that is alone links nothing
+                rows += [print_] * len(first)
+                shingles.append(x[first])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(np.concatenate(shingles).view(np.int64))], ["print", "shingle"])
+
+    return crowd.mapInArrow(run, "print binary, shingle bigint")
 
 
 def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -172,13 +200,7 @@ def _block_links(part: pd.DataFrame) -> pd.DataFrame:
 
 def _compared(crowd: DataFrame, weights: DataFrame) -> DataFrame:
     """All links among the texts of `crowd` (print, packed), exactly: rows (print, null, links) and forest edges (print, other, 0)."""
-    postings = staged(crowd.mapInArrow(_postings, "print binary, shingle bigint"), "postings")
-    frequent = staged(postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > NODE), "frequent")
-    ranked = postings.join(small_side(frequent), "shingle", "left").select("print", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle").alias("x"))
-    # the rarest n - ceil(0.8 n) + 1 shingles of each text; one that is alone links nothing
-    whole = ranked.groupBy("print").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    few = F.slice("xs", F.lit(1), F.size("xs") - F.ceil(F.size("xs") * F.lit(NUMERATOR) / F.lit(DENOMINATOR)).cast("int") + 1)
-    prefix = staged(whole.select("print", F.explode_outer(few).alias("x")).select("print", F.col("x.shingle").alias("shingle")), "prefix")
+    prefix = staged(_prefixes(crowd), "prefix")
     least = prefix.groupBy("shingle").agg(F.min("print").alias("src"), F.max("print").alias("top")).where("src < top").drop("top")
     clusters = components(prefix.join(least, "shingle").select("src", F.col("print").alias("dst")), "clusters")
 
