@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from codeloom.plans import evaluation, facts, texts
 
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**facts.QUERIES, **evaluation.QUERIES, **texts.QUERIES}
+
+ORACLES: dict[str, str] = {**facts.ORACLES, **evaluation.ORACLES, **texts.ORACLES}
