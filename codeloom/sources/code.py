@@ -41,8 +41,8 @@ def source_root(path: Column, content: Column) -> Column:
     """A file's path without its package and name."""
     package = F.regexp_extract(content, r"(?m)^\s*package\s+([\w.]+)\s*;", 1)
     tail = F.concat(F.lit("/"), F.replace(package, F.lit("."), F.lit("/")), F.lit("/"))
-    folder = F.concat(F.regexp_replace(F.concat(F.lit("/"), path), "[^/]*$", ""))
-    return F.when((package != "") & folder.endswith(tail), F.substring(folder, F.lit(2), F.length(folder) - F.length(tail))).otherwise(F.substring(folder, F.lit(2), F.length(folder) - 2))
+    folder = F.regexp_replace(F.concat(F.lit("/"), path), "[^/]*$", "")
+    return F.when((package != "") & folder.endswith(tail), F.substring(folder, F.lit(2), F.greatest(F.length(folder) - F.length(tail) - 1, F.lit(0)))).otherwise(F.substring(folder, F.lit(2), F.length(folder) - 2))
 
 
 def class_name(path: Column, root: Column) -> Column:
