@@ -97,7 +97,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in (s for b in batches for s in _slices(b)):
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([pack(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["key", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([pack((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["key", "packed"])
 
 
 def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
