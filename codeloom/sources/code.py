@@ -21,7 +21,7 @@ INDEX = T.StructType([T.StructField("full_name", T.StringType()), T.StructField(
 
 def source_files(spark: SparkSession, root: str, ignored: list[str] = (), suffix: str = "java") -> DataFrame:
     """(path, content) of all files of a suffix below root, without ignored subtrees (paths relative to root)."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffix}").option("wholetext", "true").text(root)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffix}").text(root, wholetext=True)
     relative = F.regexp_replace(F.input_file_name(), f"^.*?{_escaped(root)}/?", "")
     files = files.select(relative.alias("path"), F.col("value").alias("content"))
     for part in ignored:
@@ -71,13 +71,13 @@ def examples_or_none(spark: SparkSession, path: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line): whole files are split, so lines keep their order."""
-    files = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return files.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
 
 
 def records(spark: SparkSession, root: str) -> DataFrame:
     """Answer records (case_id, mark, suffix, value) of `<repo>/<case>/<mark>+<suffix>.json` files."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("wholetext", "true").text(root)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root, wholetext=True)
     parts = F.split(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), "/")
     name = F.element_at(parts, -1)
     return files.select(F.element_at(parts, -3).alias("repo"), F.element_at(parts, -2).alias("case_id"), F.substring_index(name, "+", 1).alias("mark"), F.regexp_extract(name, r"^[^+]*\+(.*)\.json$", 1).alias("suffix"), "value")
