@@ -120,7 +120,8 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, cache_dir: str | None = N
     keyed = keyed.withColumn("digest", F.unhex(F.sha2("content", 256)))
 
     own = F.col("tokenizer") == name
-    misses = keyed.select("digest", "content").join(stored(spark, cache_dir).where(own).select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
+    # distinct first: copies of one text combine before the shuffle, however many there are
+    misses = keyed.select("digest", "content").dropDuplicates(["digest"]).join(stored(spark, cache_dir).where(own).select("digest"), "digest", "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counter(tokenizer_file)
