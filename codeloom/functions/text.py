@@ -156,3 +156,30 @@ def localized_time(text: Column) -> Column:
     month, day, year, hour, minute, second, half = (F.regexp_extract(text, r"(\d+)月 (\d+), (\d+) (\d+):(\d+):(\d+) (上午|下午)", k) for k in range(1, 8))
     hour24 = hour.cast("int") % 12 + F.when(half == "下午", 12).otherwise(0)
     return F.when(month != "", F.make_timestamp(year.cast("int"), month.cast("int"), day.cast("int"), hour24, minute.cast("int"), second.cast("decimal(8,6)")))
+
+
+def overlay(base: Column, over: Column) -> Column:
+    """Map of both, where `over` wins."""
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k)), over)
+
+
+def retained(first: Column, second: Column) -> Column:
+    """Elements of `first` that `second` has, in order and as often as they stand there."""
+    return F.filter(first, lambda x: F.array_contains(second, x))
+
+
+def locate(whole: Column, part: Column) -> Column:
+    """0-based place where the lines of `part` first stand together in `whole`; null where they do not."""
+    starts = F.sequence(F.lit(0), F.size(whole) - F.size(part))
+    hits = F.filter(starts, lambda i: F.slice(whole, i + 1, F.size(part)) == part)
+    return F.when((F.size(part) > 0) & (F.size(whole) >= F.size(part)), F.get(hits, F.lit(0)))
+
+
+def line_range(own: Column) -> Column:
+    """Half-open range that a list of lines spans; null for none."""
+    return F.when(F.size(own) > 0, F.struct(F.array_min(own).alias("start"), (F.array_max(own) + 1).alias("end")))
+
+
+def path_parts(path: Column) -> Column:
+    """Of a call path: the direct callee, the last caller and the depth; null where it is too short."""
+    return F.struct(F.get(path, F.lit(1)).alias("callee"), F.try_element_at(path, F.lit(-2)).alias("last_caller"), (F.size(path) - 1).alias("depth"))

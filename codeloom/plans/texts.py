@@ -96,11 +96,33 @@ def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.with_cache(asked, cache, ["case_id"]).select("case_id", "questions", "needs_call", F.md5(F.coalesce("answer", F.lit(""))).alias("digest"))
 
 
+def path_accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of an order's suppliers, by line number."""
+    path = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda x: x["l_suppkey"])
+    per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(tx.path_parts(path).alias("p"))
+    return per.select("l_orderkey", F.coalesce("p.callee", F.lit(-1)).alias("callee"), F.coalesce("p.last_caller", F.lit(-1)).alias("last_caller"), F.col("p.depth").cast("long").alias("depth"))
+
+
+def map_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions from a table, overlaid by those of comments."""
+    base = F.create_map(F.lit("IO"), F.col("p_name"), F.lit("Error"), F.col("p_type"))
+    over = F.when(F.col("p_size") % 2 == 0, F.create_map(F.lit("IO"), F.col("p_brand"))).otherwise(F.create_map().cast("map<string,string>"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(tx.overlay(base, over)).alias("type", "condition"))
+
+
+def locate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a document's last line first stands, and the range and order of the lines it shares with its first two."""
+    lines = F.split("text", "\n")
+    rows = table(spark, sf_dir, "documents").select("doc_id", lines.alias("ls"))
+    kept = tx.retained(F.col("ls"), F.slice("ls", F.lit(1), F.lit(2)))
+    return rows.select("doc_id", tx.locate(F.col("ls"), F.slice("ls", F.lit(-1), F.lit(1))).cast("long").alias("place"), F.size(kept).cast("long").alias("kept"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         newline_count, signature_build, strip_generics, generic_placements, char_positions, doc_throws_extract, fence_strip, json_fields, record_md5, example_id, prompt_assembly, normal_line, encoder_input, marked_lines,
-        class_types, line_alignment, cached_answers,
+        class_types, line_alignment, cached_answers, path_accessors, map_overlay, locate_lines,
     )
 }
 
@@ -122,4 +144,7 @@ SELECT p_partkey, h || '(' || array_to_string(list_transform(p, lambda x, i: CAS
     "marked_lines": "SELECT doc_id, md5(array_to_string(list_transform(string_split(regexp_replace(text, '\\n+$', ''), chr(10)), lambda x, i: CASE WHEN i IN (2, 3) THEN 'O ' ELSE '  ' END || x), chr(10))) AS digest FROM documents",
     "class_types": "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'interface' WHEN (p_size * 64) & 1024 <> 0 THEN 'abstract class' ELSE 'class' END AS class_type, lower(p_type) || '/' || replace(p_name, ' ', '/') || '.java' AS path FROM part",
     "cached_answers": "WITH c AS (SELECT conv_id, arg_min(text, (turn, text)) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id) SELECT u.conv_id AS case_id, count(*) AS questions, any_value(answer) IS NULL AS needs_call, md5(coalesce(any_value(answer), '')) AS digest FROM conversations u LEFT JOIN c ON c.conv_id = u.conv_id WHERE role = 'user' GROUP BY u.conv_id",
+    "path_accessors": "WITH p AS (SELECT l_orderkey, list(l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS p FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, coalesce(p[2], -1) AS callee, CASE WHEN len(p) > 1 THEN p[len(p) - 1] ELSE -1 END AS last_caller, len(p) - 1 AS depth FROM p",
+    "map_overlay": "SELECT p_partkey, 'IO' AS type, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name END AS condition FROM part UNION ALL SELECT p_partkey, 'Error', p_type FROM part",
+    "locate_lines": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) SELECT doc_id, list_position(ls, ls[len(ls)])::BIGINT - 1 AS place, len(list_filter(ls, lambda x: list_contains(ls[1:2], x))) AS kept FROM l",
 }
