@@ -211,10 +211,8 @@ def _compared(crowd: DataFrame, weights: DataFrame) -> DataFrame:
     return staged(met.groupBy("cluster", "low", "high").applyInPandas(_block_links, "print binary, other binary, links bigint"), "compared")
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id (least doc_id of its connected class), copy_id (least
-    doc_id with the same shingles), n_links (other documents of Jaccard similarity 0.8 or more).
-    """
+def _classified(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, key (of its content), component (of its shingles; null without any), class_id, copy_id, n_links."""
     source = docs.select("doc_id", doc_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
     signed = staged(source.mapInArrow(_signatures, "doc_id bigint, key bigint, print binary, nodes array<bigint>"), "signed")
     groups = signed.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("copy_id"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("nodes").alias("nodes"))
@@ -246,21 +244,30 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
     per_print = groups.drop("nodes", "key").join(members, "print", "left").join(links, "print", "left").withColumn("component", F.coalesce("component", "print"))
     names = per_print.groupBy("component").agg(F.min("copy_id").alias("class_id"))
-    per_print = per_print.join(names, "component").select("print", "class_id", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    joined = signed.select("doc_id", "print").join(per_print, "print", "left")
-    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    per_print = per_print.join(names, "component").select("print", "component", "class_id", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    joined = signed.select("doc_id", "key", "print").join(per_print, "print", "left")
+    return joined.select("doc_id", "key", "component", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def jaccard_classes(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, class_id (least doc_id of its connected class), copy_id (least
+    doc_id with the same shingles), n_links (other documents of Jaccard similarity 0.8 or more).
+    """
+    return _classified(docs).select("doc_id", "class_id", "copy_id", "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those that a class keeps another of: the least doc_id of each class stays, once.
+    """One document of each class, with all columns: the one of least doc_id, null ids last. Documents without shingles
+    are classes of their own; repeated rows count once.
 
-    Rows with a null doc_id stay where their class has no other row; all columns are kept.
+    The texts move once: they meet the kept rows' keys and lose their repetitions in one partitioning.
     """
-    tagged = docs.withColumn("codeloom_row", doc_key(F.col("doc_id"), F.col("text")))
-    classes = jaccard_classes(docs)
-    heads = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = tagged.join(heads, tagged["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["codeloom_row"]).select(*docs.columns)
+    rows = staged(_classified(docs).select("doc_id", "key", "component"), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")
+    heads = rows.where("component is not null").groupBy("component").agg(first).select(F.col("first.key").alias("loom_key"))
+    heads = heads.unionByName(rows.where("component is null").select(F.col("key").alias("loom_key"))).distinct()
+    keyed = docs.withColumn("loom_key", doc_key(F.col("doc_id"), F.col("text")))
+    return keyed.join(heads.hint("merge"), "loom_key", "left_semi").dropDuplicates(["loom_key"]).select(*docs.columns)
 
 
 def stop_recall(similarity: float) -> float:

@@ -68,7 +68,7 @@ def test_join_of_nothing(spark):
 
 
 def test_keep_one(spark):
-    rows = near_copies(2, 3, 6) + [(500, None), (501, ""), (None, "lone text of six words here"), (500, None)]
+    rows = near_copies(2, 3, 6) + [(500, None), (501, ""), (None, "lone text of six words here"), (None, "lone text of six words here"), (500, None)]
     kept = ngram_join.keep_one(made(spark, rows))
     assert kept.columns == ["doc_id", "text", "extra"]
     brute = {c for _, c, _ in brute_links(rows)}
