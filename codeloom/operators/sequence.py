@@ -42,8 +42,8 @@ def statistics(values: DataFrame, column: str, prefix: str = "") -> DataFrame:
 
 def trimmed(values: DataFrame, column: str, share: float) -> DataFrame:
     """Values between the percentiles `share` and 1 - share, bounds included."""
-    bounds = values.agg(F.percentile(column, share).alias("_low"), F.percentile(column, 1 - share).alias("_high"))
-    return values.crossJoin(F.broadcast(bounds)).where(F.col(column).between(F.col("_low"), F.col("_high"))).drop("_low", "_high")  # one row
+    low, high = values.agg(F.percentile(column, share), F.percentile(column, 1 - share)).first()  # one row
+    return values.where(F.col(column).between(low, high)) if low is not None else values.limit(0)
 
 
 def compared_statistics(values: DataFrame, column: str, share: float) -> DataFrame:
