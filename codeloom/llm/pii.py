@@ -127,7 +127,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _disclosing(near: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of the terms that disclose an entity beyond GENERALISE. near: a row for each term near a mention."""
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
+    total = docs.count()
     pairs = near.groupBy("entity", "term").agg(F.countDistinct("key").alias("both"), F.countDistinct("place").alias("places")).where(F.col("places") >= SUPPORT)
     pairs = staged(pairs, "pairs")
     mentions = near.groupBy("entity").agg(F.countDistinct("key").alias("with_entity"))
@@ -135,11 +135,11 @@ def _disclosing(near: DataFrame, docs: DataFrame) -> DataFrame:
     bare = lambda w: F.regexp_replace(F.lower(w), r"^\W+|\W+$", "")
     held = docs.select(F.explode_outer(F.array_distinct(words(F.col("text")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     held = held.select(bare(F.col("word")).alias("term"), "n").join(pairs.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("with_term"))
-    counted = pairs.join(mentions, "entity").join(held, "term").crossJoin(F.broadcast(total))  # one row
-    share = lambda c: F.col(c) / F.col("total")
+    counted = pairs.join(mentions, "entity").join(held, "term")
+    share = lambda c: F.col(c) / F.lit(total)
     pmi = F.log(share("both") / (share("with_entity") * F.greatest(share("with_term"), share("both"))))
     content = -F.log(share("with_entity"))
-    return counted.where("with_entity < total").select("entity", "term", (pmi / content).alias("disclosure")).where(F.col("disclosure") > GENERALISE)
+    return counted.where(F.col("with_entity") < total).select("entity", "term", (pmi / content).alias("disclosure")).where(F.col("disclosure") > GENERALISE)
 
 
 def find(docs: DataFrame) -> DataFrame:

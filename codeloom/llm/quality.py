@@ -83,15 +83,14 @@ def host_verdicts(ruled: DataFrame) -> DataFrame:
     """
     hosts = ruled.groupBy(F.col("source").alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("base_failed") | F.col("soft_failed")).alias("n_failed"))
     raw = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(raw).alias("mean"), F.coalesce(F.var_samp(raw), F.lit(0.0)).alias("spread"), F.avg(F.col("n_docs")).alias("size"))
-    m = F.greatest(F.least(F.col("mean"), F.lit(0.999)), F.lit(0.001))
-    strength = F.when(F.col("spread") > 0, F.greatest(m * (1 - m) / F.col("spread") - 1, F.lit(1.0))).otherwise(F.col("size"))
-    prior = prior.select((m * F.least(strength, F.col("size"))).alias("alpha"), ((1 - m) * F.least(strength, F.col("size"))).alias("beta"))
-    a, b = F.col("alpha") + F.col("n_failed"), F.col("beta") + F.col("n_docs") - F.col("n_failed")
-    joined = hosts.crossJoin(F.broadcast(prior))  # one row
+    rates = hosts.agg(F.avg(raw).alias("mean"), F.coalesce(F.var_samp(raw), F.lit(0.0)).alias("spread"), F.avg("n_docs").alias("size")).first()  # one row
+    mean = max(min(rates["mean"] or 0.0, 0.999), 0.001)
+    size = rates["size"] or 1.0
+    strength = min(max(mean * (1 - mean) / rates["spread"] - 1, 1.0), size) if rates["spread"] else size
+    a, b = mean * strength + F.col("n_failed"), (1 - mean) * strength + F.col("n_docs") - F.col("n_failed")
     rate = a / (a + b)
     deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return joined.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate - Z * deviation > LIMIT).alias("condemned"))
+    return hosts.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate - Z * deviation > LIMIT).alias("condemned"))
 
 
 def with_verdicts(ruled: DataFrame) -> DataFrame:
