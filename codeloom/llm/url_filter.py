@@ -3,7 +3,7 @@
 A url becomes a set of tokens (scheme, host labels, domain, path parts with numbers made
 alike, query names, anchor). Spark's FP-growth mines the token sets of labelled urls, each
 with its label as one more token; a rule keeps the label as its consequent, the least support
-and confidence, and no superset of another rule that is as sure. Rules are matched by an
+and confidence, and improves by IMPROVEMENT or more on its label's share and on each of its parts. Rules are matched by an
 inverted index: (token, rule) postings are joined with each url's tokens, and a rule fires
 when all its tokens are found. Of the rules that fire the surest decides, then the best
 supported, then the longest, then block before allow; without one a url is allowed.
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import doc_key, small_side, staged
 
 SUPPORT, CONFIDENCE = 0.02, 0.8
+#: What a rule must add to the confidence of its label alone and of each part of it.
+IMPROVEMENT = 0.02
 #: Tokens of a rule, at most: longer ones are supersets that seldom add to a rule's confidence.
 LONGEST = 3
 ALLOW, BLOCK = "label=allow", "label=block"
@@ -82,10 +84,12 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     rules = model.associationRules.where(F.col("consequent")[0].isin(ALLOW, BLOCK) & (F.size("antecedent") <= LONGEST))
     rules = rules.select(F.substring_index(F.col("consequent")[0], "=", -1).alias("verdict"), F.sort_array("antecedent").alias("tokens"), F.size("antecedent").alias("n"), "confidence", "support")
     rules = staged(rules.select(F.xxhash64("verdict", "tokens").alias("rule"), "*"), "rules")
-    # a rule with a subset as sure adds nothing
+    blocked = items.agg(F.avg(F.array_contains("items", BLOCK).cast("int"))).first()[0]
+    rules = rules.where(F.col("confidence") >= F.when(F.col("verdict") == "block", blocked).otherwise(1 - blocked) + IMPROVEMENT)
+    # a rule that hardly improves on a part of it adds nothing
     part = rules.select(F.col("verdict").alias("v"), F.col("tokens").alias("part"), F.col("n").alias("fewer"), F.col("confidence").alias("sure"), F.explode("tokens").alias("token"))
     over = rules.select("*", F.explode("tokens").alias("token")).join(part, "token")
-    over = over.where((F.col("v") == F.col("verdict")) & (F.col("fewer") < F.col("n")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("part", "tokens")) == 0))
+    over = over.where((F.col("v") == F.col("verdict")) & (F.col("fewer") < F.col("n")) & (F.col("sure") + IMPROVEMENT > F.col("confidence")) & (F.size(F.array_except("part", "tokens")) == 0))
     return staged(rules.join(over.select("rule").distinct(), "rule", "left_anti"), "pruned")
 
 

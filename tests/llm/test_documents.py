@@ -241,6 +241,8 @@ def test_mined_rules_equal_brute_force(spark):
             for verdict, k in (("block", sum(hits)), ("allow", len(hits) - sum(hits))):
                 if hits and k / len(rows) >= url_filter.SUPPORT and k / len(hits) >= url_filter.CONFIDENCE:
                     sure[verdict, part] = k / len(hits)
-    want = {k for k, c in sure.items() if not any((k[0], q) in sure and sure[k[0], q] >= c for n in range(1, len(k[1])) for q in combinations(k[1], n))}
+    share = sum(b for _, b in rows) / len(rows)
+    sure = {k: c for k, c in sure.items() if c >= (share if k[0] == "block" else 1 - share) + url_filter.IMPROVEMENT}
+    want = {k for k, c in sure.items() if not any((k[0], q) in sure and sure[k[0], q] + url_filter.IMPROVEMENT > c for n in range(1, len(k[1])) for q in combinations(k[1], n))}
     got = {(r["verdict"], tuple(r["tokens"])) for r in url_filter.mine(labelled).collect()}
     assert got == want and got
