@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -111,10 +112,10 @@ def stored(spark, cache_dir: str) -> DataFrame:
 
 def count_tokens(docs: DataFrame, tokenizer_file: str, cache_dir: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit. cache_dir: a folder all machines
-    share; without one, a folder in the session's shared one, kept for the session.
+    share, which later calls with the same one use again; without one the cache starts empty.
     """
     spark = docs.sparkSession
-    cache_dir = cache_dir or f"{shared_dir(spark)}/codeloom/token-counts"
+    cache_dir = cache_dir or f"{shared_dir(spark)}/codeloom/token-counts-{uuid.uuid4().hex}"
     name = version(tokenizer_file)
     keyed = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), normalised(F.col("text")).alias("content"))
     keyed = keyed.withColumn("digest", F.unhex(F.sha2("content", 256)))
