@@ -1,7 +1,7 @@
 """Secret scans by assignment-aware lexing.
 
-Base spans come from three patterns (assign, access, hex). Then each text that holds an
-assignment is lexed as source or configuration: quoted strings, names, numbers and operators
+Base spans come from three patterns (assign, access, hex). Then each text that holds a
+sensitive word with an assignment's sign anywhere behind it is lexed as source or configuration: quoted strings, names, numbers and operators
 give (name, literal) pairs for `name = "literal"`, `name: literal`, `name => literal`,
 `NAME=literal` and dictionary entries. Constants propagate: a name assigned another name, or
 a concatenation of names and strings, takes their literals. Each literal is scored by the
@@ -41,7 +41,8 @@ EXCUSES = {"public": -2.5, "example": -2.0, "test": -1.0, "sample": -2.0, "place
 REACH = 4.0
 
 _LEX = re.compile(r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*)|(?P<op>=>|:=|==|!=|<=|>=|[=:+,;{}()\[\]])|(?P<line>\n)|(?P<bare>[^\s"'=:+,;{}()\[\]]+)""")
-_LIKELY = r"""[A-Za-z_][A-Za-z0-9_.\-]*["']?[ \t]*(=>|:=|=|:)[ \t]*["']?[A-Za-z0-9+/_.=\-]{6}"""
+# Literal spans need a target that holds a sensitive word, with an operator behind it: a text without these has none.
+_LIKELY = f"(?is)(?:{'|'.join(SENSITIVE)}).*[=:]"
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
@@ -121,7 +122,7 @@ def literal_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def spans_of(text: str, likely: bool = True) -> list[tuple[int, int, int]]:
-    """All spans, in the order of kinds. likely: whether to lex (a text without an assignment has no pairs)."""
+    """All spans, in the order of kinds. likely: whether to lex (a text without a sensitive word before an operator has no literal spans)."""
     return base_spans(text) + (literal_spans(text) if likely else [])
 
 

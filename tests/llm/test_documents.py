@@ -51,6 +51,17 @@ def test_constants_propagate():
     assert found == {"hunter2xK9", "Zq81mmP0w"}
 
 
+def test_prefilter_loses_no_literal(spark):
+    rng = random.Random(11)
+    bits = ["DB_PASSWORD", "db_password", "Auth", "salt", '"my key"', "x", "=", ":", "=>", ":=", " ", "\t", "\u00a0", "\u2003", "\n", '"', "'", '"P@$$w0rd!x9Qz"', "'$tr0ng!Pw#91xK'", "$tr0ng!Pw#91xK", "+", "é"]
+    texts = ['DB_PASSWORD = "P@$$w0rd!x9Qz"', 'db_password: "$tr0ng!Pw#91xK"', "salt\u00a0=>\u2003'#P@$$w0rd!x9Qz'"] + ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(400)]
+    docs = docs_of(spark, list(enumerate(texts)))
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
+    assert got == {k: secrets._joined(secrets.spans_of(t)) for k, t in enumerate(texts)} and all("literal" in got[k] for k in range(3))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert clean == {k: secrets._redacted(t, secrets.spans_of(t)) for k, t in enumerate(texts)} and clean[0] == 'DB_PASSWORD = "[SECRET]"'
+
+
 def test_redaction(spark):
     rows = [*ODD, (5, 'say token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" now')]
     out = secrets.redact(docs_of(spark, rows).withColumn("n_chars", F.length("text").cast("long")))
