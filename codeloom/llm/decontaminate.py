@@ -6,9 +6,12 @@ with any item has similarity 0 and needs no fingerprint. Shingles weigh as often
 occur; those outside all items weigh nothing in a fingerprint. A window's SimHash is the sign
 of the weighted sum of its shingles' bits. Two fingerprints of BITS bits within RADIUS of each
 other agree in one of RADIUS + 1 blocks, so an equality join on (size, block, bits in it)
-returns all pairs within the radius. A pair of weighted similarity 0.8 differs by 7 bits on
-average; beyond RADIUS lie about one in a million of these. Each candidate is then verified
-exactly: sum of lesser weights against sum of greater weights, over all shingles of both.
+returns all pairs within the radius. How many similar pairs lie beyond it depends on how the
+weights fall (hardly any where all shingles weigh 1, many where one heavy shingle differs), so
+pairs that share one of the item's rarest shingles are candidates too: rarest first, those
+without which the rest weighs less than the threshold asks. Every similar pair shares one.
+Each candidate is then verified exactly: sum of lesser weights against sum of greater weights,
+over all shingles of both.
 
 All of it is DataFrame functions. Items of fewer than five words have no shingle and match
 nothing, nor do null or empty texts on either side; items with a null id are kept as such;
@@ -18,7 +21,7 @@ windows go to the first; other columns are ignored; either table may be empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_key, shingle_hashes, small_side, staged, words
@@ -53,17 +56,24 @@ def _in_blocks(df: DataFrame) -> DataFrame:
     return df.select("*", F.explode(F.array(*cut)).alias("at")).select(*df.columns, "at.block", "at.bits")
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per document and item that it contains, in the document's best window:
-    doc_id, item_id, start_word, n_words, shared, similarity.
-    """
+def _rarest(weights: DataFrame) -> DataFrame:
+    """(item, size, shingle): of each item, the rarest shingles of which a window of the threshold or more shares one."""
+    counted = weights.join(weights.groupBy("shingle").agg(F.count(F.lit(1)).alias("n_items")), "shingle")
+    rarer = Window.partitionBy("item").orderBy("n_items", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    before, every = F.coalesce(F.sum("own_weight").over(rarer), F.lit(0)), F.col("size") - SHINGLE + 1
+    return counted.withColumn("before", before).where(DENOMINATOR * (every - F.col("before")) >= NUMERATOR * every).select("item", "item_id", "size", "shingle")
+
+
+def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """A row for each window that holds an item: doc_id, key (of the document's content), item, item_id, size, start, shared, similarity."""
     item_words = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE).distinct()
     item_words = item_words.select(F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.col("item_id").isNull(), "w").alias("item"), "item_id", F.size("w").alias("size"), shingle_hashes(F.col("w"), SHINGLE).alias("h"))
     placed = staged(item_words.select("item", "item_id", "size", F.posexplode("h").alias("q", "shingle")), "items")
-    weights = placed.groupBy("item", "item_id", "size", "shingle").agg(F.count(F.lit(1)).alias("own_weight"))
+    weights = staged(placed.groupBy("item", "item_id", "size", "shingle").agg(F.count(F.lit(1)).alias("own_weight")), "weights")
     prints = weights.groupBy("item", "item_id", "size").agg(fingerprint(F.col("shingle"), F.col("own_weight")).alias("print"))
     item_blocks = staged(_in_blocks(prints).withColumnRenamed("print", "own"), "blocks")
-    item_weights = staged(weights.select("item", "shingle", "own_weight"), "weights")
+    item_weights = weights.select("item", "shingle", "own_weight")
+    rarest = staged(_rarest(weights), "rarest")
 
     # places in documents that hold a shingle of some item
     vocabulary = staged(placed.select("shingle").distinct(), "vocabulary")
@@ -88,18 +98,26 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     # all pairs within the radius
     near = _in_blocks(prints).join(small_side(item_blocks), ["size", "block", "bits"])
-    near = near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("own"))) <= RADIUS).select("key", "size", "start", "item", "item_id").distinct()
+    near = near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("own"))) <= RADIUS).select("key", "size", "start", "item", "item_id")
+    # and those beyond it that can be similar
+    near = near.unionByName(held.join(small_side(rarest), ["size", "shingle"]).select("key", "size", "start", "item", "item_id")).distinct()
 
     # exact weighted similarity
     shared = near.join(held, ["key", "size", "start"]).join(small_side(item_weights), ["item", "shingle"])
-    total = shared.groupBy("doc_id", "item_id", "size", "start", "all").agg(F.sum(F.least("weight", "own_weight")).alias("shared"))
+    total = shared.groupBy("doc_id", "key", "item", "item_id", "size", "start", "all").agg(F.sum(F.least("weight", "own_weight")).alias("shared"))
     every = F.col("all") + F.col("size") - SHINGLE + 1 - F.col("shared")
-    found = total.where(DENOMINATOR * F.col("shared") >= NUMERATOR * every).withColumn("similarity", F.round(F.col("shared") / every, 6))
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "shared", "size")).alias("best"))
+    return total.where(DENOMINATOR * F.col("shared") >= NUMERATOR * every).withColumn("similarity", F.round(F.col("shared") / every, 6))
+
+
+def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """One row per document and item that it contains, in the document's best window:
+    doc_id, item_id, start_word, n_words, shared, similarity.
+    """
+    best = _found(docs, items).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "shared", "size")).alias("best"))
     return best.select("doc_id", "item_id", (-F.col("best.back")).alias("start_word"), F.col("best.shared").alias("n_shared"), F.col("best.similarity").alias("similarity"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that contain no item; rows with a null doc_id are told apart by nothing else, so they go or stay together."""
-    dirty = contaminated(docs, items).select(F.col("doc_id").alias("loom_id")).distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("loom_id")), "left_anti")
+    """The documents that contain no item; each row is judged by its own content, whatever id it has."""
+    dirty = staged(_found(docs, items).select(F.col("key").alias("loom_key")).distinct(), "dirty")
+    return docs.join(small_side(dirty), doc_key(docs["doc_id"], docs["text"]) == F.col("loom_key"), "left_anti")

@@ -124,6 +124,34 @@ def test_contamination_equals_brute_force(spark):
     assert decontaminate.contaminated(made(spark, docs), table.limit(0)).count() == 0
 
 
+def test_ids_do_not_join_documents_or_items(spark):
+    part = [f"p{k}" for k in range(40)]
+    item, half, other = " ".join(part), " ".join(part[:22]), " ".join(part[18:])
+    # halves of the item in different documents of one id and size: none holds it
+    table = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    halves = [(None, half + " " + " ".join(f"x{k}" for k in range(18))), (None, " ".join(f"y{k}" for k in range(18)) + " " + other)]
+    clean = [(None, "clean text of no item at all"), (7, "another clean text of no item")]
+    docs = made(spark, [*halves, *clean, (None, item), (7, "so " + item)])
+    assert decontaminate.contaminated(made(spark, halves), table).count() == 0
+    assert sorted(r["text"] for r in decontaminate.keep_clean(docs, table).collect()) == sorted(t for _, t in halves + clean)
+    # two texts of one item_id, each half in the document
+    two = spark.createDataFrame([(1, half + " " + " ".join(f"x{k}" for k in range(18))), (1, " ".join(f"y{k}" for k in range(18)) + " " + other)], "item_id bigint, text string")
+    assert decontaminate.contaminated(made(spark, [(3, item)]), two).count() == 0
+
+
+def test_similar_pairs_beyond_the_radius_are_found(spark):
+    # one heavy shingle of the item is another heavy shingle in the documents: similar, but with other fingerprints
+    items, docs = [], []
+    for k in range(12):
+        rest = [f"i{k}w{n}" for n in range(100)]
+        items.append((k, " ".join([f"a{k}"] * 12 + rest)))
+        items.append((100 + k, " ".join([f"b{k}"] * 12)))
+        docs.append((k, " ".join([f"b{k}"] * 12 + rest)))
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(made(spark, docs), table).collect()}
+    assert got == {(k, k) for k in range(12)} | {(k, 100 + k) for k in range(12)}
+
+
 def quality_rows(con, docs):
     con.register("documents", docs)
     return con.execute(sql.OP6).df()
