@@ -26,8 +26,6 @@ from .common import doc_key, small_side, staged
 SUPPORT, CONFIDENCE = 0.02, 0.8
 #: What a rule must add to the confidence of its label alone and of each part of it.
 IMPROVEMENT = 0.02
-#: Tokens of a rule, at most: longer ones are supersets that seldom add to a rule's confidence.
-LONGEST = 3
 ALLOW, BLOCK = "label=allow", "label=block"
 #: (verdict, host, path) of the list that goes before the mined rules.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -81,13 +79,13 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     if items.isEmpty():
         return labelled.sparkSession.createDataFrame([], schema)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    rules = model.associationRules.where(F.col("consequent")[0].isin(ALLOW, BLOCK) & (F.size("antecedent") <= LONGEST))
+    rules = model.associationRules.where(F.col("consequent")[0].isin(ALLOW, BLOCK))
     rules = rules.select(F.substring_index(F.col("consequent")[0], "=", -1).alias("verdict"), F.sort_array("antecedent").alias("tokens"), F.size("antecedent").alias("n"), "confidence", "support")
     rules = staged(rules.select(F.xxhash64("verdict", "tokens").alias("rule"), "*"), "rules")
     blocked = items.agg(F.avg(F.array_contains("items", BLOCK).cast("int"))).first()[0]
     rules = rules.where(F.col("confidence") >= F.when(F.col("verdict") == "block", blocked).otherwise(1 - blocked) + IMPROVEMENT)
-    # a rule that hardly improves on a part of it adds nothing
-    part = rules.select(F.col("verdict").alias("v"), F.col("tokens").alias("part"), F.col("n").alias("fewer"), F.col("confidence").alias("sure"), F.explode("tokens").alias("token"))
+    # a rule that hardly improves on a part of it adds nothing; a part is met at its first token, which the rule holds too
+    part = rules.select(F.col("verdict").alias("v"), F.col("tokens").alias("part"), F.col("n").alias("fewer"), F.col("confidence").alias("sure"), F.col("tokens")[0].alias("token"))
     over = rules.select("*", F.explode("tokens").alias("token")).join(part, "token")
     over = over.where((F.col("v") == F.col("verdict")) & (F.col("fewer") < F.col("n")) & (F.col("sure") + IMPROVEMENT > F.col("confidence")) & (F.size(F.array_except("part", "tokens")) == 0))
     return staged(rules.join(over.select("rule").distinct(), "rule", "left_anti"), "pruned")

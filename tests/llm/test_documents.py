@@ -257,3 +257,14 @@ def test_mined_rules_equal_brute_force(spark):
     want = {k for k, c in sure.items() if not any((k[0], q) in sure and sure[k[0], q] + url_filter.IMPROVEMENT > c for n in range(1, len(k[1])) for q in combinations(k[1], n))}
     got = {(r["verdict"], tuple(r["tokens"])) for r in url_filter.mine(labelled).collect()}
     assert got == want and got
+
+
+def test_rules_of_four_tokens_are_mined(spark):
+    from itertools import product
+
+    urls = [f"{a}://h.org/{b}/?{c}=1{d}" for a, b, c, d in product(["http", "https"], ["en", "es"], ["q", "r"], ["", "#t"])]
+    rows = [(u, u == "https://h.org/en/?q=1#t") for u in urls for _ in range(5)]
+    rules = url_filter.mine(spark.createDataFrame(rows, "url string, blocked boolean"))
+    assert [tuple(r["tokens"]) for r in rules.where("verdict = 'block'").collect()] == [("anchor", "path=en", "query=q", "scheme=https")]
+    verdicts = url_filter.match(spark.createDataFrame(list(enumerate(urls)), "key int, url string"), rules).where("verdict = 'block'")
+    assert [urls[r["key"]] for r in verdicts.collect()] == ["https://h.org/en/?q=1#t"]
