@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -11,8 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Longest text, in lines, that is aligned at once; see `aligned`.
-MOST_LINES = 4000
 _SPACE, _TIGHT = re.compile(r"[ \t]+"), re.compile(r" ?([(){}\[\]<>,;=]) ?")
 _DECLARED = re.compile(r"^(?:final )?[\w.<>\[\],?]+ (\w+=.*)$")
 _RESOURCE = re.compile(r"^try\((.*)\)\{?$")
@@ -37,37 +36,61 @@ def align(old: list[str], new: list[str]) -> list[int]:
     """For each new line the old line it matches, or -1, on a path of least edits (insert, delete, substitute).
 
     Lines that match are always taken together; going back, a match is preferred to a
-    deletion, that to an insertion, and that to a substitution. Costs are found row by row.
+    deletion, that to an insertion, and that to a substitution. Costs are found row by row;
+    of the table, every so many-th row is kept, and the rows between two of these are found
+    again on the way back, so memory grows as the power 1.5 of the lines.
     """
     a, b = [forms(normal(x), True) for x in old], [forms(normal(x), False) for x in new]
-    ids: dict[str, int] = {}
-    grid = np.zeros((len(a), len(b)), bool)
-    where: dict[int, list[int]] = {}
-    for j, fs in enumerate(b):
-        for f in fs:
-            where.setdefault(ids.setdefault(f, len(ids)), []).append(j)
-    for i, fs in enumerate(a):
-        for f in fs:
-            if f in ids:
-                grid[i, where[ids[f]]] = True
-    cost = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    cost[:, 0], cost[0] = np.arange(len(a) + 1), np.arange(len(b) + 1)
-    steps = np.arange(len(b) + 1)
-    for i in range(1, len(a) + 1):
-        base = np.minimum(cost[i - 1, 1:], cost[i - 1, :-1]) + 1
-        row = np.concatenate([[i], np.where(grid[i - 1], cost[i - 1, :-1], base)])
-        # insertions: the least of all starts to the left, except into matched places
-        run = np.minimum.accumulate(row - steps) + steps
-        cost[i] = np.where(np.concatenate([[False], grid[i - 1]]), row, np.minimum(row, run))
     out = [-1] * len(b)
     i, j = len(a), len(b)
+    while i and j and not a[i - 1].isdisjoint(b[j - 1]):
+        i, j = i - 1, j - 1
+        out[j] = i
+    width = j
+    where: dict[str, list[int]] = {}
+    for k, fs in enumerate(b[:width]):
+        for f in fs:
+            where.setdefault(f, []).append(k)
+    steps = np.arange(width + 1, dtype=np.int32)
+
+    def matches(row: int) -> np.ndarray:
+        found = np.zeros(width, bool)
+        for f in a[row - 1]:
+            found[where.get(f, [])] = True
+        return found
+
+    def below(last: np.ndarray, row: int) -> np.ndarray:
+        """The costs of a row, from those of the row above it."""
+        same = matches(row)
+        costs = np.empty(width + 1, np.int32)
+        costs[0] = row
+        costs[1:] = np.where(same, last[:-1], np.minimum(last[1:], last[:-1]) + 1)
+        # insertions: the least of all starts to the left, except into matched places
+        run = np.minimum.accumulate(costs - steps) + steps
+        costs[1:] = np.where(same, costs[1:], np.minimum(costs, run)[1:])
+        return costs
+
+    apart = math.isqrt(i) + 1
+    kept, last = {0: steps}, steps
+    for row in range(1, i + 1):
+        last = below(last, row)
+        if row % apart == 0:
+            kept[row] = last
+    first, block = i + 1, [last]
     while i and j:
-        if grid[i - 1, j - 1]:
+        if i - 1 < first:
+            # the rows from the last kept one above up to this one
+            first = (i - 1) // apart * apart
+            block = [kept[first]]
+            for row in range(first + 1, i + 1):
+                block.append(below(block[-1], row))
+        above, here = block[i - 1 - first], block[i - first]
+        if not a[i - 1].isdisjoint(b[j - 1]):
             out[j - 1] = i - 1
             i, j = i - 1, j - 1
-        elif cost[i, j] == cost[i - 1, j] + 1:
+        elif here[j] == above[j] + 1:
             i -= 1
-        elif cost[i, j] == cost[i, j - 1] + 1:
+        elif here[j] == here[j - 1] + 1:
             j -= 1
         else:
             i, j = i - 1, j - 1
@@ -75,9 +98,9 @@ def align(old: list[str], new: list[str]) -> list[int]:
 
 
 def aligned(rows: DataFrame, old: str, new: str) -> DataFrame:
-    """rows with matched array<int>: for each line of `new` the line of `old`, or -1; null if a text is null or has more than MOST_LINES lines.
+    """rows with matched array<int>: for each line of `new` the line of `old`, or -1; null if a text is null, which `status` says.
 
-    The table of costs is quadratic in one pair's lines, hence the bound; `status` says which rows it left out.
+    Time is quadratic in one pair's lines, memory is not.
     """
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -85,12 +108,12 @@ def aligned(rows: DataFrame, old: str, new: str) -> DataFrame:
             out = []
             for x, y in zip(a, b, strict=True):
                 lines = None if x is None or y is None else (x.rstrip("\n").split("\n"), y.rstrip("\n").split("\n"))
-                out.append(None if lines is None or max(map(len, lines)) > MOST_LINES else align(*lines))
+                out.append(None if lines is None else align(*lines))
             yield pd.Series(out, dtype=object)
 
     udf = F.pandas_udf(_typed(run), T.ArrayType(T.IntegerType()))
     whole = rows.withColumn("matched", udf(old, new))
-    status = F.when(F.col(old).isNull() | F.col(new).isNull(), "missing").when(F.col("matched").isNull(), "too long").otherwise("aligned")
+    status = F.when(F.col(old).isNull() | F.col(new).isNull(), "missing").otherwise("aligned")
     return whole.withColumn("status", status)
 
 

@@ -160,3 +160,12 @@ def test_resumable_ingest_adds_nothing_twice(spark, tmp_path):
             spark.createDataFrame(more, rows.schema).write.mode("append").parquet(source)
         ingest.resumable(spark, source, rows.schema, lambda df: df.withColumn("w", F.upper("v")), target, mark, ["k"]).awaitTermination(120)
     assert sorted(tuple(r) for r in spark.read.parquet(target).collect()) == [(1, "a", "A"), (2, "b", "B"), (3, "c", "C")]
+
+
+def test_long_texts_are_aligned(spark):
+    old = [f"line {k};" for k in range(6000)]
+    new = [x for k, x in enumerate(old) if k % 10] + ["end;"]
+    rows = spark.createDataFrame([(1, "\n".join(old), "\n".join(new)), (2, None, "x")], "id int, a string, b string")
+    got = {r["id"]: r for r in align.aligned(rows, "a", "b").collect()}
+    assert got[1]["matched"] == [k for k in range(6000) if k % 10] + [-1] and got[1]["status"] == "aligned"
+    assert got[2]["matched"] is None and got[2]["status"] == "missing"
