@@ -82,12 +82,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _before(text: str, a: int) -> list[re.Match[str]]:
+    """The last REACH words before a place, whole however long they are."""
+    width = 60 * REACH
+    while True:
+        low = max(0, a - width)
+        found = list(_WORD.finditer(text, low, a))
+        # the first of them may be cut, so one more is wanted
+        if low == 0 or len(found) > REACH:
+            return found[-REACH:]
+        width *= 2
+
+
 def surroundings(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int, int]]:
     """(entity, term, start, end, hash of the surrounding words) of the terms near each mention. Only words near it are read."""
     out = []
     for kind, a, b in spans:
         entity = KINDS[kind] + ":" + (re.sub(r"\D", "", text[a:b]) if kind > 1 else text[a:b].lower())
-        before = [m for m in _WORD.finditer(text, max(0, a - 60 * REACH), a)][-REACH:]
+        before = _before(text, a)
         after = []
         for m in _WORD.finditer(text, b):
             after.append(m)

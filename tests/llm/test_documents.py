@@ -108,6 +108,14 @@ def test_terms_that_disclose_are_spans_and_common_ones_are_not(spark):
     assert all("remove" not in r["spans"] for r in pii.scan(copies).collect())
 
 
+def test_terms_before_a_long_word_are_counted(spark):
+    long = "http://x.org/" + "y" * 5000
+    rows = [(k, f"filler{k} agent Zorbulon {long} at{k} jo@ex.org wrote") for k in range(4)] + [(10 + k, f"plain text words wrote agent {k}") for k in range(60)]
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.scan(docs_of(spark, rows)).collect()}
+    at = rows[0][1].index("Zorbulon")
+    assert all(f"remove:{at}:{at + 8}" in got[k] and f"remove:{at + 9}:{at + 9 + len(long)}" in got[k] for k in range(4))
+
+
 # Tokens
 
 
