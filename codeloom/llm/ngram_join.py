@@ -1,10 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash bands of fixed length, in place of an LSH forest.
 
 Every document becomes its set of five-word shingles. Documents with equal sets form one
-*copy group*, whose fingerprint stands for it from there on. The fingerprints get TREES
-signatures of DEEPEST hashes each; sorting a tree's signatures gives a prefix trie, and two
-texts are candidates if they share a node. The prefix is shortened from the full signature
-to the longest one at which the chance to share a node in some tree reaches the target
+*copy group*, whose fingerprint stands for it from there on. The fingerprints get TREES bands
+of hashes, and two texts are candidates if all hashes of a band are equal (a *node*). There
+are no tries and no shortening by text: `stop_depth` takes once, from constants, the longest
+band (DEEPEST at most) at which the chance to share one in some tree reaches the target
 recall at the threshold (`stop_depth`). Candidates are then verified exactly on their sets.
 
 Nodes of more than NODE texts do not pair their members. All texts of such nodes are joined
