@@ -72,53 +72,63 @@ def literal_score(value: str) -> float:
     return 0.5 * (classes - 1) + 0.5 * (len(value) >= 12) + (entropy(value) >= 3.0)
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int]]:
-    """(target name, literal, start, end) of all assignments, constants propagated.
+class _Value:
+    """What a name was given: literals of its own, the values of the names in it, and how sensitive the names it reaches are."""
+
+    __slots__ = ("literals", "score", "sources")
+
+    def __init__(self, score: float):
+        self.literals: list[tuple[int, int]] = []
+        self.sources: list[_Value] = []
+        self.score = score
+
+
+def assigned(text: str) -> list[_Value]:
+    """The values of all assignments in the order of the text, each with the score of the most sensitive name it reaches.
 
     A literal reaches a name directly, by way of other names (`b = a`), or as a part of a
-    concatenation (`c = a + "x"`); the span is where the literal stands. A name stands for what
-    it was assigned last before its use.
+    concatenation (`c = a + "x"`). A name stands for what it was assigned last before its use,
+    so values form a graph without cycles; it is walked once, backwards, however often names
+    repeat in it.
     """
     tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _LEX.finditer(text)]
-    held: dict[str, list[tuple[str, int, int]]] = {}
-    out: list[tuple[str, str, int, int]] = []
+    held: dict[str, _Value] = {}
+    out: list[_Value] = []
     for at in range(len(tokens) - 2):
         kind, word, *_ = tokens[at]
         if tokens[at + 1][1] not in ("=", ":=", ":", "=>") or kind not in ("name", "string"):
             continue
         target = word.strip("\"'") if kind == "string" else word
-        parts: list[tuple[str, int, int]] = []
+        given = _Value(name_score(target))
         place, wants = at + 2, True
         while place < len(tokens):
             k, value, a, b = tokens[place]
             if wants and k == "string":
-                parts.append((value[1:-1], a + 1, b - 1))
+                given.literals.append((a + 1, b - 1))
             elif wants and k == "name" and value in held:
-                parts += held[value]
+                given.sources.append(held[value])
             elif wants and k in ("name", "bare"):
                 # an unquoted value runs on to the next white space or separator
                 end = place
                 while end + 1 < len(tokens) and tokens[end + 1][2] == tokens[end][3] and tokens[end + 1][0] in ("name", "bare"):
                     end += 1
-                parts.append((text[a : tokens[end][3]], a, tokens[end][3]))
+                given.literals.append((a, tokens[end][3]))
                 place = end
             elif not (not wants and value == "+"):
                 break
             wants = not wants
             place += 1
-        held[target] = parts
-        out += [(target, *p) for p in parts]
+        held[target] = given
+        out.append(given)
+    for given in reversed(out):
+        for source in given.sources:
+            source.score = max(source.score, given.score)
     return out
 
 
 def literal_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of literals that reach a sensitive name and look like secrets."""
-    found = set()
-    for name, value, start, end in pairs(text):
-        named = name_score(name)
-        if named > 0 and named + literal_score(value) >= REACH:
-            found.add((3, start, end))
-    return sorted(found)
+    return sorted({(3, a, b) for given in assigned(text) if given.score > 0 for a, b in given.literals if given.score + literal_score(text[a:b]) >= REACH})
 
 
 def spans_of(text: str, likely: bool = True) -> list[tuple[int, int, int]]:
