@@ -1,17 +1,18 @@
 """Token counts by a digest cache.
 
-A text is normalised (runs of space, tab, line feed and carriage return become one space,
-none at the ends: such white space never changes a count of the word tokenizer) and digested
-with SHA-256. Digests are joined with the stored counts of the same tokenizer version (the
-digest of its file); texts without a count are encoded once for each digest, and their counts
-are appended to the cache. The documents, as digests only, are then joined with the cache.
+A text is normalised and digested with SHA-256. For a tokenizer that drops white space before
+it splits (see `splits_at_blanks`) runs of space, tab, line feed and carriage return become
+one space, with none at the ends, which never changes a count; for others the text stays as
+it is. Digests are joined with the stored counts of the same tokenizer version (the digest of
+its file); texts without a count are encoded once for each digest, and their counts are
+appended to the cache. The documents, as digests only, are then joined with the cache.
 
 The cache is a Parquet folder of (tokenizer, digest, n_tokens), append only: a run that is
 repeated after a failure may store a digest twice, which reading removes.
 
-Within a miss, tokens are counted by words at white space, which the tokenizer drops before
-it splits; each task keeps the counts of WORDS words at most. A tokenizer for which this does
-not hold (see `splits_at_blanks`) encodes whole texts.
+Within a miss of such a tokenizer, tokens are counted by words: the words of a batch are made
+distinct, those the task has not met are encoded, and the counts are summed by text. Each
+task keeps the counts of WORDS words at most. Other tokenizers encode whole texts.
 
 Null and empty texts have 0 bytes and 0 tokens; long texts are encoded whole; repeated rows
 repeat; null ids pass through; other columns are ignored; no rows give none.
@@ -25,9 +26,11 @@ import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_dir, staged
@@ -73,20 +76,21 @@ class Counter:
     def _whole(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def count(self, texts: list[str]) -> list[int]:
-        """texts: normalised, so words stand between single spaces."""
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """texts: normalised, so the words of a tokenizer that drops white space stand between single spaces."""
         if not self.by_word:
-            return self._whole(texts)
-        seen, out = self.seen, []
-        for text in texts:
-            words = text.split(" ")
-            fresh = list({w for w in words if w not in seen})
-            if len(seen) + len(fresh) > WORDS:
-                seen.clear()
-                fresh = list(set(words))
-            seen.update(zip(fresh, self._whole(fresh), strict=True))
-            out.append(sum(map(seen.__getitem__, words)))
-        return out
+            return np.array(self._whole(texts.to_pylist()), np.int64)
+        split = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        bounds = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        words, seen = coded.dictionary.to_pylist(), self.seen
+        if len(seen) + len(words) > WORDS:
+            seen.clear()
+        fresh = [w for w in words if w not in seen]
+        seen.update(zip(fresh, self._whole(fresh), strict=True))
+        each = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+        totals = np.concatenate([[0], np.cumsum(each[coded.indices.to_numpy()])])
+        return totals[bounds[1:] - bounds[0]] - totals[bounds[:-1] - bounds[0]]
 
 
 @lru_cache(maxsize=2)
@@ -95,9 +99,10 @@ def counter(tokenizer_file: str) -> Counter:
     return Counter(tokenizer_file)
 
 
-def normalised(text):
-    """The text as it is digested."""
-    return F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n\r]+", " "))
+def normalised(text: Column, blanks: bool) -> Column:
+    """The text as it is digested. blanks: whether its white space may be normalised."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.btrim(F.regexp_replace(whole, r"[ \t\n\r]+", " ")) if blanks else whole
 
 
 def stored(spark, cache_dir: str) -> DataFrame:
@@ -117,7 +122,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, cache_dir: str | None = N
     spark = docs.sparkSession
     cache_dir = cache_dir or f"{shared_dir(spark)}/codeloom/token-counts-{uuid.uuid4().hex}"
     name = version(tokenizer_file)
-    keyed = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), normalised(F.col("text")).alias("content"))
+    keyed = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), normalised(F.col("text"), counter(tokenizer_file).by_word).alias("content"))
     keyed = keyed.withColumn("digest", F.unhex(F.sha2("content", 256)))
 
     own = F.col("tokenizer") == name
@@ -129,7 +134,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, cache_dir: str | None = N
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                counts = known.count(part.column("content").to_pylist())
+                counts = known.count(part.column("content"))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * part.num_rows), part.column("digest"), pa.array(counts, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
     misses.mapInArrow(run, _CACHE).write.mode("append").parquet(cache_dir)
