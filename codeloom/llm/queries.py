@@ -57,7 +57,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.labelled_pages(pages, _table(spark, sf_dir, "labels")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
