@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What a broadcast side may have at most; beyond it the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
@@ -42,10 +44,20 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _held(kind: T.DataType, value: Column) -> Column:
+    """About how many bytes a value holds."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        return F.aggregate(F.coalesce(value, F.array().cast(kind)), F.lit(16), lambda s, x: s + _held(kind.elementType, x))
+    return F.lit(8)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows of `size` bytes in all, else unchanged (the join then shuffles).
 
     df should be staged: at most rows + 1 of its rows are counted and measured.
     """
-    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()
+    row = reduce(lambda a, b: a + b, [_held(f.dataType, F.col(f"`{f.name}`")) for f in df.schema])
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(row.cast("long")), F.lit(0))).first()
     return F.broadcast(df) if n <= rows and held <= size else df
