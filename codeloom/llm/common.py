@@ -1,50 +1,22 @@
-"""What the operators share: words, staged tables, size-checked broadcasts, components."""
+"""What the operators share: words, content keys, hashes of shingles, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import shared_dir, small_side, staged
+
+__all__ = ["components", "doc_key", "shared_dir", "shingle_hashes", "small_side", "staged", "window_hashes", "word_hashes", "words"]
+
 #: White space between words: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 SPLIT = r"[ \t\n\x0B\f\r]+"
 
-#: Rows that a broadcast side may have at most; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
-
-#: Folders made where spark.checkpoint.dir is unset, by application.
-_OWN_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = _OWN_DIRS.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="codeloom-")
-        _OWN_DIRS[spark.sparkContext.applicationId] = path
-    return path.rstrip("/")
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it again: cuts lineage, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codeloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, else unchanged (the join then shuffles). df should be staged: it is counted."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def words(text: Column) -> Column:
     """Words of a text, in order; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
@@ -58,8 +30,9 @@ def shingle_hashes(tokens: Column, k: int = 5) -> Column:
 
 
 def doc_key(doc_id: Column, text: Column) -> Column:
-    """Identifies a row by its content: rows of equal id and text share a key, all others differ."""
-    return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), doc_id.isNull(), F.coalesce(text, F.lit("")), text.isNull())
+    """128 bits that identify a row by its content: rows of equal id and text share a key, all others differ."""
+    known = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.when(text.isNull(), "-").otherwise("+"))
+    return F.unhex(F.md5(F.concat_ws("\n", known, text)))
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,20 +66,32 @@ def window_hashes(offsets: np.ndarray, hashes: np.ndarray, k: int = 5) -> tuple[
     return bounds, out
 
 
+#: Nodes with more than this share of all edges have theirs joined by broadcast: there are at most twice its inverse.
+HUB = 1 / 1000
+
+
+def _with_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """edges (src, dst) and the `low` of their src. Edges of hubs meet it by a broadcast of at most 2 / HUB rows, so
+    no task reads all edges of one node; the others are dealt by src.
+    """
+    hubs = F.broadcast(least.where(F.col("degree") > max(HUB * n_edges, 100)).select("src", "low"))
+    rest = edges.join(hubs.select("src"), "src", "left_anti").join(least.select("src", "low"), "src")
+    return edges.join(hubs, "src").unionByName(rest)
+
+
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, component) of an undirected graph (src, dst), by alternating large-star and small-star rounds.
 
-    A component is named by its least node. Each round is a grouped minimum with map-side
-    combine and a join, so a node with many edges splits over tasks.
+    A component is named by its least node. Minima are grouped with map-side combine.
     """
 
-    def round_(e: DataFrame) -> DataFrame:
+    def round_(e: DataFrame, n: int) -> DataFrame:
         both = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("low"))
-        large = both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src != dst").distinct()
-        down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        least = down.groupBy("src").agg(F.min("dst").alias("low"))
-        small = down.join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+        least = staged(both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("low"), F.count(F.lit(1)).alias("degree")), label)
+        large = _with_least(both.where("dst > src"), least, n).select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src != dst").distinct()
+        down = staged(large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")), label)
+        least = staged(down.groupBy("src").agg(F.min("dst").alias("low"), F.count(F.lit(1)).alias("degree")), label)
+        small = _with_least(down, least, n).select(F.col("dst").alias("src"), F.col("low").alias("dst"))
         return small.unionByName(least.select("src", F.col("low").alias("dst"))).where("src != dst").distinct()
 
     def state(e: DataFrame) -> tuple:
@@ -115,7 +100,7 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     current = staged(edges.select("src", "dst").where("src != dst").distinct(), label)
     seen = state(current)
     while seen[0]:
-        current = staged(round_(current), label)
+        current = staged(round_(current, seen[0]), label)
         now = state(current)
         if now == seen:
             break
