@@ -1,21 +1,30 @@
-"""N-gram Jaccard join by MinHash bands of fixed length, in place of an LSH forest.
+"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Every document becomes its set of five-word shingles. Documents with equal sets form one
-*copy group*, whose fingerprint stands for it from there on. The fingerprints get TREES bands
-of hashes, and two texts are candidates if all hashes of a band are equal (a *node*). There
-are no tries and no shortening by text: `stop_depth` takes once, from constants, the longest
-band (DEEPEST at most) at which the chance to share one in some tree reaches the target
-recall at the threshold (`stop_depth`). Candidates are then verified exactly on their sets.
+*copy group*, whose fingerprint stands for it from there on. Each of TREES trees labels a
+fingerprint with DEEPEST hashes, the least ones of its shingles. The labels of a tree, sorted,
+are its prefix trie: neighbours that agree in their first d hashes lie in one node of depth d.
+One pass over the sorted labels walks the tries (`_walk`) and emits each pair of texts with
+the longest prefix they share in some tree.
+
+Pairs are verified from the longest prefixes to shorter ones. After each depth every text has
+its own estimate of recall (`recall_at`): a partner of similarity s is met at depth d or below
+with chance 1 - (1 - s^d)^TREES, so each partner found stands for the inverse of its chance, and
+one more, unseen, is always assumed at the threshold. A text whose estimate reaches TARGET asks no
+further; the others shorten their prefix by one hash. A pair is compared while one of the two still asks. At
+`floor_depth` a text without any partner reaches the target, so no prefix gets shorter.
 
 Nodes of more than NODE texts do not pair their members. All texts of such nodes are joined
 exactly instead: a pair that reaches the threshold shares one of each text's rarest shingles
 (prefix filter), so texts that share such shingles gather in clusters, which a passage that
 many texts have in common does not join. A cluster is compared in blocks of texts, in numpy,
-which emit the links' number for each text and a spanning forest, never the pairs.
+which emit the links' number for each text and a spanning forest, never the pairs. So recall
+is 1 in crowded nodes and TARGET or more elsewhere.
 
 Results for odd input: null, empty and blank texts have no shingles, link to nothing and are
 their own class; texts of one to four words have one shingle, all their words; a repeated row
-is a copy; null ids get a row too; extra columns are ignored; no rows give no rows.
+is a copy; null ids get a row too; long texts are read whole; extra columns are ignored,
+whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +37,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, doc_key, staged, window_hashes, word_hashes
@@ -37,7 +46,8 @@ TREES = 24
 DEEPEST = 6
 TARGET = 0.99999
 NODE = 40
-BLOCK = 256
+#: Texts, and bytes of packed text, in a block of a cluster.
+BLOCK, BLOCK_BYTES = 1024, 2 << 20
 SHINGLE = 5
 #: The threshold as a fraction, so that ties are exact: |a and b| * DENOMINATOR >= |a or b| * NUMERATOR.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -46,14 +56,24 @@ SLICE = 400
 BUCKETS = 1 << 20
 
 
-def stop_depth(threshold: float = NUMERATOR / DENOMINATOR, trees: int = TREES, deepest: int = DEEPEST, target: float = TARGET) -> int:
-    """The longest prefix, found by shortening the signature, that gives pairs at the threshold the target recall."""
-    for depth in range(deepest, 0, -1):
-        if 1 - (1 - threshold**depth) ** trees >= target:
+def met(similarity: float, depth: int) -> float:
+    """The chance that two texts of this similarity share a prefix of this length in some tree."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+def floor_depth() -> int:
+    """The longest prefix at which a text without partners reaches the target."""
+    for depth in range(DEEPEST, 0, -1):
+        if met(NUMERATOR / DENOMINATOR, depth) >= TARGET:
             return depth
     raise ValueError("more trees are needed for this recall")
 
 
+def recall_at(depth: int, found: Column, expected: Column) -> Column:
+    """A text's recall at a depth. found: partners; expected: for how many of that depth they stand."""
+    return (found + 1) / (expected + 1 / met(NUMERATOR / DENOMINATOR, depth))
+
+
 def _hash_family() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
     n = TREES * DEEPEST
@@ -71,27 +91,86 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+#: Columns of a label: its prefixes from the floor to the deepest, each as one hash.
+_PREFIXES = [f"prefix_{d}" for d in range(floor_depth(), DEEPEST + 1)]
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, key, print, labels: for each tree the prefixes of the text's label."""
     mult, add = _hash_family()
-    depth = stop_depth()
     for batch in (s for b in batches for s in _slices(b)):
         sets = shingle_sets(batch.column("text"))
         sizes = np.array([len(x) for x in sets])
         real = np.flatnonzero(sizes)
         prints = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
-        nodes: list = [None] * len(sets)
+        labels: list = [None] * len(sets)
         if len(real):
             flat = np.concatenate([sets[i] for i in real])
             starts = np.concatenate([[0], np.cumsum(sizes[real])[:-1]])
-            # the path of each text from a tree's root to its node at the stop depth
             path = np.broadcast_to(np.arange(TREES, dtype=np.uint64), (len(real), TREES))
-            for level in range(depth):
+            kept = []
+            for level in range(DEEPEST):
                 least = np.stack([np.minimum.reduceat(flat * m + a, starts) for m, a in zip(mult[level::DEEPEST], add[level::DEEPEST], strict=True)], 1)
                 path = (path ^ least) * np.uint64(0x9E3779B97F4A7C15)
                 path = path ^ (path >> np.uint64(31))
+                kept.append(path)
+            grid = np.stack(kept[-len(_PREFIXES) :], 2)
             for i, row in enumerate(real):
-                nodes[row] = path[i].view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(prints, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], ["doc_id", "key", "print", "nodes"])
+                labels[row] = grid[i].tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(prints, pa.binary()), pa.array(labels, pa.binary())], ["doc_id", "key", "print", "labels"])
+
+
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """print and the prefixes of its label, a row for each tree."""
+    for batch in (s for b in batches for s in _slices(b)):
+        grid = np.frombuffer(b"".join(batch.column("labels").to_pylist()), np.int64).reshape(-1, len(_PREFIXES))
+        prints = batch.column("print").take(pa.array(np.repeat(np.arange(batch.num_rows), TREES)))
+        yield pa.RecordBatch.from_arrays([prints, *(pa.array(np.ascontiguousarray(c)) for c in grid.T)], ["print", *_PREFIXES])
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walks sorted labels as tries: (src, dst, depth) of texts that share a prefix, (print, null, depth) of texts in a node of more than NODE.
+
+    Of each open node at most NODE members are held. The pairs of a node that outgrows it were
+    emitted before that was known; they are dropped later, as both their texts are crowded.
+    """
+    floor, levels = floor_depth(), len(_PREFIXES)
+    nodes: list[list[bytes]] = [[] for _ in range(levels)]  # members of the open nodes, from the floor down
+    crowded = [False] * levels
+    last: tuple | None = None  # prefixes and print of the row before
+    for batch in batches:
+        columns = [batch.column(c).to_numpy() for c in _PREFIXES]
+        prints = batch.column("print")
+        src: list[bytes] = []
+        dst: list[bytes | None] = []
+        depths: list[int] = []
+        # rows alone at the floor pair with nobody; only the others are walked
+        same = np.flatnonzero(columns[0][1:] == columns[0][:-1])
+        walked = np.union1d(np.union1d(same, same + 1), [0, batch.num_rows - 1][: batch.num_rows]).astype(int)
+        for i in walked:
+            row, print_ = [c[i] for c in columns], prints[i].as_py()
+            shared = 0
+            while last is not None and shared < levels and last[0][shared] == row[shared]:
+                shared += 1
+            for level in range(shared, levels):
+                nodes[level], crowded[level] = [], False
+            for level in range(shared):
+                inside = set(nodes[level + 1]) if level + 1 < shared else set()
+                if crowded[level]:
+                    src.append(print_), dst.append(None), depths.append(floor + level)
+                elif len(nodes[level]) == NODE:
+                    crowded[level] = True
+                    for member in [*nodes[level], print_]:
+                        src.append(member), dst.append(None), depths.append(floor + level)
+                else:
+                    for member in nodes[level]:
+                        if member not in inside:
+                            src.append(min(member, print_)), dst.append(max(member, print_)), depths.append(floor + level)
+            for level in range(levels):
+                if len(nodes[level]) < NODE:
+                    nodes[level].append(print_)
+            last = (row, print_)
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary()), pa.array(depths, pa.int32())], ["src", "dst", "depth"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,12 +190,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}
         fresh = list(dict.fromkeys(left + right))
         known.update(zip(fresh, _unpacked(fresh), strict=True))
-        keep = []
-        for a, b in zip(left, right, strict=True):
-            x, y = known[a], known[b]
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            keep.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
-        yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+        both = np.array([len(known[a]) + len(known[b]) - len(np.union1d(known[a], known[b])) for a, b in zip(left, right, strict=True)], np.int64)
+        either = np.array([len(known[a]) + len(known[b]) for a, b in zip(left, right, strict=True)], np.int64) - both
+        rows = pa.RecordBatch.from_arrays([batch.column("src"), batch.column("dst"), pa.array(both / np.maximum(either, 1))], ["src", "dst", "similarity"])
+        yield rows.filter(pa.array(DENOMINATOR * both >= NUMERATOR * either))
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,45 +281,73 @@ def _compared(crowd: DataFrame, weights: DataFrame) -> DataFrame:
     least = prefix.groupBy("shingle").agg(F.min("print").alias("src"), F.max("print").alias("top")).where("src < top").drop("top")
     clusters = components(prefix.join(least, "shingle").select("src", F.col("print").alias("dst")), "clusters")
 
-    members = staged(clusters.select(F.col("node").alias("print"), F.col("component").alias("cluster")), "members")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")).join(weights, "print").join(crowd, "print")
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    return staged(met.groupBy("cluster", "low", "high").applyInPandas(_block_links, "print binary, other binary, links bigint"), "compared")
+    members = staged(clusters.select(F.col("node").alias("print"), F.col("component").alias("cluster")).join(crowd.select("print", F.length("packed").alias("bytes")), "print"), "members")
+    many = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)
+    blocks = members.groupBy("cluster").agg(F.ceil(many).cast("int").alias("blocks"))
+    dealt = members.drop("bytes").join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")).join(weights, "print").join(crowd, "print")
+    met_ = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    return staged(met_.groupBy("cluster", "low", "high").applyInPandas(_block_links, "print binary, other binary, links bigint"), "compared")
+
+
+def _finished(edges: DataFrame, depth: int) -> DataFrame:
+    """(print): the texts whose recall has reached the target at this depth. edges: verified so far, with similarity."""
+    ends = edges.select(F.col("src").alias("print"), "similarity").unionByName(edges.select(F.col("dst").alias("print"), "similarity"))
+    chance = 1 - F.pow(1 - F.pow("similarity", F.lit(depth)), F.lit(TREES))
+    own = ends.groupBy("print").agg(F.count(F.lit(1)).alias("found"), F.sum(1 / chance).alias("expected"))
+    return own.where(recall_at(depth, F.col("found"), F.col("expected")) >= TARGET).select("print")
+
+
+def _verified_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(src, dst, similarity) of the pairs that reach the threshold, from the longest shared prefixes to shorter ones."""
+    left, right = (texts.select(F.col("print").alias(at), F.col("packed").alias(name)) for at, name in (("src", "left"), ("dst", "right")))
+    edges = None
+    for depth in range(DEEPEST, floor_depth() - 1, -1):
+        todo = pairs.where(F.col("depth") == depth).select("src", "dst")
+        if edges is not None:
+            done = staged(_finished(edges, depth + 1), "done")
+            closed = lambda at: done.select(F.col("print").alias(at), F.lit(True).alias(f"{at}_done"))  # noqa: E731,B023
+            todo = todo.join(closed("src"), "src", "left").join(closed("dst"), "dst", "left").where("src_done is null or dst_done is null").select("src", "dst")
+        found = staged(todo.join(left, "src").join(right, "dst").mapInArrow(_verified, "src binary, dst binary, similarity double"), "edges")
+        edges = found if edges is None else edges.unionByName(found)
+    return edges
 
 
 def _classified(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, key (of its content), component (of its shingles; null without any), class_id, copy_id, n_links."""
     source = docs.select("doc_id", doc_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
-    signed = staged(source.mapInArrow(_signatures, "doc_id bigint, key bigint, print binary, nodes array<bigint>"), "signed")
-    groups = signed.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("copy_id"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("nodes").alias("nodes"))
+    signed = staged(source.mapInArrow(_signatures, "doc_id bigint, key binary, print binary, labels binary"), "signed")
+    groups = signed.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("copy_id"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels"))
     groups = staged(groups, "groups")
     weights = groups.select("print", "copies")
 
-    placed = groups.select("print", F.explode_outer("nodes").alias("node"))
-    sizes = placed.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = staged(placed.join(sizes, "node"), "shared")
-    standing = staged(shared.groupBy("print").agg((F.max("members") > NODE).alias("crowded")), "standing")
-    small = shared.where(F.col("members") <= NODE).join(standing, "print").select("node", "print", "crowded")
-    pairs = small.alias("a").join(small.alias("b"), "node").where("a.print < b.print and not (a.crowded and b.crowded)")
-    pairs = staged(pairs.select(F.col("a.print").alias("src"), F.col("b.print").alias("dst")).distinct(), "pairs")
+    # the tries: labels dealt by their prefix at the floor and sorted
+    labels = groups.select("print", "labels").mapInArrow(_labels, "print binary, " + ", ".join(f"{c} bigint" for c in _PREFIXES))
+    walked = labels.repartition(_PREFIXES[0]).sortWithinPartitions(*_PREFIXES).mapInArrow(_walk, "src binary, dst binary, depth int")
+    walked = staged(walked, "walked")
+    crowded = walked.where("dst is null").select(F.col("src").alias("print")).distinct()
+    paired = walked.where("dst is not null").groupBy("src", "dst").agg(F.max("depth").alias("depth"))
+    ends = paired.select(F.col("src").alias("print")).unionByName(paired.select(F.col("dst").alias("print"))).distinct()
+    standing = ends.select("print", F.lit(0).alias("c")).unionByName(crowded.select("print", F.lit(1).alias("c"))).groupBy("print").agg((F.max("c") == 1).alias("crowded"))
+    standing = staged(standing, "standing")
+    crowd = standing.where("crowded").select("print")
+    both = lambda at: crowd.select(F.col("print").alias(at), F.lit(True).alias(f"{at}_in"))
+    pairs = staged(paired.join(both("src"), "src", "left").join(both("dst"), "dst", "left").where("src_in is null or dst_in is null").select("src", "dst", "depth"), "pairs")
 
     # the texts of all who share a node, packed; every later step reads these
     wanted = groups.select("print", "key").join(standing, "print")
-    texts = source.select("key", "text").mapInArrow(_packed, "key bigint, packed binary").join(wanted.hint("merge"), "key").dropDuplicates(["print"])
+    texts = source.select("key", "text").mapInArrow(_packed, "key binary, packed binary").join(wanted.hint("merge"), "key").dropDuplicates(["print"])
     texts = staged(texts.select("print", "crowded", "packed"), "texts")
 
-    left, right = (texts.select(F.col("print").alias(at), F.col("packed").alias(name)) for at, name in (("src", "left"), ("dst", "right")))
-    edges = staged(pairs.join(left, "src").join(right, "dst").mapInArrow(_verified, "src binary, dst binary"), "edges")
+    edges = _verified_pairs(pairs, texts)
     compared = _compared(texts.where("crowded").select("print", "packed"), weights)
-    every_edge = edges.unionByName(compared.where("other is not null").select(F.col("print").alias("src"), F.col("other").alias("dst")))
+    every_edge = edges.select("src", "dst").unionByName(compared.where("other is not null").select(F.col("print").alias("src"), F.col("other").alias("dst")))
     members = components(every_edge, "classes").select(F.col("node").alias("print"), "component")
 
-    both_ways = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both_ways = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     found = both_ways.join(weights.withColumnRenamed("print", "dst"), "dst").select(F.col("src").alias("print"), F.col("copies").alias("links"))
     links = found.unionByName(compared.where("other is null").select("print", "links")).groupBy("print").agg(F.sum("links").alias("links"))
 
-    per_print = groups.drop("nodes", "key").join(members, "print", "left").join(links, "print", "left").withColumn("component", F.coalesce("component", "print"))
+    per_print = groups.drop("labels", "key").join(members, "print", "left").join(links, "print", "left").withColumn("component", F.coalesce("component", "print"))
     names = per_print.groupBy("component").agg(F.min("copy_id").alias("class_id"))
     per_print = per_print.join(names, "component").select("print", "component", "class_id", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     joined = signed.select("doc_id", "key", "print").join(per_print, "print", "left")
@@ -268,8 +373,3 @@ def keep_one(docs: DataFrame) -> DataFrame:
     heads = heads.unionByName(rows.where("component is null").select(F.col("key").alias("loom_key"))).distinct()
     keyed = docs.withColumn("loom_key", doc_key(F.col("doc_id"), F.col("text")))
     return keyed.join(heads.hint("merge"), "loom_key", "left_semi").dropDuplicates(["loom_key"]).select(*docs.columns)
-
-
-def stop_recall(similarity: float) -> float:
-    """The chance that a pair of this similarity shares a node."""
-    return 1 - math.pow(1 - similarity ** stop_depth(), TREES)
