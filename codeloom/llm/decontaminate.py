@@ -4,42 +4,44 @@ Windows have the size of an item (in words) and begin wherever a five-word shing
 window shares with some item would put an item of that size; a window that shares no shingle
 with any item has similarity 0 and needs no fingerprint. Shingles weigh as often as they
 occur; those outside all items weigh nothing in a fingerprint. A window's SimHash is the sign
-of the weighted sum of its shingles' bits. Two fingerprints of BITS bits within RADIUS of each
-other agree in one of RADIUS + 1 blocks, so an equality join on (size, block, bits in it)
-returns all pairs within the radius. How many similar pairs lie beyond it depends on how the
-weights fall (hardly any where all shingles weigh 1, many where one heavy shingle differs), so
-pairs that share one of the item's rarest shingles are candidates too: rarest first, those
-without which the rest weighs less than the threshold asks. Every similar pair shares one.
-Each candidate is then verified exactly: sum of lesser weights against sum of greater weights,
-over all shingles of both.
+of the weighted sum of its shingles' bits. Fingerprints are cut into BLOCKS blocks, and each
+item's block stands in the index with up to FLIPS of its bits turned: two fingerprints within
+RADIUS = BLOCKS * (FLIPS + 1) - 1 of each other differ in FLIPS bits or fewer in one block, so
+an equality join on (size, block, bits in it) returns all pairs within the radius. A block has
+16 bits, of which an item holds 137 of 65,536 values, so few other items are met.
+
+How many similar pairs lie beyond the radius depends on how the weights fall (README has the
+measured share), so pairs that share one of the item's rarest shingles are candidates too:
+rarest first, those without which the rest weighs less than the threshold asks. Every similar
+pair shares one. Each candidate is then verified exactly: sum of lesser weights against sum
+of greater weights, over all shingles of both.
 
 All of it is DataFrame functions. Items of fewer than five words have no shingle and match
 nothing, nor do null or empty texts on either side; items with a null id are kept as such;
-repeated documents or items give one row per different (doc_id, item_id); ties between
-windows go to the first; other columns are ignored; either table may be empty.
+rows of one doc_id (or item_id) with different texts are told apart when they are judged, and
+give one row of their (doc_id, item_id), the best window of any of them; repeated rows add
+nothing; ties between windows go to the first; long texts are read whole; other columns are
+ignored (contaminated) or kept (keep_clean); either table may be empty.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_key, shingle_hashes, small_side, staged, words
 
 SHINGLE = 5
-BITS, RADIUS = 64, 18
+BITS, BLOCKS, FLIPS = 64, 4, 2
+RADIUS = BLOCKS * (FLIPS + 1) - 1
 #: The threshold as a fraction: shared weight * DENOMINATOR >= all weight * NUMERATOR.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Words in a stretch of a document.
 STRETCH = 64
 
 
-def _blocks() -> list[tuple[int, int]]:
-    """(first bit, bits) of each of the RADIUS + 1 blocks."""
-    edges = [round(k * BITS / (RADIUS + 1)) for k in range(RADIUS + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-
-
 def fingerprint(shingle: Column, weight: Column) -> Column:
     """Aggregate: SimHash of a group's weighted shingles, from one sum for each bit."""
     mixed = F.xxhash64(shingle, F.lit(7))
@@ -50,10 +52,13 @@ def fingerprint(shingle: Column, weight: Column) -> Column:
     return print_
 
 
-def _in_blocks(df: DataFrame) -> DataFrame:
-    """A row for each block of `print`: block number and its bits."""
-    cut = [F.struct(F.lit(n).alias("block"), F.shiftrightunsigned(F.col("print"), first).bitwiseAND(F.lit((1 << size) - 1).cast("long")).alias("bits")) for n, (first, size) in enumerate(_blocks())]
-    return df.select("*", F.explode(F.array(*cut)).alias("at")).select(*df.columns, "at.block", "at.bits")
+def _in_blocks(df: DataFrame, flips: int = 0) -> DataFrame:
+    """A row for each block of `print` and each way to turn up to `flips` of its bits: block number and the bits."""
+    size = BITS // BLOCKS
+    turned = [sum(1 << k for k in chosen) for n in range(flips + 1) for chosen in combinations(range(size), n)]
+    cut = [F.struct(F.lit(n).alias("block"), F.shiftrightunsigned(F.col("print"), n * size).bitwiseAND(F.lit((1 << size) - 1).cast("long")).alias("bits")) for n in range(BLOCKS)]
+    rows = df.select("*", F.explode(F.array(*cut)).alias("at")).select(*df.columns, "at.block", "at.bits")
+    return rows.withColumn("turn", F.explode(F.array(*(F.lit(t).cast("long") for t in turned)))).withColumn("bits", F.col("bits").bitwiseXOR(F.col("turn"))).drop("turn") if flips else rows
 
 
 def _rarest(weights: DataFrame) -> DataFrame:
@@ -71,7 +76,7 @@ def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
     placed = staged(item_words.select("item", "item_id", "size", F.posexplode("h").alias("q", "shingle")), "items")
     weights = staged(placed.groupBy("item", "item_id", "size", "shingle").agg(F.count(F.lit(1)).alias("own_weight")), "weights")
     prints = weights.groupBy("item", "item_id", "size").agg(fingerprint(F.col("shingle"), F.col("own_weight")).alias("print"))
-    item_blocks = staged(_in_blocks(prints).withColumnRenamed("print", "own"), "blocks")
+    item_blocks = staged(_in_blocks(prints, FLIPS).withColumnRenamed("print", "own"), "blocks")
     item_weights = weights.select("item", "shingle", "own_weight")
     rarest = staged(_rarest(weights), "rarest")
 
@@ -110,9 +115,7 @@ def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per document and item that it contains, in the document's best window:
-    doc_id, item_id, start_word, n_words, shared, similarity.
-    """
+    """One row per document and item that it contains, in the document's best window: doc_id, item_id, start_word, n_shared, similarity."""
     best = _found(docs, items).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "shared", "size")).alias("best"))
     return best.select("doc_id", "item_id", (-F.col("best.back")).alias("start_word"), F.col("best.shared").alias("n_shared"), F.col("best.similarity").alias("similarity"))
 
