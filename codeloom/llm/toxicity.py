@@ -1,21 +1,27 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Tokens of a clause are read into classes: insult (with a weight), threat, target, negation,
-report, quotation mark, other. Small transducers over these classes are composed from left to
-right, each passing on what the one before wrote: insults and threats write their weight,
-a target nearby raises it, a negation before it lowers it, and reported speech lowers what
-follows in the clause. A clause's score is the sum of what is written in the end.
-
-The insult lexicon has seeds and what is learned: word beginnings (STEMS letters) and words
-that are used REASON times as often, or more, in toxic training texts as in others. The
-documents' sums, densities and greatest clause are calibrated by a logistic regression.
-Both are fitted on at most SAMPLE labelled documents, taken in the order of a hash of their
-ids; labels, languages and sources are no inputs of a score.
+Tokens are read into symbols: insult (of three levels), threat, target, negation, report,
+quotation mark, sentence end, line end, other. Three transducers over these symbols are data
+(states and weighted arcs, `Transducer`) and are composed into one (`compose`), which reads a
+text once:
+
+- `reported_speech` marks insults and threats behind a verb of saying in the same sentence,
+  or between quotation marks of the same line;
+- `negation` marks those up to three words behind a negation;
+- `aim` writes the weights: of an insult or threat by its level and marks, more if a target
+  stands up to four words before it, and a share of it again at a target up to three behind.
+
+The sums of weights by sentence are the clauses' scores. The insult lexicon has seeds and
+what is learned: word beginnings (STEMS letters) and words that are used REASON times as
+often, or more, in toxic training texts as in others. The documents' sums, densities and
+greatest clause are calibrated by a logistic regression. Both are fitted on at most SAMPLE
+labelled documents, taken in the order of a hash of their ids; labels, languages and sources
+are no inputs of a score.
 
 Null, empty and blank texts match nothing and get the score of such texts; long texts are
-scored whole; repeated rows repeat; null ids pass through and never train; several labels of
-a document count as their greatest; without labels the given weights stay; extra columns are
-ignored; no rows give none.
+scored whole; repeated rows repeat; null ids pass through and never train; of several texts of
+one id the least trains; several labels of a document count as their greatest; without labels the
+given weights stay; extra columns are ignored, whatever their names; no rows give none.
 """
 
 from __future__ import annotations
@@ -23,8 +29,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +44,8 @@ from .common import staged
 
 SAMPLE = 20_000
 STEMS = (4, 5, 6, 7)
-#: What a learned term needs: documents, how much more often toxic texts use it, and at most how many terms.
-LEAST_DOCS, REASON, TERMS = 5, 8.0, 400
+#: What a learned term needs: toxic documents, and their share beyond the others', and how much more often toxic texts use it.
+LEAST_DOCS, LEAST_SHARE, REASON = 5, 0.01, 8.0
 THRESHOLD = 0.7
 
 #: Seeds. Weights are in the scale of log-odds.
@@ -47,8 +55,131 @@ TARGETS = set("you your yours u they them he she his her him these those all tu
 NEGATIONS = set("not no never nobody neither nor without isn aren wasn don doesn didn hardly ne pas jamais nicht kein keine nie nunca sin ni".split())
 REPORTS = set("said says say wrote writes quoted claimed called reported alleged according dit selon sagte laut dijo".split())
 
-_CLAUSE = re.compile(r"[.!?;:\n]+")
-_TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»„]")
+#: Symbols of a grammar's tokens that a task keeps.
+KNOWN = 500_000
+
+_TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»„]|[.!?\n]")
+_WORD = re.compile(r"[^\W\d_]+")
+
+INSULT, THREAT = ("insult1", "insult2", "insult3"), "threat"
+#: Input symbols, by number.
+SYMBOLS = ("other", "target", "negation", "report", "quote", "sentence", "line", *INSULT, THREAT)
+_VALUE = {"insult1": 1.0, "insult2": 2.0, "insult3": 3.0, THREAT: 1.5}
+#: Factors of the weights, and how many words negations and targets reach.
+UNAIMED_THREAT, AIMED, NEGATED, REPORTED, BEHIND = 0.3, 1.5, 0.3, 0.5, 0.5
+NEGATION_REACH, TARGET_BEFORE, TARGET_BEHIND = 3, 4, 3
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """Letter to letter, deterministic: arcs[state, symbol] is (next state, output symbol, weight). State 0 is the start."""
+
+    arcs: dict[tuple[int, str], tuple[int, str, float]]
+
+    def run(self, symbols: list[str]) -> tuple[list[str], list[float]]:
+        """What it writes, and the weights of the arcs taken."""
+        state, out, weights = 0, [], []
+        for symbol in symbols:
+            state, written, weight = self.arcs[state, symbol]
+            out.append(written)
+            weights.append(weight)
+        return out, weights
+
+
+def transducer(start: Hashable, alphabet: Iterable[str], step: Callable[[Any, str], tuple[Hashable, str, float]]) -> Transducer:
+    """The arcs of all states that can be reached from `start`, numbered in the order they are met."""
+    numbers, arcs, alphabet = {start: 0}, {}, list(alphabet)
+    queue = [start]
+    for state in queue:
+        for symbol in alphabet:
+            to, written, weight = step(state, symbol)
+            if to not in numbers:
+                numbers[to] = len(numbers)
+                queue.append(to)
+            arcs[numbers[state], symbol] = (numbers[to], written, weight)
+    return Transducer(arcs)
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """Reads what `first` reads and writes what `second` writes on the output of `first`; weights add up."""
+
+    def step(state: tuple[int, int], symbol: str) -> tuple[tuple[int, int], str, float]:
+        a, middle, weight = first.arcs[state[0], symbol]
+        b, written, more = second.arcs[state[1], middle]
+        return (a, b), written, weight + more
+
+    return transducer((0, 0), dict.fromkeys(symbol for _, symbol in first.arcs), step)
+
+
+def _scored(symbol: str) -> bool:
+    return symbol.startswith(("insult", THREAT))
+
+
+def reported_speech() -> Transducer:
+    """State: whether speech is reported, whether it is quoted."""
+
+    def step(state: tuple[bool, bool], symbol: str) -> tuple[tuple[bool, bool], str, float]:
+        said, quoted = state
+        if _scored(symbol):
+            return state, symbol + "+reported" * (said or quoted), 0.0
+        after = {"report": (True, quoted), "quote": (said, not quoted), "sentence": (False, quoted), "line": (False, False)}
+        return after.get(symbol, state), symbol, 0.0
+
+    return transducer((False, False), SYMBOLS, step)
+
+
+def _marked() -> list[str]:
+    return [*SYMBOLS, *(s + "+reported" for s in SYMBOLS if _scored(s))]
+
+
+def negation() -> Transducer:
+    """State: how many words a negation still reaches."""
+
+    def step(left: int, symbol: str) -> tuple[int, str, float]:
+        if symbol in ("sentence", "line"):
+            return 0, symbol, 0.0
+        if symbol == "negation":
+            return NEGATION_REACH, symbol, 0.0
+        written = symbol + "+negated" * (left > 0 and _scored(symbol))
+        return (left if symbol == "quote" else max(left - 1, 0)), written, 0.0
+
+    return transducer(0, _marked(), step)
+
+
+def aim() -> Transducer:
+    """State: how many words a target still reaches, what was written last, and how many words it still waits for a target."""
+
+    def step(state: tuple[int, float, int], symbol: str) -> tuple[tuple[int, float, int], str, float]:
+        before, value, waits = state
+        if symbol in ("sentence", "line"):
+            return (0, 0.0, 0), symbol, 0.0
+        if symbol == "quote":
+            return state, symbol, 0.0
+        if symbol == "target":
+            return (TARGET_BEFORE, 0.0, 0), symbol, BEHIND * value
+        after = max(before - 1, 0)
+        if not _scored(symbol):
+            waits = max(waits - 1, 0)
+            return (after, value if waits else 0.0, waits), symbol, 0.0
+        kind, *marks = symbol.split("+")
+        weight = _VALUE[kind] * (AIMED if before else UNAIMED_THREAT if kind == THREAT else 1.0)
+        weight *= (NEGATED if "negated" in marks else 1.0) * (REPORTED if "reported" in marks else 1.0)
+        return (after, round(weight, 6), TARGET_BEHIND), symbol, round(weight, 6)
+
+    return transducer((0, 0.0, 0), [*_marked(), *(s + "+negated" for s in _marked() if _scored(s))], step)
+
+
+_FIXED = {token: SYMBOLS.index(symbol) for symbol, tokens in {"target": TARGETS, "negation": NEGATIONS, "report": REPORTS, "quote": '"“”«»„', "sentence": ".!?", "line": "\n"}.items() for token in tokens}
+_ENDS = {SYMBOLS.index("sentence"), SYMBOLS.index("line")}
+
+
+@lru_cache(maxsize=1)
+def patterns() -> tuple[list[list[int]], list[list[float]]]:
+    """The composed grammar as tables: next state and weight, by state and number of the symbol."""
+    whole = compose(compose(reported_speech(), negation()), aim())
+    states = 1 + max(state for state, _ in whole.arcs)
+    arcs = [[whole.arcs[state, symbol] for symbol in SYMBOLS] for state in range(states)]
+    return [[to for to, _, _ in row] for row in arcs], [[weight for *_, weight in row] for row in arcs]
 
 
 @dataclass
@@ -59,6 +190,8 @@ class Grammar:
     stems: dict[str, float] = field(default_factory=dict)
     intercept: float = -3.0
     weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
+    #: Symbols of the tokens that a task has met, KNOWN at most.
+    seen: dict[str, int] = field(default_factory=dict)
 
     def pattern(self) -> str:
         """Finds the texts that any term can match (RE2)."""
@@ -74,46 +207,37 @@ class Grammar:
                 return w
         return 0.0
 
-    def clause(self, tokens: list[str]) -> float:
-        """Score of a clause: the composed transducers, run over its tokens at once.
-
-        States: how far back the last target and negation are, whether speech is reported or
-        quoted, and what was written too recently for a target behind it to be ruled out.
-        """
-        total = recent = 0.0
-        since_target = since_negation = since_written = 99
-        reported = quoted = False
-        for token in tokens:
-            since_target, since_negation, since_written = since_target + 1, since_negation + 1, since_written + 1
-            if token in '"“”«»„':
-                quoted = not quoted
-            elif token in REPORTS:
-                reported = True
-            elif token in NEGATIONS:
-                since_negation = 0
-            elif token in TARGETS:
-                since_target = 0
-                if since_written <= 3:  # target transducer, behind what it aims at
-                    total += 0.5 * recent
-                    since_written = 99
+    def symbol(self, token: str) -> int:
+        """The number of a token's symbol."""
+        if token in _FIXED:
+            return _FIXED[token]
+        weight = self.weight(token)
+        if weight:
+            return SYMBOLS.index(INSULT[min(max(round(weight), 1), 3) - 1])
+        return SYMBOLS.index(THREAT) if token in THREATS else 0
+
+    def clauses(self, text: str) -> tuple[list[float], int]:
+        """Scores of the clauses of a text, and the number of its words."""
+        follow, weigh = patterns()
+        known, state, n, scores, total = self.seen, 0, 0, [], 0.0
+        for token in _TOKEN.findall(text.lower()):
+            number = known.get(token)
+            if number is None:
+                if len(known) > KNOWN:
+                    known.clear()
+                number = known[token] = self.symbol(token)
+            total += weigh[state][number]
+            state = follow[state][number]
+            if number in _ENDS:
+                scores.append(total)
+                total = 0.0
             else:
-                written = self.weight(token)
-                if not written and token in THREATS:
-                    written = THREATS[token] * (0.3 if since_target > 4 else 1.0)
-                if written:
-                    written *= 1.5 if since_target <= 4 else 1.0
-                    written *= 0.3 if since_negation <= 3 else 1.0
-                    written *= 0.5 if reported or quoted else 1.0
-                    total, recent, since_written = total + written, written, 0
-        return total
+                n += 1
+        return [*scores, total], n
 
     def features(self, text: str) -> tuple[float, float, float]:
         """Of a text that may match: log of its sum, density for a hundred words, greatest clause."""
-        scores, n = [], 0
-        for clause in _CLAUSE.split(text.lower()):
-            tokens = _TOKEN.findall(clause)
-            n += len(tokens)
-            scores.append(self.clause(tokens))
+        scores, n = self.clauses(text)
         total = sum(scores)
         return math.log1p(total), min(100 * total / n, 20.0) if n else 0.0, min(max(scores), 10.0)
 
@@ -137,7 +261,8 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text and toxic of at most SAMPLE labelled documents outside the held-out ones."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where(F.trim("text") != "").select("text", "toxic")  # SAMPLE rows at most
+    held = docs.select("doc_id", "text").where(F.trim("text") != "").join(F.broadcast(known), "doc_id")  # SAMPLE ids at most
+    return held.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +270,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[str, list[int]] = {}
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            found = Counter(t for t in _TOKEN.findall(text.lower()) if len(t) > 2)
+            found = Counter(t for t in _WORD.findall(text.lower()) if len(t) > 2)
             terms: Counter = Counter()
             for word, n in found.items():
                 terms["=" + word] += n
@@ -173,7 +298,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     rate = ((F.col("pos") + 0.5) / every["pos"]) / ((F.col("neg") + 0.5) / every["neg"])
     share = F.col("pos_docs") / every["pos_docs"] - F.col("neg_docs") / every["neg_docs"]
     terms = counts.where((F.col("term") != "*") & (F.col("pos_docs") >= LEAST_DOCS)).withColumns({"rate": rate, "share": share})
-    best = terms.where((F.col("rate") >= REASON) & (F.col("share") > 0.01)).orderBy(F.desc("share"), "term").limit(TERMS).collect()  # TERMS rows at most
+    best = terms.where((F.col("rate") >= REASON) & (F.col("share") > LEAST_SHARE)).orderBy("term").collect()  # each fills a share of the sample's documents, so their number is bounded
     for row in best:
         weight = min(3.0, math.log(row["rate"]))
         if row["term"][0] == "=":
