@@ -1,19 +1,22 @@
-"""PII: base patterns, and information-theoretic sanitisation of what stands around them.
+"""PII: base patterns, and information-theoretic sanitisation of the texts that hold their matches.
 
 Base spans come from four patterns (email, ip, card, phone). Their values are the protected
-entities. A term within REACH words of a mention may reveal the entity: from corpus counts,
-with p(c) the share of documents that mention entity c, p(t) the share that hold term t, and
-p(c, t) the share where t stands near c, the disclosure of c by t is
-PMI(c; t) / IC(c) = log(p(c, t) / (p(c) p(t))) / -log p(c), which is 1 where t never occurs
-without c. A term is a span where it stands near an entity that it discloses beyond
-GENERALISE, if it does so in SUPPORT different surroundings or more (so that copies of one
+entities. From the corpus, where equal texts count once, p(c) is the share of texts that
+mention entity c, p(t) the share that hold term t anywhere, and p(c, t) the share that do both.
+The disclosure of c by t is PMI(c; t) / IC(c) = log(p(c, t) / (p(c) p(t))) / -log p(c), which
+is 1 where t never occurs without c. A term is a span wherever it stands in a text that
+mentions an entity it discloses beyond GENERALISE, if the mentions in these texts stand in
+SUPPORT different surroundings or more (REACH words before and behind; near copies of one
 text prove nothing): kind `general` up to REMOVE, `remove` beyond it. `sanitise` puts the
 entity's kind in place of base spans, `[TERM]` in place of general ones and nothing in place
 of removed ones.
 
+Entities of fewer than SUPPORT surroundings cannot disclose anything by this rule, so they
+are dropped before any term is counted; the others' texts are read a second time.
+
 Offsets are code points, ends exclusive. Null and empty texts have no spans; long texts are
-scanned whole; repeated rows repeat; null ids pass through; other columns are ignored (scan)
-or kept (sanitise); no rows give none.
+scanned whole; repeated rows repeat and change nothing else; null ids pass through; other
+columns are ignored (scan) or kept (sanitise); no rows give none.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, staged, words
+from .common import small_side, staged, words
 
 # The base patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -43,7 +47,9 @@ LEAST_TERM = 3
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_EDGE = re.compile(r"^\W+|\W+$")
+#: What is stripped from a word's ends; for Python and Spark alike.
+_EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+_STRIPPED = regex.compile(_EDGE)
 
 
 def luhn(digits: str) -> bool:
@@ -94,92 +100,127 @@ def _before(text: str, a: int) -> list[re.Match[str]]:
         width *= 2
 
 
-def surroundings(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int, int]]:
-    """(entity, term, start, end, hash of the surrounding words) of the terms near each mention. Only words near it are read."""
+def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int]]:
+    """(entity, hash of the words around it) of each span."""
     out = []
     for kind, a, b in spans:
         entity = KINDS[kind] + ":" + (re.sub(r"\D", "", text[a:b]) if kind > 1 else text[a:b].lower())
-        before = _before(text, a)
         after = []
         for m in _WORD.finditer(text, b):
             after.append(m)
             if len(after) == REACH:
                 break
-        around = [(m.start(), m[0]) for m in before + after]
-        where = int.from_bytes(hashlib.blake2b("\0".join(w for _, w in around).encode(), digest_size=8).digest(), "big", signed=True)
-        for start, word in around:
-            lead = _EDGE.match(word)
-            start += lead.end() if lead and lead.start() == 0 and lead.end() < len(word) else 0
-            term = _EDGE.sub("", word)
-            if len(term) >= LEAST_TERM and not any(start < y and x < start + len(term) for _, x, y in spans):
-                out.append((entity, term.lower(), start, start + len(term), where))
+        around = "\0".join(m[0] for m in _before(text, a) + after)
+        out.append((entity, int.from_bytes(hashlib.blake2b(around.encode(), digest_size=8).digest(), "big", signed=True)))
     return out
 
 
+def terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words outside the spans, without what is neither letter nor number at their ends."""
+    ordered, at, reached = sorted((a, b) for _, a, b in spans), 0, 0
+    for m in _WORD.finditer(text):
+        word = _STRIPPED.sub("", m[0])
+        if len(word) < LEAST_TERM:
+            continue
+        start = m.start() + m[0].index(word)
+        while at < len(ordered) and ordered[at][0] < start + len(word):
+            reached = max(reached, ordered[at][1])
+            at += 1
+        if reached <= start:
+            yield word, start, start + len(word)
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
-_SCANNED = "doc_id bigint, key bigint, base array<struct<kind:int,start:int,stop:int>>, near array<struct<entity:string,term:string,start:int,stop:int,place:bigint>>"
+_SPANS = "array<struct<kind:int,start:int,stop:int>>"
+
+
+def _key(text: Column) -> Column:
+    """Identifies a text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
-    near = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("place", pa.int64())])
+    mention = pa.struct([("entity", pa.string()), ("place", pa.int64())])
     for batch in batches:
         texts = batch.column("text").cast(pa.large_string()).fill_null("")
         possible = pc.match_substring_regex(texts, r"[0-9][ .0-9-]{6}|@[A-Za-z0-9-]+\.|\+[0-9]").to_pylist()
         spans = [base_spans(texts[i].as_py()) if can else [] for i, can in enumerate(possible)]
-        around = [surroundings(texts[i].as_py(), x) if x else [] for i, x in enumerate(spans)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("key"), pa.array([[dict(zip(("kind", "start", "stop"), s, strict=True)) for s in x] for x in spans], pa.list_(span)), pa.array([[dict(zip(("entity", "term", "start", "stop", "place"), s, strict=True)) for s in x] for x in around], pa.list_(near))],
-            ["doc_id", "key", "base", "near"],
-        )
-
-
-def _disclosing(near: DataFrame, docs: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of the terms that disclose an entity beyond GENERALISE. near: a row for each term near a mention."""
-    total = docs.count()
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("key").alias("both"), F.countDistinct("place").alias("places")).where(F.col("places") >= SUPPORT)
-    pairs = staged(pairs, "pairs")
-    mentions = near.groupBy("entity").agg(F.countDistinct("key").alias("with_entity"))
-    # in how many documents each candidate term occurs, over all documents
-    bare = lambda w: F.regexp_replace(F.lower(w), r"^\W+|\W+$", "")
-    held = docs.select(F.explode_outer(F.array_distinct(words(F.col("text")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    held = held.select(bare(F.col("word")).alias("term"), "n").join(pairs.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("with_term"))
-    counted = pairs.join(mentions, "entity").join(held, "term")
+        found = [mentions(texts[i].as_py(), x) if x else [] for i, x in enumerate(spans)]
+        columns = [pa.array([[dict(zip(("kind", "start", "stop"), s, strict=True)) for s in x] for x in spans], pa.list_(span)), pa.array([[dict(zip(("entity", "place"), s, strict=True)) for s in x] for x in found], pa.list_(mention))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns], ["doc_id", "key", "base", "mentions"])
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            text, spans = batch.column("text")[row].as_py(), batch.column("base")[row].as_py()
+            columns = list(zip(*terms(text, [(s["kind"], s["start"], s["stop"]) for s in spans]), strict=True)) or [()] * 3
+            key = pa.array([batch.column("key")[row].as_py()] * len(columns[0]), pa.binary())
+            yield pa.RecordBatch.from_arrays([key, pa.array(columns[0], pa.string()), *(pa.array(c, pa.int32()) for c in columns[1:])], ["key", "term", "start", "stop"])
+
+
+def _disclosing(said: DataFrame, at: DataFrame, docs: DataFrame) -> DataFrame:
+    """(entity, term, disclosure) of the terms that disclose an entity beyond GENERALISE.
+
+    said: distinct (key, entity, place) of the entities that have SUPPORT places or more; at: (key, term, start, stop) of their texts.
+    Every count is grouped with map-side combine, so an entity that a third of all texts mention is no hot key.
+    """
+    held = at.select("key", "term").distinct()
+    met = said.select("key", "entity").distinct().join(held, "key").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
+    places = said.join(held, "key").select("entity", "term", "place").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") >= SUPPORT)
+    pairs = staged(met.join(places, ["entity", "term"]), "pairs")
+    with_entity = said.select("key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
+    # how many texts hold each candidate, over all texts: the candidates meet the words before these are shuffled
+    wanted = staged(pairs.select("term").distinct(), "wanted")
+    contents = docs.select(_key(F.col("text")).alias("key"), F.array_distinct(words(F.col("text"))).alias("w"))
+    total = contents.select("key").distinct().count()
+    spread = contents.select("key", F.explode_outer("w").alias("word")).select("key", F.lower(F.regexp_replace("word", _EDGE, "")).alias("term"))
+    with_term = spread.join(small_side(wanted), "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     share = lambda c: F.col(c) / F.lit(total)
     pmi = F.log(share("both") / (share("with_entity") * F.greatest(share("with_term"), share("both"))))
-    content = -F.log(share("with_entity"))
-    return counted.where(F.col("with_entity") < total).select("entity", "term", (pmi / content).alias("disclosure")).where(F.col("disclosure") > GENERALISE)
+    counted = pairs.join(with_entity, "entity").join(with_term, "term").where(F.col("with_entity") < total)
+    return counted.select("entity", "term", (pmi / -F.log(share("with_entity"))).alias("disclosure")).where(F.col("disclosure") > GENERALISE)
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, key (of its content) and spans, array of (kind number, start, stop)."""
-    source = docs.select("doc_id", doc_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
-    scanned = staged(source.mapInArrow(_scan, _SCANNED), "scanned")
-    near = staged(scanned.select("key", F.explode("near").alias("x")).select("key", "x.*").distinct(), "near")
-    said = near.join(_disclosing(near, docs), ["entity", "term"])
+    """One row per document: doc_id, key (of its text) and spans, array of (kind number, start, stop)."""
+    source = docs.select("doc_id", _key(F.col("text")).alias("key"), "text")
+    scanned = staged(source.mapInArrow(_scan, f"doc_id bigint, key binary, base {_SPANS}, mentions array<struct<entity:string,place:bigint>>"), "scanned")
+    said = staged(scanned.select("key", F.explode("mentions").alias("x")).select("key", "x.*").distinct(), "mentions")
+    known = said.select("entity", "place").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT).select("entity")
+    said = staged(said.join(small_side(staged(known, "entities")), "entity", "left_semi"), "said")
+    if said.isEmpty():
+        return scanned.select("doc_id", "key", F.col("base").alias("spans"))
+
+    wanted = staged(said.select("key").distinct().join(scanned.select("key", "base").dropDuplicates(["key"]), "key"), "carriers")
+    texts = source.select("key", "text").join(small_side(wanted), "key").dropDuplicates(["key"])
+    at = staged(texts.mapInArrow(_terms, "key binary, term string, start int, stop int").withColumn("term", F.lower("term")), "terms")
+    disclosing = staged(_disclosing(said, at, docs), "disclosing")
     kind = F.when(F.col("disclosure") > REMOVE, 5).otherwise(4)
-    added = said.select("key", F.struct(kind.alias("kind"), "start", "stop").alias("span")).groupBy("key", "span.start", "span.stop").agg(F.max("span.kind").alias("kind"))
-    added = added.groupBy("key").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("added"))
-    spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,stop:int>>"))))
-    return scanned.join(added, "key", "left").select("doc_id", "key", spans.alias("spans"))
+    worst = said.select("key", "entity").distinct().join(small_side(disclosing), "entity").groupBy("key", "term").agg(F.max(kind).alias("kind"))
+    added = at.join(worst, ["key", "term"]).groupBy("key").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("added"))  # as long as the text has words
+    spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(_SPANS))))
+    return scanned.join(small_side(staged(added, "added")), "key", "left").select("doc_id", "key", spans.alias("spans"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, counts by kind, base_sha256 and spans (`kind:start:end`, by kind and start)."""
+    """One row per document: doc_id, counts of the base kinds, base_sha256, spans (`kind:start:end`, by kind and start), n_general, n_remove."""
     names = F.array(*map(F.lit, KINDS))
     text = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["stop"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     base = F.filter("spans", lambda x: x["kind"] < 4)
-    return find(docs).select("doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    return find(docs).select("doc_id", *counts[:4], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), *counts[4:])
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with their spans in `text` replaced: base ones by `[EMAIL]`, `[IP]`, `[CARD]` or `[PHONE]`, general terms by `[TERM]`, the rest by nothing."""
     spans = find(docs).select("key", "spans").dropDuplicates(["key"]).withColumnRenamed("key", "loom_key").withColumnRenamed("spans", "loom_spans")
-    joined_ = docs.join(spans, doc_key(F.col("doc_id"), F.col("text")) == F.col("loom_key"), "left")
+    joined_ = docs.join(spans, _key(F.col("text")) == F.col("loom_key"), "left")
     ordered = F.array_sort(F.transform("loom_spans", lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("back"), x["kind"].alias("kind"))))
     mark = F.array(*map(F.lit, ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", ""]))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
