@@ -1,23 +1,30 @@
 """HTML extraction by equivalence-class template deduction.
 
-Each page is read into blocks: runs of text between block elements, with the path of tags and
-class names above them. Within a host, path tokens whose occurrence vectors over the host's
-pages are equal form an equivalence class; a vector is kept as the exclusive-or of hashes of
-(page, number of occurrences), which partial aggregation can build, so no task sees a whole
-host. Classes that nest are the host's template: a class is valid if it has LEAST pages or
-more and its paths lie below one another or side by side in one parent. What varies between
-pages in a valid class is a slot; what repeats itself or links away is template, and its
-paths are dropped from pages (`template`).
-
-A page's own marks of role come first: menus, page headers, footers, sidebars, notices,
-adverts, forms and reader comments go by their tags, ARIA roles and class names, and where a
-page has `article` or `main` elements only these hold main text. Inside them the template
-drops nothing, for pages of one host may be copies of each other.
+Each page is read into block elements, each with the path of tags and class names above it
+(as a hash), and into runs of text in them. Within a host, paths whose occurrence vectors over
+the host's different pages are equal form an equivalence class; a vector is kept as the
+exclusive-or of hashes of (page, number of occurrences), which partial aggregation can build,
+so no task sees a whole host. A class is valid if it has LEAST pages or more, if its paths
+occur equally often on each page or are several, and if it nests: its paths that do not lie in
+one another lie in paths of one and the same class. The paths of valid classes are the
+template; what they hold are its slots (`templates`).
+
+The template decides on each page. Of the paths that stand once on every page of the host, the
+deepest that holds more than HALF of the text outside links is the content slot (an `article`
+or `main` is not entered further). Text outside it goes. In it, slots go whose text repeats
+itself over pages or is mostly links, and slots of the template with a role in a compound name
+(`site-nav`). Marks of role on an element break ties: navigation, asides, forms, adverts,
+notices and reader comments by tag, ARIA role or a whole class name go wherever they stand,
+and where articles or a main element stand in the content slot only these are kept.
+
+Pages of hosts without LEAST different pages, or without a content slot, and pages that lack
+it, are judged by marks of role alone; the column `by` says which (`template` or `roles`).
 
 White space in a block becomes one space; blocks are joined by line feeds, in page order.
 Null and empty html, and pages without main text, give the empty text; broken or cut markup
-is read as far as it goes; long pages are read whole; null urls are a host of their own;
-repeated rows repeat; other columns are ignored; no rows give none.
+is read as far as it goes; long pages are read whole; null urls are a host of their own; equal
+pages of a host count once in its template; repeated rows repeat; other columns are ignored,
+whatever their names; no rows give none.
 """
 
 from __future__ import annotations
@@ -36,7 +43,9 @@ from .common import small_side, staged
 from .url_filter import host
 
 LEAST = 3
-#: A path's text repeats if it has fewer different texts than this share of its occurrences; links fill it beyond this share.
+#: The content slot holds more than this share of a host's text outside links.
+HALF = 0.5
+#: A path's text repeats if it has fewer different texts than this share of its pages; links fill it beyond this share.
 REPEATS, LINKS = 0.5, 0.6
 
 _BLOCK = set("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -45,167 +54,273 @@ _RAW = set("script style textarea title noscript template iframe".split())
 #: What closes an open element of the same group that its author left open.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOPS = set("ul ol dl table tbody thead article main section div body select".split())
+#: Blocks that can be a content slot.
+_HOLDERS = set("html body main article section div td blockquote center details figure".split())
 _DROPPED = set("nav footer aside form button select object canvas svg dialog head".split())
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _NAMES = set(
     "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager toolbar share sharing social footer masthead sidebar related "
     "notice notices alert cookie cookies consent gdpr popup modal overlay ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored "
-    "form subscribe newsletter signup login search comment comments reply replies respond disqus".split()
+    "subscribe newsletter signup login search comment comments reply replies respond disqus".split()
 )
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][-\w:]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_DIGITS = re.compile(r"\d+")
+_BITS = (1 << 64) - 1
+#: Path of a page as a whole.
+ROOT = 1
 
 
-class Block:
-    """A run of text: its path, whether its roles drop it, whether it lies in article or main, its text and how much of it is links."""
+class Element:
+    """An open element. path: hash of the blocks' tags and class names down to it; block: the nearest block at or above it."""
 
-    __slots__ = ("dropped", "linked", "main", "path", "text")
+    __slots__ = ("block", "chars", "drop", "inside", "link", "linked", "loose", "main", "parent", "path", "tag", "text")
 
-    def __init__(self, path: str, dropped: bool, main: bool, text: str, linked: int):
-        self.path, self.dropped, self.main, self.text, self.linked = path, dropped, main, text, linked
+    def __init__(self, tag: str, path: int, parent: Element | None):
+        self.tag, self.path, self.parent, self.block = tag, path, parent, self
+        self.drop = self.inside = self.loose = self.link = self.main = False
+        self.chars = self.linked = self.text = 0
 
 
-def _drops(tag: str, attributes: str, in_main: bool) -> tuple[bool, str]:
-    """Whether an element's roles drop it, and its class names."""
+def _roles(tag: str, attributes: str) -> tuple[bool, bool, str]:
+    """Whether an element's marks of role drop it, whether a compound name has a role's word, and its class names."""
     found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     names = found.get("class", "")
-    words = {w.lower() for w in _WORDS.findall(f"{names} {found.get('id', '')}")}
-    drop = tag in _DROPPED or found.get("role", "").lower() in _ROLES or bool(words & _NAMES) or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    if not in_main:
-        drop = drop or tag == "header" or "header" in words
-    return drop and tag not in ("html", "body", "article", "main"), names
-
-
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page, in order."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, dropped, in main
-    text: list[str] = []
-    linked, links = 0, 0
-
-    def flush() -> None:
-        nonlocal linked
-        whole = " ".join(entities.unescape("".join(text)).split())
+    whole = {w.lower() for w in [*names.split(), found.get("id", "")]}
+    drop = tag in _DROPPED or found.get("role", "").lower() in _ROLES or bool(whole & _NAMES) or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    loose = any(w.lower() in _NAMES for w in _WORDS.findall(f"{names} {found.get('id', '')}"))
+    solid = tag in ("html", "body", "article", "main")
+    return drop and not solid, loose and not solid, names
+
+
+class Page:
+    """A page as it is read. content, boiler: paths of the host's template.
+
+    blocks: (text, inside the content slot, in article or main, dropped, dropped or of a compound role name).
+    paths: of each block path: parent, occurrences, hash of its text, code points, those in links, depth, tag, and
+    whether it lies below an article or main, and has a compound role name.
+    """
+
+    def __init__(self, page: str, content: int | None = None, boiler: frozenset[int] = frozenset(), count: bool = False):
+        self.blocks: list[tuple[str, bool, bool, bool, bool]] = []
+        self.paths: dict[int, list] = {}
+        self.has_content = self.has_main = False
+        self._content, self._boiler, self._count = content, boiler, count
+        self._root = Element("", ROOT, None)
+        self._stack = [self._root]
+        self._at: dict[str, list[int]] = {}  # places of open elements in the stack, by tag
+        self._stops: list[int] = []
+        self._text: list[str] = []
+        self._linked = self._links = 0
+        self._read(page)
+        self._flush()
+        self._close(0)
+
+    def _flush(self) -> None:
+        whole = " ".join(entities.unescape("".join(self._text)).split())
         if whole:
-            _, path, dropped, main = next((e for e in reversed(stack) if e[0] in _BLOCK), ("", "", stack[-1][2] if stack else False, False))
-            out.append(Block(path, dropped or bool(stack and stack[-1][2]), main, whole, min(linked, len(whole))))
-        text.clear()
-        linked = 0
-
-    def close(depth: int) -> None:
-        nonlocal links
-        if any(e[0] in _BLOCK or e[2] for e in stack[depth:]):
-            flush()
-        links -= sum(e[0] == "a" for e in stack[depth:])
-        del stack[depth:]
-
-    at = 0
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        run = page[at : m.start() if m else len(page)]
-        if run:
-            text.append(run)
-            linked += len(run) if links else 0
-        if not m:
-            break
-        at = m.end()
-        if m[1]:
-            tag = m[1].lower()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                close(depth)
-            elif tag in _BLOCK:
-                flush()
-        elif m[2]:
-            tag, attributes = m[2].lower(), m[3] or ""
-            if tag in _RAW:
-                end = re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
-                text.append(" ")
-                continue
-            if tag in _VOID:
-                if tag == "hr":
-                    flush()
-                text.append(" ")
-                continue
-            if tag in _BLOCK:
-                flush()
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-                if depth is not None and not any(e[0] in _STOPS for e in stack[depth:]):
-                    close(depth)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in _CLOSES.get(tag, ()):
-                    close(i)
-                    break
-                if stack[i][0] in _STOPS:
-                    break
-            above = stack[-1] if stack else ("", "", False, False)
-            drop, names = _drops(tag, attributes, above[3])
-            if drop and not above[2]:
-                flush()
-            name = re.sub(r"\d+", "0", ".".join([tag, *names.split()[:3]]))
-            stack.append((tag, f"{above[1]}/{name}"[-400:], above[2] or drop, above[3] or tag in ("article", "main") or 'role="main"' in attributes))
-            links += tag == "a"
-    flush()
-    return out
-
-
-def main_text(page: str | None, template: set[str]) -> str:
-    """The main text of a page, given the paths that are template on its host."""
-    found = [b for b in blocks(page or "") if not b.dropped]
-    kept = [b for b in found if b.main] if any(b.main for b in found) else [b for b in found if b.path not in template]
-    return "\n".join(b.text for b in kept)
+            e = self._stack[-1]
+            block, linked = e.block, min(self._linked, len(whole))
+            self.blocks.append((whole, e.inside, e.main, e.drop, e.drop or e.loose))
+            if self._count:
+                block.chars += len(whole)
+                block.linked += linked
+                block.text = (block.text * 1_000_003 ^ xxhash.xxh64_intdigest(whole)) & _BITS
+        self._text.clear()
+        self._linked = 0
+
+    def _close(self, depth: int) -> None:
+        """Closes the open elements from a place in the stack on."""
+        if any(e.block is e or e.drop != e.parent.drop for e in self._stack[depth:] if e.parent):
+            self._flush()
+        while len(self._stack) > depth:
+            e = self._stack.pop()
+            if not e.parent:
+                self._account(e, len(self._stack))
+                break
+            self._at[e.tag].pop()
+            if self._stops and self._stops[-1] == len(self._stack):
+                self._stops.pop()
+            self._links -= e.link
+            if e.block is e:
+                self._account(e, len(self._stack))
+                above = e.parent.block
+                above.chars += e.chars
+                above.linked += e.linked
+                above.text = (above.text * 1_000_003 ^ e.text) & _BITS
+
+    def _account(self, e: Element, depth: int) -> None:
+        if not self._count:
+            return
+        entry = self.paths.get(e.path)
+        if entry is None:
+            above = e.parent.block if e.parent else None
+            entry = self.paths[e.path] = [above.path if above else None, 0, 0, 0, 0, depth, e.tag, bool(above and above.main), e.loose and not (above and above.loose)]
+        entry[1] += 1
+        entry[2] = (entry[2] * 1_000_003 ^ e.text) & _BITS
+        entry[3] += e.chars
+        entry[4] += e.linked
+
+    def _last(self, tag: str) -> int:
+        """Where the innermost open element of a tag stands; -1 if there is none."""
+        places = self._at.get(tag)
+        return places[-1] if places else -1
+
+    def _open(self, tag: str, attributes: str) -> None:
+        stop = self._stops[-1] if self._stops else -1
+        if tag in _BLOCK:
+            self._flush()
+            if self._last("p") > stop:
+                self._close(self._last("p"))
+                stop = self._stops[-1] if self._stops else -1
+        left_open = max((self._last(t) for t in _CLOSES.get(tag, ())), default=-1)
+        if left_open >= 0 and left_open >= stop:
+            self._close(left_open)
+        above = self._stack[-1]
+        drop, loose, names = _roles(tag, attributes)
+        is_block = tag in _BLOCK
+        e = Element(tag, above.path, above)
+        if is_block:
+            name = _DIGITS.sub("0", ".".join([tag, *names.split()]))
+            e.path = xxhash.xxh64_intdigest(name, seed=above.path)
+        else:
+            e.block = above.block
+        e.main = above.main or tag in ("article", "main") or 'role="main"' in attributes
+        self.has_main |= e.main
+        if tag == "header" and not above.main:
+            drop = True
+        if drop and not above.drop:
+            self._flush()
+        e.inside = above.inside or (is_block and e.path == self._content)
+        self.has_content |= e.inside
+        e.drop = above.drop or drop or (is_block and e.path in self._boiler)
+        e.loose = above.loose or (loose and not above.main)
+        e.link = tag == "a"
+        self._links += e.link
+        self._at.setdefault(tag, []).append(len(self._stack))
+        if tag in _STOPS:
+            self._stops.append(len(self._stack))
+        self._stack.append(e)
+
+    def _read(self, page: str) -> None:
+        at = 0
+        while at < len(page):
+            m = _TOKEN.search(page, at)
+            run = page[at : m.start() if m else len(page)]
+            if run:
+                self._text.append(run)
+                self._linked += len(run) if self._links else 0
+            if not m:
+                break
+            at = m.end()
+            if m[1]:
+                tag = m[1].lower()
+                place = self._last(tag)
+                if place > 0:
+                    self._close(place)
+                elif tag in _BLOCK:
+                    self._flush()
+            elif m[2]:
+                tag = m[2].lower()
+                if tag in _RAW:
+                    end = re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I).search(page, at)
+                    at = end.end() if end else len(page)
+                    self._text.append(" ")
+                elif tag in _VOID:
+                    if tag == "hr":
+                        self._flush()
+                    self._text.append(" ")
+                else:
+                    self._open(tag, m[3] or "")
+
+    def by_template(self) -> bool:
+        return self.has_content
+
+    def main_text(self) -> str:
+        """The text of the content slot; without one, by marks of role."""
+        kept = [b for b in self.blocks if not b[3] and b[1]] if self.has_content else [b for b in self.blocks if not b[4]]
+        if any(b[2] for b in kept) or (self.has_main and not self.has_content):
+            kept = [b for b in kept if b[2]]
+        return "\n".join(b[0] for b in kept)
+
+
+def main_text(page: str | None, content: int | None = None, boiler: frozenset[int] = frozenset()) -> str:
+    """The main text of a page, given its host's content slot and the slots in it that go."""
+    return Page(page or "", content, boiler).main_text()
+
+
+_TOKENS = "host string, page bigint, path bigint, parent bigint, n bigint, text bigint, chars bigint, linked bigint, depth int, holder boolean, below boolean, loose boolean"
+
+
+def _signed(value: int | None) -> int | None:
+    return None if value is None else value - (1 << 64) if value >> 63 else value
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, page, n, text, chars, linked): each path token of each page, with its occurrences."""
-    names = ["host", "path", "page", "n", "text", "chars", "linked"]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    """The path tokens of each page, with what they hold."""
+    fields = [c.split() for c in _TOKENS.split(", ")]
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             rows = []
             for h, page, source in zip(*(batch.slice(at, 256).column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
-                paths: dict[str, list] = {}
-                for b in blocks(source or ""):
-                    entry = paths.setdefault(b.path, [0, 0, 0, 0])
-                    entry[0] += 1
-                    entry[1] ^= xxhash.xxh64_intdigest(b.text, seed=entry[0])
-                    entry[2] += len(b.text)
-                    entry[3] += b.linked
-                rows += [(h, p, page, n, text - (1 << 63), chars, linked) for p, (n, text, chars, linked) in paths.items()]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+                for path, (parent, n, text, chars, linked, depth, tag, below, loose) in Page(source or "", count=True).paths.items():
+                    rows.append((h, page, _signed(path), _signed(parent), n, _signed(text), chars, linked, depth, tag in _HOLDERS, below, loose))
+            columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """One row per host that has template paths: host, template (their paths). pages: host, page, html."""
-    tokens = pages.mapInArrow(_tokens, "host string, path string, page bigint, n bigint, text bigint, chars bigint, linked bigint")
+def template_paths(pages: DataFrame) -> DataFrame:
+    """One row for each path of each host: host, path, pages, texts, n (least and greatest on a page), chars, linked, holder, below,
+    depth, and fixed: whether it belongs to the template. pages: host, page, html.
+    """
+    # equal pages of a host give equal rows, which are taken once
+    tokens = pages.mapInArrow(_tokens, _TOKENS).distinct()
     # two steps, so that different texts are counted by partial sums
-    texts = tokens.groupBy("host", "path", "text").agg(F.count(F.lit(1)).alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    seen = texts.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("texts"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    seen = staged(seen, "tokens")
-    # a class is its vector; it is valid if it is frequent and its paths share a parent or lie below each other
-    top = F.substring_index("path", "/", 3)
-    classes = seen.groupBy("host", "vector").agg(F.max("pages").alias("support"), F.count(F.lit(1)).alias("size"), F.min(top).alias("low"), F.max(top).alias("high"))
-    valid = classes.where((F.col("support") >= LEAST) & (F.col("low") == F.col("high"))).select("host", "vector")
-    fixed = seen.join(valid.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")) & (seen["vector"] == valid["vector"]), "left_semi")
-    fixed = fixed.where((F.col("texts") < REPEATS * F.col("pages")) | (F.col("linked") > LINKS * F.col("chars")))
-    return fixed.groupBy("host").agg(F.collect_list("path").alias("template"))
+    flags = [F.first(c).alias(c) for c in ("parent", "depth", "holder", "below", "loose")]
+    texts = tokens.groupBy("host", "path", "text").agg(F.count(F.lit(1)).alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), *flags)
+    seen = texts.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("texts"), F.bit_xor("vector").alias("vector"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), *flags)
+    seen = staged(seen, "paths")
+    # a class is its vector; it nests if those of its paths that lie in paths of other classes lie in one of these
+    above = seen.select("host", F.col("path").alias("parent"), F.col("vector").alias("above"))
+    placed = seen.join(above, ["host", "parent"], "left")
+    outer = F.when(F.col("above") != F.col("vector"), F.col("above"))
+    classes = placed.groupBy("host", "vector").agg(F.max("pages").alias("support"), F.count(F.lit(1)).alias("size"), F.min("least").alias("c_least"), F.max("most").alias("c_most"), F.min(outer).alias("low"), F.max(outer).alias("high"))
+    valid = (F.col("support") >= LEAST) & ((F.col("c_least") == F.col("c_most")) | (F.col("size") > 1)) & F.coalesce(F.col("low") == F.col("high"), F.lit(True))
+    return placed.join(classes, ["host", "vector"]).withColumn("fixed", valid).select("host", "path", "pages", "texts", "least", "most", "chars", "linked", "holder", "below", "loose", "depth", "fixed")
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """One row per host with a content slot: host, content (its path), boiler (paths of the slots that go). pages: host, page, html."""
+    paths = staged(template_paths(pages), "template")
+    whole = paths.where(F.col("path") == _signed(ROOT)).select("host", F.col("pages").alias("all_pages"), (F.col("chars") - F.col("linked")).alias("all_text"))
+    repeats = F.col("texts") < REPEATS * F.col("pages")
+    holds = F.col("fixed") & F.col("holder") & ~F.col("below") & (F.col("least") == 1) & (F.col("most") == 1) & ~repeats
+    slots = paths.where(holds).join(whole, "host").where((F.col("pages") == F.col("all_pages")) & (F.col("chars") - F.col("linked") > HALF * F.col("all_text")))
+    # two such paths lie in one another, for both hold more than half; the deepest is the slot
+    content = slots.groupBy("host").agg(F.max_by("path", "depth").alias("content"))
+    goes = F.col("fixed") & (repeats | (F.col("linked") > LINKS * F.col("chars")) | F.col("loose")) & (F.col("chars") > 0)
+    boiler = paths.where(goes).groupBy("host").agg(F.collect_list("path").alias("boiler"))  # template paths only
+    return content.join(boiler, "host", "left")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars."""
+    """One row per page: page_id, url, text, n_chars, by."""
     rows = pages.select("page_id", "url", host(F.col("url")).alias("host"), "html")
-    known = staged(templates(rows.select("host", F.xxhash64("page_id", "url").alias("page"), "html")), "templates")
-    joined = rows.join(small_side(known), "host", "left").select("page_id", "url", "template", "html")
-    schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    known = staged(templates(rows.select("host", F.xxhash64("html").alias("page"), "html").where("html is not null")), "templates")
+    joined = rows.join(small_side(known), "host", "left").select("page_id", "url", "content", "boiler", "html")
+    schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("by", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [main_text(h, set(t or ())) for h, t in zip(part.column("html").to_pylist(), part.column("template").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+                texts, by = [], []
+                for source, content, boiler in zip(*(part.column(c).to_pylist() for c in ("html", "content", "boiler")), strict=True):
+                    page = Page(source or "", None if content is None else content & _BITS, frozenset(x & _BITS for x in boiler or ()) - {0 if content is None else content & _BITS})
+                    texts.append(page.main_text())
+                    by.append("template" if page.by_template() else "roles")
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(by, pa.string())], schema.names)
 
     return joined.mapInArrow(run, schema)
