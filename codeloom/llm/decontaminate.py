@@ -122,5 +122,5 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that contain no item; each row is judged by its own content, whatever id it has."""
-    dirty = staged(_found(docs, items).select(F.col("key").alias("loom_key")).distinct(), "dirty")
-    return docs.join(small_side(dirty), doc_key(docs["doc_id"], docs["text"]) == F.col("loom_key"), "left_anti")
+    dirty = small_side(staged(_found(docs, items).select("key").distinct(), "dirty"))
+    return docs.join(dirty, doc_key(docs["doc_id"], docs["text"]) == dirty["key"], "left_anti")

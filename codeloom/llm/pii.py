@@ -219,9 +219,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with their spans in `text` replaced: base ones by `[EMAIL]`, `[IP]`, `[CARD]` or `[PHONE]`, general terms by `[TERM]`, the rest by nothing."""
-    spans = find(docs).select("key", "spans").dropDuplicates(["key"]).withColumnRenamed("key", "loom_key").withColumnRenamed("spans", "loom_spans")
-    joined_ = docs.join(spans, _key(F.col("text")) == F.col("loom_key"), "left")
-    ordered = F.array_sort(F.transform("loom_spans", lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("back"), x["kind"].alias("kind"))))
+    spans = find(docs).select("key", "spans").dropDuplicates(["key"])
+    held = docs.select(F.struct(*docs.columns).alias("doc"), "text", _key(F.col("text")).alias("key")).join(spans, "key", "left")
+    ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("back"), x["kind"].alias("kind"))))
     mark = F.array(*map(F.lit, ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", ""]))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
@@ -231,4 +231,5 @@ def sanitise(docs: DataFrame) -> DataFrame:
         return F.struct(F.when(fresh, more).otherwise(state["out"]).alias("out"), F.when(fresh, -x["back"]).otherwise(state["at"]).alias("at"))
 
     done = F.aggregate(ordered, start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    return joined_.withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(done)).select(*docs.columns)
+    clean = F.when(F.col("text").isNull(), F.col("text")).otherwise(done)
+    return held.select(F.col("doc").withField("text", clean).alias("doc")).select("doc.*")
