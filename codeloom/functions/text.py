@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Deepest nesting of type parameters that `strip_generics` removes.
-GENERICS_DEPTH = 6
 #: Bit of an abstract class in a modifier mask (java.lang.reflect.Modifier).
 ABSTRACT = 0x0400
 
@@ -22,10 +20,16 @@ def after_last_dot(name: Column) -> Column:
 
 
 def strip_generics(name: Column) -> Column:
-    """A name without its (balanced) type parameters."""
-    for _ in range(GENERICS_DEPTH):
-        name = F.regexp_replace(name, "<[^<>]*>", "")
-    return name
+    """A name without its type parameters, nested to any depth: what stands outside `<` and `>`; a `>` that closes nothing goes too."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("open"))
+
+    def step(state: Column, c: Column) -> Column:
+        depth = F.when(c == "<", state["open"] + 1).when(c == ">", F.greatest(state["open"] - 1, F.lit(0))).otherwise(state["open"])
+        kept = (state["open"] == 0) & ~c.isin("<", ">")
+        return F.struct(F.when(kept, F.concat(state["out"], c)).otherwise(state["out"]).alias("out"), depth.alias("open"))
+
+    plain = ~name.contains("<") & ~name.contains(">")
+    return F.when(plain, name).otherwise(F.aggregate(F.split(name, ""), start, step, lambda s: s["out"]))
 
 
 def generic_placements(name: Column) -> Column:
@@ -87,9 +91,10 @@ def finding_hash(node: Column, path: Column, exceptions: Column) -> Column:
     return F.md5(F.concat_ws("|", node, F.array_join(path, ">"), F.array_join(F.array_sort(exceptions), ",")))
 
 
-def commit_hash(patch: Column) -> Column:
-    """The 40 characters behind `/commit/`; null where there are none."""
-    return F.nullif(F.regexp_extract(patch, "/commit/(.{40})", 1), F.lit(""))
+def commit_hash(patch: Column, strict: bool = False) -> Column:
+    """The 40 characters behind `/commit/`; null where there are none, or an error if strict."""
+    found = F.nullif(F.regexp_extract(patch, "/commit/(.{40})", 1), F.lit(""))
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("no commit in "), F.coalesce(patch, F.lit("null"))))) if strict else found
 
 
 def example_id(repo: Column, commit: Column, name: Column) -> Column:
@@ -111,10 +116,65 @@ def lines(text: Column) -> Column:
     return F.split(F.regexp_replace(text, "\n+$", ""), "\n")
 
 
+_BLANK = "[ \\t\\n\\x0B\\f\\r]"
+
+
 def normal_line(line: Column) -> Column:
-    """A line as the aligner compares it: runs of white space are one space, with none beside brackets, commas, semicolons or operators."""
-    squeezed = F.regexp_replace(F.trim(line), r"[ \t]+", " ")
-    return F.regexp_replace(squeezed, r" ?([(){}\[\]<>,;=]) ?", "$1")
+    """A line as the aligner compares it: brackets and semicolons stand alone, ends are trimmed, runs of white space are one space."""
+    spaced = F.regexp_replace(line, r"([()\[\]{};])", " $1 ")
+    return F.regexp_replace(F.regexp_replace(spaced, f"^{_BLANK}+|{_BLANK}+$", ""), _BLANK + "{2,}", " ")
+
+
+def trimmed(text: Column, right_only: bool = False) -> Column:
+    """Text without white space at its ends, or at its right end."""
+    return F.regexp_replace(text, f"{_BLANK}+$" if right_only else f"^{_BLANK}+|{_BLANK}+$", "")
+
+
+def valid_lines(rows: Column, start: Column | None = None, end: Column | None = None) -> Column:
+    """0-based places, in [start, end), of lines with more than one character between white space."""
+    start, end = F.lit(0) if start is None else start, F.size(rows) if end is None else end
+    places = F.when(end > start, F.sequence(start, end - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, lambda i: F.length(trimmed(F.get(rows, i))) > 1)
+
+
+def may_have_handlers(text: Column) -> Column:
+    """Cheap test before a diff: the words `try` and `catch`."""
+    return text.contains("try") & text.contains("catch")
+
+
+def declared_type(parameter: Column) -> Column:
+    """The type in a catch clause's parameter: its first word."""
+    return F.split(parameter, " ")[0]
+
+
+def object_strings(text: Column) -> Column:
+    """The objects of a JSON array, each as JSON text; null if it is no array."""
+    return F.transform(F.from_json(text, "array<variant>"), lambda x: F.to_json(x))
+
+
+def description(text: Column) -> Column:
+    return F.coalesce(text, F.lit(""))
+
+
+def api_finding(method: Column, route: Column, exceptions: Column) -> Column:
+    """Text of a finding at an API method. exceptions: map of name to condition."""
+    shown = F.transform(F.array_sort(F.map_entries(exceptions)), lambda e: F.concat(F.lit("    "), e["key"], F.lit(":  "), F.coalesce(e["value"], F.lit("null")), F.lit("\n")))
+    return F.concat(_finding_head(method, route), F.lit("exceptions:\n"), F.array_join(shown, ""))
+
+
+def throw_finding(method: Column, route: Column, throws: Column) -> Column:
+    """Text of a finding at throw statements. throws: array of (exception, statement)."""
+    shown = F.transform(throws, lambda t: F.concat(F.lit("    "), t["exception"], F.lit(":"), F.replace(t["statement"], F.lit("\n"), F.lit("\t")), F.lit("\n")))
+    return F.concat(_finding_head(method, route), F.lit("throws:\n"), F.array_join(shown, ""))
+
+
+def _finding_head(method: Column, route: Column) -> Column:
+    return F.concat(F.lit("method: "), method, F.lit("\nroute:\n    ["), F.array_join(route, ", "), F.lit("]\n"))
+
+
+def range_and_lines(start: Column, end: Column, more: Column) -> Column:
+    """The lines of a half-open range, and more behind them."""
+    return F.concat(F.when(end > start, F.sequence(start, end - 1)).otherwise(F.array().cast("array<int>")), more)
 
 
 def class_type(is_interface: Column, modifier: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Line alignment of two versions of a method, and handlers that the new one added."""
+"""Line alignment and edit scripts of two versions of a text."""
 
 from __future__ import annotations
 
@@ -8,50 +8,72 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_SPACE, _TIGHT = re.compile(r"[ \t]+"), re.compile(r" ?([(){}\[\]<>,;=]) ?")
-_DECLARED = re.compile(r"^(?:final )?[\w.<>\[\],?]+ (\w+=.*)$")
-_RESOURCE = re.compile(r"^try\((.*)\)\{?$")
+_SPACED, _ENDS, _RUNS = re.compile(r"([()\[\]{};])"), re.compile(r"^\s+|\s+$", re.ASCII), re.compile(r"\s{2,}", re.ASCII)
+_DECLARED = re.compile(r"\s*(\w+)\s+(\w+)\s*=\s*.*;\s*", re.ASCII)
+_RESOURCE = re.compile(r"\s*try\s*\((.*)\)\s*\{\s*", re.ASCII)
 
 
 def normal(line: str) -> str:
     """As functions.text.normal_line, for lines inside a task."""
-    return _TIGHT.sub(r"\1", _SPACE.sub(" ", line.strip(" ")))
+    return _RUNS.sub(" ", _ENDS.sub("", _SPACED.sub(r" \1 ", line)))
 
 
-def forms(line: str, old: bool) -> frozenset[str]:
-    """What a line equals: itself; an old declaration, also its bare assignment; a new try with resources, also its resources."""
-    out = {line}
-    if old and (m := _DECLARED.match(line)):
-        out.add(m[1])
-    if not old and (m := _RESOURCE.match(line)):
-        out.update(part + ";" for part in m[1].split(";") if part)
+def forms(line: str, old: bool) -> frozenset[tuple[str, str]]:
+    """What a line equals. An old declaration equals its assignment without the type, too; a new try with resources
+    equals what an old line without types says, if these are its resources.
+    """
+    out = {("line", normal(line))}
+    if old:
+        while m := _DECLARED.fullmatch(line):
+            bare = line.replace(m[1] + " ", "")
+            if bare == line:  # the type is not followed by a blank: nothing more to take off
+                break
+            line = bare
+            out.add(("line", normal(line)))
+        out.add(("resource", normal(line)))
+    elif m := _RESOURCE.fullmatch(line):
+        out.add(("resource", normal(m[1])))
     return frozenset(out)
 
 
+def split_lines(text: str) -> list[str]:
+    """Lines, without empty ones at the end."""
+    return text.rstrip("\n").split("\n")
+
+
 def align(old: list[str], new: list[str]) -> list[int]:
-    """For each new line the old line it matches, or -1, on a path of least edits (insert, delete, substitute).
+    """For each new line the old line it matches, or -1, on a path of least edits (insert, delete, substitute)."""
+    out = [-1] * len(new)
+    for kind, i, j in steps(old, new):
+        if kind == " ":
+            out[j] = i
+    return out
+
+
+def steps(old: list[str], new: list[str]) -> list[tuple[str, int, int]]:
+    """(kind, old line, new line) of a path of least edits, in order: ` ` match, `-` delete, `+` insert, `~` substitute.
 
     Lines that match are always taken together; going back, a match is preferred to a
     deletion, that to an insertion, and that to a substitution. Costs are found row by row;
     of the table, every so many-th row is kept, and the rows between two of these are found
     again on the way back, so memory grows as the power 1.5 of the lines.
     """
-    a, b = [forms(normal(x), True) for x in old], [forms(normal(x), False) for x in new]
-    out = [-1] * len(b)
+    a, b = [forms(x, True) for x in old], [forms(x, False) for x in new]
+    out: list[tuple[str, int, int]] = []
     i, j = len(a), len(b)
     while i and j and not a[i - 1].isdisjoint(b[j - 1]):
         i, j = i - 1, j - 1
-        out[j] = i
+        out.append((" ", i, j))
     width = j
-    where: dict[str, list[int]] = {}
+    where: dict[tuple[str, str], list[int]] = {}
     for k, fs in enumerate(b[:width]):
         for f in fs:
             where.setdefault(f, []).append(k)
-    steps = np.arange(width + 1, dtype=np.int32)
+    stairs = np.arange(width + 1, dtype=np.int32)
 
     def matches(row: int) -> np.ndarray:
         found = np.zeros(width, bool)
@@ -66,12 +88,12 @@ def align(old: list[str], new: list[str]) -> list[int]:
         costs[0] = row
         costs[1:] = np.where(same, last[:-1], np.minimum(last[1:], last[:-1]) + 1)
         # insertions: the least of all starts to the left, except into matched places
-        run = np.minimum.accumulate(costs - steps) + steps
+        run = np.minimum.accumulate(costs - stairs) + stairs
         costs[1:] = np.where(same, costs[1:], np.minimum(costs, run)[1:])
         return costs
 
     apart = math.isqrt(i) + 1
-    kept, last = {0: steps}, steps
+    kept, last = {0: stairs}, stairs
     for row in range(1, i + 1):
         last = below(last, row)
         if row % apart == 0:
@@ -86,15 +108,19 @@ def align(old: list[str], new: list[str]) -> list[int]:
                 block.append(below(block[-1], row))
         above, here = block[i - 1 - first], block[i - first]
         if not a[i - 1].isdisjoint(b[j - 1]):
-            out[j - 1] = i - 1
             i, j = i - 1, j - 1
+            out.append((" ", i, j))
         elif here[j] == above[j] + 1:
             i -= 1
+            out.append(("-", i, j))
         elif here[j] == here[j - 1] + 1:
             j -= 1
+            out.append(("+", i, j))
         else:
             i, j = i - 1, j - 1
-    return out
+            out.append(("~", i, j))
+    out += [("-", k, 0) for k in range(i - 1, -1, -1)] + [("+", 0, k) for k in range(j - 1, -1, -1)]
+    return out[::-1]
 
 
 def aligned(rows: DataFrame, old: str, new: str) -> DataFrame:
@@ -107,7 +133,7 @@ def aligned(rows: DataFrame, old: str, new: str) -> DataFrame:
         for a, b in batches:
             out = []
             for x, y in zip(a, b, strict=True):
-                lines = None if x is None or y is None else (x.rstrip("\n").split("\n"), y.rstrip("\n").split("\n"))
+                lines = None if x is None or y is None else (split_lines(x), split_lines(y))
                 out.append(None if lines is None else align(*lines))
             yield pd.Series(out, dtype=object)
 
@@ -124,24 +150,15 @@ def _typed(run):
 
 
 def edit_script(old: list[str], new: list[str]) -> list[str]:
-    """Lines with `  `, `- ` or `+ ` in front."""
-    match, out, at = align(old, new), [], 0
-    for j, i in enumerate(match):
-        if i >= 0:
-            out += [f"- {x}" for x in old[at:i]] + [f"  {new[j]}"]
-            at = i + 1
-        else:
-            out.append(f"+ {new[j]}")
-    return out + [f"- {x}" for x in old[at:]]
+    """The edits as text: ` line`, `- line`, `+ line` or `~ old -> new`."""
+    return [f" {old[i]}" if kind == " " else f"- {old[i]}" if kind == "-" else f"+ {new[j]}" if kind == "+" else f"~ {old[i]} -> {new[j]}" for kind, i, j in steps(old, new)]
 
 
-def added_handlers(match: Column, tries: Column, depth_before: Column) -> Column:
-    """Of a new version's tries (struct start, end, depth, own array<int>) those that were added: an own line matches an old
-    line, and the tries around it were fewer there. depth_before: nesting of each old line.
-    """
+def edited(rows: DataFrame, old: str, new: str) -> DataFrame:
+    """rows with script array<string>, the edits from one text to the other; null if a text is null."""
 
-    def gained(t: Column, line: Column) -> Column:
-        old = F.get(match, line)
-        return (old >= 0) & (F.get(depth_before, old) < t["depth"])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            yield pd.Series([None if x is None or y is None else edit_script(split_lines(x), split_lines(y)) for x, y in zip(a, b, strict=True)], dtype=object)
 
-    return F.filter(tries, lambda t: F.exists(t["own"], lambda line: gained(t, line)))
+    return rows.withColumn("script", F.pandas_udf(_typed(run), T.ArrayType(T.StringType()))(old, new))

@@ -27,7 +27,7 @@ def ancestors(parents: DataFrame) -> DataFrame:
         front = staged(step.join(known, ["child", "ancestor"], "left_anti"), "front")
         if front.isEmpty():
             return known
-        known = known.unionByName(front)
+        known = _joined(known, front, distance)
 
 
 def is_runtime(names: DataFrame, closure: DataFrame, root: str = RUNTIME) -> DataFrame:
@@ -37,15 +37,23 @@ def is_runtime(names: DataFrame, closure: DataFrame, root: str = RUNTIME) -> Dat
 
 
 def chain_until(parents: DataFrame, known: DataFrame) -> DataFrame:
-    """(start, node, distance): each unknown name's chain up to and with the first known one. known: column name."""
-    stop = known.select(F.col("name").alias("_known"))
-    flagged = staged(parents.where("child != parent").join(stop, F.col("child") == F.col("_known"), "left").select("child", "parent", F.col("_known").isNotNull().alias("known")), "flagged")
-    front = flagged.where("not known").select(F.col("child").alias("start"), F.col("child").alias("node"), F.lit(0).alias("distance"))
-    found, distance = front, 0
+    """(start, node, distance): each unknown name's chain up to and with the first known one, or up to a name it has
+    met already, so cycles end. Several parents give each node once, at its least distance. known: column name.
+    """
+    stop = known.select(F.col("name").alias("_known")).distinct()
+    flagged = staged(parents.where("child != parent").distinct().join(stop, F.col("child") == F.col("_known"), "left").select("child", "parent", F.col("_known").isNotNull().alias("known")), "flagged")
+    found = staged(flagged.where("not known").select(F.col("child").alias("start"), F.col("child").alias("node"), F.lit(0).alias("distance")).distinct(), "chain")
+    front, distance = found, 0
     while True:
         distance += 1
-        step = front.join(flagged.where("not known"), F.col("node") == F.col("child")).select("start", F.col("parent").alias("node"), F.lit(distance).alias("distance"))
-        front = staged(step, "chain")
+        step = front.join(flagged.where("not known"), F.col("node") == F.col("child")).select("start", F.col("parent").alias("node"), F.lit(distance).alias("distance")).distinct()
+        front = staged(step.join(found, ["start", "node"], "left_anti").select("start", "node", "distance"), "chain")
         if front.isEmpty():
             return found
-        found = found.unionByName(front)
+        found = _joined(found, front, distance)
+
+
+def _joined(known: DataFrame, front: DataFrame, level: int) -> DataFrame:
+    """Both, written anew at every eighth level, so a late level reads few tables."""
+    both = known.unionByName(front)
+    return staged(both, "levels") if level % 8 == 0 else both

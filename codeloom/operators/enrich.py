@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -14,6 +15,9 @@ from codeloom.functions.text import strip_fence
 
 #: Request defaults.
 OPTIONS = {"temperature": 0.5, "max_tokens": 8192, "stream": False}
+#: A request and an answer of a chat service.
+REQUEST = "model string, messages array<struct<role:string,content:string>>, temperature double, top_p double, n int, max_tokens int, presence_penalty double, frequency_penalty double, stream boolean, stop array<string>, user string, seed int"
+RESPONSE = "id string, object string, created bigint, model string, choices array<struct<index:int,message:struct<role:string,content:string,reasoning_content:string>,finish_reason:string>>, usage struct<prompt_tokens:int,completion_tokens:int,total_tokens:int,prompt_tokens_details:struct<cached_tokens:int>>"
 TRIES, PARSE_TRIES, DELAY = 20, 2, 1.0
 #: Fields of an answer.
 ANSWER = "analysis string, answer string, remark string, result string"
@@ -27,6 +31,96 @@ def prompt(template: str, values: list[Column], sections: Column) -> Column:
     return F.concat_ws("\n", head, F.array_join(F.transform(sections, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n"))
 
 
+def request(model: str, messages: Column, **options: object) -> Column:
+    """A request as a struct, with defaults for what is not given. messages: array of (role, content)."""
+    given = {**OPTIONS, **options, "model": model}
+    kinds = dict(c.split(" ", 1) for c in re.split(r", (?=\w+ \w)", REQUEST))
+    unknown = set(given) - set(kinds)
+    if unknown:
+        raise ValueError(f"no such options: {sorted(unknown)}")
+
+    def field(name: str, kind: str) -> Column:
+        if name == "messages":
+            return messages.cast(kind).alias(name)
+        value = given.get(name)
+        return (F.array(*map(F.lit, value)) if isinstance(value, list) else F.lit(value)).cast(kind).alias(name)
+
+    return F.struct(*(field(n, k) for n, k in kinds.items()))
+
+
+def chat_text(messages: Column) -> Column:
+    """Messages as one text, `role: content` line by line."""
+    return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+
+
+def response(text: Column) -> Column:
+    """The fields of a service's answer; null where it is no object."""
+    return F.from_json(text, RESPONSE)
+
+
+def first_content(answer: Column) -> Column:
+    """The content of the first choice; null without one."""
+    return F.get(answer["choices"], F.lit(0))["message"]["content"]
+
+
+def _code(text: Column) -> Column:
+    return F.concat(F.lit("<代码片段>\n```\n"), text, F.lit("\n```\n<end>\n\n"))
+
+
+def filled(template: str, value: Column) -> Column:
+    """The template with `{str1}` replaced, literally."""
+    return F.replace(F.lit(template), F.lit("{str1}"), value)
+
+
+def main_prompt(templates: dict[str, str], code: Column, findings: Column) -> Column:
+    """The main question. findings: array of (kind, callee, depth, method, exceptions, description), numbered from 1 in the text."""
+
+    def one(f: Column, i: Column) -> Column:
+        number = (i + 1).cast("string")
+        called = F.concat(F.lit("代码片段中的函数："), f["callee"], F.lit("\n在经过"), f["depth"].cast("string"))
+        api = F.concat(called, F.lit("重调用后，最终在函数:"), f["method"], F.lit("中\n可能抛出运行时异常:"), f["exceptions"], F.lit("\n"))
+        thrown = F.concat(called, F.lit("重调用后，使用throw语句`"), f["exceptions"], F.lit("`抛出异常\n"))
+        what = F.when(f["kind"] == "API", api).when((f["kind"] == "THROW") & (f["depth"] > 0), thrown).otherwise("")
+        said = F.when(F.coalesce(f["description"], F.lit("")) != "", F.concat(F.lit("异常说明："), f["description"], F.lit("\n"))).otherwise("")
+        return F.concat(F.lit("<函数调用 "), number, F.lit(">\n"), F.coalesce(what, F.lit("")), said, F.lit("<end "), number, F.lit(">\n"))
+
+    head = F.lit(templates["background"] + templates["question"] + templates["input_format"] + "\n")
+    return F.concat(head, _code(code), F.array_join(F.transform(findings, one), ""))
+
+
+def api_prompt(templates: dict[str, str], method: Column, code: Column, doc: Column) -> Column:
+    """The question about an API method: where it is called, and its document."""
+    return F.concat(filled(templates["api_question"], method), F.lit(templates["api_format"] + "\n"), _code(code), F.lit("<api方法文档>\n"), doc, F.lit("<end>\n\n"))
+
+
+def throw_prompt(templates: dict[str, str], statement: Column, code: Column) -> Column:
+    """The question about a throw statement."""
+    return F.concat(filled(templates["throw_question"], statement), filled(templates["throw_format"], statement), F.lit("\n"), _code(code))
+
+
+def baseline_prompt(templates: dict[str, str], code: Column) -> Column:
+    """The question about a method alone."""
+    return F.concat(F.lit(templates["background"] + templates["question"] + templates["baseline_input_format"] + "\n"), _code(code))
+
+
+def dispatched(findings: DataFrame, templates: dict[str, str]) -> DataFrame:
+    """findings (kind, method, statement, code, doc) with the prompt of their kind; another kind is an error."""
+    wrong = F.raise_error(F.concat(F.lit("unknown kind of finding: "), F.coalesce("kind", F.lit("null"))))
+    by_kind = F.when(F.col("kind") == "API", api_prompt(templates, F.col("method"), F.col("code"), F.coalesce("doc", F.lit("")))).when(F.col("kind") == "THROW", throw_prompt(templates, F.col("statement"), F.col("code"))).otherwise(wrong)
+    return findings.withColumn("prompt", by_kind)
+
+
+def checked_exceptions(answered: DataFrame) -> DataFrame:
+    """An API adviser's answers applied: the candidates that the answer names stay. answered: answer (array of simple names), candidates."""
+    return answered.withColumn("checked", matched_exceptions(F.col("answer"), F.col("candidates")))
+
+
+def progress(done: DataFrame, total: DataFrame) -> DataFrame:
+    """One row: how many rows are done, of how many, in percent."""
+    counts = done.agg(F.count(F.lit(1)).alias("done")).crossJoin(total.agg(F.count(F.lit(1)).alias("total")))  # one row and one row
+    return counts.select("done", "total", F.when(F.col("total") > 0, F.round(100 * F.col("done") / F.col("total"), 2)).otherwise(100.0).alias("percent"))
+
+
 def with_cache(rows: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
     """rows with the stored answer, and needs_call where there is none."""
     stored = cache.groupBy(*keys).agg(F.first("answer").alias("answer"))
@@ -48,9 +142,9 @@ def matched_exceptions(answer: Column, candidates: Column) -> Column:
     return F.filter(candidates, lambda q: F.exists(answer, lambda s: q.endswith(s)))
 
 
-def ask(rows: DataFrame, client: Callable[[str], str], workers: int = 4, pause: float = 0.0, retry_on: tuple[type[Exception], ...] = (ConnectionError, TimeoutError, OSError)) -> DataFrame:
-    """rows (with prompt) and the client's answer, error: at most `workers` calls at once, each tried TRIES times on a
-    connection error and asked again PARSE_TRIES times where the answer is no JSON object.
+def ask(rows: DataFrame, client: Callable[[str], str], workers: int = 4, pause: float = 0.0, delay: float = DELAY, retry_on: tuple[type[Exception], ...] = (ConnectionError, TimeoutError, OSError)) -> DataFrame:
+    """rows (with prompt) and the client's answer, error: at most `workers` calls at once, `pause` seconds apart, each tried TRIES
+    times, `delay` seconds apart, on a connection error and asked again PARSE_TRIES times where the answer is no JSON object.
     """
     schema = rows.schema.add("answer", "string").add("error", "string")
 
@@ -65,7 +159,7 @@ def ask(rows: DataFrame, client: Callable[[str], str], workers: int = 4, pause:
                     problem = f"{type(e).__name__}: {e}"
                     if attempt + 1 == TRIES:
                         return None, problem
-                    time.sleep(pause and DELAY)
+                    time.sleep(delay)
             body = text.strip().removeprefix("```json").removeprefix("```").removesuffix("```").strip()
             try:
                 if isinstance(json.loads(body), dict):

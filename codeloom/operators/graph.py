@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import staged
+from codeloom.session import small_side, staged
 
 DEPTH = 12
 #: Findings of a case are pruned beyond MOST, by path lengths from LONGEST down to SHORTEST.
@@ -18,16 +18,24 @@ def edges_from_sites(sites: DataFrame) -> DataFrame:
     return sites.groupBy("caller", "callee").agg(F.collect_list("catch_types").alias("sites"))
 
 
-def edge_catches(sites: DataFrame, closure: DataFrame) -> DataFrame:
+def edge_catches(sites: DataFrame, closure: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(caller, callee, exception) where every call site of the edge catches the exception or an ancestor of it.
 
-    Site sets are reduced to distinct catch types before the join with the hierarchy, and both
-    quantifiers are grouped counts: sites that catch it against sites of the edge.
+    wanted: the (caller, callee, exception) to test; all exceptions of the hierarchy without it. Those
+    wanted meet their ancestors, and these the sites' types on (edge, type), so a type that
+    every site catches is no hot key. Both quantifiers are grouped counts: sites that catch it
+    against sites of the edge.
     """
-    of_edge = sites.groupBy("caller", "callee").agg(F.countDistinct("site_id").alias("sites"))
-    typed = sites.select("caller", "callee", "site_id", F.explode("catch_types").alias("ancestor"))
-    hits = typed.join(closure.select("ancestor", F.col("child").alias("exception")), "ancestor").groupBy("caller", "callee", "exception").agg(F.countDistinct("site_id").alias("hits"))
-    return hits.join(of_edge, ["caller", "callee"]).where("hits = sites").select("caller", "callee", "exception")
+    one = sites.select("caller", "callee", F.xxhash64("site_id").alias("site"), "catch_types").distinct()
+    of_edge = one.groupBy("caller", "callee").agg(F.countDistinct("site").alias("sites"))
+    typed = one.select("caller", "callee", "site", F.explode("catch_types").alias("ancestor")).distinct()
+    above = small_side(staged(closure.select("ancestor", F.col("child").alias("exception")).distinct(), "above"))
+    if wanted is None:
+        hits = typed.join(above, "ancestor")
+    else:
+        hits = wanted.distinct().join(above, "exception").join(typed, ["caller", "callee", "ancestor"])
+    caught = hits.select("caller", "callee", "exception", "site").distinct().groupBy("caller", "callee", "exception").agg(F.count(F.lit(1)).alias("hits"))
+    return caught.join(of_edge, ["caller", "callee"]).where("hits = sites").select("caller", "callee", "exception")
 
 
 def spanning_trees(roots: DataFrame, edges: DataFrame, api: DataFrame | None = None, depth: int = DEPTH) -> DataFrame:
@@ -47,24 +55,28 @@ def spanning_trees(roots: DataFrame, edges: DataFrame, api: DataFrame | None = N
         front = staged(step.join(known, ["case_id", "node"], "left_anti").select(*known.columns), "front")
         if front.isEmpty():
             break
-        known = known.unionByName(front)
+        known = known.unionByName(front)  # DEPTH tables at most
     return known
 
 
-def uncaught(trees: DataFrame, edges: DataFrame, throws: DataFrame, catches: DataFrame, api: DataFrame | None = None) -> DataFrame:
+def uncaught(trees: DataFrame, edges: DataFrame, throws: DataFrame, sites: DataFrame, closure: DataFrame, api: DataFrame | None = None) -> DataFrame:
     """(case_id, method, path, exception): what can leave the root of a case.
 
-    A candidate is each edge of an expanded node to a node not on its path, and the root
-    itself; an exception of the candidate stays if no edge of its path catches it.
+    A candidate is each edge (node, method) of an expanded node to a node not on its path, and the
+    root itself; an exception of the candidate stays if no edge of its path catches it. A
+    candidate is known by its case and edge: paths meet only the exceptions that stay.
     """
     expanded = trees if api is None else trees.join(api.select(F.col("name").alias("node")), "node", "left_anti")
     links = edges.select("caller", "callee").distinct()
-    candidates = expanded.join(links, F.col("node") == F.col("caller")).where(~F.array_contains("path", F.col("callee"))).select("case_id", F.col("callee").alias("method"), F.array_append("path", F.col("callee")).alias("path"))
-    candidates = candidates.unionByName(trees.where("level = 0").select("case_id", F.col("node").alias("method"), "path"))
-    thrown = candidates.join(throws.select(F.col("method").alias("_method"), "exception").distinct(), F.col("method") == F.col("_method")).select("case_id", "method", "path", "exception")
-    steps = thrown.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.size("path") - 2), lambda i: F.struct(F.get("path", i).alias("caller"), F.get("path", i + 1).alias("callee")))).alias("e")).where("size(path) > 1")
-    caught = steps.select("case_id", "method", "path", "exception", "e.caller", "e.callee").join(catches, ["caller", "callee", "exception"], "left_semi").select("case_id", "path", "exception").distinct()
-    return thrown.join(caught, ["case_id", "path", "exception"], "left_anti").select("case_id", "method", "path", "exception")
+    thrown = throws.select("method", "exception").distinct()
+    below = expanded.join(links, F.col("node") == F.col("caller")).where(~F.array_contains("path", F.col("callee"))).select("case_id", "node", F.col("callee").alias("method"), F.array_append("path", F.col("callee")).alias("path"))
+    below = staged(below.join(thrown.select("method").distinct(), "method", "left_semi"), "candidates")
+    tested = below.join(thrown, "method").select("case_id", "node", "method", "exception", F.explode(F.transform(F.sequence(F.lit(0), F.size("path") - 2), lambda i: F.struct(F.get("path", i).alias("caller"), F.get("path", i + 1).alias("callee")))).alias("e"))
+    tested = staged(tested.select("case_id", "node", "method", "exception", "e.caller", "e.callee"), "tested")
+    catches = edge_catches(sites, closure, tested.select("caller", "callee", "exception"))
+    caught = tested.join(catches, ["caller", "callee", "exception"], "left_semi").select("case_id", "node", "method", "exception").distinct()
+    left = below.join(thrown, "method").join(caught, ["case_id", "node", "method", "exception"], "left_anti").select("case_id", "method", "path", "exception")
+    return left.unionByName(trees.where("level = 0").select("case_id", F.col("node").alias("method"), "path").join(thrown, "method").select("case_id", "method", "path", "exception"))
 
 
 def findings(found: DataFrame) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.functions.text import after_last_dot, strip_generics
+from codeloom.session import staged
 
 _S = T.StringType()
 #: Column types of the nine tables.
@@ -78,6 +80,59 @@ def migrate(child: DataFrame, references: list[tuple[str, DataFrame, str]]) -> t
     return good, bad
 
 
+def numbered(rows: DataFrame, order: list[str], name: str = "row_index") -> DataFrame:
+    """rows with their 0-based place in an order. Dealt by range and counted by partition, so no task sees all rows."""
+    placed = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    sizes = sorted((r["first"], r["n"]) for r in placed.groupBy(part.alias("part")).agg(F.min("_at").alias("first"), F.count(F.lit(1)).alias("n")).collect())  # one row for each partition
+    # the parts of a range-dealt table follow its order, but files may be read in another: each keeps its own partition's number
+    before, shift = 0, []
+    for first, n in sizes:
+        shift.append((first >> 33, before - first))
+        before += n
+    offsets = rows.sparkSession.createDataFrame(shift or [(0, 0)], "_part bigint, _shift bigint")
+    return placed.join(F.broadcast(offsets), part == F.col("_part")).withColumn(name, F.col("_at") + F.col("_shift")).select(*rows.columns, name)
+
+
+def failures(child: DataFrame, references: list[tuple[str, DataFrame, str]], order: list[str]) -> DataFrame:
+    """(row_index, column, value, json): rows that cannot be migrated, by their place in the old table, and the reference that fails."""
+    placed = numbered(child, order)
+    of = lambda c, p, k: violations(placed, c, p, k).select("row_index", F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.to_json(F.struct(*child.columns)).alias("json"))
+    return reduce(DataFrame.unionByName, [of(*r) for r in references])
+
+
+def like(names: DataFrame, column: str, pattern: str) -> DataFrame:
+    """Names that a `LIKE` pattern fits (`%`, `_`), without regard to case."""
+    return names.where(F.col(column).ilike(pattern))
+
+
+def only_row(rows: DataFrame) -> DataFrame:
+    """rows, or an error if there are more than one."""
+    n = rows.limit(2).count()
+    if n > 1:
+        raise ValueError("more than one row")
+    return rows
+
+
+def views(tables: dict[str, DataFrame]) -> None:
+    """Make tables known by name to SQL."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+
+
+def select_sql(spark: SparkSession, query: str, **parameters: object) -> DataFrame | None:
+    """Free SQL over the tables made known, with parameters (`:name`); null where it cannot be analysed."""
+    try:
+        return spark.sql(query, args=parameters)
+    except (AnalysisException, ParseException):
+        return None
+
+
+def jdbc_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
+    """A table of a database whose driver the session has (`partitionColumn` and bounds among the options split the read)."""
+    return spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options).load()
+
+
 def rename(table: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """A cascading rename: `column` by mapping (old, new)."""
     named = mapping.groupBy(F.col("old").alias("_old")).agg(F.min("new").alias("_new"))
@@ -114,6 +169,11 @@ def skip_done(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return todo.join(done.select(*keys), keys, "left_anti")
 
 
+def present(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are known; a null key never is."""
+    return rows.join(known.select(*keys), keys, "left_semi")
+
+
 def khop(calls: DataFrame, hops: int) -> DataFrame:
     """(root, target): what each caller reaches in exactly `hops` calls. Distinct after each hop keeps the walk as wide as its result."""
     edges = calls.select("caller", "callee").distinct()

@@ -59,15 +59,35 @@ def includes_type(true: Column, predicted: Column) -> Column:
 def zone_coverage(rows: DataFrame) -> DataFrame:
     """One row: lines by zone (own, nested, outside) and whether predicted, start-line hits, and cases with half their own lines covered.
 
-    rows: id, n_lines, start, end (the true range), own (its own lines), p_start, p_end.
+    rows: n_lines, start, end (the true range), own (its own lines), p_start, p_end. Counts come from the
+    overlaps of ranges within each row, so no line is a row of its own and nothing but the totals is shuffled.
     """
-    lines = rows.where("n_lines > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1)).alias("line"))
-    own = F.array_contains("own", F.col("line"))
-    zone = F.when(own, "own").when((F.col("line") >= F.col("start")) & (F.col("line") < F.col("end")), "nested").otherwise("outside")
-    inside = (F.col("line") >= F.col("p_start")) & (F.col("line") < F.col("p_end"))
-    tagged = lines.select("id", "line", zone.alias("zone"), inside.alias("inside"), (F.col("line") == F.get("own", F.lit(0))).alias("first"))
-    names = [(z, hit) for z in ("own", "nested", "outside") for hit in (True, False)]
-    per = tagged.groupBy("id").agg(*(F.count_if((F.col("zone") == z) & (F.col("inside") == F.lit(hit))).alias(f"{z}_{'hit' if hit else 'miss'}") for z, hit in names), F.max(F.col("first") & F.col("inside")).alias("start_hit"))
-    totals = [F.sum(f"{z}_{'hit' if hit else 'miss'}").cast("long").alias(f"{z}_{'hit' if hit else 'miss'}") for z, hit in names]
+    n, start, end, p_start, p_end = (F.col(c) for c in ("n_lines", "start", "end", "p_start", "p_end"))
+    size = lambda *ranges: F.greatest(F.least(n, *(b for _, b in ranges)) - F.greatest(F.lit(0), *(a for a, _ in ranges)), F.lit(0)) if ranges else F.greatest(n, F.lit(0))
+    own = F.filter(F.array_distinct("own"), lambda x: (x >= 0) & (x < n))
+    among = lambda *ranges: F.size(F.filter(own, lambda x: F.lit(True) if not ranges else _all(*((x >= a) & (x < b) for a, b in ranges))))
+    true, predicted = (start, end), (p_start, p_end)
+    own_hit, nested_hit = among(predicted), size(true, predicted) - among(true, predicted)
+    own_all, nested_all = among(), size(true) - among(true)
+    hit, every = size(predicted), size()
+    first = F.get("own", F.lit(0))
+    per = rows.where("n_lines > 0").select(
+        own_hit.alias("own_hit"), (own_all - own_hit).alias("own_miss"), nested_hit.alias("nested_hit"), (nested_all - nested_hit).alias("nested_miss"),
+        (hit - own_hit - nested_hit).alias("outside_hit"), (every - hit - (own_all - own_hit) - (nested_all - nested_hit)).alias("outside_miss"),
+        F.coalesce((first >= p_start) & (first < p_end) & (first >= 0) & (first < n), F.lit(False)).alias("start_hit"),
+    )
+    totals = [F.sum(f"{z}_{h}").cast("long").alias(f"{z}_{h}") for z in ("own", "nested", "outside") for h in ("hit", "miss")]
     covered = F.count_if((F.col("own_hit") + F.col("own_miss") > 0) & (2 * F.col("own_hit") >= F.col("own_hit") + F.col("own_miss")))
-    return per.agg(*totals, F.count_if(F.coalesce("start_hit", F.lit(False))).alias("start_hits"), covered.alias("half_covered"))
+    return per.agg(*totals, F.count_if("start_hit").alias("start_hits"), covered.alias("half_covered"))
+
+
+def _all(*tests: Column) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
+    return out
+
+
+def membership_counts(flags: Column) -> tuple[Column, Column]:
+    """Of an array of truth values: whether none holds, whether some holds (a null holds not)."""
+    return F.forall(flags, lambda x: ~F.coalesce(x, F.lit(False))), F.exists(flags, lambda x: F.coalesce(x, F.lit(False)))

@@ -2,62 +2,134 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.session import staged
+
 
 def phase_matches(rows: DataFrame, key: str, phases: list[Column], order: list[str]) -> DataFrame:
     """Greedy, non-overlapping matches of phases 1..n in order, within each key.
 
-    A row is in phase k if phases[k] holds. One aggregate walks the ordered rows: a row that
-    is the awaited phase is taken; the last phase closes a match.
+    A row is in phase k if phases[k] holds. Rows are dealt by key and sorted; one walk over a
+    partition takes a row if it is the awaited phase, and the last phase closes a match. Only the
+    open match is held, however many rows a key has.
     Returns key, match (0-based) and t1..tn, the rows' `at`.
     """
     n = len(phases)
     phase = F.coalesce(*[F.when(p, F.lit(k + 1)) for k, p in enumerate(phases)])
-    marks = rows.withColumn("_phase", phase).where("_phase is not null").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, "_phase", "at"))).alias("rows"))
-    empty = F.struct(F.array().cast("array<array<timestamp>>").alias("done"), F.array().cast("array<timestamp>").alias("open"))
+    marks = rows.select(F.col(key), phase.alias("_phase"), "at", *order).where("_phase is not null")
+    marks = marks.repartition(key).sortWithinPartitions(key, *order).select(key, "_phase", "at")
+    kind, at = (marks.schema[c].dataType.simpleString() for c in (key, "at"))
+    names = [key, "match", *(f"t{k + 1}" for k in range(n))]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, count, open_ = None, 0, []
+        for part in batches:
+            out = []
+            for name, found, when in zip(part[key], part["_phase"], part["at"], strict=True):
+                if name != current:
+                    current, count, open_ = name, 0, []
+                if found == len(open_) + 1:
+                    open_.append(when)
+                    if found == n:
+                        out.append((name, count, *open_))
+                        count, open_ = count + 1, []
+            yield pd.DataFrame(out, columns=names)
 
-    def step(s: Column, r: Column) -> Column:
-        wanted = r["_phase"] == F.size(s["open"]) + 1
-        more = F.array_append(s["open"], r["at"])
-        closes = wanted & (F.size(s["open"]) == n - 1)
-        return F.struct(F.when(closes, F.array_append(s["done"], more)).otherwise(s["done"]).alias("done"), F.when(closes, F.array().cast("array<timestamp>")).when(wanted, more).otherwise(s["open"]).alias("open"))
+    return marks.mapInPandas(walk, f"{key} {kind}, match int, " + ", ".join(f"t{k + 1} {at}" for k in range(n)))
 
-    found = marks.select(key, F.posexplode(F.aggregate("rows", empty, step, lambda s: s["done"])).alias("match", "_t"))
-    return found.select(key, "match", *(F.get("_t", F.lit(k)).alias(f"t{k + 1}") for k in range(n)))
+
+def markers(line: Column, words: list[str], pattern: str) -> Column:
+    """Which mark a line has: the number, from 1, of the first word in it, the next number for the pattern; null for none."""
+    return F.coalesce(*[F.when(line.contains(w), F.lit(k + 1)) for k, w in enumerate(words)], F.when(line.rlike(pattern), F.lit(len(words) + 1)))
 
 
 def seconds(a: Column, b: Column) -> Column:
     return F.unix_timestamp(b) - F.unix_timestamp(a)
 
 
+def durations(matches: DataFrame, n: int) -> DataFrame:
+    """matches (t1..tn) with phase_1..phase_n-1 in seconds, and their total."""
+    return matches.select("*", *(seconds(F.col(f"t{k}"), F.col(f"t{k + 1}")).alias(f"phase_{k}") for k in range(1, n)), seconds(F.col("t1"), F.col(f"t{n}")).alias("total"))
+
+
+def percentiles(values: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact percentiles, between neighbours in proportion; null without values.
+
+    Values are dealt by range and sorted, so each rank lies in one known partition; only the
+    neighbours of the ranks asked for leave the tasks.
+    """
+    dealt = values.select(F.col(column).cast("double").alias("v")).where("v is not null").repartitionByRange("v").sortWithinPartitions("v")
+    placed = staged(dealt.withColumn("at", F.monotonically_increasing_id()), "ranks")
+    part = F.shiftright("at", 33)
+    sizes = sorted(tuple(r) for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.min("v").alias("v")).select("v", "part", "n", "first").collect())  # one row for each partition
+    total = sum(n for _, _, n, _ in sizes)
+    if not total:
+        return [None] * len(shares)
+    wanted = {r for s in shares for r in (math.floor(s * (total - 1)), math.ceil(s * (total - 1)))}
+    where, before = {}, 0
+    for _, _, n, first in sizes:
+        where |= {first + r - before: r for r in wanted if before <= r < before + n}
+        before += n
+    found = {where[r["at"]]: r["v"] for r in placed.where(F.col("at").isin(list(where))).collect()}  # two rows for each share
+    between = lambda p: found[math.floor(p)] + (p - math.floor(p)) * (found[math.ceil(p)] - found[math.floor(p)])
+    return [between(s * (total - 1)) for s in shares]
+
+
 def statistics(values: DataFrame, column: str, prefix: str = "") -> DataFrame:
     """One row: n, mean, median, std (of the population), min, max, p25, p75, cv."""
     v = F.col(column)
     cv = F.when(F.avg(v) != 0, F.stddev_pop(v) / F.avg(v))
-    stats = {"n": F.count(v), "mean": F.avg(v), "median": F.percentile(v, 0.5), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v), "p25": F.percentile(v, 0.25), "p75": F.percentile(v, 0.75), "cv": cv}
-    return values.agg(*(c.alias(prefix + n) for n, c in stats.items()))
+    p25, median, p75 = (F.lit(x).cast("double") for x in percentiles(values, column, [0.25, 0.5, 0.75]))
+    plain = {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v), "cv": cv}
+    row = values.agg(*(c.alias(n) for n, c in plain.items())).withColumns({"median": median, "p25": p25, "p75": p75})
+    return row.select(*(F.col(n).alias(prefix + n) for n in STATS))
+
+
+#: Statistics in the order they are given.
+STATS = ["n", "mean", "median", "std", "min", "max", "p25", "p75", "cv"]
 
 
 def trimmed(values: DataFrame, column: str, share: float) -> DataFrame:
     """Values between the percentiles `share` and 1 - share, bounds included."""
-    low, high = values.agg(F.percentile(column, share), F.percentile(column, 1 - share)).first()  # one row
+    low, high = percentiles(values, column, [share, 1 - share])
     return values.where(F.col(column).between(low, high)) if low is not None else values.limit(0)
 
 
 def compared_statistics(values: DataFrame, column: str, share: float) -> DataFrame:
     """(stat, original, trimmed, pct_change); the change is infinite from 0."""
-    names = ["n", "mean", "median", "std", "min", "max", "p25", "p75", "cv"]
 
     def tall(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*(F.col(n).cast("double").alias(n) for n in names)).unpivot([], names, "stat", name)
+        return df.select(*(F.col(n).cast("double").alias(n) for n in STATS)).unpivot([], STATS, "stat", name)
 
     a, b = tall(statistics(values, column), "original"), tall(statistics(trimmed(values, column, share), column), "trimmed")
     change = F.when(F.col("original") == 0, F.lit(float("inf"))).otherwise((F.col("trimmed") - F.col("original")) / F.col("original") * 100)
     return a.join(b, "stat").select("stat", "original", "trimmed", change.alias("pct_change"))
 
 
+def phase_statistics(durations_: DataFrame, phases: list[str], total: str, share: float = 0.02, total_share: float = 0.03) -> DataFrame:
+    """(phase, stat, original, trimmed, pct_change) of each phase, trimmed by share, and of the totals, by total_share."""
+    parts = [compared_statistics(durations_, p, total_share if p == total else share).withColumn("phase", F.lit(p)) for p in [*phases, total]]
+    return reduce(DataFrame.unionByName, parts).select("phase", "stat", "original", "trimmed", "pct_change")
+
+
+def over_logs(logs: list[DataFrame], name: str = "log") -> DataFrame:
+    """Results of several logs in one table, each with the number of its log."""
+    return reduce(DataFrame.unionByName, [df.withColumn(name, F.lit(k)) for k, df in enumerate(logs)])
+
+
+def duration_totals(durations_: DataFrame, phases: list[str]) -> DataFrame:
+    """One row: the sum of each phase's seconds, and of all."""
+    sums = [F.coalesce(F.sum(p), F.lit(0)) for p in phases]
+    return durations_.agg(*(c.alias(f"{p}_sum") for c, p in zip(sums, phases, strict=True)), reduce(lambda a, b: a + b, sums).alias("all_sum"))
+
+
 def nesting(ranges: DataFrame, group: str) -> DataFrame:
     """(group, line, depth, owner): how many half-open ranges (id, start, end) cover a line, and the last of them by start."""
     lines = ranges.where(F.col("end") > F.col("start")).select(group, "id", "start", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("line"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as tx
-from codeloom.operators import metrics, sequence
+from codeloom.operators import cases, metrics, sequence
 from codeloom.plans.facts import table
+from codeloom.streaming import ingest
 
 
 def confusion_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,16 +59,15 @@ def type_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def type_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """-1 unknown, 0 or 1 for one type; 2 for several with a known one, else -3."""
-    names = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.concat("p_brand", F.lit(" | "), "p_type")).otherwise(F.col("p_type")).alias("types"))
-    parts = names.select("p_partkey", F.size(tx.caught_types(F.col("types"))).alias("n"), F.explode(tx.caught_types(F.col("types"))).alias("type"))
-    known = spark.createDataFrame([("ECONOMY", 1), ("SMALL", 0), ("MEDIUM", 1)], "type string, runtime int")
-    joined = parts.join(F.broadcast(known), "type", "left").groupBy("p_partkey").agg(F.first("n").alias("n"), F.max("runtime").alias("r"))
-    return joined.select("p_partkey", F.when(F.col("n") == 1, F.coalesce("r", F.lit(-1))).when(F.col("r") == 1, 2).otherwise(-3).alias("class"))
+    """-1 unknown, 0 or 1 for one type; 2 for several with a runtime one, else -3. A type is runtime if its parts' least size is odd; those of SMALL size are unknown."""
+    part = table(spark, sf_dir, "part")
+    names = part.select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.concat("p_brand", F.lit(" | "), "p_type")).otherwise(F.col("p_type")).alias("types"))
+    known = part.where("p_type != 'SMALL'").groupBy(F.col("p_type").alias("name")).agg((F.min("p_partkey") % 2).cast("int").alias("runtime"))
+    return cases.type_class(names, "p_partkey", "types", known)
 
 
 def distinct_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    return cases.distinct_words(table(spark, sf_dir, "documents"), F.split("text", " "), "word")
 
 
 def trimmed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +81,14 @@ _STATS = "count(value)::DOUBLE AS n, avg(value) AS mean, quantile_cont(value, 0.
 def event_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """view, click, error, purchase in this order, for each user, with the phases' seconds."""
     events = table(spark, sf_dir, "events").withColumn("at", F.col("ts"))
-    found = sequence.phase_matches(events, "user_id", [F.col("event_type") == x for x in ("view", "click", "error", "purchase")], ["ts", "event_id"])
-    return found.select("user_id", F.col("match").cast("long").alias("match"), *(sequence.seconds(F.col(f"t{k}"), F.col(f"t{k + 1}")).alias(f"phase_{k}") for k in (1, 2, 3)), sequence.seconds(F.col("t1"), F.col("t4")).alias("total"))
+    found = sequence.durations(sequence.phase_matches(events, "user_id", [F.col("event_type") == x for x in ("view", "click", "error", "purchase")], ["ts", "event_id"]), 4)
+    return found.select("user_id", F.col("match").cast("long").alias("match"), "phase_1", "phase_2", "phase_3", "total")
 
 
 def marker_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(F.col("text").contains("token") | F.col("text").rlike("^The ")).select("doc_id", F.col("text").contains("token").alias("named"))
+    """Lines of documents by mark: three words, and a pattern at the line's start."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return lines.select("doc_id", "n", sequence.markers(F.col("line"), ["token", "the", "und"], "^[A-Z][a-z]+ ").alias("mark")).where("mark is not null")
 
 
 def localized_time(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +118,8 @@ def linear_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-time windows of six hours (an extension)."""
-    return table(spark, sf_dir, "events").groupBy(F.window("ts", "6 hours"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.unix_timestamp("window.start").alias("start"), "event_type", "n", "total")
+    found = ingest.event_windows(table(spark, sf_dir, "events"), "ts", "6 hours", "event_type", "value")
+    return found.select(F.unix_timestamp("window.start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 def union_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,12 +135,12 @@ def intersect_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def case_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cohorts: unknown label, short text, one-sided label; what would be kept where the filter empties a source stays."""
+    """Cohorts of documents as cases: unknown label, few lines, a source called test-like (src1*), one type only; where none of a source is kept, all stay."""
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    cohort = F.when(F.col("quality").isNull(), "unknown").when(F.col("n_chars") < 500, "short").when(F.col("quality") == F.col("toxic"), "odd").otherwise("kept")
+    types = F.when(F.col("toxic") == 1, F.array(F.lit("RuntimeException"))).otherwise(F.array("lang"))
+    cohort = cases.cohort(F.col("quality"), F.size(F.split("text", "\n")), F.regexp_replace("source", "^src1", "Test"), types)
     tagged = rows.select("doc_id", "source", cohort.alias("cohort"))
-    any_kept = tagged.groupBy("source").agg(F.max(F.col("cohort") == "kept").alias("some"))
-    return tagged.join(any_kept, "source").where((F.col("cohort") == "kept") | ~F.col("some")).select("doc_id", "source", "cohort")
+    return cases.keep_or_all(tagged, "source", F.col("cohort") == "kept")
 
 
 QUERIES = {
@@ -158,7 +161,7 @@ p AS (SELECT id, count(*) FILTER (zone = 'own' AND hit) AS oh, count(*) FILTER (
 SELECT sum(oh)::BIGINT AS own_hit, sum(om)::BIGINT AS own_miss, sum(nh)::BIGINT AS nested_hit, sum(nm)::BIGINT AS nested_miss, sum(uh)::BIGINT AS outside_hit, sum(um)::BIGINT AS outside_miss, count(*) FILTER (sh) AS start_hits, count(*) FILTER (oh + om > 0 AND 2 * oh >= oh + om) AS half_covered FROM p""",
     "include_counts": f"WITH r AS ({_RANGES}) SELECT count(*) FILTER (len(list_filter(own, lambda x: x < ps OR x >= pe)) = 0) AS line_included, count(*) FILTER (l_returnflag IN ('A', 'N', 'X')) AS type_included FROM r",
     "type_overlap": "SELECT o_orderkey, bool_or(CASE WHEN o_orderstatus = 'F' THEN l_returnflag IN ('A', 'R') ELSE l_returnflag = 'N' END) AS hit FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey",
-    "type_class": "SELECT p_partkey, (CASE WHEN p_size % 2 = 1 THEN CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'SMALL' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE -1 END WHEN p_type IN ('ECONOMY', 'MEDIUM') THEN 2 ELSE -3 END)::INT AS class FROM part",
+    "type_class": "WITH k AS (SELECT p_type, (min(p_partkey) % 2)::INT AS r FROM part WHERE p_type <> 'SMALL' GROUP BY p_type) SELECT p_partkey, (CASE WHEN p_size % 2 = 1 THEN coalesce(r, -1) WHEN r = 1 THEN 2 ELSE -3 END)::INT AS class FROM part LEFT JOIN k USING (p_type)",
     "distinct_exploded": "SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents",
     "trimmed_stats": f"WITH b AS (SELECT quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM events), a AS (SELECT {_STATS} FROM events), t AS (SELECT {_STATS} FROM events, b WHERE value BETWEEN lo AND hi), u AS (UNPIVOT a ON n, mean, median, std, min, max, p25, p75, cv INTO NAME stat VALUE original), v AS (UNPIVOT t ON n, mean, median, std, min, max, p25, p75, cv INTO NAME stat VALUE trimmed) SELECT stat, round(original, 4) AS original, round(trimmed, 4) AS trimmed, round(CASE WHEN original = 0 THEN 'infinity'::DOUBLE ELSE (trimmed - original) / original * 100 END, 4) AS pct_change FROM u JOIN v USING (stat)",
     "event_sequence": """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, ts, list_position(['view', 'click', 'error', 'purchase'], event_type) AS p FROM events WHERE event_type IN ('view', 'click', 'error', 'purchase')),
@@ -166,7 +169,7 @@ w AS (SELECT DISTINCT user_id, 0::BIGINT AS r, 0 AS n, 0::BIGINT AS m, []::TIMES
 SELECT w.user_id, e.r, CASE WHEN e.p = n + 1 THEN (n + 1) % 4 ELSE n END, CASE WHEN e.p = 4 AND n = 3 THEN m + 1 ELSE m END, CASE WHEN e.p = n + 1 THEN CASE WHEN n = 0 THEN [e.ts] ELSE list_append(t, e.ts) END ELSE t END FROM w JOIN e ON e.user_id = w.user_id AND e.r = w.r + 1),
 d AS (SELECT user_id, m, n, t, lag(m) OVER (PARTITION BY user_id ORDER BY r) AS before FROM w)
 SELECT user_id, m - 1 AS match, (floor(epoch(t[2])) - floor(epoch(t[1])))::BIGINT AS phase_1, (floor(epoch(t[3])) - floor(epoch(t[2])))::BIGINT AS phase_2, (floor(epoch(t[4])) - floor(epoch(t[3])))::BIGINT AS phase_3, (floor(epoch(t[4])) - floor(epoch(t[1])))::BIGINT AS total FROM d WHERE m > before""",
-    "marker_filter": "SELECT doc_id, contains(text, 'token') AS named FROM documents WHERE contains(text, 'token') OR regexp_matches(text, '^The ')",
+    "marker_filter": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), x AS (SELECT doc_id, unnest(range(0, len(ls)))::INT AS n, unnest(ls) AS line FROM l) SELECT doc_id, n, mark FROM (SELECT doc_id, n, CASE WHEN contains(line, 'token') THEN 1 WHEN contains(line, 'the') THEN 2 WHEN contains(line, 'und') THEN 3 WHEN regexp_matches(line, '^[A-Z][a-z]+ ') THEN 4 END AS mark FROM x) WHERE mark IS NOT NULL",
     "localized_time": "SELECT event_id, floor(epoch(ts))::BIGINT AS epoch FROM events",
     "line_nesting": "WITH r AS (SELECT *, unnest(range(l_linenumber, l_linenumber + l_quantity::INT % 11)) AS line FROM lineitem) SELECT l_orderkey, line::INT AS line, count(*) AS depth, arg_max(l_partkey, (l_linenumber, l_partkey, l_suppkey)) AS owner FROM r GROUP BY ALL",
     "negative_sample": "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) AS k FROM documents) WHERE k <= 2",
@@ -175,5 +178,5 @@ SELECT user_id, m - 1 AS match, (floor(epoch(t[2])) - floor(epoch(t[1])))::BIGIN
     "union_results": "SELECT nation, count(*) AS n FROM (SELECT c_nationkey AS nation FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY nation",
     "except_set": "SELECT n_nationkey AS nation FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000",
     "intersect_set": "SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier",
-    "case_filters": "WITH t AS (SELECT d.doc_id, source, CASE WHEN quality IS NULL THEN 'unknown' WHEN n_chars < 500 THEN 'short' WHEN quality = toxic THEN 'odd' ELSE 'kept' END AS cohort FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id), a AS (SELECT *, bool_or(cohort = 'kept') OVER (PARTITION BY source) AS any_kept FROM t) SELECT doc_id, source, cohort FROM a WHERE cohort = 'kept' OR NOT any_kept",
+    "case_filters": "WITH t AS (SELECT d.doc_id, source, CASE WHEN quality IS NULL THEN 'unknown' WHEN len(string_split(text, chr(10))) < 3 THEN 'short' WHEN starts_with(source, 'src1') THEN 'test' WHEN toxic = 1 THEN 'runtime' ELSE 'kept' END AS cohort FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id), a AS (SELECT *, bool_or(cohort = 'kept') OVER (PARTITION BY source) AS any_kept FROM t) SELECT doc_id, source, cohort FROM a WHERE cohort = 'kept' OR NOT any_kept",
 }

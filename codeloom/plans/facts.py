@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import closure, graph, kb
+from codeloom.operators import cases, closure, enrich, graph, handlers, kb
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,7 +93,7 @@ def skip_done(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def semi_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(late, "o_orderkey", "left_semi").select("o_orderkey", "o_custkey")
+    return kb.present(table(spark, sf_dir, "orders"), late, ["o_orderkey"]).select("o_orderkey", "o_custkey")
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,16 +128,16 @@ def suffix_lookup_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_suffix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short names of an answer against qualified candidates, within each row."""
-    answer = F.array(F.lit("ring"), F.lit("gear"))
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name").where(F.exists(answer, lambda s: F.col("p_name").endswith(s)))
+    """Candidates (a part's brand and type, each before its name) that end in one of an answer's short names, which are parts of the name."""
+    answer = F.split("p_name", " ")
+    candidates = F.array(F.concat_ws(".", "p_brand", F.element_at(answer, -1)), F.concat_ws(".", "p_type", F.lower("p_brand")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(enrich.matched_exceptions(answer, candidates), ",").alias("matched"))
 
 
 def method_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal name, different body: order lines of one order that changed between two line numbers."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
-    a, b = rows.alias("a"), rows.alias("b")
-    return a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber")) & (F.col("a.l_quantity") != F.col("b.l_quantity"))).select(F.col("a.l_orderkey").alias("l_orderkey"), F.col("a.l_partkey").alias("part_a"), F.col("b.l_partkey").alias("part_b"))
+    """Equal file and name, different text: lines of a part with one line number, returned (old) and not (new)."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("file"), F.col("l_linenumber").alias("name"), F.col("l_quantity").alias("text"), "l_returnflag")
+    return handlers.paired(rows.where("l_returnflag = 'R'").drop("l_returnflag"), rows.where("l_returnflag != 'R'").drop("l_returnflag"), ["file"]).select("file", "name", "before", "after")
 
 
 def edge_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,8 +185,7 @@ def uncaught_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exceptions (suppliers' nations) that no call site set on the path catches."""
     roots, edges = _case_graph(spark, sf_dir)
     throws = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("method"), F.col("s_nationkey").alias("exception"))
-    catches = graph.edge_catches(_sites(spark, sf_dir), _nation_closure(spark, sf_dir))
-    found = graph.uncaught(graph.spanning_trees(roots, edges), edges, throws, catches)
+    found = graph.uncaught(graph.spanning_trees(roots, edges), edges, throws, _sites(spark, sf_dir), _nation_closure(spark, sf_dir))
     return found.select("case_id", "method", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "exception")
 
 
@@ -204,7 +203,8 @@ def adaptive_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("nations"))
+    lists = cases.grouped(table(spark, sf_dir, "nation").select("n_regionkey", "n_name"), "n_regionkey", ["n_name"])
+    return lists.select("n_regionkey", F.array_join(F.transform("rows", lambda r: r["n_name"]), ",").alias("nations"))
 
 
 QUERIES = {f"khop_{k}": _khop(k) for k in (1, 2, 3, 4)} | {
@@ -231,8 +231,8 @@ ORACLES = {f"khop_{k}": _khop_sql(k) for k in (1, 2, 3, 4)} | {
     "simple_name_resolution": "WITH k AS (SELECT replace(p_name, ' ', '_') AS s, min(lower(p_type) || '.' || replace(p_name, ' ', '_')) AS q FROM part GROUP BY 1), a AS (SELECT replace(p_name, ' ', '_') AS name FROM part UNION SELECT r_name FROM region) SELECT name, coalesce(q, name) AS qualified FROM a LEFT JOIN k ON s = name",
     "suffix_lookup_ilike": "SELECT p_partkey, lower(p_type) || '.' || p_name AS name FROM part WHERE lower(p_type) || '.' || p_name ILIKE '%Widget'",
     "suffix_lookup_segment": "SELECT p_partkey, lower(p_type) || '.' || replace(p_name, ' ', '.') AS name FROM part WHERE ends_with(lower(p_type) || '.' || replace(p_name, ' ', '.'), '.widget')",
-    "answer_suffix_match": "SELECT p_partkey, p_name FROM part WHERE ends_with(p_name, 'ring') OR ends_with(p_name, 'gear')",
-    "method_pairing": "SELECT a.l_orderkey, a.l_partkey AS part_a, b.l_partkey AS part_b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_quantity <> b.l_quantity",
+    "answer_suffix_match": "WITH a AS (SELECT *, string_split(p_name, ' ') AS w FROM part), c AS (SELECT p_partkey, w, [p_brand || '.' || w[-1], p_type || '.' || lower(p_brand)] AS c FROM a) SELECT p_partkey, array_to_string(list_filter(c, lambda q: len(list_filter(w, lambda x: ends_with(q, x))) > 0), ',') AS matched FROM c",
+    "method_pairing": "SELECT a.l_partkey AS file, a.l_linenumber AS name, a.l_quantity AS before, b.l_quantity AS after FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_linenumber = b.l_linenumber AND a.l_quantity <> b.l_quantity WHERE a.l_returnflag = 'R' AND b.l_returnflag <> 'R'",
     "edge_sites": "SELECT l_partkey AS caller, l_suppkey AS callee, count(*) AS n_sites, string_agg(l_returnflag, ',' ORDER BY l_returnflag) AS caught FROM lineitem GROUP BY ALL",
     "edge_caught_all_any": f"WITH RECURSIVE {_CATCHES_SQL} SELECT * FROM caught",
     "bfs_levels": f"WITH {_CASES_SQL} SELECT case_id, node, coalesce(parent, node) AS parent, level::BIGINT AS level FROM tree",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as tx
-from codeloom.operators import align, enrich
+from codeloom.operators import enrich
 from codeloom.plans.facts import table
 
 
@@ -21,7 +21,9 @@ def signature_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strip_generics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lit("Map<List<"), F.col("p_type"), F.lit(">,Set<? super "), F.col("p_brand"), F.lit(">>."), F.col("p_name"))
+    """Names whose type parameters nest as deep as a part is big."""
+    deep = F.col("p_size") % 9
+    name = F.concat("p_brand", F.repeat(F.lit("<A,List"), deep), F.when(deep > 0, F.lit("<? super T>")).otherwise(""), F.repeat(F.lit(">"), deep), F.lit("."), F.col("p_name"))
     return table(spark, sf_dir, "part").select("p_partkey", tx.strip_generics(name).alias("bare"), tx.after_last_dot(tx.strip_generics(name)).alias("last"))
 
 
@@ -35,9 +37,10 @@ def char_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_throws_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    comment = F.concat(F.lit("Does it.\n@throws IOException if "), F.col("lang"), F.lit("\n@throws Error never\n@throws IOException when "), F.col("source"), F.lit(" fails\n"))
-    tags = table(spark, sf_dir, "documents").select("doc_id", tx.throws_tags(comment).alias("tags"))
-    return tags.select("doc_id", F.explode("tags").alias("type", "condition"))
+    """A document's lines as `@throws` tags: the first word is the type, the rest the condition; the last line of a type counts."""
+    tagged = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("@throws "), x)), "\n")
+    tags = table(spark, sf_dir, "documents").select("doc_id", tx.throws_tags(tagged).alias("tags"))
+    return tags.select("doc_id", F.explode("tags").alias("type", "condition")).select("doc_id", "type", F.md5("condition").alias("condition"))
 
 
 def fence_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,14 +84,6 @@ def class_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", tx.class_type(F.col("p_size") % 5 == 0, F.col("p_size") * 64).alias("class_type"), tx.source_path(F.concat(F.lower("p_type"), F.lit("."), F.translate("p_name", " ", "."))).alias("path"))
 
 
-def line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignment of each conversation turn with the next one's lines."""
-    from pyspark.sql import Window
-
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "text")).alias("after"))
-    return align.aligned(turns.where("after is not null"), "text", "after").select("conv_id", "turn", F.size("matched").cast("long").alias("n"), F.aggregate("matched", F.lit(0), lambda s, x: s + x).cast("long").alias("total"))
-
-
 def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Examples with a stored answer, and those that still need a call."""
     cache = table(spark, sf_dir, "conversations").where("role = 'assistant'").groupBy(F.col("conv_id").alias("case_id")).agg(F.min_by("text", F.struct("turn", "text")).alias("answer"))
@@ -122,24 +117,24 @@ QUERIES = {
     f.__name__: f
     for f in (
         newline_count, signature_build, strip_generics, generic_placements, char_positions, doc_throws_extract, fence_strip, json_fields, record_md5, example_id, prompt_assembly, normal_line, encoder_input, marked_lines,
-        class_types, line_alignment, cached_answers, path_accessors, map_overlay, locate_lines,
+        class_types, cached_answers, path_accessors, map_overlay, locate_lines,
     )
 }
 
 ORACLES = {
     "newline_count": "SELECT doc_id, (length(text) - length(replace(text, chr(10), '')))::BIGINT AS n, len(string_split(regexp_replace(text, '\\n+$', ''), chr(10))) AS n_lines FROM documents",
     "signature_build": "SELECT l_orderkey, 'order.' || l_orderkey || '(' || string_agg(l_returnflag, ',' ORDER BY l_linenumber, l_partkey, l_returnflag) || ')' AS name FROM lineitem GROUP BY l_orderkey",
-    "strip_generics": "SELECT p_partkey, 'Map.' || p_name AS bare, p_name AS last FROM part",
+    "strip_generics": "WITH n AS (SELECT p_partkey, p_brand || repeat('<A,List', p_size % 9) || CASE WHEN p_size % 9 > 0 THEN '<? super T>' ELSE '' END || repeat('>', p_size % 9) || '.' || p_name AS n FROM part), b AS (SELECT p_partkey, " + "regexp_replace(" * 10 + "n" + ", '<[^<>]*>', '', 'g')" * 10 + " AS bare FROM n) SELECT p_partkey, bare, CASE WHEN contains(bare, '.') THEN string_split(bare, '.')[-1] ELSE '' END AS last FROM b",
     "generic_placements": """WITH n AS (SELECT p_partkey, lower(p_type) AS h, (string_split(p_name || ' x', ' '))[1:p_size % 3 + 1] AS p FROM part), m AS (SELECT *, unnest(range(1, (2 ** len(p))::BIGINT)) AS b FROM n)
 SELECT p_partkey, h || '(' || array_to_string(list_transform(p, lambda x, i: CASE WHEN (b >> (i - 1)) & 1 = 1 THEN x || '<*>' ELSE x END), ',') || ')' AS name FROM m""",
     "char_positions": "SELECT p_partkey, array_to_string(list_filter(range(0, length(p_name)), lambda i: p_name[i + 1] = 'e'), ',') AS places FROM part",
-    "doc_throws_extract": "SELECT doc_id, 'Error' AS type, 'never' AS condition FROM documents UNION ALL SELECT doc_id, 'IOException', 'when ' || source || ' fails' FROM documents",
+    "doc_throws_extract": r"WITH l AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: '@throws ' || x), chr(10)) AS t FROM documents), m AS (SELECT doc_id, regexp_extract_all(t, '@throws\s+(\S+)\s+([^\n]*)', 1) AS k, regexp_extract_all(t, '@throws\s+(\S+)\s+([^\n]*)', 2) AS v FROM l), x AS (SELECT doc_id, unnest(range(0, len(k))) AS i, unnest(k) AS type, unnest(v) AS c FROM m) SELECT doc_id, type, md5(arg_max(c, i)) AS condition FROM x GROUP BY doc_id, type",
     "fence_strip": "SELECT conv_id, turn, md5(regexp_replace(text, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g') || chr(10)) AS body FROM conversations",
     "json_fields": "SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events",
     "record_md5": "SELECT doc_id, md5(text) AS digest, md5(source || '|' || lang || '>' || source || '|a,b') AS finding FROM documents",
     "example_id": "SELECT page_id, 'owner_repo' || page_id || '+' || left(sha1(url), 7) || '+run' AS id FROM pages",
     "prompt_assembly": "WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations), p AS (SELECT conv_id, 'Judge ' || count(*) || ' turns.' || chr(10) || string_agg(k || '. ' || role || ': ' || text, chr(10) ORDER BY k) AS prompt FROM t GROUP BY conv_id) SELECT conv_id, md5(prompt) AS digest, length(prompt)::INT AS n FROM p",
-    "normal_line": r"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), x AS (SELECT doc_id, unnest(range(0, len(ls))) AS n, unnest(ls) AS line FROM l) SELECT doc_id, n::INT AS n, md5(regexp_replace(regexp_replace(trim(line, ' '), '[ \t]+', ' ', 'g'), ' ?([(){}\[\]<>,;=]) ?', '\1', 'g')) AS digest FROM x",
+    "normal_line": r"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), x AS (SELECT doc_id, unnest(range(0, len(ls))) AS n, unnest(ls) AS line FROM l) SELECT doc_id, n::INT AS n, md5(regexp_replace(regexp_replace(regexp_replace(line, '([()\[\]{};])', ' \1 ', 'g'), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g'), '[ \t\n\x0B\f\r]{2,}', ' ', 'g')) AS digest FROM x",
     "encoder_input": "SELECT doc_id, md5('[CLS]' || replace(text, chr(10), '[SEP]')) AS digest FROM documents",
     "marked_lines": "SELECT doc_id, md5(array_to_string(list_transform(string_split(regexp_replace(text, '\\n+$', ''), chr(10)), lambda x, i: CASE WHEN i IN (2, 3) THEN 'O ' ELSE '  ' END || x), chr(10))) AS digest FROM documents",
     "class_types": "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'interface' WHEN (p_size * 64) & 1024 <> 0 THEN 'abstract class' ELSE 'class' END AS class_type, lower(p_type) || '/' || replace(p_name, ' ', '/') || '.java' AS path FROM part",

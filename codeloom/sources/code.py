@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import re
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.session import staged
+
 _INTS, _STRINGS = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
 
 #: An experiment example as its JSON files hold it.
@@ -70,9 +76,13 @@ def examples_or_none(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line): whole files are split, so lines keep their order."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    """(file, line_no, line): lines in order. Long logs are read in splits: lines are counted by split, and the counts before it are added."""
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    placed = staged(read.withColumn("at", F.monotonically_increasing_id()), "log")
+    splits = placed.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return placed.join(F.broadcast(starts), ["file", "block"]).select("file", (F.col("start") + F.col("at") - F.col("first")).alias("line_no"), F.col("value").alias("line"))  # one row for each split
 
 
 def records(spark: SparkSession, root: str) -> DataFrame:
@@ -89,8 +99,53 @@ def append_records(answers: DataFrame, path: str) -> None:
 
 
 def replace_json(rows: DataFrame, path: str) -> None:
-    """Replace a JSON folder as a whole. rows must not read from it."""
-    rows.write.mode("overwrite").json(path)
+    """Replace a JSON folder as a whole; rows may read from it. What is new is written beside it, the old one is kept until that stands in its place."""
+    spark = rows.sparkSession
+    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    rows.write.json(fresh)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = fs.exists(at(path))
+    if there:
+        fs.rename(at(path), at(old))
+    if not fs.rename(at(fresh), at(path)):
+        if there:
+            fs.rename(at(old), at(path))
+        raise OSError(f"{path} could not be replaced")
+    if there:
+        fs.delete(at(old), True)
+
+
+def json_array(rows: DataFrame, key: str, path: str) -> None:
+    """Write rows as JSON lines, a folder for each value of a key."""
+    rows.write.mode("append").partitionBy(key).json(path)
+
+
+def templates(path: str) -> dict[str, str]:
+    """Prompt templates of a JSON object file, by name."""
+    with open(path, encoding="utf-8") as f:
+        return {str(k): str(v) for k, v in json.load(f).items()}
+
+
+def properties(path: str) -> dict[str, str]:
+    """`name = value` or `name: value` lines of a settings file; `#` and `!` begin comments, a backslash at the end goes on."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read().replace("\\\n", "")
+    found = (re.match(r"\s*([^#!\s][^=:\s]*)\s*[=:\s]\s*(.*)", line) for line in text.splitlines())
+    return {m[1]: m[2].strip() for m in found if m}
+
+
+def record_of(cases: DataFrame, cache: DataFrame, mark: str) -> DataFrame:
+    """cases (case_id) with the cached record of a mark, or null."""
+    known = cache.where(F.col("mark") == mark).groupBy("case_id").agg(F.max("value").alias("value"))
+    return cases.join(known, "case_id", "left")
+
+
+def files_under(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """Files below one of the roots. Both meet on the folders above a file, so no file is tested against all roots."""
+    parts = F.split("path", "/")
+    above = files.select("path", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("root"))
+    return files.join(above.join(roots.select(F.regexp_replace("root", "/$", "").alias("root")).distinct(), "root", "left_semi").select("path").distinct(), "path", "left_semi")
 
 
 def folder_listing(files: DataFrame, column: str = "path") -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,3 +37,40 @@ def resumable(spark: SparkSession, source: str, schema: T.StructType, process: C
 def windowed(events: DataFrame, time: str, length: str, late: str, by: str) -> DataFrame:
     """Counts by event-time window, dropping what is later than `late` (an extension: nothing before it has windows)."""
     return events.withWatermark(time, late).groupBy(F.window(time, length), by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def event_windows(events: DataFrame, time: str, length: str, by: str, value: str) -> DataFrame:
+    """Counts and sums by event-time window, for tables and streams alike."""
+    return events.groupBy(F.window(time, length), by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+
+
+def stop(query: StreamingQuery, grace: float = 60.0) -> bool:
+    """Stop a stream after what it works on: waits up to `grace` seconds for it to end by itself; whether it did."""
+    ended = bool(query.awaitTermination(grace))
+    if not ended:
+        query.stop()
+    return ended
+
+
+def phases_stream(events: DataFrame, key: str, n: int) -> DataFrame:
+    """As operators.sequence.phase_matches over a stream of (key, phase, at) that comes in order: (key, match, t1, tn).
+
+    The state of a key is its open phase, when that match began, and how many are complete.
+    """
+    kind = events.schema[key].dataType.simpleString()
+
+    def walk(group: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        phase, first, count = state.get if state.exists else (0, 0, 0)
+        out = []
+        for part in parts:
+            for found, at in sorted(zip(part["phase"], part["at"], strict=True), key=lambda x: x[1]):
+                if found == phase + 1:
+                    phase, first = found, at.value if found == 1 else first
+                    if found == n:
+                        out.append((group[0], count, pd.Timestamp(first), at))
+                        phase, count = 0, count + 1
+        state.update((int(phase), int(first), int(count)))
+        yield pd.DataFrame(out, columns=[key, "match", "first", "last"])
+
+    rows = events.select(key, "phase", "at")
+    return rows.groupBy(key).applyInPandasWithState(walk, f"{key} {kind}, match int, first timestamp, last timestamp", "phase int, first bigint, count int", "append", "NoTimeout")
