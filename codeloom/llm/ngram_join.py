@@ -46,8 +46,8 @@ TREES = 24
 DEEPEST = 6
 TARGET = 0.99999
 NODE = 40
-#: Texts, and bytes of packed text, in a block of a cluster.
-BLOCK, BLOCK_BYTES = 1024, 2 << 20
+#: Texts in a block of a cluster: of BLOCK up to BLOCKS blocks, then more, up to LARGE; and bytes of packed text.
+BLOCK, BLOCKS, LARGE, BLOCK_BYTES = 256, 64, 1024, 2 << 20
 SHINGLE = 5
 #: The threshold as a fraction, so that ties are exact: |a and b| * DENOMINATOR >= |a or b| * NUMERATOR.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -129,48 +129,53 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walks sorted labels as tries: (src, dst, depth) of texts that share a prefix, (print, null, depth) of texts in a node of more than NODE.
-
-    Of each open node at most NODE members are held. The pairs of a node that outgrows it were
-    emitted before that was known; they are dropped later, as both their texts are crowded.
+    """Walks sorted labels as tries: (src, dst, depth) of texts that share a prefix, of depth hashes; (print, null, null) of texts in a node of
+    more than NODE at the floor, which give no pairs. At most NODE labels are held.
     """
-    floor, levels = floor_depth(), len(_PREFIXES)
-    nodes: list[list[bytes]] = [[] for _ in range(levels)]  # members of the open nodes, from the floor down
-    crowded = [False] * levels
-    last: tuple | None = None  # prefixes and print of the row before
+    node: list[tuple[list, bytes]] = []  # labels and texts of the open node at the floor
+    first, crowded = None, False
+    src: list[bytes] = []
+    dst: list[bytes | None] = []
+    depths: list[int | None] = []
+
+    def close() -> None:
+        for n, (label, text) in enumerate(node):
+            for other, partner in node[:n]:
+                depth = floor_depth()
+                for a, b in zip(label[1:], other[1:], strict=True):
+                    if a != b:
+                        break
+                    depth += 1
+                src.append(min(text, partner)), dst.append(max(text, partner)), depths.append(depth)
+        node.clear()
+
+    def full() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary()), pa.array(depths, pa.int32())], ["src", "dst", "depth"])
+        src.clear(), dst.clear(), depths.clear()
+        return out
+
     for batch in batches:
         columns = [batch.column(c).to_numpy() for c in _PREFIXES]
         prints = batch.column("print")
-        src: list[bytes] = []
-        dst: list[bytes | None] = []
-        depths: list[int] = []
         # rows alone at the floor pair with nobody; only the others are walked
         same = np.flatnonzero(columns[0][1:] == columns[0][:-1])
         walked = np.union1d(np.union1d(same, same + 1), [0, batch.num_rows - 1][: batch.num_rows]).astype(int)
         for i in walked:
-            row, print_ = [c[i] for c in columns], prints[i].as_py()
-            shared = 0
-            while last is not None and shared < levels and last[0][shared] == row[shared]:
-                shared += 1
-            for level in range(shared, levels):
-                nodes[level], crowded[level] = [], False
-            for level in range(shared):
-                inside = set(nodes[level + 1]) if level + 1 < shared else set()
-                if crowded[level]:
-                    src.append(print_), dst.append(None), depths.append(floor + level)
-                elif len(nodes[level]) == NODE:
-                    crowded[level] = True
-                    for member in [*nodes[level], print_]:
-                        src.append(member), dst.append(None), depths.append(floor + level)
-                else:
-                    for member in nodes[level]:
-                        if member not in inside:
-                            src.append(min(member, print_)), dst.append(max(member, print_)), depths.append(floor + level)
-            for level in range(levels):
-                if len(nodes[level]) < NODE:
-                    nodes[level].append(print_)
-            last = (row, print_)
-        yield pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary()), pa.array(depths, pa.int32())], ["src", "dst", "depth"])
+            label, text = [c[i] for c in columns], prints[i].as_py()
+            if label[0] != first:
+                close()
+                first, crowded = label[0], False
+            if not crowded and len(node) == NODE:
+                crowded = True
+                src.extend(member for _, member in node), dst.extend([None] * NODE), depths.extend([None] * NODE)
+                node.clear()
+            if crowded:
+                src.append(text), dst.append(None), depths.append(None)
+            else:
+                node.append((label, text))
+        yield full()
+    close()
+    yield full()
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +287,8 @@ def _compared(crowd: DataFrame, weights: DataFrame) -> DataFrame:
     clusters = components(prefix.join(least, "shingle").select("src", F.col("print").alias("dst")), "clusters")
 
     members = staged(clusters.select(F.col("node").alias("print"), F.col("component").alias("cluster")).join(crowd.select("print", F.length("packed").alias("bytes")), "print"), "members")
-    many = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)
+    texts = F.count(F.lit(1))
+    many = F.greatest(texts / LARGE, F.least(texts / BLOCK, F.lit(BLOCKS)), F.sum("bytes") / BLOCK_BYTES)
     blocks = members.groupBy("cluster").agg(F.ceil(many).cast("int").alias("blocks"))
     dealt = members.drop("bytes").join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")).join(weights, "print").join(crowd, "print")
     met_ = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
@@ -369,7 +375,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     rows = staged(_classified(docs).select("doc_id", "key", "component"), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")
-    heads = rows.where("component is not null").groupBy("component").agg(first).select(F.col("first.key").alias("loom_key"))
-    heads = heads.unionByName(rows.where("component is null").select(F.col("key").alias("loom_key"))).distinct()
-    keyed = docs.withColumn("loom_key", doc_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(heads.hint("merge"), "loom_key", "left_semi").dropDuplicates(["loom_key"]).select(*docs.columns)
+    heads = rows.where("component is not null").groupBy("component").agg(first).select(F.col("first.key").alias("key"))
+    heads = heads.unionByName(rows.where("component is null").select("key")).distinct()
+    keyed = docs.select(doc_key(F.col("doc_id"), F.col("text")).alias("key"), F.struct(*docs.columns).alias("doc"))
+    return keyed.join(heads.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
