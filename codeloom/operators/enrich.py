@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.functions.text import strip_fence
 
@@ -146,7 +147,7 @@ def ask(rows: DataFrame, client: Callable[[str], str], workers: int = 4, pause:
     """rows (with prompt) and the client's answer, error: at most `workers` calls at once, `pause` seconds apart, each tried TRIES
     times, `delay` seconds apart, on a connection error and asked again PARSE_TRIES times where the answer is no JSON object.
     """
-    schema = rows.schema.add("answer", "string").add("error", "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
 
     def call(question: str) -> tuple[str | None, str | None]:
         problem = "no answer"
@@ -182,7 +183,7 @@ def ask(rows: DataFrame, client: Callable[[str], str], workers: int = 4, pause:
 
 def classify(rows: DataFrame, column: str, load: Callable[[], Callable[[pd.Series], pd.Series]]) -> DataFrame:
     """rows with `class`: a model that each task loads once and applies to batches."""
-    schema = rows.schema.add("class", "integer")
+    schema = T.StructType([*rows.schema.fields, T.StructField("class", T.IntegerType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from codeloom.functions.text import lines, may_have_handlers, valid_lines
 from codeloom.operators.align import aligned
+from codeloom.session import staged
 
 #: A try statement, with its lines in the method as a half-open range, in the order of the text.
 TRY = "array<struct<place:int,start:int,end:int,types:array<string>,bodies:array<string>>>"
@@ -120,6 +121,8 @@ def method_diff(rows: DataFrame, before: str, after: str) -> DataFrame:
     kept = with_tries(with_tries(aligned(kept, "_before", "_after").drop("status"), "_before", "_tries1"), "_after", "_tries2")
     kept = kept.withColumns({"_lines1": lines(F.col("_before")), "_lines2": lines(F.col("_after"))})
     kept = kept.withColumns({"_depth1": nesting(F.col("_tries1"), F.size("_lines1")), "_depth2": nesting(F.col("_tries2"), F.size("_lines2")), "_owner": owners(F.col("_tries2"), F.size("_lines2"))})
+    # written once: else the arrays would be worked out again for each line that looks into them
+    kept = staged(kept, "lines")
     kept = kept.withColumn("_added", added(F.col("matched"), F.col("_tries2"), F.col("_depth1"), F.col("_depth2"), F.col("_owner"), F.col("_lines2")))
     one = F.transform("_added", lambda t: described(t, F.col("matched"), F.col("_owner"), F.col("_lines2")))
     none = F.array().cast(kept.select(one.alias("x")).schema["x"].dataType)
