@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as tx
-from codeloom.operators import align, closure, enrich, extract, graph, kb, metrics, sequence
+from codeloom.operators import align, cases, closure, enrich, extract, graph, handlers, kb, metrics, nodes, sequence
 from codeloom.sources import code
 from codeloom.streaming import ingest
 
@@ -60,7 +62,7 @@ def test_uncaught_paths(spark):
     assert {(r["caller"], r["callee"], r["exception"]) for r in catches.collect()} == {("m", "a", "E"), ("m", "a", "IO")}
     trees = graph.spanning_trees(spark.createDataFrame([(1, "m")], "case_id int, root string"), sites)
     throws = spark.createDataFrame([("x", "IO"), ("m", "E")], "method string, exception string")
-    got = {(r["method"], tuple(r["path"]), r["exception"]) for r in graph.uncaught(trees, sites, throws, catches).collect()}
+    got = {(r["method"], tuple(r["path"]), r["exception"]) for r in graph.uncaught(trees, sites, throws, sites, parents).collect()}
     assert got == {("m", ("m",), "E"), ("x", ("m", "b", "x"), "IO")}
     walk = graph.depth_first(spark.createDataFrame([(1, "m")], "case_id int, root string"), sites.select(F.lit(1).alias("case_id"), "caller", "callee"))
     assert {r["node"]: r["path"] for r in walk.collect()} == {"m": ["m"], "a": ["m", "a"], "x": ["m", "a", "x"], "b": ["m", "b"]}
@@ -104,13 +106,19 @@ def test_alignment_is_monotone_and_matches_equal_lines(old, new):
     assert taken == sorted(taken) and len({i for i, _ in taken}) == len(taken)
     assert all(old[i] == new[j] for i, j in taken)
     assert (old == new) <= (match == list(range(len(new))))
-    kept = [x[2:] for x in align.edit_script(old, new) if x[0] != "+"]
-    assert kept == old
+    script = align.edit_script(old, new)
+    assert [x[1:] if x[0] == " " else x[2:].split(" -> ")[0] for x in script if x[0] != "+"] == old
+    assert [x[1:] if x[0] == " " else x[2:].split(" -> ")[-1] for x in script if x[0] != "-"] == new
 
 
 def test_alignment_forms():
     assert align.align(["int x = f();"], ["x = f();"]) == [0]
-    assert align.align(["R r = open();"], ["try (R r = open()) {"]) == [0]
+    assert align.align(["R r = open();"], ["try (r = open();) {"]) == [0]
+    assert align.align(["R r = open();"], ["try (R r = open()) {"]) == [-1]
+    assert align.align(["\tfoo( a );", "b"], ["foo(a);", " b\t"]) == [0, 1]
+    assert align.align(["a = b"], ["a=b"]) == [-1]  # blanks count beside all but brackets and semicolons
+    assert align.align(["int\tx = f();"], ["x = f();"]) == [-1]  # ends, though nothing can be taken off
+    assert align.edit_script(["head", "a", "tail"], ["head", "b", "tail", "end"]) == [" head", "~ a -> b", " tail", "+ end"]
 
 
 def test_ask_retries_and_parses(spark):
@@ -122,7 +130,7 @@ def test_ask_retries_and_parses(spark):
         return '```json\n{"answer": "yes"}\n```'
 
     df = spark.createDataFrame([("ok",), ("bad",), ("down",)], "prompt string")
-    got = {r["prompt"]: (r["answer"], r["error"]) for r in enrich.ask(df, client).collect()}
+    got = {r["prompt"]: (r["answer"], r["error"]) for r in enrich.ask(df, client, delay=0.0).collect()}
     assert got["ok"] == ('{"answer": "yes"}', None) and got["bad"] == (None, "no JSON object") and got["down"][1].startswith("ConnectionError")
 
 
@@ -169,3 +177,165 @@ def test_long_texts_are_aligned(spark):
     got = {r["id"]: r for r in align.aligned(rows, "a", "b").collect()}
     assert got[1]["matched"] == [k for k in range(6000) if k % 10] + [-1] and got[1]["status"] == "aligned"
     assert got[2]["matched"] is None and got[2]["status"] == "missing"
+
+
+def test_chains_end_on_cycles_and_count_nodes_once(spark):
+    parents = spark.createDataFrame([("a", "b"), ("b", "a"), ("x", "y"), ("x", "z"), ("y", "K"), ("z", "K"), ("K", "top")], "child string, parent string")
+    got = {tuple(r) for r in closure.chain_until(parents, spark.createDataFrame([("K",)], "name string")).collect()}
+    assert got == {("a", "a", 0), ("a", "b", 1), ("b", "b", 0), ("b", "a", 1), ("x", "x", 0), ("x", "y", 1), ("x", "z", 1), ("x", "K", 2), ("y", "y", 0), ("y", "K", 1), ("z", "z", 0), ("z", "K", 1)}
+
+
+def test_generics_of_any_depth_and_unbalanced(spark):
+    names = ["A" + "<A" * 8 + ">" * 8, "Map<K,List<V>>.x", "a>b", "a<b", "a<b>c>d<e", "", None]
+
+    def plain(text):
+        if text is None:
+            return None
+        out, depth = "", 0
+        for c in text:
+            if c == "<":
+                depth += 1
+            elif c == ">":
+                depth = max(depth - 1, 0)
+            elif not depth:
+                out += c
+        return out
+
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in df.select(tx.strip_generics(F.col("n"))).collect()] == [plain(n) for n in names]
+
+
+def test_lookup_takes_the_tested_names(spark):
+    known = ["build.tools.projectcreator.BuildConfig.init(Vector<String>,Vector<String>)", "java.util.stream.Stream.collect(Collector<? super T,A,R>)", "java.util.Collections.indexedBinarySearch(List<? extends Comparable<? super T>>,T)"]
+    asked = {known[0]: known[0], "java.util.stream.Stream.collect(Collector)": known[1], "java.util.Collections.indexedBinarySearch(List,T)": known[2]}
+    got = kb.exact_then_erased(spark.createDataFrame([(q,) for q in asked], "query string"), spark.createDataFrame([(n,) for n in known], "name string"))
+    assert {r["query"]: r["name"] for r in got.collect()} == asked
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 101])
+def test_percentiles_and_row_numbers(spark, n):
+    rng = random.Random(n)
+    values = [float(rng.randrange(50)) for _ in range(n)]
+    df = spark.createDataFrame([(v, k) for k, v in enumerate(values)] + [(None, -1)], "v double, k int").repartition(5)
+    got = sequence.percentiles(df, "v", [0.0, 0.02, 0.5, 0.75, 1.0])
+    want = [float(np.percentile(values, p)) for p in (0, 2, 50, 75, 100)] if n else [None] * 5
+    assert got == pytest.approx(want) if n else got == want
+    numbered = kb.numbered(df.where("v is not null"), ["v", "k"]).collect()
+    assert [(r["v"], r["k"]) for r in sorted(numbered, key=lambda r: r["row_index"])] == sorted((v, k) for k, v in enumerate(values)) and sorted(r["row_index"] for r in numbered) == list(range(n))
+
+
+def test_zones_by_counting_lines(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(0, 12), rng.randrange(12), rng.randrange(12), [rng.randrange(14) for _ in range(rng.randrange(4))], rng.randrange(12), rng.randrange(14)) for _ in range(200)]
+    got = metrics.zone_coverage(spark.createDataFrame(rows, "n_lines int, start int, end int, own array<int>, p_start int, p_end int")).first().asDict()
+    want = dict.fromkeys(got, 0)
+    for n, start, end, own, ps, pe in rows:
+        hits = {"own": [0, 0], "nested": [0, 0], "outside": [0, 0]}
+        for line in range(n):
+            zone = "own" if line in own else "nested" if start <= line < end else "outside"
+            hits[zone][ps <= line < pe] += 1
+        for zone, (miss, hit) in hits.items():
+            want[f"{zone}_miss"] += miss
+            want[f"{zone}_hit"] += hit
+        want["start_hits"] += bool(own) and own[0] < n and ps <= own[0] < pe
+        miss, hit = hits["own"]
+        want["half_covered"] += miss + hit > 0 and 2 * hit >= miss + hit
+    assert got == want
+
+
+def test_added_tries_know_their_accepted_ancestors(spark):
+    before = "void f() {\n  a();\n  b();\n}"
+    nested = "void f() {\n  try {\n    a();\n    try {\n      b();\n    } catch (final E1 e) {\n      x();\n    }\n  } catch (E2 e) {\n  }\n}"
+    rows = [(1, before, nested), (2, nested, nested), (3, before, before), (4, None, nested), (5, before, 'void f() {\n  log("try { catch");\n}'), (6, "", "try catch"), (7, before, before.replace("a();", "try {\n;\n} finally {\n}\na(); // catch"))]
+    out = {r["id"]: r for r in handlers.method_diff(spark.createDataFrame(rows, "id int, b string, a string"), "b", "a").collect()}
+    assert [c["exceptionTypes"] for c in out[1]["changes"]] == [["E2"], ["E1"]]
+    outer, inner = out[1]["changes"]
+    assert (outer["beforeTargetStartLine"], outer["beforeTargetEndLine"], outer["afterTargetStartLine"], outer["afterTargetEndLine"]) == (1, 3, 1, 10)
+    assert (inner["beforeTargetNoNestingLines"], inner["afterTargetNoNestingLines"]) == ([2], [3, 4, 5, 6, 7])
+    assert all(not out[k]["changes"] for k in (2, 3, 4, 5, 6, 7)) and out[4]["error"] == "no old text"
+    assert [t["types"] for t in handlers.try_statements("try (A a = b()) { } catch (X | Y e) { } finally { } try { unclosed")] == [["X"]]
+
+
+def test_api_nodes_throw_what_table_and_document_say(spark):
+    methods = spark.createDataFrame([("m", "Does.\n@throws IO when closed\n@throws IO if shut"), ("n", None), ("o", "none")], "method string, comment string")
+    throws = spark.createDataFrame([("m", "IO"), ("m", "Arg"), ("n", "Arg"), ("n", "Arg")], "method string, exception string")
+    known = spark.createDataFrame([("java.io.IO",), ("other.IO",)], "qualified_name string")
+    got = {r["method"]: r["exceptions"] for r in nodes.api_exceptions(methods, throws, known).collect()}
+    assert got == {"m": {"java.io.IO": "if shut", "Arg": ""}, "n": {"Arg": ""}, "o": {}}
+
+
+def test_cases_take_odd_rows(spark):
+    rows = spark.createDataFrame([("junit-team/junit5", ["IO"]), ("a/b", []), (None, None), ("a/b", ["RT", "IO"]), ("a/b", ["RT", "IO"])], "repo string, types array<string>")
+    assert cases.allowed(rows, "repo").count() == 4
+    assert cases.any_of(rows, "types", spark.createDataFrame([("RT",)], "name string")).count() == 2
+    assert cases.lookup(rows, {"repo": "x"}, ["repo"]).count() == 0
+    lists = spark.createDataFrame([(None, ["a"]), ([], ["a"]), (["b"], None), (None, None)], "c array<string>, u array<string>")
+    assert [r[0] for r in lists.select(cases.has_findings(F.col("c"), F.col("u"))).collect()] == [True, False, True, False]
+    assert kb.select_sql(spark, "SELECT nothing FROM nowhere") is None
+    with pytest.raises(ValueError):
+        kb.only_row(rows)
+    with pytest.raises(Exception, match="no commit"):
+        rows.select(tx.commit_hash(F.col("repo"), strict=True)).collect()
+
+
+def test_requests_and_dispatch(spark):
+    with pytest.raises(ValueError):
+        enrich.request("m", F.array(), colour=1)
+    templates = {"api_question": "{str1}{str1}", "api_format": "f", "throw_question": "$1 {str1}", "throw_format": "\\ {str1}"}
+    rows = spark.createDataFrame([("API", "a$1", None, "c", None), ("THROW", None, "t\\x", "c", None)], "kind string, method string, statement string, code string, doc string")
+    api, thrown = (r["prompt"] for r in enrich.dispatched(rows, templates).collect())
+    assert api.startswith("a$1a$1f\n<代码片段>") and thrown.startswith("$1 t\\x\\ t\\x\n")
+    with pytest.raises(Exception, match="unknown kind"):
+        enrich.dispatched(rows.withColumn("kind", F.lit("?")), templates).collect()
+
+
+def test_settings_templates_and_whole_replacement(spark, tmp_path):
+    (tmp_path / "c.properties").write_text("# no\n! no\nroot = /a/b\nname: x=y\nlong = a\\\nb\n\n")
+    assert code.properties(str(tmp_path / "c.properties")) == {"root": "/a/b", "name": "x=y", "long": "ab"}
+    (tmp_path / "t.json").write_text('{"q": "a {str1}"}')
+    assert code.templates(str(tmp_path / "t.json")) == {"q": "a {str1}"}
+    at = str(tmp_path / "out")
+    code.replace_json(spark.createDataFrame([(1,), (2,)], "k int"), at)
+    code.replace_json(spark.read.json(at).where("k = 2"), at)  # reads what it replaces
+    assert [r["k"] for r in spark.read.json(at).collect()] == [2] and [p.name for p in tmp_path.iterdir() if ".new-" in p.name or ".old-" in p.name] == []
+
+
+def test_log_lines_keep_their_order_over_splits(spark, tmp_path):
+    (tmp_path / "a.log").write_text("".join(f"line {k}\n" for k in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    got = code.log_lines(spark, str(tmp_path)).collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {r["line_no"]: r["line"] for r in got} == {k: f"line {k}" for k in range(5000)}
+
+
+def test_phases_over_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([("u", i, p) for i, p in enumerate([1, 2, 1, 1, 3, 2, 3, 3])], "u string, i int, phase int").withColumn("at", F.timestamp_seconds("i"))
+    source, target, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    rows.write.parquet(source)
+    found = ingest.phases_stream(spark.readStream.schema(rows.schema).parquet(source), "u", 3)
+    query = found.writeStream.format("parquet").option("path", target).option("checkpointLocation", mark).trigger(availableNow=True).start()
+    assert ingest.stop(query, 120)
+    whole = sequence.phase_matches(rows, "u", [F.col("phase") == k for k in (1, 2, 3)], ["i"])
+    pick = lambda df, a, b: sorted((r["u"], r["match"], r[a], r[b]) for r in df.collect())
+    assert pick(spark.read.parquet(target), "first", "last") == pick(whole, "t1", "t3") and whole.count() == 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from codeloom import session
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="x"))
+    with pytest.raises(ValueError):
+        session.shared_dir(far)
+
+
+def test_broadcast_sides_are_bounded_by_bytes(spark):
+    from codeloom.session import small_side
+
+    wide = spark.range(50).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
+    assert "BroadcastHashJoin" in spark.range(9).join(small_side(wide), "id")._jdf.queryExecution().toString()
+    plan = spark.range(9).hint("merge").join(small_side(wide, size=10_000), "id")._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan
