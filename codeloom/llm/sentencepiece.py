@@ -64,6 +64,7 @@ class Codec:
         #: Whether chunks that begin at SPACE can be segmented alone, and parts between characters that are no pieces.
         self.apart = not any(SPACE in text.lstrip(SPACE) for text, _, _ in usable)
         self.whole = all(self.singles.issuperset(text) for text, _, _ in usable)
+        self.sizes = [len(text) for text, _, _ in pieces]
         self.raw = [bytes([int(text[3:5], 16)]) if kind == BYTE else text.replace(SPACE, " ").encode() for text, _, kind in pieces]
         self.seen: dict[str, tuple[int, ...]] = {}
         #: Whether a piece may follow another, by place of that * pieces + place of this.
@@ -93,29 +94,29 @@ class Codec:
 
     def segment(self, text: str) -> tuple[int, ...]:
         """Ids of the best path through a text whose white space is escaped already."""
-        if not self.singles.issuperset(text):
+        last = self._last_merged(text) if self.merges else self._last_scored(text)
+        if -1 in last[1:]:  # a character that no piece covers
             return self._segment_with_unknown(text)
-        return self._path(text, self._last_merged(text) if self.merges else self._last_scored(text))
-
-    def _path(self, text: str, last: list[int]) -> tuple[int, ...]:
-        """Ids from the last pieces of each position."""
-        out, n = [], len(text)
+        out, n, sizes = [], len(text), self.sizes
         while n:
-            out.append(last[n])
-            n -= len(self.pieces[last[n]][0])
-        return tuple(reversed(out))
+            i = last[n]
+            out.append(i)
+            n -= sizes[i]
+        out.reverse()
+        return tuple(out)
 
     def _last_merged(self, text: str) -> list[int]:
+        """Of each position the piece that merges leave before it; -1 at the start."""
         last, pairs, n = [-1] * (len(text) + 1), self.pairs, len(self.pieces)
         for end, (length, i, _) in self.automaton.iter(text):
+            end += 1
             # several pieces end here, the longest first; the first that may follow is the only one
-            if last[end + 1] < 0:
-                before = last[end + 1 - length]
-                known = pairs.get(before * n + i)
-                if known is None:
-                    known = pairs[before * n + i] = self.follows(before, i)
-                if known:
-                    last[end + 1] = i
+            if last[end] < 0:
+                pair = last[end - length] * n + i
+                if pair not in pairs:
+                    pairs[pair] = self.follows(last[end - length], i)
+                if pairs[pair]:
+                    last[end] = i
         return last
 
     def _last_scored(self, text: str) -> list[int]:
@@ -130,7 +131,7 @@ class Codec:
         return [self.bytes_.get(b, self.unknown) for b in char.encode()]
 
     def _segment_with_unknown(self, text: str) -> tuple[int, ...]:
-        if not self.whole:
+        if not self.whole or self.singles.issuperset(text):
             return self._around_unknown(text)
         # no piece holds a character that is none itself, so the parts between such characters are apart
         out: list[int] = []
