@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import after_last_dot, overlay, throws_tags
+from codeloom.functions.text import after_last_dot, caught_types, overlay, throws_tags
 from codeloom.operators.kb import exact_then_erased, resolve_simple
 
 
@@ -78,6 +78,14 @@ def api_nodes(nodes: DataFrame, methods: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(found, "node", "left").withColumn("is_api", F.col("true_name").isNotNull())
 
 
+def caught_qualified(clauses: DataFrame, known: DataFrame) -> DataFrame:
+    """(clause, types): the types of each catch clause `A | B`, qualified where known. clauses: clause, declared."""
+    one = clauses.select("clause", F.posexplode(caught_types(F.col("declared"))).alias("at", "name"))
+    names = resolve_simple(one.select("name").distinct(), known)
+    listed = one.join(names, "name").groupBy("clause").agg(F.array_sort(F.collect_list(F.struct("at", "qualified"))).alias("_l"))
+    return listed.select("clause", F.transform("_l", lambda x: x["qualified"]).alias("types"))
+
+
 def throw_records(facts: DataFrame) -> DataFrame:
     """(method, statement, declaring_class, condition, catches): throw facts, `NO_BINDING` where no class is known."""
     return facts.where("kind = 'throw'").select(F.col("owner").alias("method"), F.concat(F.lit("throw new "), "name").alias("statement"), F.coalesce(F.nullif("name", F.lit("")), F.lit("NO_BINDING")).alias("declaring_class"), F.nullif("detail", F.lit("")).alias("condition"), F.get("catches", F.lit(0)).alias("innermost_catch"))

@@ -138,6 +138,14 @@ def api_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.api_nodes(part.select(F.concat(name, F.lit("(List)")).alias("node")), known)
 
 
+def caught_qualified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catch clauses of two words of a part's name, the first qualified by type."""
+    part = table(spark, sf_dir, "part")
+    clauses = part.select(F.col("p_partkey").alias("clause"), F.concat(F.substring_index("p_name", " ", 1), F.lit(" | "), F.lit("Own")).alias("declared"))
+    known = part.select(F.concat(F.lower("p_type"), F.lit("."), F.substring_index("p_name", " ", 1)).alias("qualified_name")).distinct()
+    return nodes.caught_qualified(clauses, known).select("clause", F.array_join("types", ",").alias("types"))
+
+
 def first_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first click inside each target user's events."""
     facts = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("owner"), F.col("event_id").alias("name"), F.struct("ts", "event_id").alias("seq"))
@@ -251,7 +259,7 @@ def object_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        allowed_repositories, runtime_cases, left_findings, unchanged_cases, made_cases, case_by_keys, next_undone, clone_urls, flat_map_json, membership_flags, class_files, signature_resolve, roots_by_name, api_exceptions, api_nodes,
+        allowed_repositories, runtime_cases, left_findings, unchanged_cases, made_cases, case_by_keys, next_undone, clone_urls, flat_map_json, membership_flags, class_files, signature_resolve, roots_by_name, api_exceptions, api_nodes, caught_qualified,
         first_facts, throw_records, declaration_kinds, display_texts, finding_texts, prompts, requests, responses, asked_model, classified, progress, free_sql, like_lookup, migrate_failures, row_sets, object_strings,
     )
 }
@@ -279,6 +287,7 @@ m AS (SELECT method, e, c FROM d UNION ALL SELECT method, e, '' FROM t WHERE NOT
 k AS (SELECT w, min(lower(p_type) || '.' || w) AS q FROM p GROUP BY w)
 SELECT method, coalesce(q, e) AS exception, max(c) AS condition FROM m LEFT JOIN k ON w = e GROUP BY ALL""",
     "api_nodes": "WITH n AS (SELECT lower(p_type) || '.' || replace(p_name, ' ', '_') AS b, p_size, replace(p_brand, '#', '') AS g FROM part) SELECT x.b || '(List)' AS node, min(k.b || '(List<' || k.g || '>)') AS true_name, count(k.b) > 0 AS is_api FROM (SELECT DISTINCT b FROM n) x LEFT JOIN n k ON k.b = x.b AND k.p_size % 2 = 0 GROUP BY x.b",
+    "caught_qualified": "WITH p AS (SELECT *, string_split(p_name, ' ')[1] AS w FROM part), k AS (SELECT w, min(lower(p_type) || '.' || w) AS q FROM p GROUP BY w) SELECT p_partkey AS clause, q || ',Own' AS types FROM p JOIN k USING (w)",
     "first_facts": "SELECT user_id AS owner, arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE event_type = 'click' AND user_id % 3 = 0 GROUP BY user_id",
     "throw_records": "SELECT user_id::VARCHAR AS method, CASE WHEN event_id % 2 = 0 THEN 'E' || event_id % 5 ELSE 'NO_BINDING' END AS declaring_class, count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS conditions, 'error' AS caught FROM events WHERE event_type = 'error' GROUP BY ALL",
     "declaration_kinds": "WITH RECURSIVE par AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part), clo AS (SELECT child, child AS ancestor FROM par UNION ALL SELECT clo.child, par.parent FROM clo JOIN par ON par.child = clo.ancestor WHERE par.child <> par.parent) SELECT child AS name, CASE WHEN bool_or(ancestor = 5) THEN 'runtime' WHEN bool_or(ancestor = 2) THEN 'checked' ELSE 'class' END AS kind FROM clo GROUP BY child",
