@@ -168,6 +168,7 @@ def throw_finding(method: Column, route: Column, throws: Column) -> Column:
     return F.concat(_finding_head(method, route), F.lit("throws:\n"), F.array_join(shown, ""))
 
 
+# The texts of findings.
 def _finding_head(method: Column, route: Column) -> Column:
     return F.concat(F.lit("method: "), method, F.lit("\nroute:\n    ["), F.array_join(route, ", "), F.lit("]\n"))
 

@@ -20,6 +20,13 @@ OPTIONS = {"temperature": 0.5, "max_tokens": 8192, "stream": False}
 REQUEST = "model string, messages array<struct<role:string,content:string>>, temperature double, top_p double, n int, max_tokens int, presence_penalty double, frequency_penalty double, stream boolean, stop array<string>, user string, seed int"
 RESPONSE = "id string, object string, created bigint, model string, choices array<struct<index:int,message:struct<role:string,content:string,reasoning_content:string>,finish_reason:string>>, usage struct<prompt_tokens:int,completion_tokens:int,total_tokens:int,prompt_tokens_details:struct<cached_tokens:int>>"
 TRIES, PARSE_TRIES, DELAY = 20, 2, 1.0
+# The texts of prompts around what is asked about.
+CODE_HEAD, CODE_FOOT = "<代码片段>\n```\n", "\n```\n<end>\n\n"
+DOC_HEAD, DOC_FOOT = "<api方法文档>\n", "<end>\n\n"
+CALL_HEAD, CALL_FOOT = "<函数调用 ", "<end "
+CALLED, AFTER, AT_METHOD, MAY_THROW = "代码片段中的函数：", "\n在经过", "重调用后，最终在函数:", "中\n可能抛出运行时异常:"
+BY_THROW, THROWN, EXPLAINED = "重调用后，使用throw语句`", "`抛出异常\n", "异常说明："
+NO_CATCH = ("no catch", "false", "")
 #: Fields of an answer.
 ANSWER = "analysis string, answer string, remark string, result string"
 
@@ -65,7 +72,7 @@ def first_content(answer: Column) -> Column:
 
 
 def _code(text: Column) -> Column:
-    return F.concat(F.lit("<代码片段>\n```\n"), text, F.lit("\n```\n<end>\n\n"))
+    return F.concat(F.lit(CODE_HEAD), text, F.lit(CODE_FOOT))
 
 
 def filled(template: str, value: Column) -> Column:
@@ -78,12 +85,12 @@ def main_prompt(templates: dict[str, str], code: Column, findings: Column) -> Co
 
     def one(f: Column, i: Column) -> Column:
         number = (i + 1).cast("string")
-        called = F.concat(F.lit("代码片段中的函数："), f["callee"], F.lit("\n在经过"), f["depth"].cast("string"))
-        api = F.concat(called, F.lit("重调用后，最终在函数:"), f["method"], F.lit("中\n可能抛出运行时异常:"), f["exceptions"], F.lit("\n"))
-        thrown = F.concat(called, F.lit("重调用后，使用throw语句`"), f["exceptions"], F.lit("`抛出异常\n"))
+        called = F.concat(F.lit(CALLED), f["callee"], F.lit(AFTER), f["depth"].cast("string"))
+        api = F.concat(called, F.lit(AT_METHOD), f["method"], F.lit(MAY_THROW), f["exceptions"], F.lit("\n"))
+        thrown = F.concat(called, F.lit(BY_THROW), f["exceptions"], F.lit(THROWN))
         what = F.when(f["kind"] == "API", api).when((f["kind"] == "THROW") & (f["depth"] > 0), thrown).otherwise("")
-        said = F.when(F.coalesce(f["description"], F.lit("")) != "", F.concat(F.lit("异常说明："), f["description"], F.lit("\n"))).otherwise("")
-        return F.concat(F.lit("<函数调用 "), number, F.lit(">\n"), F.coalesce(what, F.lit("")), said, F.lit("<end "), number, F.lit(">\n"))
+        said = F.when(F.coalesce(f["description"], F.lit("")) != "", F.concat(F.lit(EXPLAINED), f["description"], F.lit("\n"))).otherwise("")
+        return F.concat(F.lit(CALL_HEAD), number, F.lit(">\n"), F.coalesce(what, F.lit("")), said, F.lit(CALL_FOOT), number, F.lit(">\n"))
 
     head = F.lit(templates["background"] + templates["question"] + templates["input_format"] + "\n")
     return F.concat(head, _code(code), F.array_join(F.transform(findings, one), ""))
@@ -91,7 +98,7 @@ def main_prompt(templates: dict[str, str], code: Column, findings: Column) -> Co
 
 def api_prompt(templates: dict[str, str], method: Column, code: Column, doc: Column) -> Column:
     """The question about an API method: where it is called, and its document."""
-    return F.concat(filled(templates["api_question"], method), F.lit(templates["api_format"] + "\n"), _code(code), F.lit("<api方法文档>\n"), doc, F.lit("<end>\n\n"))
+    return F.concat(filled(templates["api_question"], method), F.lit(templates["api_format"] + "\n"), _code(code), F.lit(DOC_HEAD), doc, F.lit(DOC_FOOT))
 
 
 def throw_prompt(templates: dict[str, str], statement: Column, code: Column) -> Column:
@@ -135,7 +142,7 @@ def parsed(answer: Column) -> Column:
 
 def keeps_throw(result: Column) -> Column:
     """Whether an answer keeps a throw: not `no catch`, `false`, or nothing."""
-    return ~F.lower(F.trim(F.coalesce(result, F.lit("false")))).isin("no catch", "false", "")
+    return ~F.lower(F.trim(F.coalesce(result, F.lit("false")))).isin(*NO_CATCH)
 
 
 def matched_exceptions(answer: Column, candidates: Column) -> Column:

@@ -105,6 +105,7 @@ def described(t: Column, match: Column, owner: Column, text: Column) -> Column:
     at = lambda places: F.filter(F.transform(places, lambda i: F.get(match, i)), lambda x: x >= 0)
     own = F.filter(_places(F.size(text)), lambda i: F.get(owner, i) == t["place"])
     before = at(valid_lines(text, t["start"], t["end"]))
+    # The names of the fields.
     return F.struct(
         F.array_min(before).alias("beforeTargetStartLine"), (F.array_max(before) + 1).alias("beforeTargetEndLine"), at(own).alias("beforeTargetNoNestingLines"),
         t["start"].alias("afterTargetStartLine"), t["end"].alias("afterTargetEndLine"), own.alias("afterTargetNoNestingLines"), t["types"].alias("exceptionTypes"), t["bodies"].alias("catchBlocks"),

@@ -34,16 +34,16 @@ def resumable(spark: SparkSession, source: str, schema: T.StructType, process: C
     return reader.parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed(events: DataFrame, time: str, length: str, late: str, by: str) -> DataFrame:
-    """Counts by event-time window, dropping what is later than `late` (an extension: nothing before it has windows)."""
-    return events.withWatermark(time, late).groupBy(F.window(time, length), by).agg(F.count(F.lit(1)).alias("n"))
-
-
 def event_windows(events: DataFrame, time: str, length: str, by: str, value: str) -> DataFrame:
     """Counts and sums by event-time window, for tables and streams alike."""
     return events.groupBy(F.window(time, length), by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
 
 
+def windowed(events: DataFrame, time: str, length: str, late: str, by: str, value: str) -> DataFrame:
+    """event_windows of a stream, dropping what is later than `late` (an extension: nothing before it has windows)."""
+    return event_windows(events.withWatermark(time, late), time, length, by, value)
+
+
 def stop(query: StreamingQuery, grace: float = 60.0) -> bool:
     """Stop a stream after what it works on: waits up to `grace` seconds for it to end by itself; whether it did."""
     ended = bool(query.awaitTermination(grace))

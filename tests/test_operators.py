@@ -339,3 +339,15 @@ def test_broadcast_sides_are_bounded_by_bytes(spark):
     assert "BroadcastHashJoin" in spark.range(9).join(small_side(wide), "id")._jdf.queryExecution().toString()
     plan = spark.range(9).hint("merge").join(small_side(wide, size=10_000), "id")._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_windows_over_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([("a", k, k % 3) for k in range(0, 400, 7)] + [("b", 399, 1)], "kind string, s int, v int").withColumn("at", F.timestamp_seconds("s"))
+    source, target, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    rows.write.parquet(source)
+    found = ingest.windowed(spark.readStream.schema(rows.schema).parquet(source), "at", "1 minute", "10 seconds", "kind", "v")
+    query = found.writeStream.format("parquet").option("path", target).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start()
+    assert ingest.stop(query, 120)
+    closed = {(str(r["window"]["start"]), r["kind"], r["n"], r["total"]) for r in spark.read.parquet(target).collect()}
+    every = {(str(r["window"]["start"]), r["kind"], r["n"], r["total"]) for r in ingest.event_windows(rows, "at", "1 minute", "kind", "v").collect()}
+    assert closed <= every and len(closed) == 6  # the last minute is still open
