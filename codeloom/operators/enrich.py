@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.functions.text import strip_fence
+from codeloom.functions.text import strip_fence, with_newline
 
 #: Request defaults.
 OPTIONS = {"temperature": 0.5, "max_tokens": 8192, "stream": False}
@@ -188,6 +188,28 @@ def ask(rows: DataFrame, client: Callable[[str], str], workers: int = 4, pause:
     return rows.repartition(workers).mapInPandas(run, schema)
 
 
+def advised(findings: DataFrame, templates: dict[str, str], client: Callable[[str], str], **asking: object) -> DataFrame:
+    """findings (kind, method, statement, code, doc, candidates) judged by a model: with checked, what stays of the candidates, description and error.
+
+    An API answer names the exceptions that stay, by simple names; a throw answer keeps all or, by `no catch`, none.
+    Without an answer that can be read all candidates stay.
+    """
+    asked = ask(dispatched(findings, templates), client, **asking)
+    body = strip_fence(F.col("answer"), "json")
+    api, thrown = F.from_json(body, "result array<string>, remark string"), F.from_json(body, "result string, remark string")
+    none = F.array().cast(findings.schema["candidates"].dataType)
+    by_api = F.when(api["result"].isNull(), F.col("candidates")).otherwise(matched_exceptions(api["result"], F.col("candidates")))
+    by_throw = F.when(thrown["result"].isNull() | keeps_throw(thrown["result"]), F.col("candidates")).otherwise(none)
+    return asked.withColumns({"checked": F.when(F.col("kind") == "API", by_api).otherwise(by_throw), "description": F.coalesce(thrown["remark"], F.lit(""))}).drop("prompt", "answer")
+
+
+def answered(rows: DataFrame, client: Callable[[str], str], **asking: object) -> DataFrame:
+    """rows (prompt) with a model's answer to the main or baseline question: analysis, judgement, remark, code (without a fence, ending in a line feed) and status."""
+    asked = ask(rows, client, **asking).withColumn("_a", parsed(F.col("answer")))
+    fields = {"analysis": F.col("_a.analysis"), "judgement": F.col("_a.answer"), "remark": F.col("_a.remark"), "code": with_newline(strip_fence(F.col("_a.result"), "java")), "status": F.when(F.col("_a").isNull(), "failed").otherwise("answered")}
+    return asked.withColumns(fields).drop("_a", "answer")
+
+
 def classify(rows: DataFrame, column: str, load: Callable[[], Callable[[pd.Series], pd.Series]]) -> DataFrame:
     """rows with `class`: a model that each task loads once and applies to batches."""
     schema = T.StructType([*rows.schema.fields, T.StructField("class", T.IntegerType())])

@@ -213,6 +213,31 @@ def asked_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("conv_id", "turn", F.get_json_object("answer", "$.answer").cast("long").alias("n"))
 
 
+def _adviser(question: str) -> str:
+    """A stand-in for a model: by the mark in the code it names one exception, says `no catch`, or does not answer in JSON."""
+    if "mark0" in question:
+        return '{"remark": "why", "result": ["Error"]}' if "API" in question else '{"remark": "", "result": "no catch"}'
+    return '```json\n{"remark": "", "result": "stays"}\n```' if "mark1" in question else "no json"
+
+
+def advised_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of conversation turns judged by a stand-in model: what stays of two candidates."""
+    found = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.when(F.col("turn") % 2 == 0, "API").otherwise("THROW").alias("kind"), F.col("role").alias("method"), F.lit("throw e").alias("statement"), F.concat(F.lit("mark"), F.col("conv_id") % 3).alias("code"), F.lit("").alias("doc"), F.array(F.lit("a.b.Error"), F.lit("a.IO")).alias("candidates"),
+    )
+    return enrich.advised(found, TEMPLATES, _adviser, delay=0.0).select("conv_id", "turn", F.array_join("checked", ",").alias("checked"), "description", F.col("error").isNotNull().alias("failed"))
+
+
+def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline question of each turn to a stand-in model that gives code back in a fence, or no JSON."""
+
+    def client(question: str) -> str:
+        return '{"analysis": "a", "answer": "yes", "remark": "", "result": "```java\\nint x;\\n```"}' if "mark0" in question else "[]"
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", enrich.baseline_prompt(TEMPLATES, F.concat(F.lit("mark"), F.col("turn") % 2)).alias("prompt"))
+    return enrich.answered(rows, client, delay=0.0).select("conv_id", "turn", F.coalesce("judgement", F.lit("")).alias("judgement"), F.coalesce("code", F.lit("")).alias("code"), "status")
+
+
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by a model that each task loads once: here one that counts words."""
 
@@ -260,7 +285,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         allowed_repositories, runtime_cases, left_findings, unchanged_cases, made_cases, case_by_keys, next_undone, clone_urls, flat_map_json, membership_flags, class_files, signature_resolve, roots_by_name, api_exceptions, api_nodes, caught_qualified,
-        first_facts, throw_records, declaration_kinds, display_texts, finding_texts, prompts, requests, responses, asked_model, classified, progress, free_sql, like_lookup, migrate_failures, row_sets, object_strings,
+        first_facts, throw_records, declaration_kinds, display_texts, finding_texts, prompts, requests, responses, asked_model, advised_findings, answered_questions, classified, progress, free_sql, like_lookup, migrate_failures, row_sets, object_strings,
     )
 }
 
@@ -299,6 +324,8 @@ md5('B. Q? BASE' || chr(10) || {_CODE}) AS base FROM conversations""",
     "requests": "SELECT conv_id, turn, 'small' AS model, 0.5::DOUBLE AS temperature, 8192 AS max_tokens, false AS stream, 7 AS seed, md5(role || ': ' || text) AS digest FROM conversations",
     "responses": "SELECT conv_id, turn, md5(CASE WHEN role = 'user' THEN '' ELSE text END) AS digest, CASE WHEN role = 'user' THEN -1 ELSE turn END::INT AS tokens FROM conversations",
     "asked_model": "SELECT conv_id, turn, length(text)::BIGINT AS n FROM conversations",
+    "advised_findings": "SELECT conv_id, turn, CASE WHEN conv_id % 3 <> 0 THEN 'a.b.Error,a.IO' WHEN turn % 2 = 0 THEN 'a.b.Error' ELSE '' END AS checked, CASE WHEN conv_id % 3 = 0 AND turn % 2 = 0 THEN 'why' ELSE '' END AS description, conv_id % 3 = 2 AS failed FROM conversations",
+    "answered_questions": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'yes' ELSE '' END AS judgement, CASE WHEN turn % 2 = 0 THEN 'int x;' || chr(10) ELSE chr(10) END AS code, CASE WHEN turn % 2 = 0 THEN 'answered' ELSE 'failed' END AS status FROM conversations",
     "classified": "SELECT doc_id, (length(text) - length(replace(text, ' ', '')) > 100)::INT AS class FROM documents",
     "progress": "SELECT d AS done, t AS total, round(100 * d / t, 2) AS percent FROM (SELECT (SELECT count(*) FROM labels) AS d, (SELECT count(*) FROM documents) AS t)",
     "free_sql": "SELECT p_type, count(*) AS n FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity > 40 GROUP BY p_type",
