@@ -6,8 +6,8 @@ mention entity c, p(t) the share that hold term t anywhere, and p(c, t) the shar
 The disclosure of c by t is PMI(c; t) / IC(c) = log(p(c, t) / (p(c) p(t))) / -log p(c), which
 is 1 where t never occurs without c. A term is a span wherever it stands in a text that
 mentions an entity it discloses beyond GENERALISE, if the mentions in these texts stand in
-SUPPORT different surroundings or more (REACH words before and behind; near copies of one
-text prove nothing): kind `general` up to REMOVE, `remove` beyond it. `sanitise` puts the
+SUPPORT different surroundings or more (REACH words before and behind) and share no more than
+VERSIONS of their terms (so versions of one text, however many, prove nothing): kind `general` up to REMOVE, `remove` beyond it. `sanitise` puts the
 entity's kind in place of base spans, `[TERM]` in place of general ones and nothing in place
 of removed ones.
 
@@ -43,6 +43,10 @@ KINDS = ("email", "ip", "card", "phone", "general", "remove")
 REACH, SUPPORT = 4, 3
 GENERALISE, REMOVE = 0.8, 0.95
 LEAST_TERM = 3
+#: Texts that share more than this part of their terms, two by two on average, are versions of one text.
+VERSIONS = 0.9
+#: Terms are counted in one of so many texts first, then in more, then in all.
+PARTS = (64, 8, 1)
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -172,18 +176,30 @@ def _disclosing(said: DataFrame, at: DataFrame, docs: DataFrame) -> DataFrame:
     held = at.select("key", "term").distinct()
     met = said.select("key", "entity").distinct().join(held, "key").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
     places = said.join(held, "key").select("entity", "term", "place").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") >= SUPPORT)
-    pairs = staged(met.join(places, ["entity", "term"]), "pairs")
+    met = staged(met, "met")
+    # an entity whose texts share nearly all of their terms, two by two on average, is in versions of one text
+    texts = said.select("key", "entity").distinct().join(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").groupBy("entity").agg(F.count(F.lit(1)).alias("m"), F.avg("n").alias("n"))
+    shared = met.groupBy("entity").agg(F.sum(F.col("both") * (F.col("both") - 1)).alias("shared"))
+    apart = texts.join(shared, "entity").where(F.col("shared") <= VERSIONS * F.col("n") * F.col("m") * (F.col("m") - 1)).select("entity")
+    pairs = staged(met.join(places, ["entity", "term"]).join(apart, "entity", "left_semi"), "pairs")
     with_entity = said.select("key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    # how many texts hold each candidate, over all texts: the candidates meet the words before these are shuffled
-    wanted = staged(pairs.select("term").distinct(), "wanted")
-    contents = docs.select(_key(F.col("text")).alias("key"), F.array_distinct(words(F.col("text"))).alias("w"))
+    contents = docs.select(_key(F.col("text")).alias("key"), "text")
     total = contents.select("key").distinct().count()
-    spread = contents.select("key", F.explode_outer("w").alias("word")).select("key", F.lower(F.regexp_replace("word", _EDGE, "")).alias("term"))
-    with_term = spread.join(small_side(wanted), "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    counted = pairs.join(with_entity, "entity").where(F.col("with_entity") < total)
     share = lambda c: F.col(c) / F.lit(total)
     pmi = F.log(share("both") / (share("with_entity") * F.greatest(share("with_term"), share("both"))))
-    counted = pairs.join(with_entity, "entity").join(with_term, "term").where(F.col("with_entity") < total)
-    return counted.select("entity", "term", (pmi / -F.log(share("with_entity"))).alias("disclosure")).where(F.col("disclosure") > GENERALISE)
+    disclosure = pmi / -F.log(share("with_entity"))
+    # how many texts hold a term: counted in a part of the texts first, which is never more than in all of them, so a pair
+    # below the threshold there is below it for good; frequent words go before they are counted everywhere
+    for part in PARTS if not pairs.isEmpty() else ():
+        wanted = small_side(staged(counted.select("term").distinct(), "wanted"))
+        some = contents.where(F.pmod(F.xxhash64("key"), F.lit(part)) == 0).select("key", F.array_distinct(words(F.col("text"))).alias("w"))
+        spread = some.select("key", F.explode_outer("w").alias("word")).select("key", F.lower(F.regexp_replace("word", _EDGE, "")).alias("term"))
+        with_term = spread.join(wanted, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+        known = counted.join(with_term, "term", "left").withColumn("with_term", F.coalesce("with_term", F.lit(0)))
+        known = known.withColumn("disclosure", disclosure).where(F.col("disclosure") > GENERALISE)
+        counted = staged(known.select("entity", "term", "both", "with_entity", "disclosure"), "counted").drop(*(["disclosure"] if part > 1 else []))
+    return counted.select("entity", "term", "disclosure") if "disclosure" in counted.columns else counted.select("entity", "term", F.lit(0.0).alias("disclosure"))
 
 
 def find(docs: DataFrame) -> DataFrame:
