@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, ngram_join, pii, quality, secrets, sentencepiece, sql, token_counts, toxicity, url_filter
+from . import conversation, curriculum, decontaminate, divergence, html_extract, ngram_join, pii, quality, secrets, sentencepiece, sql, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.labelled_pages(pages, _table(spark, sf_dir, "labels")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.structure(_table(spark, sf_dir, "conversations"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.mix(_table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -72,10 +84,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_secret_scans": op9_secret_scans,
     "op10_url_filters": op10_url_filters,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_source_mix": op12_source_mix,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": sql.OP1,
     "op2_benchmark_decontamination": sql.OP2,
     "op6_quality_rules": sql.OP6,
+    "op12_source_mix": sql.OP12,
+    "op13_source_divergence": sql.OP13,
 }

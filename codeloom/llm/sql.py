@@ -49,3 +49,33 @@ f AS (SELECT *, round(shared / (n + size - 4 - shared), 6) AS similarity FROM j
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start, shared DESC) AS k FROM f)
 SELECT doc_id, item_id, start AS start_word, shared::BIGINT AS n_shared, similarity FROM b WHERE k = 1
 """
+
+OP12 = r"""
+WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][number % 3 + 1] AS weight, 3 * source_size AS cap FROM s),
+k AS (SELECT *, row_number() OVER (ORDER BY cap / weight, number) AS k FROM w),
+c AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / (sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM k),
+l AS (SELECT coalesce(min_by(level, k) FILTER (level * weight < cap), 0) AS level FROM c),
+t AS (SELECT source, source_size, number, least(level * weight, cap::DOUBLE) AS target FROM w, l),
+p AS (SELECT doc_id, size, source_size, number, target, floor(target)::BIGINT AS demand, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN demand // source_size ELSE 0 END AS rounds, CASE WHEN target > 0 THEN place / target END AS x FROM p),
+q AS (SELECT *, (rounds * size + least(greatest(demand - rounds * source_size - place, 0), size))::BIGINT AS taken FROM r)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(CASE number % 3 WHEN 0 THEN 2 * x / (1.5 + sqrt(2.25 - 2 * x)) WHEN 1 THEN x ELSE 2 * x / (0.5 + sqrt(0.25 + 2 * x)) END, 9) END AS position FROM q
+"""
+
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+n AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+g AS (SELECT lang, source, coalesce((SELECT sum(n) FROM n WHERE n.lang = x.lang AND n.source = x.source), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) x),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(n.n, 0) AS n, 1 + (1000000000 * (coalesce(n.n, 0) + 1)) // (total + v) AS p FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term),
+q AS (SELECT lang, term, 1 + (1000000000 * (sum(n) + 1)) // (any_value(total) + any_value(v)) AS q FROM n JOIN (SELECT lang, sum(n) AS total FROM n GROUP BY lang) USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+e AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+t AS (SELECT lang, source, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+every_ AS (SELECT 'pair' AS part, * FROM e UNION ALL SELECT 'term', * FROM t)
+SELECT * FROM (SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM every_) WHERE part = 'pair' OR rank <= 200
+"""
