@@ -1,115 +1,232 @@
-"""Facts from Java source: types, methods, calls, throws, handlers, by tokens and braces.
+"""Facts from Java source, out of token rows: types, methods, calls, throws, handlers, comments.
 
-Names are syntactic: without type bindings a call is known by its simple name, and what
-cannot be told from the text is left out.
+A fact is a token or a statement, and what is around it: the types and the method it belongs to,
+the handlers of the tries in whose bodies it stands, the condition of the innermost `if` (which
+also stands for its else branch). Calls and throws outside methods (in initializers, and in
+fields, lambdas there too) are no facts; the methods of an anonymous class are methods of
+`Created{}`. Names are as they are written, but for packages and outer types; names.py qualifies
+them. All of it is DataFrame functions.
+
+Null and empty texts have no facts; broken ones have those that can be read; a path that occurs twice
+is read as one file after another would be, so paths must differ.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FACTS = "path string, kind string, owner string, name string, detail string, catches array<string>, line int, seq int"
-_TOKEN = re.compile(r'/\*.*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|@?[A-Za-z_$][\w$]*|\d[\w.]*|[{}()\[\];,.<>?&|=]|\S', re.S)
-_WORD = re.compile(r"[A-Za-z_$][\w$]*$")
-_CONTROL = set("if for while switch catch synchronized return new throw else do try assert super this".split())
-_TYPES = {"class": "class", "interface": "interface", "enum": "class", "record": "class"}
+from codeloom.operators import closure
+from codeloom.operators.tokens import KEYWORDS, WORD, flat, last_of, statements, surrounding, texts
+from codeloom.session import staged
 
+_NAME = r"[\p{L}_$][\p{L}\p{N}_$]*"
+#: Patterns of statements' heads, with blanks between their tokens.
+_TYPE = rf"(?:^|\s)(class|interface|enum|record) ({_NAME})(?: |$)"
+_CREATES = r"(?:^|\s)new ([^(){};=]*) \( \) \{$"
+_METHOD = rf"^([^=]*?)({_NAME}) \( \)(?: \[ \])*(?: throws ([^{{;]*?))? [{{;]$"
+_PLAIN = rf"^(?:, )?(?!(?:static|else|do|try|finally) )({_NAME}) \{{$"
+_MODIFIERS = r"^(?:(?:public|protected|private|static|abstract|final|native|synchronized|transient|strictfp|default|@ [^ ]+(?: \. [^ ]+)*(?: \( \))?) )*"
 
-def facts(source: str) -> Iterator[tuple[str, str, str, str, list[str], int]]:
-    """(kind, owner, name, detail, catches, line) in the order of the text.
+# The throwables of java.lang that name others, and their parents.
+THROWABLES = {
+    "Throwable": "Throwable",
+    "Exception": "Throwable",
+    "Error": "Throwable",
+    "RuntimeException": "Exception",
+    "CloneNotSupportedException": "Exception",
+    "InterruptedException": "Exception",
+    "ReflectiveOperationException": "Exception",
+    "ClassNotFoundException": "ReflectiveOperationException",
+    "NoSuchFieldException": "ReflectiveOperationException",
+    "NoSuchMethodException": "ReflectiveOperationException",
+    "ArithmeticException": "RuntimeException",
+    "ArrayStoreException": "RuntimeException",
+    "ClassCastException": "RuntimeException",
+    "IllegalArgumentException": "RuntimeException",
+    "IllegalStateException": "RuntimeException",
+    "IndexOutOfBoundsException": "RuntimeException",
+    "NegativeArraySizeException": "RuntimeException",
+    "NullPointerException": "RuntimeException",
+    "SecurityException": "RuntimeException",
+    "UnsupportedOperationException": "RuntimeException",
+    "NumberFormatException": "IllegalArgumentException",
+    "AssertionError": "Error",
+    "LinkageError": "Error",
+    "StackOverflowError": "Error",
+    "OutOfMemoryError": "Error",
+}
 
-    kind: type (detail: class type), extends / implements, method (detail: parameter types),
-    call, throw (detail: innermost if), catch (detail: type). catches: types of the handlers
-    around, innermost first; a handler covers its try body only.
-    """
-    comments = {m.start() for m in _TOKEN.finditer(source) if m[0].startswith(("/*", "//"))}
-    found = [m for m in _TOKEN.finditer(source) if m.start() not in comments]
-    word = [m[0] for m in found]
-    line = [0] * len(found)
-    for i in range(1, len(found)):
-        line[i] = line[i - 1] + source.count("\n", found[i - 1].start(), found[i].start())
-    pair, stack = {}, []
-    for i, t in enumerate(word):
-        if t in "({":
-            stack.append(i)
-        elif t in ")}" and stack:
-            pair[stack.pop()] = i
-    text = lambda a, b: source[found[a].start() : found[b].start()].strip() if b < len(found) else ""
-
-    scopes: list[tuple[int, str, str]] = []  # end, kind, value
-    for i, t in enumerate(word):
-        scopes = [s for s in scopes if s[0] > i]
-        types = [v for _, k, v in scopes if k == "type"]
-        owner = ".".join(types)
-        method = next((v for _, k, v in reversed(scopes) if k == "method"), None)
-        catches = [x for _, k, v in reversed(scopes) if k == "try" for x in v.split("|") if x]
-        if t in _TYPES and i + 1 < len(word) and _WORD.match(word[i + 1]) and (i == 0 or word[i - 1] != "."):
-            name, body = word[i + 1], next((k for k in range(i, len(word)) if word[k] == "{"), None)
-            if body is None:
-                continue
-            whole = ".".join([*types, name])
-            abstract = "abstract" in word[max(0, i - 4) : i]
-            yield "type", owner, whole, "abstract class" if abstract and t == "class" else _TYPES[t], [], line[i]
-            mode = None
-            for k in range(i + 2, body):
-                mode = word[k] if word[k] in ("extends", "implements") else mode
-                if mode and _WORD.match(word[k]) and word[k] not in ("extends", "implements") and word[k - 1] in ("extends", "implements", ","):
-                    yield mode, whole, word[k], "Realization" if mode == "implements" else "Inheritance", [], line[k]
-            scopes.append((pair.get(body, len(word)), "type", name))
-        elif t == "try" and method:
-            body = next((k for k in range(i, len(word)) if word[k] == "{"), None)
-            if body is None or body not in pair:
-                continue
-            at, handled = pair[body] + 1, []
-            while at + 1 < len(word) and word[at] == "catch" and at + 1 in pair:
-                declared = [w for w in word[at + 2 : pair[at + 1]] if _WORD.match(w) and w != "final"]
-                handled += declared[:-1]
-                yield "catch", f"{owner}.{method}", "|".join(declared[:-1]), "", catches, line[at]
-                block = pair[at + 1] + 1
-                at = pair.get(block, len(word)) + 1
-            scopes.append((pair[body], "try", "|".join(handled)))
-        elif t == "if" and i + 1 in pair and method:
-            start = pair[i + 1] + 1
-            end = pair.get(start) or next((k for k in range(start, len(word)) if word[k] == ";"), start)
-            while end + 1 < len(word) and word[end + 1] == "else":  # the condition stands for its else branch too
-                nxt = end + 2
-                end = pair.get(nxt) or next((k for k in range(nxt, len(word)) if word[k] == ";"), nxt)
-            scopes.append((end + 1, "if", text(i + 2, pair[i + 1])))
-        elif t == "throw" and method and i + 2 < len(word) and word[i + 1] == "new":
-            condition = next((v for _, k, v in reversed(scopes) if k == "if"), "")
-            yield "throw", f"{owner}.{method}", word[i + 2], condition, catches, line[i]
-        elif t == "(" and i and i in pair and _WORD.match(word[i - 1]) and word[i - 1] not in _CONTROL:
-            name, close = word[i - 1], pair[i]
-            after = close + 1
-            if after < len(word) and word[after] == "throws":
-                after = next((k for k in range(after, len(word)) if word[k] in "{;"), after)
-            before = word[i - 2] if i > 1 else ""
-            declares = types and method is None and after < len(word) and word[after] in "{;" and before not in (".", "new", "=", "(", "return")
-            if declares:
-                parts = [p.split() for p in re.split(r",(?![^<]*>)", text(i + 1, close)) if p.strip()]
-                kinds = [re.sub(r"<.*>", "", " ".join(w for w in p[:-1] if w != "final" and not w.startswith("@"))) for p in parts]
-                full = f"{name}({','.join(kinds)})"
-                yield "method", owner, full, ",".join(w for w in word[close + 2 : after] if _WORD.match(w)) if word[close + 1 : close + 2] == ["throws"] else "", [], line[i]
-                if word[after] == "{":
-                    scopes.append((pair.get(after, len(word)), "method", full))
-            elif method and before != "new":
-                yield "call", f"{owner}.{method}", name, "", catches, line[i]
+
+def closed(name: Column) -> Column:
+    """A name of several tokens, without the blanks between them and without type arguments."""
+    bare = name
+    for _ in range(4):
+        bare = F.regexp_replace(bare, r"<[^<>]*>", "")
+    return F.regexp_replace(F.replace(bare, F.lit(" "), F.lit("")), r"@[^.]*", "")
+
+
+def listed(names: Column) -> Column:
+    """Names between commas, type arguments left out."""
+    bare = names
+    for _ in range(4):
+        bare = F.regexp_replace(bare, r"<[^<>]*>", "")
+    return F.filter(F.transform(F.split(bare, ","), lambda x: F.replace(x, F.lit(" "), F.lit(""))), lambda x: x != "")
+
+
+def parameter_types(text: Column) -> Column:
+    """The types of a parameter list as it is written: simple names with their type arguments, `...` as an array."""
+    clean = F.regexp_replace(F.regexp_replace(text, r"/\*[\s\S]*?\*/|//[^\n]*", " "), r"@[\w$.]+(\([^)]*\))?|\bfinal\b", " ")
+    parts = F.regexp_extract_all(clean, F.lit(r"[\p{L}\p{N}_$]+|\.\.\.|[^\s]"), 0)
+    none = F.struct(F.lit(0).alias("deep"), F.lit("").alias("out"))
+    joined = F.aggregate(parts, none, lambda s, x: F.struct((s["deep"] + F.when(x == "<", 1).when(x == ">", -1).otherwise(0)).alias("deep"), F.concat(s["out"], F.when((x == ",") & (s["deep"] == 0), "\n").otherwise(F.concat(x, F.lit(" ")))).alias("out")))["out"]
+
+    def kind(p: Column) -> Column:
+        trimmed = F.trim(p)
+        unnamed = F.regexp_replace(trimmed, rf"\s*{_NAME}((?: \[ \])*)$", "$1")
+        arrays = F.regexp_replace(unnamed, r"\.\.\.", "[ ]")
+        simple = F.regexp_replace(arrays, rf"(?:{_NAME} \. )+", "")
+        spaced = F.regexp_replace(simple, r" ?\b(extends|super)\b ?", "\t$1\t")
+        return F.replace(F.replace(F.replace(spaced, F.lit(" "), F.lit("")), F.lit("\t"), F.lit(" ")), F.lit("&"), F.lit(" & "))
+
+    return F.transform(F.filter(F.split(joined, "\n"), lambda p: F.trim(p) != ""), kind)
+
+
+def _paren(after: Column) -> Column:
+    """(start, end) of the first bracket pair of `items` at or behind a place."""
+    start = F.filter("items", lambda x: (x["i"] >= after) & (x["token"] == "("))
+    first = F.get(start, F.lit(0))["i"]
+    return F.when(first.isNotNull(), F.struct(first.alias("start"), F.get(F.filter("items", lambda x: (x["i"] > first) & (x["token"] == ")")), F.lit(0))["i"].alias("end")))
+
+
+def marked(files: DataFrame, shown: DataFrame) -> DataFrame:
+    """Statements with kind, name, package, condition, the types of a catch clause, and those of the handlers of a try."""
+    each = statements(shown)
+    head = F.col("head")
+    is_type = head.rlike(_TYPE) & head.endswith("{") & ~head.rlike(r"\. class ")
+    kind = (
+        F.when(is_type, "type").when(head.rlike(_CREATES) | head.rlike(_PLAIN), "anonymous").when(head.endswith("-> {"), "lambda")
+        .when(head.rlike(r"(^|\s)try (\( \) )?\{$"), "try").when(head.rlike(r"^catch \( \) \{$"), "catch").when(head.rlike(_METHOD), "method").otherwise("other")
+    )
+    each = each.withColumn("kind", kind)
+    creates = F.concat(closed(F.coalesce(F.nullif(F.regexp_extract("head", _CREATES, 1), F.lit("")), F.regexp_extract("head", _PLAIN, 1))), F.lit("{}"))
+    name = F.when(F.col("kind") == "type", F.regexp_extract("head", _TYPE, 2)).when(F.col("kind") == "anonymous", creates).when(F.col("kind") == "method", F.regexp_extract("head", _METHOD, 2))
+    typed = F.regexp_replace(F.regexp_extract("head", _METHOD, 1), _MODIFIERS, "").rlike(r"[\p{L}\p{N}_$>\]] $")
+    last_if = F.try_element_at(F.filter("items", lambda x: x["token"] == "if"), F.lit(-1))["i"]
+    opening = F.try_element_at(F.filter("items", lambda x: (x["token"] == "(") & (x["i"] < F.coalesce("body", F.lit(1 << 30)))), F.lit(-1))["i"]
+    shown_name = each.withColumns({"name": name, "typed": typed, "condition_at": F.when(last_if.isNotNull(), _paren(last_if)), "list_at": F.when(F.col("kind").isin("method", "catch"), _paren(F.when(F.col("kind") == "catch", F.col("start")).otherwise(opening)))})
+    package = F.regexp_extract("head", r"^(?:@ .* )?package ([^;]*) ;$", 1)
+    found = staged(shown_name.withColumn("package", F.max(F.nullif(F.replace(package, F.lit(" "), F.lit("")), F.lit(""))).over(Window.partitionBy("path"))), "statements")
+    asked = found.select("path", "condition_at.*").where("end is not null").unionByName(found.select("path", "list_at.*").where("end is not null"))
+    read = staged(texts(files, asked), "texts")
+    for at, name_ in (("condition_at", "condition"), ("list_at", "list")):
+        side = read.select(F.col("path").alias("_p"), F.col("start").alias("_s"), F.trim("text").alias(name_))
+        found = found.join(side, (F.col("path") == F.col("_p")) & (F.col(f"{at}.start") == F.col("_s")), "left").drop("_p", "_s")
+    run = Window.partitionBy("path", "around", "run").orderBy("start")
+    declared = F.regexp_replace(F.regexp_replace("list", r"/\*[\s\S]*?\*/|//[^\n]*|\bfinal\b|@[\w$.]+(\([^)]*\))?", " "), rf"\s+({_NAME})\s*$", "")
+    types = F.when(F.col("kind") == "catch", F.filter(F.transform(F.split(declared, r"\|"), lambda x: F.regexp_replace(x, r"\s", "")), lambda x: x != ""))
+    variable = F.when(F.col("kind") == "catch", F.regexp_extract("list", rf"({_NAME})\s*$", 1))
+    found = found.withColumns({"types": types, "variable": variable, "condition": F.last("condition", ignorenulls=True).over(run)})
+    handlers = F.flatten(F.collect_list("types").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return staged(found.withColumn("handlers", F.when(F.col("kind") == "try", handlers)).drop("condition_at", "list_at"), "marked")
+
+
+_RECORD = ["around", "body", "kind", "name", "typed", "list", "package", "condition", "types", "variable", "handlers"]
+
+
+def _settled(outer: Column) -> Column:
+    """The statements around a place, with kind `method` only for those in the body of a type; a nameless one there with a body is a constant's."""
+
+    def constant(s: Column, k: Column) -> Column:
+        above = F.get(outer, k - 1)
+        is_one = (s["kind"] == "method") & ~s["typed"] & s["body"].isNotNull() & (above["kind"] == "type") & (above["body"] == s["around"]) & (s["name"] != above["name"])
+        return F.when(is_one, s.withField("kind", F.lit("anonymous")).withField("name", F.concat(s["name"], F.lit("{}")))).otherwise(s)
+
+    once = F.transform(outer, constant)
+
+    def method(s: Column, k: Column) -> Column:
+        above = F.get(once, k - 1)
+        inside = F.coalesce((above["body"] == s["around"]) & above["kind"].isin("type", "anonymous") & (s["typed"] | (s["name"] == above["name"])), F.lit(False))
+        return s.withField("kind", F.when((s["kind"] == "method") & ~inside, "other").otherwise(s["kind"]))
+
+    return F.transform(once, method)
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """Facts of (path, content) files, with seq: their order in a file."""
+    """Facts of (path, content) files: path, kind, owner, name, detail, catches, handler, line, seq (place in the file).
+
+    kind: type (detail: class type), extends / implements (detail: relation), method, declares (what a method declares
+    to throw), call, throw (detail: innermost condition; name: what is thrown, empty if the text does not tell), catch,
+    comment (of a type or method), import. catches: types of the handlers around, innermost first; handler: the catch
+    clause a throw or call stands in.
+    """
+    files = files.select("path", "content")
+    shown = staged(flat(files), "tokens")
+    known = marked(files, shown)
+    here = shown.where(~F.col("opens"))
+    word = F.col("token").rlike(WORD) & ~F.col("token").isin(KEYWORDS)
+    none = F.lit(None).cast("string")
+    called = here.where(word & (F.col("next") == "(") & ~F.coalesce(F.col("chain"), F.lit("")).isin("new", "@")).select("path", "i", "level", "line", F.lit("call").alias("fact"), F.col("token").alias("name"), none.alias("head"), none.alias("list"), none.alias("doc"), none.alias("package"), F.lit(None).cast("boolean").alias("typed"), F.lit(None).cast("array<string>").alias("types"), F.lit(None).cast("int").alias("body"), F.col("around"))
+    after = lambda i: F.array_join(F.transform(F.filter("items", lambda x: x["i"] > i), lambda x: x["token"]), " ")
+    thrown = known.withColumn("t", F.explode(F.filter("items", lambda x: x["token"] == "throw"))).select("path", F.col("t.i").alias("i"), "level", F.col("t.line").alias("line"), F.lit("throw").alias("fact"), none.alias("name"), after(F.col("t.i")).alias("head"), none.alias("list"), none.alias("doc"), "package", F.lit(None).cast("boolean").alias("typed"), F.lit(None).cast("array<string>").alias("types"), F.lit(None).cast("int").alias("body"), "around")
+    declared = known.where(F.col("kind").isin("type", "method", "catch")).select("path", F.col("start").alias("i"), (F.col("level") - 1).alias("level"), "line", F.col("kind").alias("fact"), "name", "head", "list", "doc", "package", "typed", "types", "body", "around")
+    met = surrounding(called.unionByName(thrown).unionByName(declared), known, _RECORD)
+    none_around = F.array().cast(met.schema["outer"].dataType)
+    met = met.withColumn("outer", _settled(F.coalesce("outer", none_around)))
+    met = staged(met, "around")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            rows = [(p, *f, n) for p, c in zip(part["path"], part["content"], strict=True) for n, f in enumerate(facts(c or ""))]
-            yield pd.DataFrame(rows, columns=["path", "kind", "owner", "name", "detail", "catches", "line", "seq"])
+    types = F.filter("outer", lambda s: s["kind"].isin("type", "anonymous"))
+    package = F.coalesce("package", F.get("outer", F.lit(0))["package"])
+    chain = F.array_join(F.transform(types, lambda s: s["name"]), ".")
+    whole = lambda p, n: F.concat_ws(".", p, F.nullif(n, F.lit("")))
+    method = last_of(F.col("outer"), lambda s: s["kind"] == "method")
+    above = F.try_element_at("outer", F.lit(-1))
+    full = lambda name, params: F.concat(name, F.lit("("), F.array_join(parameter_types(F.coalesce(params, F.lit(""))), ","), F.lit(")"))
+    placed = met.withColumns({"class": whole(package, chain), "m": method, "above": above})
+    in_method = F.col("m").isNotNull()
+    method_types = F.filter("outer", lambda s: s["kind"].isin("type", "anonymous") & (s["start"] < F.col("m.start")))
+    owner = whole(package, F.concat_ws(".", F.array_join(F.transform(method_types, lambda s: s["name"]), "."), full(F.col("m.name"), F.col("m.list"))))
+    inner = F.filter("outer", lambda s: s["start"] > F.col("m.start"))
+    tries = F.filter(inner, lambda s: (s["kind"] == "try") & (F.col("i") > s["body"]))
+    catches = F.flatten(F.transform(F.reverse(tries), lambda s: s["handlers"]))
+    clause = last_of(inner, lambda s: s["kind"] == "catch")
+    condition = last_of(inner, lambda s: s["condition"].isNotNull())["condition"]
+    placed = placed.withColumns({"method_name": owner, "catches": F.coalesce(F.when(in_method, catches), F.array().cast("array<string>")), "clause": clause, "condition": F.coalesce(condition, F.lit(""))})
+    variable = F.regexp_extract("head", rf"^({_NAME}) ;$", 1)
+    new_name = closed(F.regexp_extract("head", rf"^new ((?:{_NAME} \. )*{_NAME})", 1))
+    thrown_name = F.coalesce(F.nullif(new_name, F.lit("")), F.when((variable == F.col("clause.variable")) & (F.size("clause.types") == 1), F.col("clause.types")[0]), F.lit(""))
+    empty = F.lit("")
+    nothing = F.array().cast("array<string>")
 
-    return files.select("path", "content").mapInPandas(run, FACTS)
+    def fact(rows: DataFrame, kind: str | Column, owner_: Column, name: Column, detail: Column = empty, catches_: Column = nothing, handler: Column = empty) -> DataFrame:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return rows.select("path", kind.alias("kind"), owner_.alias("owner"), name.alias("name"), detail.alias("detail"), catches_.alias("catches"), handler.alias("handler"), "line", F.col("i").alias("seq"))
+
+    handler = F.coalesce(F.array_join("clause.types", "|"), empty)
+    # a name at the level of its own declaration is no call
+    is_declared = F.coalesce(F.col("above.kind").isin("method", "type") & (F.col("above.around") == F.col("around")), F.lit(False))
+    out = fact(placed.where((F.col("fact") == "call") & in_method & ~is_declared), "call", F.col("method_name"), F.col("name"), empty, F.col("catches"), handler)
+    out = out.unionByName(fact(placed.where((F.col("fact") == "throw") & in_method), "throw", F.col("method_name"), thrown_name, F.col("condition"), F.col("catches"), handler))
+    out = out.unionByName(fact(placed.where((F.col("fact") == "catch") & in_method), "catch", F.col("method_name"), F.array_join("types", "|"), empty, F.col("catches"), handler))
+    typed = placed.where("fact = 'type'").withColumn("whole", F.concat_ws(".", F.nullif("class", empty), "name"))
+    sort = F.regexp_extract("head", _TYPE, 1)
+    class_type = F.when(F.col("head").contains("@ interface ") | (sort == "interface"), "interface").when(F.regexp_extract("head", r"^(.*?)(?:class|interface|enum|record) ", 1).rlike(r"(^| )abstract "), "abstract class").otherwise("class")
+    out = out.unionByName(fact(typed, "type", F.col("class"), F.col("whole"), class_type))
+    for clause_, pattern in (("extends", r" extends (.*?)(?: implements .*| permits .*)? \{$"), ("implements", r" implements (.*?)(?: permits .*)? \{$")):
+        rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("head", r"<[^<>]*>", ""), r"<[^<>]*>", ""), r"<[^<>]*>", "")
+        parents = typed.withColumn("parent", F.explode(listed(F.regexp_extract(rest, pattern, 1))))
+        relation = F.when((F.lit(clause_) == "implements") | (sort == "interface"), "Realization").otherwise("Inheritance")
+        out = out.unionByName(fact(parents, clause_, F.col("whole"), F.col("parent"), relation))
+    inside = F.coalesce(F.col("above.kind").isin("type", "anonymous") & (F.col("above.body") == F.col("around")) & (F.col("typed") | (F.col("name") == F.col("above.name"))), F.lit(False))
+    methods = placed.where((F.col("fact") == "method") & inside).withColumn("full", full(F.col("name"), F.col("list")))
+    out = out.unionByName(fact(methods, "method", F.col("class"), F.col("full")))
+    declares = methods.withColumn("thrown", F.explode(listed(F.regexp_extract("head", _METHOD, 3))))
+    out = out.unionByName(fact(declares, "declares", F.concat_ws(".", "class", "full"), F.col("thrown")))
+    doc = F.col("doc").startswith("/**")
+    out = out.unionByName(fact(methods.where(doc), "comment", F.concat_ws(".", "class", "full"), F.col("doc"), F.lit("method"))).unionByName(fact(typed.where(doc), "comment", F.col("whole"), F.col("doc"), F.lit("type")))
+    imports = known.where(F.col("head").rlike("^import ")).select("path", F.col("start").alias("i"), "line", F.col("package"), F.regexp_replace(F.regexp_replace("head", "^import (static )?", ""), "[ ;]", "").alias("name"), F.col("head").startswith("import static ").alias("static"))
+    out = out.unionByName(fact(imports, "import", F.coalesce("package", empty), F.col("name"), F.when(F.col("static"), "static").otherwise("")))
+    return out
 
 
 def call_sites(found: DataFrame) -> DataFrame:
@@ -118,19 +235,45 @@ def call_sites(found: DataFrame) -> DataFrame:
     return calls.select(F.col("owner").alias("caller"), F.col("name").alias("callee"), F.concat_ws(":", "path", F.col("seq").cast("string")).alias("site_id"), F.col("catches").alias("catch_types"))
 
 
-def knowledge(found: DataFrame) -> dict[str, DataFrame]:
-    """The tables that facts fill: classes, methods, belongs, calls, throws, inherits, files, locates."""
+def exceptions(found: DataFrame, inherits: DataFrame) -> DataFrame:
+    """(qualified_name, parent, exception_type) of the types that are throwable: `runtime` or `checked`. inherits: class, parent, relation."""
+    spark = found.sparkSession
+    base = spark.createDataFrame([(f"java.lang.{c}", f"java.lang.{p}") for c, p in THROWABLES.items()], "child string, parent string")
+    own = inherits.where("relation = 'Inheritance'").select(F.col("class").alias("child"), "parent")
+    above = closure.ancestors(own.unionByName(base))
+    flags = above.groupBy(F.col("child").alias("qualified_name")).agg(F.max(F.col("ancestor") == "java.lang.Throwable").alias("t"), F.max(F.col("ancestor") == closure.RUNTIME).alias("r"))
+    kept = flags.where("t").join(own.groupBy(F.col("child").alias("qualified_name")).agg(F.min("parent").alias("parent")), "qualified_name")
+    return kept.select("qualified_name", "parent", F.when(F.col("r"), "runtime").otherwise("checked").alias("exception_type"))
+
+
+def knowledge(found: DataFrame, qualified: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables that facts fill: classes, exceptions, methods, belongs, calls, throws, inherits, files, locates.
+
+    qualified: names.qualified(found), where names of types are to be known by their packages.
+    """
     of = lambda kind: found.where(F.col("kind") == kind)
+
+    def named(rows: DataFrame) -> DataFrame:
+        """rows whose `name` is a type's, qualified where that is known."""
+        if qualified is None:
+            return rows
+        known = qualified.where("qualified is not null").select(F.col("path").alias("_p"), F.col("scope").alias("_s"), F.col("name").alias("_n"), "qualified")
+        return rows.join(known, (F.col("path") == F.col("_p")) & (F.col("owner") == F.col("_s")) & (F.col("name") == F.col("_n")), "left").withColumn("name", F.coalesce("qualified", "name")).drop("_p", "_s", "_n", "qualified")
+
+    comments = of("comment").groupBy(F.col("owner").alias("_owner"), F.col("detail").alias("_of")).agg(F.max_by("name", "seq").alias("comment"))
+    about = lambda rows, of_: rows.join(comments.where(F.col("_of") == of_), F.col("qualified_name") == F.col("_owner"), "left").drop("_owner", "_of")
     full = F.concat_ws(".", "owner", "name")
+    inherits = staged(named(found.where("kind in ('extends', 'implements')")).select(F.col("owner").alias("class"), F.col("name").alias("parent"), F.col("detail").alias("relation")), "inherits")
     return {
-        "classes": of("type").select(F.col("name").alias("qualified_name"), F.col("detail").alias("class_type"), "path", "seq"),
-        "methods": of("method").select(full.alias("qualified_name"), "path", "seq"),
+        "classes": about(of("type").select(F.col("name").alias("qualified_name"), F.col("detail").alias("class_type"), "path", "seq"), "type"),
+        "exceptions": exceptions(found, inherits),
+        "methods": about(of("method").select(full.alias("qualified_name"), "path", "seq"), "method"),
         "belongs": of("method").select(full.alias("method"), F.col("owner").alias("class")),
         "calls": of("call").select(F.col("owner").alias("method"), F.col("name").alias("method_been_call")),
-        "throws": of("throw").select(F.col("owner").alias("method"), F.col("name").alias("exception"), F.lit("throw statement").alias("throw_way"), F.col("detail").alias("throw_condition"), "path", "seq").unionByName(
-            of("method").where("detail != ''").select(full.alias("method"), F.explode(F.split("detail", ",")).alias("exception"), F.lit("declaration").alias("throw_way"), F.lit("").alias("throw_condition"), "path", "seq")
+        "throws": named(of("throw")).select(F.col("owner").alias("method"), F.col("name").alias("exception"), F.lit("throw statement").alias("throw_way"), F.col("detail").alias("throw_condition"), "path", "seq").unionByName(
+            named(of("declares")).select(F.col("owner").alias("method"), F.col("name").alias("exception"), F.lit("declaration").alias("throw_way"), F.lit("").alias("throw_condition"), "path", "seq")
         ),
-        "inherits": found.where("kind in ('extends', 'implements')").select(F.col("owner").alias("class"), F.col("name").alias("parent"), F.col("detail").alias("relation")),
+        "inherits": inherits,
         "files": found.select(F.col("path").alias("file_path")).distinct(),
         "locates": of("type").select(F.col("path").alias("file_path"), F.col("name").alias("class")),
     }

@@ -1,4 +1,4 @@
-"""Queries over line alignment, handlers, facts from source text, logs, stored records and streams, on texts and files made from the star tables."""
+"""Queries over line alignment, handlers, logs, stored records and streams, on texts and files made from the star tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as tx
-from codeloom.operators import align, extract, graph, handlers, sequence
+from codeloom.operators import align, handlers, sequence
 from codeloom.plans.facts import table
 from codeloom.session import shared_dir
 from codeloom.sources import code
@@ -87,32 +87,6 @@ def try_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("l_orderkey").agg(F.sum("x.d").alias("depths"), F.sum("x.o").alias("owners"), F.max(F.size("valid")).alias("valid"))
 
 
-def source_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of a class for each order, whose method calls parts inside a handler and throws: kinds by number."""
-    calls = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda x: F.concat(F.lit("      f"), x["l_partkey"].cast("string"), F.lit("(1);\n"))), "")
-    per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(calls.alias("calls"), F.count(F.lit(1)).alias("n"))
-    key = F.col("l_orderkey").cast("string")
-    source = F.concat(F.lit("package a.b;\n/* class No {} */\nclass C"), key, F.lit(" extends Base implements Some {\n  void run(int x) throws IO {\n    try {\n"), "calls", F.lit("    } catch (A | B e) {\n    }\n    if (x > "), key, F.lit(") throw new Bad();\n  }\n}\n"))
-    found = extract.extract(per.select(key.alias("path"), source.alias("content")))
-    caught = F.size(F.filter("catches", lambda c: c.isin("A", "B")))
-    return found.groupBy("path").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("type", "extends", "implements", "method", "call", "catch", "throw")), F.sum(F.when(F.col("kind") == "call", caught).otherwise(0)).alias("caught"), F.max(F.when(F.col("kind") == "throw", F.col("detail"))).alias("condition"))
-
-
-def knowledge_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the tables that facts of one class for each nation fill, and its call edges with what their sites catch."""
-    nation = table(spark, sf_dir, "nation")
-    key = F.col("n_nationkey").cast("string")
-    source = F.concat(F.lit("public abstract class N"), key, F.lit(" {\n  int a() { try { b(); b(); } catch (E"), key, F.lit(" e) { } return 1; }\n  int b() throws X"), key, F.lit(" { return 2; }\n}\n"))
-    found = extract.extract(nation.select(F.concat(key, F.lit(".java")).alias("path"), source.alias("content")))
-    tables = extract.knowledge(found)
-    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("of"), "n") for name, df in tables.items()]
-    edges = graph.edges_from_sites(extract.call_sites(found)).select(F.concat("caller", F.lit(">"), "callee", F.lit(":"), F.array_join(F.array_sort(F.flatten("sites")), ",")).alias("of"), F.size("sites").cast("long").alias("n"))
-    out = edges
-    for c in counts:
-        out = out.unionByName(c)
-    return out
-
-
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/codeloom/{name}-{uuid.uuid4().hex}"
 
@@ -120,9 +94,9 @@ def _folder(spark: SparkSession, name: str) -> str:
 def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders' methods written as source files, a folder for each tenth, read again: path, root, class name; one folder is left out."""
     at = _folder(spark, "tree")
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 500 = 0").select(F.concat(F.lit("package p"), F.col("o_orderkey") % 10, F.lit(";")).alias("value"), F.concat(F.lit("p"), F.col("o_orderkey") % 10).alias("k"))
-    # one file for each folder
-    lines = orders.groupBy("k").agg(F.first("value").alias("value"))
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("p"), F.col("o_orderkey") % 10).alias("k"), "o_orderkey")
+    # one file for each folder, whose last line tells its orders
+    lines = orders.groupBy("k").agg(F.concat(F.lit("package "), F.first("k"), F.lit("; // "), F.count(F.lit(1)), F.lit(" "), F.sum("o_orderkey")).alias("value"))
     lines.repartition("k").write.partitionBy("k").option("compression", "none").text(at)
     files = code.source_files(spark, at, ["k=p3"], suffix="txt")
     root = code.source_root(F.col("path"), F.col("content"))
@@ -210,7 +184,7 @@ def duration_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        line_alignment, line_matches, edit_scripts, added_tries, changed_cases, file_diffs, try_lines, source_facts, knowledge_tables, source_scan, json_round_trip, log_read, record_cache, folder_listing, files_under, stream_ingest,
+        line_alignment, line_matches, edit_scripts, added_tries, changed_cases, file_diffs, try_lines, source_scan, json_round_trip, log_read, record_cache, folder_listing, files_under, stream_ingest,
         log_phases, phase_statistics, duration_totals,
     )
 }
@@ -231,9 +205,7 @@ UNION ALL SELECT l_orderkey, 2, CASE WHEN old THEN n + 2 ELSE n + 1 END, 3, n +
     "changed_cases": f"WITH {_V} SELECT l_orderkey, CASE WHEN l_orderkey % 5 = 0 THEN 1 WHEN l_orderkey % 3 = 0 THEN 0 ELSE 1 END::INT AS changed, CASE WHEN l_orderkey % 5 = 0 THEN 3 WHEN l_orderkey % 3 = 0 THEN -1 ELSE 2 END::INT AS start FROM v",
     "file_diffs": f"WITH {_V} SELECT l_orderkey % 100 AS file, l_orderkey AS name, 1 AS n FROM v WHERE l_orderkey % 5 = 0 OR l_orderkey % 3 <> 0",
     "try_lines": f"WITH {_V} SELECT l_orderkey, (n + 3 + CASE WHEN l_orderkey % 5 = 0 THEN 3 + n + 2 ELSE 0 END)::BIGINT AS depths, (CASE WHEN l_orderkey % 5 = 0 THEN n + 2 - (2 + 1) ELSE -3 END)::BIGINT AS owners, (n + 4 + CASE WHEN l_orderkey % 5 = 0 THEN 2 ELSE 0 END)::INT AS valid FROM v",
-    "source_facts": "SELECT l_orderkey::VARCHAR AS path, 1::BIGINT AS type, 1::BIGINT AS extends, 1::BIGINT AS implements, 1::BIGINT AS method, count(*) AS call, 1::BIGINT AS catch, 1::BIGINT AS throw, (2 * count(*))::BIGINT AS caught, 'x > ' || l_orderkey AS condition FROM lineitem GROUP BY l_orderkey",
-    "knowledge_tables": "SELECT 'N' || n_nationkey || '.a()>b:E' || n_nationkey || ',E' || n_nationkey AS of, 2::BIGINT AS n FROM nation UNION ALL SELECT t, k * (SELECT count(*) FROM nation) FROM (VALUES ('classes', 1), ('methods', 2), ('belongs', 2), ('calls', 2), ('throws', 1), ('inherits', 0), ('files', 1), ('locates', 1)) x(t, k)",
-    "source_scan": "SELECT DISTINCT 'p' || o_orderkey % 10 AS folder, 'package p' || o_orderkey % 10 || ';' AS text, true AS rooted FROM orders WHERE o_orderkey % 500 = 0 AND o_orderkey % 10 <> 3",
+    "source_scan": "SELECT 'p' || o_orderkey % 10 AS folder, 'package p' || o_orderkey % 10 || '; // ' || count(*) || ' ' || sum(o_orderkey) AS text, true AS rooted FROM orders WHERE o_orderkey % 10 <> 3 GROUP BY o_orderkey % 10",
     "json_round_trip": "SELECT source AS repo_id, 'p' || doc_id AS patch, lang AS types, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS label, 0 AS changed, 0 AS before FROM documents",
     "log_read": "WITH l AS (SELECT source, doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM documents), r AS (SELECT source, line, row_number() OVER (PARTITION BY source ORDER BY doc_id, n) - 1 AS k FROM l) SELECT source, count(*) AS n, max(k) AS last, min(k) FILTER (length(line) > 200) AS long FROM r GROUP BY source",
     "record_cache": "SELECT c.conv_id AS case_id, coalesce(v, '') AS value FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT conv_id, max(md5(text)) AS v FROM conversations WHERE turn = 0 GROUP BY conv_id) t ON t.conv_id = c.conv_id",

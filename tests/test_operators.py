@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as tx
-from codeloom.operators import align, cases, closure, enrich, extract, graph, handlers, kb, metrics, nodes, sequence
+from codeloom.operators import align, cases, closure, enrich, graph, handlers, kb, metrics, nodes, sequence
 from codeloom.sources import code
 from codeloom.streaming import ingest
 
@@ -134,15 +134,6 @@ def test_ask_retries_and_parses(spark):
     assert got["ok"] == ('{"answer": "yes"}', None) and got["bad"] == (None, "no JSON object") and got["down"][1].startswith("ConnectionError")
 
 
-def test_java_facts(spark):
-    source = 'package a.b;\nclass Foo extends Bar {\n int run(List<String> a) throws IOException {\n  if (a == null) { throw new IllegalArgumentException("x"); }\n  try { go(a); } catch (IOException | Error e) { log(e); }\n  return 1; } }\n'
-    found = extract.extract(spark.createDataFrame([("a/b/Foo.java", source), ("empty.java", None)], "path string, content string")).collect()
-    facts = {(r["kind"], r["name"]): r for r in found}
-    assert facts["call", "go"]["catches"] == ["IOException", "Error"] and facts["call", "log"]["catches"] == []
-    assert facts["throw", "IllegalArgumentException"]["detail"] == "a == null"
-    assert facts["method", "run(List)"]["detail"] == "IOException"
-
-
 def test_sources(spark, tmp_path):
     root = tmp_path / "src" / "main"
     (root / "a" / "b").mkdir(parents=True)
