@@ -11,11 +11,17 @@ template; what they hold are its slots (`templates`).
 
 The template decides on each page. Of the paths that stand once on every page of the host, the
 deepest that holds more than HALF of the text outside links is the content slot (an `article`
-or `main` is not entered further). Text outside it goes. In it, slots go whose text repeats
-itself over pages or is mostly links, and slots of the template with a role in a compound name
-(`site-nav`). Marks of role on an element break ties: navigation, asides, forms, adverts,
-notices and reader comments by tag, ARIA role or a whole class name go wherever they stand,
-and where articles or a main element stand in the content slot only these are kept.
+or `main` is not entered further). Text outside it goes, and where articles or a main element stand
+in it only these are kept. Inside it nothing goes for repeating itself or for its links (table heads,
+labels, bylines and reference lists do), but slots of the template that have a name of role
+(`related`, `share-bar`) and whose text repeats over pages, and outside articles and main elements
+those that are lists of the same links on each page. Pages whose main text by marks of role is
+equal (mirrors, print views) count once in all of this.
+
+Marks of role that always drop: navigation, asides, forms and footers by tag or ARIA role, hidden elements, and
+adverts, consent boxes and reader comments by class name or id, alone (`comments`) or with words of structure
+(`comment-list`), at any depth. Other names of role (`search`, `notice`) drop only what the template
+shows to repeat; where there is no template, only blocks outside articles and main elements, and no paragraphs or headings.
 
 Pages of hosts without LEAST different pages, or without a content slot, and pages that lack
 it, are judged by marks of role alone; the column `by` says which (`template` or `roles`).
@@ -23,7 +29,7 @@ it, are judged by marks of role alone; the column `by` says which (`template` or
 White space in a block becomes one space; blocks are joined by line feeds, in page order.
 Null and empty html, and pages without main text, give the empty text; broken or cut markup
 is read as far as it goes; long pages are read whole; null urls are a host of their own; equal
-pages of a host count once in its template; repeated rows repeat; other columns are ignored,
+pages of a host count once in its template, a path's text then being that of the page of least hash; repeated rows repeat; other columns are ignored,
 whatever their names; no rows give none.
 """
 
@@ -45,8 +51,8 @@ from .url_filter import host
 LEAST = 3
 #: The content slot holds more than this share of a host's text outside links.
 HALF = 0.5
-#: A path's text repeats if it has fewer different texts than this share of its pages; links fill it beyond this share.
-REPEATS, LINKS = 0.5, 0.6
+#: A path's text repeats if it has fewer different texts than this share of its pages; a list of links holds more than this share in links.
+REPEATS, LINKS = 0.5, 0.9
 
 _BLOCK = set("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,11 +64,12 @@ _STOPS = set("ul ol dl table tbody thead article main section div body select".s
 _HOLDERS = set("html body main article section div td blockquote center details figure".split())
 _DROPPED = set("nav footer aside form button select object canvas svg dialog head".split())
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_NAMES = set(
-    "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager toolbar share sharing social footer masthead sidebar related "
-    "notice notices alert cookie cookies consent gdpr popup modal overlay ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored "
-    "subscribe newsletter signup login search comment comments reply replies respond disqus".split()
-)
+#: Names of adverts, consent boxes and reader comments; other names of roles; words of structure that stand beside them in compound names.
+_DEFINITE = set("ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr comment comments reply replies respond disqus".split())
+_NAMES = set("nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager toolbar share sharing social footer masthead sidebar related notice notices alert popup modal overlay banner promo promotion subscribe newsletter signup login search".split())
+_STRUCTURE = set("area articles bar block bottom box button buttons col column container content form global group header icons inner item items left link links list main page panel posts primary results right row secondary section side site slot stories thread top unit user widget wrap wrapper".split())
+#: Blocks of running text, which no name of role but the definite ones drops.
+_PROSE = set("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th figcaption".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][-\w:]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -83,23 +90,30 @@ class Element:
         self.chars = self.linked = self.text = 0
 
 
+def _named(value: str) -> tuple[bool, bool]:
+    """Whether a class name or id is a definite name of role, and whether it is one of the others; compound names with words of structure only."""
+    words = {w.lower() for w in _WORDS.findall(value)} if value.lower() not in _NAMES | _DEFINITE else {value.lower()}
+    if not words <= _DEFINITE | _NAMES | _STRUCTURE:
+        return False, False
+    return bool(words & _DEFINITE), bool(words & _NAMES)
+
+
 def _roles(tag: str, attributes: str) -> tuple[bool, bool, str]:
-    """Whether an element's marks of role drop it, whether a compound name has a role's word, and its class names."""
+    """Whether an element's marks of role drop it, whether they may (if the template agrees), and its class names."""
     found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     names = found.get("class", "")
-    whole = {w.lower() for w in [*names.split(), found.get("id", "")]}
-    drop = tag in _DROPPED or found.get("role", "").lower() in _ROLES or bool(whole & _NAMES) or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    loose = any(w.lower() in _NAMES for w in _WORDS.findall(f"{names} {found.get('id', '')}"))
+    marks = [_named(x) for x in [*names.split(), found.get("id", "")] if x]
+    drop = tag in _DROPPED or found.get("role", "").lower() in _ROLES or any(d for d, _ in marks) or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     solid = tag in ("html", "body", "article", "main")
-    return drop and not solid, loose and not solid, names
+    return drop and not solid, any(m for _, m in marks) and not solid, names
 
 
 class Page:
     """A page as it is read. content, boiler: paths of the host's template.
 
-    blocks: (text, inside the content slot, in article or main, dropped, dropped or of a compound role name).
+    blocks: (text, inside the content slot, in article or main, dropped, dropped or with a name of role).
     paths: of each block path: parent, occurrences, hash of its text, code points, those in links, depth, tag, and
-    whether it lies below an article or main, and has a compound role name.
+    whether it lies below an article or main, and has a name of role.
     """
 
     def __init__(self, page: str, content: int | None = None, boiler: frozenset[int] = frozenset(), count: bool = False):
@@ -182,7 +196,7 @@ class Page:
         is_block = tag in _BLOCK
         e = Element(tag, above.path, above)
         if is_block:
-            name = _DIGITS.sub("0", ".".join([tag, *names.split()]))
+            name = ".".join([tag, *_DIGITS.sub("0", names).split()])
             e.path = xxhash.xxh64_intdigest(name, seed=above.path)
         else:
             e.block = above.block
@@ -195,7 +209,7 @@ class Page:
         e.inside = above.inside or (is_block and e.path == self._content)
         self.has_content |= e.inside
         e.drop = above.drop or drop or (is_block and e.path in self._boiler)
-        e.loose = above.loose or (loose and not above.main)
+        e.loose = above.loose or (loose and (self._count or (not above.main and tag not in _PROSE)))
         e.link = tag == "a"
         self._links += e.link
         self._at.setdefault(tag, []).append(len(self._stack))
@@ -237,6 +251,11 @@ class Page:
     def by_template(self) -> bool:
         return self.has_content
 
+    def core(self) -> str:
+        """What mirrors of a page share: the text that no definite mark of role drops, of articles and main elements if there are any."""
+        kept = [b for b in self.blocks if not b[3]]
+        return "\n".join(b[0] for b in kept if b[2] or not self.has_main)
+
     def main_text(self) -> str:
         """The text of the content slot; without one, by marks of role."""
         kept = [b for b in self.blocks if not b[3] and b[1]] if self.has_content else [b for b in self.blocks if not b[4]]
@@ -250,7 +269,7 @@ def main_text(page: str | None, content: int | None = None, boiler: frozenset[in
     return Page(page or "", content, boiler).main_text()
 
 
-_TOKENS = "host string, page bigint, path bigint, parent bigint, n bigint, text bigint, chars bigint, linked bigint, depth int, holder boolean, below boolean, loose boolean"
+_TOKENS = "host string, page bigint, core bigint, path bigint, parent bigint, n bigint, text bigint, chars bigint, linked bigint, depth int, holder boolean, below boolean, loose boolean"
 
 
 def _signed(value: int | None) -> int | None:
@@ -265,8 +284,11 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 256):
             rows = []
             for h, page, source in zip(*(batch.slice(at, 256).column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
-                for path, (parent, n, text, chars, linked, depth, tag, below, loose) in Page(source or "", count=True).paths.items():
-                    rows.append((h, page, _signed(path), _signed(parent), n, _signed(text), chars, linked, depth, tag in _HOLDERS, below, loose))
+                read = Page(source or "", count=True)
+                core = read.core()
+                core = _signed(xxhash.xxh64_intdigest(core)) if core else page
+                for path, (parent, n, text, chars, linked, depth, tag, below, loose) in read.paths.items():
+                    rows.append((h, page, core, _signed(path), _signed(parent), n, _signed(text), chars, linked, depth, tag in _HOLDERS, below, loose))
             columns = list(zip(*rows, strict=True)) or [()] * len(fields)
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
 
@@ -275,8 +297,9 @@ def template_paths(pages: DataFrame) -> DataFrame:
     """One row for each path of each host: host, path, pages, texts, n (least and greatest on a page), chars, linked, holder, below,
     depth, and fixed: whether it belongs to the template. pages: host, page, html.
     """
-    # equal pages of a host give equal rows, which are taken once
-    tokens = pages.mapInArrow(_tokens, _TOKENS).distinct()
+    # pages of equal main text count once: of each path the row of the least page
+    rest = [c.split()[0] for c in _TOKENS.split(", ") if c.split()[0] not in ("host", "path", "core")]
+    tokens = pages.mapInArrow(_tokens, _TOKENS).groupBy("host", "path", "core").agg(F.min(F.struct(*rest)).alias("x")).select("host", "path", F.col("core").alias("page"), *(F.col(f"x.{c}").alias(c) for c in rest if c != "page"))
     # two steps, so that different texts are counted by partial sums
     flags = [F.first(c).alias(c) for c in ("parent", "depth", "holder", "below", "loose")]
     texts = tokens.groupBy("host", "path", "text").agg(F.count(F.lit(1)).alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), *flags)
@@ -300,7 +323,8 @@ def templates(pages: DataFrame) -> DataFrame:
     slots = paths.where(holds).join(whole, "host").where((F.col("pages") == F.col("all_pages")) & (F.col("chars") - F.col("linked") > HALF * F.col("all_text")))
     # two such paths lie in one another, for both hold more than half; the deepest is the slot
     content = slots.groupBy("host").agg(F.max_by("path", "depth").alias("content"))
-    goes = F.col("fixed") & (repeats | (F.col("linked") > LINKS * F.col("chars")) | F.col("loose")) & (F.col("chars") > 0)
+    menu = (F.col("linked") > LINKS * F.col("chars")) & ~F.col("below")
+    goes = F.col("fixed") & repeats & (F.col("loose") | menu) & (F.col("pages") > 1) & (F.col("chars") > 0)
     boiler = paths.where(goes).groupBy("host").agg(F.collect_list("path").alias("boiler"))  # template paths only
     return content.join(boiler, "host", "left")
 

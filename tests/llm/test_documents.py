@@ -354,6 +354,47 @@ def test_the_template_decides(spark):
     assert html_extract.extract(pages_of(spark, [])).count() == 0
 
 
+def articles(n, inside, host="a.org", copies=lambda k: k):
+    """n pages with chrome that differs, whose article is inside(copies(k))."""
+    return [(k, f"http://{host}/{k}", f"<body><nav><a href=/>home {k}</a></nav><div class=ad>buy {k}</div><article><h1>Title {copies(k)}</h1>{inside(copies(k))}</article><footer>mirror {k}</footer></body>") for k in range(n)]
+
+
+def texts_of(spark, rows):
+    return {r["page_id"]: r["text"] for r in html_extract.extract(pages_of(spark, rows)).collect()}
+
+
+@pytest.mark.parametrize(("n", "copies"), [(3, lambda k: 0), (5, lambda k: 0), (8, lambda k: min(k, 2)), (8, lambda k: max(0, k - 5)), (8, lambda k: k)])
+def test_articles_of_mirrors_stay(spark, n, copies):
+    inside = lambda k: f"<p class=byline>By A. Writer</p><p>Own text of page {k}, long enough to count.</p><table><tr><th>Year<th>Sum<tr><td>{k}<td>9</table><dl><dt>Label<dd>v{k}</dl><h2>References</h2><ul><li><a href=/x{k}>Ref {k}</a><li><a href=/y{k}>Other {k}</a></ul>"
+    want = lambda k: f"Title {k}\nBy A. Writer\nOwn text of page {k}, long enough to count.\nYear\nSum\n{k}\n9\nLabel\nv{k}\nReferences\nRef {k}\nOther {k}"
+    assert texts_of(spark, articles(n, inside, copies=copies)) == {k: want(copies(k)) for k in range(n)}
+
+
+@pytest.mark.parametrize("block", ["<p class=search>{}</p>", "<div class=related>{}</div>", "<section id=notice>{}</section>", "<div class=notice>{}</div>", "<p class=social-history>{}</p>", "<div class=search-results-theory>{}</div>"])
+def test_names_of_role_lose_no_text_of_its_own(spark, block):
+    inside = lambda k: f"<p>Text {k}</p>" + block.format(f"the history of number {k}")
+    assert texts_of(spark, articles(6, inside))[4] == "Title 4\nText 4\nthe history of number 4"
+    rows = [(k, "http://b.org/", f"<body><div class=top>{inside(k)}</div></body>") for k in range(2)]
+    assert "Text 1" in texts_of(spark, rows)[1]
+
+
+def test_what_repeats_under_a_name_of_role_goes(spark):
+    inside = lambda k: f"<p>Text {k} of its own</p><div class=share>Tell others</div><div class=wide>Always the same</div>"
+    assert texts_of(spark, articles(6, inside))[4] == "Title 4\nText 4 of its own\nAlways the same"
+
+
+@pytest.mark.parametrize("mark", ["class=comment-list", "id=user-comments", "class=comments", "class='post replies'"])
+@pytest.mark.parametrize("n", [1, 5])
+def test_reader_comments_go_at_any_depth(spark, mark, n):
+    rows = [(k, "http://c.org/", f"<body><main><h1>T{k}</h1><h2>S{k}</h2><div><p>Text {k} that is long enough</p><ol {mark}><li>nice {k}<li>bad</ol></div></main></body>") for k in range(n)]
+    assert texts_of(spark, rows)[0] == "T0\nS0\nText 0 that is long enough"
+
+
+def test_headings_have_paths_of_their_own():
+    paths = html_extract.Page("<main><h1>a</h1><h2>b</h2><div class=x1>c</div><div class=x2>d</div></main>", count=True).paths
+    assert sorted(v[1] for v in paths.values() if v[6] in ("h1", "h2", "div")) == [1, 1, 2]
+
+
 def plain_template(pages):
     """Paths of the template of one host, by plain counting over its different pages."""
     counts, parents = {}, {}
