@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import staged
+
 # Repositories that cannot be analysed.
 DENIED = ["junit-team/junit5", "OpenLiberty/open-liberty", "opensourceBIM/BIMserver", "openjdk/jdk"]
 KEYS = ["repo_id", "patch", "methodName"]
@@ -21,13 +23,10 @@ def allowed(rows: DataFrame, column: str, denied: list[str] = DENIED) -> DataFra
 
 
 def any_of(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
-    """Rows one of whose names in an array is in names (column name), by explode and a semi join on the rows' keys.
-
-    rows get a key of their own content, so equal rows share a verdict.
-    """
-    key = F.xxhash64(*[F.col(c).cast("string") for c in rows.columns])
-    hit = rows.select(key.alias("_key"), F.explode(column).alias("name")).join(names.select("name"), "name", "left_semi").select("_key").distinct()
-    return rows.withColumn("_key", key).join(hit, "_key", "left_semi").drop("_key")
+    """Rows one of whose names in an array is in names (column name). A row is known by its number, so rows of like texts are told apart."""
+    placed = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    hit = placed.select("_row", F.explode(column).alias("name")).join(names.select("name"), "name", "left_semi").select("_row").distinct()
+    return placed.join(hit, "_row", "left_semi").drop("_row")
 
 
 def has_findings(checked: Column, unchecked: Column) -> Column:

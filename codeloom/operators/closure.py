@@ -10,24 +10,38 @@ from codeloom.session import staged
 RUNTIME = "java.lang.RuntimeException"
 
 
+def _reached(edges: DataFrame, starts: DataFrame, label: str) -> DataFrame:
+    """(child, ancestor, distance): what each start reaches over edges (child, parent), itself too, by doubling.
+
+    `known` holds all pairs nearer than 2^k steps, `leaps` all pairs that a walk of just 2^k steps joins. Known pairs
+    behind a leap are those nearer than 2^(k+1), so a chain of n takes log2(n) rounds. A round that finds no
+    pair ends it, for then none is farther; so cycles end too.
+    """
+    known = staged(starts.select("child", F.col("child").alias("ancestor"), F.lit(0).alias("distance")), label)
+    leaps = staged(edges.select("child", "parent").distinct(), label)
+    count, step = known.count(), 1
+    while True:
+        over = leaps.select(F.col("child").alias("_at"), "parent")
+        farther = known.join(over, F.col("ancestor") == F.col("_at")).select("child", F.col("parent").alias("ancestor"), (F.col("distance") + step).alias("distance"))
+        known = staged(known.unionByName(farther).groupBy("child", "ancestor").agg(F.min("distance").alias("distance")), label)
+        now = known.count()
+        if now == count:
+            return known
+        count, step = now, 2 * step
+        leaps = staged(leaps.join(over.withColumnRenamed("parent", "_to"), F.col("parent") == F.col("_at")).select("child", F.col("_to").alias("parent")).distinct(), label)
+        if leaps.isEmpty():
+            return known
+
+
 def ancestors(parents: DataFrame) -> DataFrame:
     """(child, ancestor, distance) of (child, parent) pairs, reflexive and transitive.
 
-    Level by level, with no bound on rows or depth; a self-parent ends its chain, and what was
-    reached before is not walked again, so cycles end too. With several parents the shortest
-    distance counts.
+    There is no bound on rows or depth; a self-parent ends its chain, and cycles end. With several
+    parents the shortest distance counts. Nulls are no names.
     """
     edges = staged(parents.where("child is not null and parent is not null and child != parent").select("child", "parent").distinct(), "edges")
     nodes = parents.select("child").unionByName(parents.select(F.col("parent").alias("child"))).where("child is not null").distinct()
-    known = staged(nodes.select("child", F.col("child").alias("ancestor"), F.lit(0).alias("distance")), "closure")
-    front, distance = known, 0
-    while True:
-        distance += 1
-        step = front.join(edges.withColumnRenamed("child", "_at"), F.col("ancestor") == F.col("_at")).select("child", F.col("parent").alias("ancestor"), F.lit(distance).alias("distance")).distinct()
-        front = staged(step.join(known, ["child", "ancestor"], "left_anti"), "front")
-        if front.isEmpty():
-            return known
-        known = _joined(known, front, distance)
+    return _reached(edges, nodes, "closure")
 
 
 def is_runtime(names: DataFrame, closure: DataFrame, root: str = RUNTIME) -> DataFrame:
@@ -41,19 +55,5 @@ def chain_until(parents: DataFrame, known: DataFrame) -> DataFrame:
     met already, so cycles end. Several parents give each node once, at its least distance. known: column name.
     """
     stop = known.select(F.col("name").alias("_known")).distinct()
-    flagged = staged(parents.where("child != parent").distinct().join(stop, F.col("child") == F.col("_known"), "left").select("child", "parent", F.col("_known").isNotNull().alias("known")), "flagged")
-    found = staged(flagged.where("not known").select(F.col("child").alias("start"), F.col("child").alias("node"), F.lit(0).alias("distance")).distinct(), "chain")
-    front, distance = found, 0
-    while True:
-        distance += 1
-        step = front.join(flagged.where("not known"), F.col("node") == F.col("child")).select("start", F.col("parent").alias("node"), F.lit(distance).alias("distance")).distinct()
-        front = staged(step.join(found, ["start", "node"], "left_anti").select("start", "node", "distance"), "chain")
-        if front.isEmpty():
-            return found
-        found = _joined(found, front, distance)
-
-
-def _joined(known: DataFrame, front: DataFrame, level: int) -> DataFrame:
-    """Both, written anew at every eighth level, so a late level reads few tables."""
-    both = known.unionByName(front)
-    return staged(both, "levels") if level % 8 == 0 else both
+    open_ = staged(parents.where("child != parent").distinct().join(stop, F.col("child") == F.col("_known"), "left_anti").select("child", "parent"), "open")
+    return _reached(open_, open_.select("child").distinct(), "chain").select(F.col("child").alias("start"), F.col("ancestor").alias("node"), "distance")
