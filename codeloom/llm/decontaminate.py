@@ -10,11 +10,11 @@ RADIUS = BLOCKS * (FLIPS + 1) - 1 of each other differ in FLIPS bits or fewer in
 an equality join on (size, block, bits in it) returns all pairs within the radius. A block has
 16 bits, of which an item holds 137 of 65,536 values, so few other items are met.
 
-How many similar pairs lie beyond the radius depends on how the weights fall (README has the
-measured share), so pairs that share one of the item's rarest shingles are candidates too:
-rarest first, those without which the rest weighs less than the threshold asks. Every similar
-pair shares one. Each candidate is then verified exactly: sum of lesser weights against sum
-of greater weights, over all shingles of both.
+A window has two fingerprints, by its shingles' weights and by the shingles as such (one heavy
+shingle may turn most bits of the first, many light ones those of the second); either may meet
+the item's of its kind. The index alone finds candidates, so a similar pair both of whose prints differ
+in more than RADIUS bits is missed; README has the measured recall. Each candidate is then verified exactly: sum of
+lesser weights against sum of greater weights, over all shingles of both.
 
 All of it is DataFrame functions. Items of fewer than five words have no shingle and match
 nothing, nor do null or empty texts on either side; items with a null id are kept as such;
@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_key, shingle_hashes, small_side, staged, words
@@ -52,6 +52,13 @@ def fingerprint(shingle: Column, weight: Column) -> Column:
     return print_
 
 
+def _printed(weights: DataFrame, keys: list[str | Column], weight: str) -> DataFrame:
+    """keys, kind and print: both fingerprints of each group of (shingle, weight)."""
+    both = weights.groupBy(*keys).agg(fingerprint(F.col("shingle"), F.col(weight)).alias("_0"), fingerprint(F.col("shingle"), F.lit(1)).alias("_1"))
+    rest = [c for c in both.columns if c not in ("_0", "_1")]
+    return both.select(*rest, F.posexplode(F.array("_0", "_1")).alias("kind", "print"))
+
+
 def _in_blocks(df: DataFrame, flips: int = 0) -> DataFrame:
     """A row for each block of `print` and each way to turn up to `flips` of its bits: block number and the bits."""
     size = BITS // BLOCKS
@@ -61,24 +68,19 @@ def _in_blocks(df: DataFrame, flips: int = 0) -> DataFrame:
     return rows.withColumn("turn", F.explode(F.array(*(F.lit(t).cast("long") for t in turned)))).withColumn("bits", F.col("bits").bitwiseXOR(F.col("turn"))).drop("turn") if flips else rows
 
 
-def _rarest(weights: DataFrame) -> DataFrame:
-    """(item, size, shingle): of each item, the rarest shingles of which a window of the threshold or more shares one."""
-    counted = weights.join(weights.groupBy("shingle").agg(F.count(F.lit(1)).alias("n_items")), "shingle")
-    rarer = Window.partitionBy("item").orderBy("n_items", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    before, every = F.coalesce(F.sum("own_weight").over(rarer), F.lit(0)), F.col("size") - SHINGLE + 1
-    return counted.withColumn("before", before).where(DENOMINATOR * (every - F.col("before")) >= NUMERATOR * every).select("item", "item_id", "size", "shingle")
+#: The shingles of all items are broadcast up to this many, of 8 bytes each; beyond it the join shuffles, and Spark splits frequent ones.
+VOCABULARY_ROWS = 4_000_000
 
 
 def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
     """A row for each window that holds an item: doc_id, key (of the document's content), item, item_id, size, start, shared, similarity."""
     item_words = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE).distinct()
-    item_words = item_words.select(F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.col("item_id").isNull(), "w").alias("item"), "item_id", F.size("w").alias("size"), shingle_hashes(F.col("w"), SHINGLE).alias("h"))
+    item_words = item_words.select(doc_key(F.col("item_id"), F.array_join("w", " ")).alias("item"), "item_id", F.size("w").alias("size"), shingle_hashes(F.col("w"), SHINGLE).alias("h"))
     placed = staged(item_words.select("item", "item_id", "size", F.posexplode("h").alias("q", "shingle")), "items")
     weights = staged(placed.groupBy("item", "item_id", "size", "shingle").agg(F.count(F.lit(1)).alias("own_weight")), "weights")
-    prints = weights.groupBy("item", "item_id", "size").agg(fingerprint(F.col("shingle"), F.col("own_weight")).alias("print"))
+    prints = _printed(weights, ["item", "item_id", "size"], "own_weight")
     item_blocks = staged(_in_blocks(prints, FLIPS).withColumnRenamed("print", "own"), "blocks")
     item_weights = weights.select("item", "shingle", "own_weight")
-    rarest = staged(_rarest(weights), "rarest")
 
     # places in documents that hold a shingle of some item
     vocabulary = staged(placed.select("shingle").distinct(), "vocabulary")
@@ -86,7 +88,7 @@ def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
     base = base.select("doc_id", "key", F.size("w").alias("n"), shingle_hashes(F.col("w"), SHINGLE).alias("h"))
     # outer: else Spark infers a filter that splits each text again for each word
     places = base.select("doc_id", "key", "n", F.posexplode_outer("h").alias("p", "shingle"))
-    hits = staged(places.join(small_side(vocabulary), "shingle", "left_semi").distinct(), "hits")
+    hits = staged(places.join(small_side(vocabulary, VOCABULARY_ROWS), "shingle", "left_semi").distinct(), "hits")
 
     # windows of an item's size that a shared shingle anchors, cut at the document's ends
     spots = staged(placed.select("shingle", "q", "size").distinct(), "spots")
@@ -99,13 +101,11 @@ def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
     in_window = windows.withColumn("stretch", stretches).join(hits.select("key", "p", "shingle", F.floor(F.col("p") / STRETCH).alias("stretch")), ["key", "stretch"]).where("p between begin and last")
     held = in_window.groupBy("doc_id", "key", "size", "start", (F.col("last") - F.col("begin") + 1).alias("all"), "shingle").agg(F.count(F.lit(1)).alias("weight"))
     held = staged(held, "held")
-    prints = held.groupBy("doc_id", "key", "size", "start", "all").agg(fingerprint(F.col("shingle"), F.col("weight")).alias("print"))
+    prints = _printed(held, ["key", "size", "start"], "weight")
 
     # all pairs within the radius
-    near = _in_blocks(prints).join(small_side(item_blocks), ["size", "block", "bits"])
-    near = near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("own"))) <= RADIUS).select("key", "size", "start", "item", "item_id")
-    # and those beyond it that can be similar
-    near = near.unionByName(held.join(small_side(rarest), ["size", "shingle"]).select("key", "size", "start", "item", "item_id")).distinct()
+    near = _in_blocks(prints).join(small_side(item_blocks), ["size", "kind", "block", "bits"])
+    near = near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("own"))) <= RADIUS).select("key", "size", "start", "item", "item_id").distinct()
 
     # exact weighted similarity
     shared = near.join(held, ["key", "size", "start"]).join(small_side(item_weights), ["item", "shingle"])

@@ -331,3 +331,30 @@ def test_pipeline_stages_take_odd_rows(spark, tmp_path):
     assert got == {(5, True), (7, True), (8, True)}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_fingerprints_find_the_pairs(spark, monkeypatch):
+    """Windows with some words changed, down to the threshold: what is found is found by the index, and that is most of what brute force finds."""
+    rng = random.Random(11)
+    items = [(k, " ".join(f"w{rng.randrange(900)}" for _ in range(60))) for k in range(12)]
+    docs = []
+    for k, text in items:
+        for changed in (0, 1, 1, 1):
+            w = text.split()
+            for at in rng.sample(range(60), changed):
+                w[at] = "changed"
+            docs.append((len(docs), " ".join([*(f"a{rng.randrange(900)}" for _ in range(30)), *w, *(f"b{rng.randrange(900)}" for _ in range(30))])))
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+
+    def similar(doc, item):
+        d, i = [[tuple(x.split()[j : j + 5]) for j in range(len(x.split()) - 4)] for x in (doc, item)]
+        best = max(sum(g in set(i) for g in d[s : s + len(i)]) for s in range(len(d) - len(i) + 1))
+        return 5 * best >= 4 * (2 * len(i) - best)
+
+    true = {(a, b) for a, x in docs for b, y in items if similar(x, y)}
+    found = lambda: {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(made(spark, docs), table).collect()}
+    got = found()
+    assert got <= true and len(got) >= 0.9 * len(true) and len(true) >= 40
+    blocks = decontaminate._in_blocks
+    monkeypatch.setattr(decontaminate, "_in_blocks", lambda df, flips=0: blocks(df, flips).where("block < 0"))
+    assert not found()
