@@ -57,8 +57,10 @@ def request(model: str, messages: Column, **options: object) -> Column:
 
 
 def chat_text(messages: Column) -> Column:
-    """Messages as one text, `role: content` line by line."""
-    return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    """Messages as a list in brackets, a line `{"role": "...", "content": "..."}` each, texts as they stand (nothing is escaped)."""
+    # The form of the list.
+    lines = F.transform(messages, lambda m: F.concat(F.lit('    {"role": "'), m["role"], F.lit('", "content": "'), m["content"], F.lit('"},\n')))
+    return F.replace(F.concat(F.lit("[\n"), F.array_join(lines, ""), F.lit("]")), F.lit(",\n]"), F.lit("\n]"))
 
 
 def response(text: Column) -> Column:

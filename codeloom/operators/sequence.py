@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -10,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.session import staged
+from codeloom.operators.kb import numbered
+from codeloom.session import small_side, staged
 
 
 def phase_matches(rows: DataFrame, key: str, phases: list[Column], order: list[str]) -> DataFrame:
@@ -82,41 +84,66 @@ def percentiles(values: DataFrame, column: str, shares: list[float]) -> list[flo
     return [between(s * (total - 1)) for s in shares]
 
 
-def statistics(values: DataFrame, column: str, prefix: str = "") -> DataFrame:
-    """One row: n, mean, median, std (of the population), min, max, p25, p75, cv."""
-    v = F.col(column)
-    cv = F.when(F.avg(v) != 0, F.stddev_pop(v) / F.avg(v))
-    p25, median, p75 = (F.lit(x).cast("double") for x in percentiles(values, column, [0.25, 0.5, 0.75]))
-    plain = {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v), "cv": cv}
-    row = values.agg(*(c.alias(n) for n, c in plain.items())).withColumns({"median": median, "p25": p25, "p75": p75})
-    return row.select(*(F.col(n).alias(prefix + n) for n in STATS))
-
-
 #: Statistics in the order they are given.
 STATS = ["n", "mean", "median", "std", "min", "max", "p25", "p75", "cv"]
 
 
-def trimmed(values: DataFrame, column: str, share: float) -> DataFrame:
-    """Values between the percentiles `share` and 1 - share, bounds included."""
-    low, high = percentiles(values, column, [share, 1 - share])
-    return values.where(F.col(column).between(low, high)) if low is not None else values.limit(0)
+def _picked(placed: DataFrame, groups: DataFrame, shares: dict[str, Column], by: list[str]) -> DataFrame:
+    """groups (by, first, n) with a column for each share: the exact percentile of n rows of placed from place `first` on."""
+    wanted = groups.where("n > 0").select(*by, "first", "n", F.explode(F.array(*(F.struct(F.lit(name).alias("name"), share.cast("double").alias("share")) for name, share in shares.items()))).alias("s"))
+    rank = F.col("s.share") * (F.col("n") - 1)
+    wanted = wanted.select(*by, F.col("s.name").alias("name"), (rank - F.floor(rank)).alias("part"), F.explode(F.array(F.struct(F.lit(0).alias("up"), (F.col("first") + F.floor(rank)).alias("row_index")), F.struct(F.lit(1).alias("up"), (F.col("first") + F.ceil(rank)).alias("row_index")))).alias("r"))
+    wanted = wanted.select(*by, "name", "part", "r.up", "r.row_index")
+    met = wanted.join(placed.select("row_index", "v"), "row_index").groupBy(*by, "name").agg(F.first("part").alias("part"), F.max(F.when(F.col("up") == 0, F.col("v"))).alias("low"), F.max(F.when(F.col("up") == 1, F.col("v"))).alias("high"))
+    value = F.col("low") + F.col("part") * (F.col("high") - F.col("low"))
+    wide = met.groupBy(*(F.col(c).alias(f"_w_{c}") for c in by)).agg(*(F.max(F.when(F.col("name") == name, value)).alias(name) for name in shares))
+    same = [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in by]
+    return groups.join(wide, reduce(lambda a, b: a & b, same), "left").select(*groups.columns, *shares)
 
 
-def compared_statistics(values: DataFrame, column: str, share: float) -> DataFrame:
-    """(stat, original, trimmed, pct_change); the change is infinite from 0."""
+def grouped_statistics(values: DataFrame, by: list[str], trim: Column) -> DataFrame:
+    """by, side (`original`, `trimmed`) and STATS of each group of (by, v), null values left out.
+
+    trim: the share cut off at each side, an expression over `by`; values at the bounds stay. All groups are sorted at
+    once, dealt by range; each percentile is a rank whose row is picked by a join, and trimmed values are a run of the same order.
+    """
+    placed = numbered(values.select(*by, F.col("v").cast("double").alias("v")).where("v is not null"), [*by, "v"])
 
-    def tall(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*(F.col(n).cast("double").alias(n) for n in STATS)).unpivot([], STATS, "stat", name)
+    def plain(rows: DataFrame) -> DataFrame:
+        return staged(rows.groupBy(*by).agg(F.min("row_index").alias("first"), F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.when(F.avg("v") != 0, F.stddev_pop("v") / F.avg("v")).alias("cv")), "sums")
 
-    a, b = tall(statistics(values, column), "original"), tall(statistics(trimmed(values, column, share), column), "trimmed")
+    thirds = {"p25": F.lit(0.25), "median": F.lit(0.5), "p75": F.lit(0.75)}
+    whole = staged(_picked(placed, plain(placed), thirds | {"_low": trim, "_high": 1 - trim}, by), "whole")
+    bounds = whole.select(*(F.col(c).alias(f"_{c}") for c in by), "_low", "_high")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    kept = placed.join(small_side(bounds), same).where(F.col("v").between(F.col("_low"), F.col("_high"))).select(*placed.columns)
+    less = _picked(placed, plain(kept), thirds, by)
+    side = lambda df, name: df.select(*by, F.lit(name).alias("side"), *STATS)
+    return side(whole, "original").unionByName(side(less, "trimmed"))
+
+
+def _compared(found: DataFrame, by: list[str]) -> DataFrame:
+    """(by, stat, original, trimmed, pct_change), a row for each group and statistic; the change is infinite from 0."""
+    tall = found.select(*by, "side", F.explode(F.array(*(F.struct(F.lit(n).alias("stat"), F.col(n).cast("double").alias("v")) for n in STATS))).alias("x")).select(*by, "side", "x.stat", "x.v")
+    both = tall.groupBy(*by, "stat").agg(*(F.max(F.when(F.col("side") == name, F.col("v"))).alias(name) for name in ("original", "trimmed")))
     change = F.when(F.col("original") == 0, F.lit(float("inf"))).otherwise((F.col("trimmed") - F.col("original")) / F.col("original") * 100)
-    return a.join(b, "stat").select("stat", "original", "trimmed", change.alias("pct_change"))
+    return both.withColumn("pct_change", change)
+
+
+def compared_statistics(values: DataFrame, column: str, share: float) -> DataFrame:
+    """(stat, original, trimmed, pct_change) of one column, trimmed by a share on each side; of no values, counts of 0 and nulls."""
+    found = grouped_statistics(values.select(F.lit(column).alias("phase"), F.col(column).alias("v")), ["phase"], F.lit(share))
+    every = values.sparkSession.createDataFrame([(n,) for n in STATS], "_stat string")
+    met = every.join(_compared(found, ["phase"]), F.col("_stat") == F.col("stat"), "left")
+    zero = lambda c: F.when(F.col("_stat") == "n", F.coalesce(c, F.lit(0.0))).otherwise(F.col(c)).alias(c)
+    return met.select(F.col("_stat").alias("stat"), zero("original"), zero("trimmed"), "pct_change")
 
 
 def phase_statistics(durations_: DataFrame, phases: list[str], total: str, share: float = 0.02, total_share: float = 0.03) -> DataFrame:
-    """(phase, stat, original, trimmed, pct_change) of each phase, trimmed by share, and of the totals, by total_share."""
-    parts = [compared_statistics(durations_, p, total_share if p == total else share).withColumn("phase", F.lit(p)) for p in [*phases, total]]
-    return reduce(DataFrame.unionByName, parts).select("phase", "stat", "original", "trimmed", "pct_change")
+    """(phase, stat, original, trimmed, pct_change) of each phase, trimmed by share, and of the totals, by total_share: one sort for all."""
+    tall = durations_.select(F.explode(F.array(*(F.struct(F.lit(p).alias("phase"), F.col(p).cast("double").alias("v")) for p in [*phases, total]))).alias("x")).select("x.phase", "x.v")
+    found = grouped_statistics(tall, ["phase"], F.when(F.col("phase") == total, total_share).otherwise(share))
+    return _compared(found, ["phase"]).select("phase", "stat", "original", "trimmed", "pct_change")
 
 
 def over_logs(logs: list[DataFrame], name: str = "log") -> DataFrame:
@@ -130,10 +157,52 @@ def duration_totals(durations_: DataFrame, phases: list[str]) -> DataFrame:
     return durations_.agg(*(c.alias(f"{p}_sum") for c, p in zip(sums, phases, strict=True)), reduce(lambda a, b: a + b, sums).alias("all_sum"))
 
 
+def nesting_runs(ranges: DataFrame, group: str) -> DataFrame:
+    """(group, start, end, depth, owner): runs of lines under equal ranges. depth: how many half-open ranges (id, start, end) cover
+    them; owner: the id of the last of these by start, of equal starts the greatest.
+
+    A sweep line: each range gives an event at either end, events are dealt by group and sorted, and one walk holds the
+    ranges that are open. Ranges are never spread over their lines; empty ones cover nothing. Nulls cover nothing.
+    """
+    real = ranges.where((F.col("end") > F.col("start")) & F.col("id").isNotNull()).select(F.to_json(F.struct(group)).alias("_g"), group, "id", "start", "end")
+    place = ranges.schema["start"].dataType.simpleString()
+    # the walk orders ids as Spark does: by their place among the group's ranges of one start
+    known = real.withColumn("_k", F.row_number().over(Window.partitionBy("_g").orderBy("start", "id")))
+    known = staged(known, "ranges")
+    events = known.select("_g", F.col("start").alias("at"), F.lit(1).alias("step"), "_k").unionByName(known.select("_g", F.col("end").alias("at"), F.lit(-1).alias("step"), "_k"))
+    events = events.repartition("_g").sortWithinPartitions("_g", "at", "step")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, open_, heap, run = None, set(), [], None
+        for part in batches:
+            out = []
+            for g, at, step, k in zip(part["_g"], part["at"], part["step"], part["_k"], strict=True):
+                if g != current:
+                    current, open_, heap, run = g, set(), [], None
+                if run and at > run[0]:
+                    out.append((g, run[0], at, run[1], run[2]))
+                if step > 0:
+                    open_.add(k)
+                    heapq.heappush(heap, -k)
+                else:
+                    open_.discard(k)
+                while heap and -heap[0] not in open_:
+                    heapq.heappop(heap)
+                run = (at, len(open_), -heap[0]) if open_ else None
+            yield pd.DataFrame(out, columns=["_g", "start", "end", "depth", "_k"])
+
+    runs = events.mapInPandas(walk, f"_g string, start {place}, end {place}, depth bigint, _k int")
+    owned = runs.join(known.select(F.col("_g").alias("_h"), F.col("_k").alias("_j"), "id", F.col(group).alias("_group")), (F.col("_g") == F.col("_h")) & (F.col("_k") == F.col("_j")))
+    # neighbours under equal depth and owner are one run
+    order = Window.partitionBy("_g").orderBy("start")
+    joins = (F.lag("end").over(order) == F.col("start")) & (F.lag("_k").over(order) == F.col("_k")) & (F.lag("depth").over(order) == F.col("depth"))
+    numbered_ = owned.withColumn("_new", F.when(joins, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
+    return numbered_.groupBy("_g", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("depth").alias("depth"), F.first("id").alias("owner"), F.first("_group").alias("_group")).select(F.col("_group").alias(group), "start", "end", "depth", "owner")
+
+
 def nesting(ranges: DataFrame, group: str) -> DataFrame:
-    """(group, line, depth, owner): how many half-open ranges (id, start, end) cover a line, and the last of them by start."""
-    lines = ranges.where(F.col("end") > F.col("start")).select(group, "id", "start", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("line"))
-    return lines.groupBy(group, "line").agg(F.count(F.lit(1)).alias("depth"), F.max_by("id", F.struct("start", "id")).alias("owner"))
+    """nesting_runs by line: (group, line, depth, owner), one row for each line that a range covers."""
+    return nesting_runs(ranges, group).select(group, F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("line"), "depth", "owner")
 
 
 def sampled_negatives(rows: DataFrame, group: str, key: str, n: int = 2) -> DataFrame:

@@ -190,7 +190,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of conversation turns, with defaults, and their text form."""
-    messages = F.array(F.struct("role", F.col("text").alias("content")))
+    messages = F.array(F.struct(F.lit("system").alias("role"), F.lit("Be brief,").alias("content")), F.struct("role", F.col("text").alias("content")))
     rows = table(spark, sf_dir, "conversations").withColumn("r", enrich.request("small", messages, seed=7))
     return rows.select("conv_id", "turn", "r.model", "r.temperature", "r.max_tokens", "r.stream", "r.seed", F.md5(enrich.chat_text(F.col("r.messages"))).alias("digest"))
 
@@ -321,7 +321,7 @@ SELECT method, coalesce(q, e) AS exception, max(c) AS condition FROM m LEFT JOIN
     "prompts": f"""SELECT conv_id, turn, md5(CASE WHEN turn % 2 = 0 THEN 'What of ' || role || '? API' || chr(10) || {_CODE} || '<api方法文档>' || chr(10) || 'doc<end>' || chr(10) || chr(10) ELSE 'Why `throw ' || role || '`? T throw ' || role || chr(10) || {_CODE} END) AS own,
 md5('B. Q? IN' || chr(10) || {_CODE} || '<函数调用 1>' || chr(10) || '代码片段中的函数：' || role || chr(10) || '在经过2重调用后，' || CASE WHEN turn % 2 = 0 THEN '最终在函数:m中' || chr(10) || '可能抛出运行时异常:IO' ELSE '使用throw语句`IO`抛出异常' END || chr(10) || CASE WHEN role = 'user' THEN '' ELSE '异常说明：' || role || chr(10) END || '<end 1>' || chr(10)) AS main,
 md5('B. Q? BASE' || chr(10) || {_CODE}) AS base FROM conversations""",
-    "requests": "SELECT conv_id, turn, 'small' AS model, 0.5::DOUBLE AS temperature, 8192 AS max_tokens, false AS stream, 7 AS seed, md5(role || ': ' || text) AS digest FROM conversations",
+    "requests": """SELECT conv_id, turn, 'small' AS model, 0.5::DOUBLE AS temperature, 8192 AS max_tokens, false AS stream, 7 AS seed, md5('[' || chr(10) || '    {"role": "system", "content": "Be brief,"},' || chr(10) || '    {"role": "' || role || '", "content": "' || text || '"}' || chr(10) || ']') AS digest FROM conversations""",
     "responses": "SELECT conv_id, turn, md5(CASE WHEN role = 'user' THEN '' ELSE text END) AS digest, CASE WHEN role = 'user' THEN -1 ELSE turn END::INT AS tokens FROM conversations",
     "asked_model": "SELECT conv_id, turn, length(text)::BIGINT AS n FROM conversations",
     "advised_findings": "SELECT conv_id, turn, CASE WHEN conv_id % 3 <> 0 THEN 'a.b.Error,a.IO' WHEN turn % 2 = 0 THEN 'a.b.Error' ELSE '' END AS checked, CASE WHEN conv_id % 3 = 0 AND turn % 2 = 0 THEN 'why' ELSE '' END AS description, conv_id % 3 = 2 AS failed FROM conversations",

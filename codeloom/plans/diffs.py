@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as tx
 from codeloom.operators import align, handlers, sequence
 from codeloom.plans.facts import table
-from codeloom.session import shared_dir
+from codeloom.session import shared_dir, staged
 from codeloom.sources import code
 from codeloom.streaming import ingest
 
@@ -68,9 +68,12 @@ def added_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many changes each order's method has, and the first one's start."""
-    found = handlers.first_change(handlers.method_diff(_versions(spark, sf_dir), "before", "after"))
-    return found.select("l_orderkey", "changed", F.coalesce("resultAfterTargetStartLine", F.lit(-1)).alias("start"), F.length(handlers.changes_json(F.col("changes"), F.lit("run"), F.lit(""), F.lit(""))).alias("_")).drop("_")
+    """How many changes each order's method has, the first one's start, what their JSON says, and which text is missing."""
+    rows = _versions(spark, sf_dir).withColumn("before", F.when(F.col("l_orderkey") % 7 != 0, F.col("before"))).withColumn("after", F.when(F.col("l_orderkey") % 11 != 0, F.col("after")))
+    found = handlers.first_change(handlers.method_diff(rows, "before", "after"))
+    of = lambda path: F.coalesce(F.get_json_object("json", path), F.lit(""))
+    found = found.withColumn("json", handlers.changes_json(F.col("changes"), F.concat(F.lit("run"), "l_orderkey"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))))
+    return found.select("l_orderkey", "changed", F.coalesce("resultAfterTargetStartLine", F.lit(-1)).alias("start"), F.json_array_length("json").alias("n_json"), of("$[0].methodName").alias("json_name"), of("$[0].target.afterTargetStartLine").alias("json_start"), of("$[0].target.exceptionTypes[0]").alias("json_type"), F.md5(of("$[0].methodAfter")).alias("json_after"), F.coalesce("error", F.lit("")).alias("error"))
 
 
 def file_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,15 +95,18 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders' methods written as source files, a folder for each tenth, read again: path, root, class name; one folder is left out."""
+    """Orders' methods written as source files, a package for each tenth below a source root, read again: path, root, class name; one folder is left out."""
     at = _folder(spark, "tree")
     orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("p"), F.col("o_orderkey") % 10).alias("k"), "o_orderkey")
-    # one file for each folder, whose last line tells its orders
-    lines = orders.groupBy("k").agg(F.concat(F.lit("package "), F.first("k"), F.lit("; // "), F.count(F.lit(1)), F.lit(" "), F.sum("o_orderkey")).alias("value"))
-    lines.repartition("k").write.partitionBy("k").option("compression", "none").text(at)
-    files = code.source_files(spark, at, ["k=p3"], suffix="txt")
+    # a file for each folder, whose last line tells its orders
+    lines = staged(orders.groupBy("k").agg(F.concat(F.lit("package q."), F.first("k"), F.lit("; // "), F.count(F.lit(1)), F.lit(" "), F.sum("o_orderkey")).alias("value")), "packages")
+    for k in range(10):
+        folder = f"src/main/q/p{k}" if k < 8 else f"other/p{k}"
+        lines.where(F.col("k") == f"p{k}").select("value").coalesce(1).write.option("compression", "none").text(f"{at}/{folder}")
+    files = code.source_files(spark, at, ["src/main/q/p3"], suffix="txt")
     root = code.source_root(F.col("path"), F.col("content"))
-    return files.select(F.regexp_extract("path", "k=(p[0-9])", 1).alias("folder"), F.trim(F.regexp_replace("content", "\n", "")).alias("text"), (root != "").alias("rooted"))
+    shown = files.select(F.regexp_extract("path", "(p[0-9])/", 1).alias("folder"), F.trim(F.regexp_replace("content", "\n", "")).alias("text"), root.alias("root"), code.class_name(F.col("path"), root).alias("class"))
+    return shown.select("folder", "text", "root", F.regexp_extract("class", r"^(.*?)\.?part-", 1).alias("package")).where("text != ''")
 
 
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,10 +208,14 @@ outer_ AS (SELECT l_orderkey, 2 AS before_start, n + 1 AS before_end, 2 AS after
 inner_ AS (SELECT l_orderkey, n, old FROM k WHERE nested)
 SELECT l_orderkey, before_start, before_end, after_start, after_end - 1 AS after_end, array_to_string(range(2, n + 1), ',') AS own_before, (n + 3)::INT AS n_own_after, types, 1 AS n_bodies FROM outer_
 UNION ALL SELECT l_orderkey, 2, CASE WHEN old THEN n + 2 ELSE n + 1 END, 3, n + 5, array_to_string(range(2, CASE WHEN old THEN n + 2 ELSE n + 1 END), ','), (n + 2)::INT, 'In', 1 FROM inner_""",
-    "changed_cases": f"WITH {_V} SELECT l_orderkey, CASE WHEN l_orderkey % 5 = 0 THEN 1 WHEN l_orderkey % 3 = 0 THEN 0 ELSE 1 END::INT AS changed, CASE WHEN l_orderkey % 5 = 0 THEN 3 WHEN l_orderkey % 3 = 0 THEN -1 ELSE 2 END::INT AS start FROM v",
+    "changed_cases": f"""WITH {_V}, k AS (SELECT *, CASE WHEN l_orderkey % 7 = 0 OR l_orderkey % 11 = 0 THEN 0 WHEN l_orderkey % 5 = 0 THEN 1 WHEN l_orderkey % 3 = 0 THEN 0 ELSE 1 END::INT AS changed FROM v),
+c AS (SELECT l_orderkey, list(CASE WHEN r = 1 THEN '    m0(p' ELSE '    m' || r - 1 || '(p' END || l_partkey || ');' ORDER BY r) AS called FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem) GROUP BY l_orderkey),
+t AS (SELECT l_orderkey, array_to_string(['void run() {{', called[1], '    try {{'] || CASE WHEN l_orderkey % 5 = 0 THEN ['    try {{'] || called[2:] || ['    }} catch (final In e) {{', '    }}'] ELSE called[2:] END || ['    }} catch (Ex' || l_orderkey % 4 || ' e) {{', '        log(e);', '    }}', '}}'], chr(10)) AS after FROM c)
+SELECT l_orderkey, changed, CASE WHEN changed = 0 THEN -1 WHEN l_orderkey % 5 = 0 THEN 3 ELSE 2 END::INT AS start, changed AS n_json, CASE WHEN changed = 1 THEN 'run' || l_orderkey ELSE '' END AS json_name, CASE WHEN changed = 0 THEN '' WHEN l_orderkey % 5 = 0 THEN '3' ELSE '2' END AS json_start, CASE WHEN changed = 0 THEN '' WHEN l_orderkey % 5 = 0 THEN 'In' ELSE 'Ex' || l_orderkey % 4 END AS json_type,
+  md5(CASE WHEN changed = 1 THEN after ELSE '' END) AS json_after, CASE WHEN l_orderkey % 7 = 0 THEN 'no old text' WHEN l_orderkey % 11 = 0 THEN 'no new text' ELSE '' END AS error FROM k JOIN t USING (l_orderkey)""",
     "file_diffs": f"WITH {_V} SELECT l_orderkey % 100 AS file, l_orderkey AS name, 1 AS n FROM v WHERE l_orderkey % 5 = 0 OR l_orderkey % 3 <> 0",
     "try_lines": f"WITH {_V} SELECT l_orderkey, (n + 3 + CASE WHEN l_orderkey % 5 = 0 THEN 3 + n + 2 ELSE 0 END)::BIGINT AS depths, (CASE WHEN l_orderkey % 5 = 0 THEN n + 2 - (2 + 1) ELSE -3 END)::BIGINT AS owners, (n + 4 + CASE WHEN l_orderkey % 5 = 0 THEN 2 ELSE 0 END)::INT AS valid FROM v",
-    "source_scan": "SELECT 'p' || o_orderkey % 10 AS folder, 'package p' || o_orderkey % 10 || '; // ' || count(*) || ' ' || sum(o_orderkey) AS text, true AS rooted FROM orders WHERE o_orderkey % 10 <> 3 GROUP BY o_orderkey % 10",
+    "source_scan": "SELECT 'p' || o_orderkey % 10 AS folder, 'package q.p' || o_orderkey % 10 || '; // ' || count(*) || ' ' || sum(o_orderkey) AS text, CASE WHEN o_orderkey % 10 < 8 THEN 'src/main' ELSE 'other/p' || o_orderkey % 10 END AS root, CASE WHEN o_orderkey % 10 < 8 THEN 'q.p' || o_orderkey % 10 ELSE '' END AS package FROM orders WHERE o_orderkey % 10 <> 3 GROUP BY o_orderkey % 10",
     "json_round_trip": "SELECT source AS repo_id, 'p' || doc_id AS patch, lang AS types, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS label, 0 AS changed, 0 AS before FROM documents",
     "log_read": "WITH l AS (SELECT source, doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM documents), r AS (SELECT source, line, row_number() OVER (PARTITION BY source ORDER BY doc_id, n) - 1 AS k FROM l) SELECT source, count(*) AS n, max(k) AS last, min(k) FILTER (length(line) > 200) AS long FROM r GROUP BY source",
     "record_cache": "SELECT c.conv_id AS case_id, coalesce(v, '') AS value FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT conv_id, max(md5(text)) AS v FROM conversations WHERE turn = 0 GROUP BY conv_id) t ON t.conv_id = c.conv_id",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import cases, closure, enrich, graph, handlers, kb
+from codeloom.operators import cases, closure, enrich, graph, handlers, kb, nodes
+from codeloom.session import staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -168,6 +169,7 @@ def _case_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return roots, edges.unionByName(entry)
 
 
+_API = "(SELECT s_suppkey FROM supplier WHERE s_nationkey % 3 = 0)"
 _CASES_SQL = """RECURSIVE e0 AS (SELECT DISTINCT l_partkey AS caller, l_suppkey AS callee FROM lineitem),
 p AS (SELECT regexp_extract(p_brand, '[0-9]+')::BIGINT AS case_id, p_partkey FROM part),
 e AS (SELECT * FROM e0 UNION SELECT -1 - case_id, p_partkey FROM p WHERE p_partkey NOT IN (SELECT callee FROM e0)),
@@ -189,6 +191,20 @@ def uncaught_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("case_id", "method", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "exception")
 
 
+def api_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees and findings whose API leaves (suppliers that the knowledge base knows by name) are reached but not entered."""
+    roots, edges = _case_graph(spark, sf_dir)
+    known = table(spark, sf_dir, "supplier").where("s_nationkey % 3 = 0").select(F.col("s_suppkey").cast("string").alias("name"))
+    every = edges.select(F.col("callee").cast("string").alias("node")).distinct()
+    api = staged(nodes.api_nodes(every, known).where("is_api").select(F.col("node").cast("long").alias("name")), "api")
+    throws = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("method"), F.col("s_nationkey").alias("exception"))
+    trees = graph.spanning_trees(roots, edges, api)
+    found = graph.uncaught(trees, edges, throws, _sites(spark, sf_dir), _nation_closure(spark, sf_dir), api)
+    counts = found.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_findings"), F.countDistinct("method").alias("n_methods"))
+    levels = trees.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("level").alias("levels"))
+    return levels.join(counts, "case_id", "left").select("case_id", "n_nodes", "levels", F.coalesce("n_findings", F.lit(0)).alias("n_findings"), F.coalesce("n_methods", F.lit(0)).alias("n_methods"))
+
+
 _CATCHES_SQL = """nc AS (SELECT n_nationkey AS child, n_nationkey AS ancestor FROM nation UNION ALL SELECT nc.child, nc.ancestor // 2 FROM nc WHERE nc.ancestor > 0),
 site AS (SELECT DISTINCT l_partkey AS caller, l_suppkey AS callee, l_orderkey, l_linenumber, l_shipdate, l_quantity FROM lineitem),
 ok AS (SELECT caller, callee, x.n_nationkey AS exception, bool_or(nc.ancestor IN (site.l_linenumber, 3)) AS hit, l_orderkey, l_linenumber, l_shipdate, l_quantity FROM site, nation x JOIN nc ON nc.child = x.n_nationkey GROUP BY ALL),
@@ -211,7 +227,7 @@ QUERIES = {f"khop_{k}": _khop(k) for k in (1, 2, 3, 4)} | {
     f.__name__: f
     for f in (
         subtype_closure, is_runtime_flag, local_chain_until_known, first_write_wins, last_write_wins, insert_or_ignore, fk_violations, migrate_table, cascade_rename, skip_done, semi_match,
-        exact_then_fuzzy, simple_name_resolution, suffix_lookup_ilike, suffix_lookup_segment, answer_suffix_match, method_pairing, edge_sites, edge_caught_all_any, bfs_levels, uncaught_findings, adaptive_prune, group_collect,
+        exact_then_fuzzy, simple_name_resolution, suffix_lookup_ilike, suffix_lookup_segment, answer_suffix_match, method_pairing, edge_sites, edge_caught_all_any, bfs_levels, uncaught_findings, api_traversal, adaptive_prune, group_collect,
     )
 }
 
@@ -243,6 +259,14 @@ th AS (SELECT case_id, method, path, s_nationkey AS exception FROM cand JOIN sup
 st AS (SELECT case_id, path, exception, unnest(range(1, len(path))) AS i FROM th),
 bad AS (SELECT DISTINCT case_id, path, st.exception FROM st JOIN caught c ON c.caller = path[i] AND c.callee = path[i + 1] AND c.exception = st.exception)
 SELECT case_id, method, array_to_string(path, '>') AS path, exception FROM th WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.case_id = th.case_id AND bad.path = th.path AND bad.exception = th.exception)""",
+    "api_traversal": f"""WITH {_CASES_SQL.replace('WHERE level < 12', 'WHERE level < 12 AND node NOT IN ' + _API).replace('LEFT JOIN lv a ON', 'LEFT JOIN lv a ON a.node NOT IN ' + _API + ' AND')}, {_CATCHES_SQL},
+walk AS (SELECT case_id, node, [node] AS path FROM tree WHERE level = 0 UNION ALL SELECT t.case_id, t.node, list_append(path, t.node) FROM walk JOIN tree t ON t.case_id = walk.case_id AND t.parent = walk.node),
+cand AS (SELECT case_id, callee AS method, list_append(path, callee) AS path FROM walk JOIN e ON caller = node WHERE node NOT IN {_API} AND NOT list_contains(path, callee) UNION ALL SELECT case_id, node, path FROM walk WHERE len(path) = 1),
+th AS (SELECT case_id, method, path, s_nationkey AS exception FROM cand JOIN supplier ON s_suppkey = method),
+st AS (SELECT case_id, path, exception, unnest(range(1, len(path))) AS i FROM th),
+bad AS (SELECT DISTINCT case_id, path, st.exception FROM st JOIN caught c ON c.caller = path[i] AND c.callee = path[i + 1] AND c.exception = st.exception),
+left_ AS (SELECT * FROM th WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.case_id = th.case_id AND bad.path = th.path AND bad.exception = th.exception))
+SELECT t.case_id, n_nodes, levels, coalesce(n_findings, 0) AS n_findings, coalesce(n_methods, 0) AS n_methods FROM (SELECT case_id, count(*) AS n_nodes, sum(level)::BIGINT AS levels FROM tree GROUP BY case_id) t LEFT JOIN (SELECT case_id, count(*) AS n_findings, count(DISTINCT method) AS n_methods FROM left_ GROUP BY case_id) f ON f.case_id = t.case_id""",
     "adaptive_prune": """WITH f0 AS (SELECT *, left(o_orderpriority, 1)::INT + dayofmonth(o_orderdate) % 9 AS len FROM orders), f AS (SELECT o_orderstatus AS case_id, o_orderkey AS id, len::INT AS len FROM f0 UNION ALL SELECT o_custkey::VARCHAR, o_orderkey, len::INT FROM f0),
 c AS (SELECT case_id, count(*) AS n, """ + ", ".join(f"count(*) FILTER (len <= {n}) AS c{n}" for n in range(10, 3, -1)) + """ FROM f GROUP BY case_id),
 l AS (SELECT case_id, CASE WHEN n <= 30 THEN 1000000 """ + " ".join(f"WHEN c{n} <= 30 THEN {n}" for n in range(10, 3, -1)) + """ ELSE 4 END AS lim FROM c)

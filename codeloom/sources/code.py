@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.session import staged
+from codeloom.session import small_side, staged
 
 _INTS, _STRINGS = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
 
@@ -75,14 +75,57 @@ def examples_or_none(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], EXAMPLE)
 
 
+def _summed(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """rows (file, block, at) with the sum of a value over the earlier rows of the file: within splits, and of the splits before by one row each."""
+    own = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy(F.col("file").alias("_f"), F.col("block").alias("_b")).agg(F.sum(value).alias("_n"))
+    starts = staged(splits.select("_f", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")), "starts")
+    inside = rows.withColumn(name, F.coalesce(F.sum(value).over(own), F.lit(0)))
+    met = inside.join(small_side(starts), (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")))
+    return staged(met.withColumn(name, F.col(name) + F.col("_start")).drop("_f", "_b", "_start"), name)
+
+
+def array_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record_no, json): the objects of JSON array files, as text. A file is read in splits, however large its array is.
+
+    Files are cut at closing braces. Whether such a place lies in a string is the parity of the quotes before it, how
+    deep it lies the sum of braces outside strings, and which record it belongs to the number of records that ended before:
+    three running sums, each within splits and over the splits' totals. An object is then put together from its pieces.
+    Empty arrays and files have no records; values of an array that are no objects are skipped.
+    """
+    read = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    pieces = staged(read.withColumn("at", F.monotonically_increasing_id()), "pieces")
+    parts = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"')
+    opened = lambda odd: F.aggregate(F.transform(parts, lambda x, k: F.when(k % 2 == odd, F.length(x) - F.length(F.replace(x, F.lit("{"), F.lit("")))).otherwise(0)), F.lit(0), lambda a, b: a + b)
+    light = staged(pieces.select("file", "block", "at", (F.size(parts) - 1).alias("quotes"), opened(0).alias("outside"), opened(1).alias("inside")), "marks")
+    light = _summed(light, F.col("quotes"), "quoted")
+    in_string = F.col("quoted") % 2 == 1
+    closes = (F.col("quoted") + F.col("quotes")) % 2 == 0
+    light = light.select("file", "block", "at", F.when(in_string, F.col("inside")).otherwise(F.col("outside")).alias("opens"), closes.cast("int").alias("closes"))
+    light = _summed(light, F.col("opens") - F.col("closes"), "depth")
+    ends = (F.col("closes") == 1) & (F.col("depth") + F.col("opens") == 1)
+    light = _summed(light.select("file", "block", "at", ends.cast("int").alias("ends")), F.col("ends"), "record_no")
+    numbers = light.select("at", "record_no", F.col("ends").alias("_ends"))
+    joined = pieces.join(numbers, "at").groupBy("file", "record_no").agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("p"), F.max("_ends").alias("_ended"))
+    text = F.concat(F.array_join(F.transform("p", lambda x: x["value"]), "}"), F.lit("}"))
+    return joined.where("_ended = 1").select("file", "record_no", F.regexp_extract(text, r"(?s)(\{.*)", 1).alias("json"))
+
+
+def examples_of_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """examples() of array files of any size, each read in several tasks."""
+    rows = array_records(spark, path).select(F.from_json("json", EXAMPLE).alias("e")).select("e.*")
+    return rows.fillna(0, [f.name for f in EXAMPLE if f.dataType == T.IntegerType()])
+
+
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line): lines in order. Long logs are read in splits: lines are counted by split, and the counts before it are added."""
     read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     placed = staged(read.withColumn("at", F.monotonically_increasing_id()), "log")
     splits = placed.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return placed.join(F.broadcast(starts), ["file", "block"]).select("file", (F.col("start") + F.col("at") - F.col("first")).alias("line_no"), F.col("value").alias("line"))  # one row for each split
+    starts = staged(splits.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "starts")
+    return placed.join(small_side(starts), ["file", "block"]).select("file", (F.col("start") + F.col("at") - F.col("first")).alias("line_no"), F.col("value").alias("line"))  # one row for each split
 
 
 def records(spark: SparkSession, root: str) -> DataFrame:
