@@ -124,7 +124,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules: tuple =
     taken = rounds * F.col("size") + F.least(F.greatest(last - F.col("place"), F.lit(0)), F.col("size"))
     reached = (F.col("taken") > 0) & (F.col("target") > 0)
     position = F.when(reached, F.round(demand_reaches(F.try_divide(F.col("place"), F.col("target")), F.col("number"), schedules), 9))
-    return met.withColumn("taken", taken.cast("long")).select("doc_id", "size", "source_size", "target", "taken", position.alias("position")).orderBy(F.col("position").asc_nulls_last())
+    return met.withColumn("taken", taken.cast("long")).select("doc_id", "size", "source_size", "target", "taken", position.alias("position")).orderBy(F.col("position").asc_nulls_last(), F.xxhash64("doc_id", "size"))
 
 
 def visits(mixed: DataFrame, cap: int = CAP) -> DataFrame:
