@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions import registry
 from codeloom.operators import lookup, sequence
-from codeloom.plans.diffs import _folder
+from codeloom.plans.diffs import _folder, _versions
 from codeloom.plans.facts import table
 from codeloom.sources import code
 from codeloom.streaming import ingest
@@ -86,11 +87,34 @@ def repeated_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target).groupBy("o_orderkey", "twice").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (suffix_join, suffix_join_like, pattern_join, nesting_runs, json_arrays, stream_phases, repeated_ingest)}
+#: A query in SQL alone: tries of new texts by LATERAL, edits of them, and names of the knowledge base by ending.
+_SQL = """
+SELECT v.l_orderkey, t.place, t.start, t.end, t.types, count(e.edit) AS n_new FROM sql_versions v, LATERAL loom_tries(v.after) t, LATERAL loom_edits(v.before, v.after) e
+WHERE e.edit LIKE '+%' GROUP BY ALL
+UNION ALL
+SELECT s.s_suppkey, 0, length(loom_owner(n.name)), length(loom_simple_name(n.name)), loom_erased(n.name || '<' || s.s_suppkey || '>'), 0 FROM sql_suppliers s, LATERAL loom_ending((s.s_suppkey % 1000)::string) n
+"""
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free SQL over registered functions."""
+    _versions(spark, sf_dir).createOrReplaceTempView("sql_versions")
+    table(spark, sf_dir, "supplier").createOrReplaceTempView("sql_suppliers")
+    _names(spark, sf_dir).createOrReplaceTempView("sql_names")
+    registry.register(spark, "sql_names")
+    return spark.sql(_SQL)
+
+
+QUERIES = {f.__name__: f for f in (suffix_join, suffix_join_like, pattern_join, nesting_runs, json_arrays, stream_phases, repeated_ingest, sql_functions)}
 
 _N = "n AS (SELECT DISTINCT lower(p_type) || '.' || replace(p_name, ' ', '.') || '.' || p_partkey AS name FROM part)"
 _S = f"{_N}, s AS (SELECT array_to_string(string_split(name, '.')[-2:], '.') AS suffix FROM n UNION SELECT (s_suppkey % 1000)::VARCHAR FROM supplier UNION SELECT upper(name) FROM n)"
 ORACLES = {
+    "sql_functions": f"""WITH {_N}, v AS (SELECT l_orderkey, count(*)::INT AS n, l_orderkey % 5 = 0 AS nested, l_orderkey % 3 = 0 AS old FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1),
+e AS (SELECT *, CASE WHEN old THEN 0 ELSE 4 END + CASE WHEN nested THEN 3 ELSE 0 END AS n_new FROM v)
+SELECT l_orderkey, 0 AS place, 2 AS start, n + 5 + CASE WHEN nested THEN 3 ELSE 0 END AS end, 'Ex' || l_orderkey % 4 AS types, n_new::BIGINT AS n_new FROM e WHERE n_new > 0
+UNION ALL SELECT l_orderkey, 1, 3, n + 5, 'In', n_new FROM e WHERE nested
+UNION ALL SELECT s_suppkey, 0, length(name) - length(string_split(name, '.')[-1]) - 1, length(string_split(name, '.')[-1]), name, 0 FROM supplier JOIN n ON ends_with(name, '.' || s_suppkey % 1000)""",
     "json_arrays": "SELECT source AS repo_id, 'p' || doc_id AS patch, md5('a } \"b{\" \\ [' || substring(text, 1, 300) || '\\') AS text, lang || ',}' AS types, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS label, 0 AS changed FROM documents",
     "repeated_ingest": "SELECT o_orderkey, o_custkey * 2 AS twice, 1 AS n FROM orders",
     "stream_phases": """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, ts, event_type = 'view' AS v FROM events WHERE event_type IN ('view', 'click')),
