@@ -3,10 +3,11 @@
 Base spans come from three patterns (assign, access, hex). Then each text that holds a
 sensitive word with an assignment's sign anywhere behind it is lexed as source or configuration: quoted strings, names, numbers and operators
 give (name, literal) pairs for `name = "literal"`, `name: literal`, `name => literal`,
-`NAME=literal` and dictionary entries. Constants propagate: a name assigned another name, or
-a concatenation of names and strings, takes their literals. Each literal is scored by the
+`NAME=literal` and dictionary entries; strings may be single, triple or back-quoted, and values the lines of
+a YAML block. Constants propagate: a name assigned another name, or a concatenation of names, strings
+and calls, takes their literals (but for a call's arguments that read like names of settings). Each literal is scored by the
 words of its target's name (a sensitive word, less an innocent one) and by its own form
-(length, mixed classes, entropy); literals of REACH or more are spans of kind `literal`.
+(length, mixed classes, entropy, less for blanks); literals of REACH or more are spans of kind `literal`.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans; long texts are
 scanned whole; repeated rows give repeated results; null ids pass through; other columns are
@@ -40,7 +41,13 @@ SENSITIVE = {"password": 3.0, "passwd": 3.0, "passphrase": 3.0, "pwd": 2.5, "sec
 EXCUSES = {"public": -2.5, "example": -2.0, "test": -1.0, "sample": -2.0, "placeholder": -3.0, "name": -1.0, "path": -2.0, "file": -1.5, "url": -1.0, "count": -2.0, "length": -2.0, "limit": -2.0}
 REACH = 4.0
 
-_LEX = re.compile(r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*)|(?P<op>=>|:=|==|!=|<=|>=|[=:+,;{}()\[\]])|(?P<line>\n)|(?P<bare>[^\s"'=:+,;{}()\[\]]+)""")
+_LEX = re.compile(r"""(?P<string>\"{3}(?:[^"\\]|\\[\s\S]|\"(?!\"\"))*\"{3}|\'{3}(?:[^'\\]|\\[\s\S]|\'(?!\'\'))*\'{3}|`[^`\n]*`|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*)|(?P<op>=>|:=|==|!=|<=|>=|[=:+,;{}()\[\]])|(?P<line>\n)|(?P<bare>[^\s"'`=:+,;{}()\[\]]+)""")
+#: The lines of a YAML block: all that are indented, behind the sign of the block.
+_BLOCK = re.compile(r"[|>][-+]?[ \t]*\n((?:[ \t]+[^\n]*(?:\n|\Z))+)")
+#: How deep in a call's arguments literals are looked for; what a literal with blanks loses.
+DEEP, BLANK = 3, 1.5
+#: Arguments of this form are names of settings, not secrets.
+_SETTING = re.compile(r"[A-Z][A-Z0-9_]*|[a-z][a-z0-9_.-]*")
 # Literal spans need a target that holds a sensitive word, with an operator behind it: a text without these has none.
 _LIKELY = f"(?is)(?:{'|'.join(SENSITIVE)}).*[=:]"
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -66,19 +73,19 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """How far the form of a literal speaks for a secret: 0 for words and short strings, up to 3."""
-    if len(value) < LEAST_VALUE or re.search(r"\s", value) or "${" in value or "{{" in value:
+    if len(value) < LEAST_VALUE or "${" in value or "{{" in value:
         return -3.0
     classes = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
-    return 0.5 * (classes - 1) + 0.5 * (len(value) >= 12) + (entropy(value) >= 3.0)
+    return 0.5 * (classes - 1) + 0.5 * (len(value) >= 12) + (entropy(value) >= 3.0) - BLANK * bool(re.search(r"\s", value))
 
 
 class _Value:
-    """What a name was given: literals of its own, the values of the names in it, and how sensitive the names it reaches are."""
+    """What a name was given: literals of its own (start, end, whether a call's argument), the values of the names in it, and how sensitive the names it reaches are."""
 
     __slots__ = ("literals", "score", "sources")
 
     def __init__(self, score: float):
-        self.literals: list[tuple[int, int]] = []
+        self.literals: list[tuple[int, int, bool]] = []
         self.sources: list[_Value] = []
         self.score = score
 
@@ -92,8 +99,35 @@ def assigned(text: str) -> list[_Value]:
     repeat in it.
     """
     tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _LEX.finditer(text)]
+    pair, stack = {}, []
+    for at, token in enumerate(tokens):
+        if token[1] in ("(", "["):
+            stack.append(at)
+        elif token[1] in (")", "]") and stack:
+            pair[stack.pop()] = at
     held: dict[str, _Value] = {}
     out: list[_Value] = []
+
+    def inside(value: str, a: int, b: int, argument: bool) -> tuple[int, int, bool]:
+        """A string's place without its quotes."""
+        width = 3 if len(value) >= 6 and value[:3] in ('"' * 3, "'" * 3) else 1
+        return a + width, b - width, argument
+
+    def arguments(given: _Value, first: int, last: int, deep: int) -> None:
+        """Literals and names between two brackets."""
+        at = first + 1
+        while at < last:
+            k, value, a, b = tokens[at]
+            if k == "string":
+                given.literals.append(inside(value, a, b, True))
+            elif k == "name" and value in held:
+                given.sources.append(held[value])
+            elif at in pair:
+                if deep > 1:
+                    arguments(given, at, pair[at], deep - 1)
+                at = pair[at]
+            at += 1
+
     for at in range(len(tokens) - 2):
         kind, word, *_ = tokens[at]
         if tokens[at + 1][1] not in ("=", ":=", ":", "=>") or kind not in ("name", "string"):
@@ -103,16 +137,23 @@ def assigned(text: str) -> list[_Value]:
         place, wants = at + 2, True
         while place < len(tokens):
             k, value, a, b = tokens[place]
-            if wants and k == "string":
-                given.literals.append((a + 1, b - 1))
+            called = place + 1 if k == "name" and place + 1 in pair else place
+            if wants and called in pair:
+                arguments(given, called, pair[called], DEEP)
+                place = pair[called]
+            elif wants and k == "string":
+                given.literals.append(inside(value, a, b, False))
             elif wants and k == "name" and value in held:
                 given.sources.append(held[value])
+            elif wants and k == "bare" and (block := _BLOCK.match(text, a)):
+                given.literals += [(block.start(1) + m.start(), block.start(1) + m.end(), False) for m in re.finditer(r"[^\s](?:[^\n]*[^\s])?", block[1])]
+                break
             elif wants and k in ("name", "bare"):
                 # an unquoted value runs on to the next white space or separator
                 end = place
                 while end + 1 < len(tokens) and tokens[end + 1][2] == tokens[end][3] and tokens[end + 1][0] in ("name", "bare"):
                     end += 1
-                given.literals.append((a, tokens[end][3]))
+                given.literals.append((a, tokens[end][3], False))
                 place = end
             elif not (not wants and value == "+"):
                 break
@@ -128,7 +169,7 @@ def assigned(text: str) -> list[_Value]:
 
 def literal_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of literals that reach a sensitive name and look like secrets."""
-    return sorted({(3, a, b) for given in assigned(text) if given.score > 0 for a, b in given.literals if given.score + literal_score(text[a:b]) >= REACH})
+    return sorted({(3, a, b) for given in assigned(text) if given.score > 0 for a, b, argument in given.literals if given.score + literal_score(text[a:b]) >= REACH and not (argument and _SETTING.fullmatch(text[a:b]))})
 
 
 def spans_of(text: str, likely: bool = True) -> list[tuple[int, int, int]]:

@@ -525,3 +525,35 @@ def test_rules_of_four_tokens_are_mined(spark):
     assert [tuple(r["tokens"]) for r in rules.where("verdict = 'block'").collect()] == [("anchor", "path=en", "query=q", "scheme=https")]
     verdicts = url_filter.match(spark.createDataFrame(list(enumerate(urls)), "key int, url string"), rules).where("verdict = 'block'")
     assert [r["url"] for r in verdicts.collect()] == ["https://h.org/en/?q=1#t"]
+
+
+def literals(text):
+    return [text[a:b] for k, a, b in secrets.spans_of(text) if k == 3]
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('passphrase = "correct horse battery staple 9X"', ["correct horse battery staple 9X"]),
+        ('db_password = getEnv("A") + "zY9!kkQ2"', ["zY9!kkQ2"]),
+        ('my_secret = f("zY9!kkQ2pp")', ["zY9!kkQ2pp"]),
+        ('x = g(h(["zY9!kkQ2pp"], 1))\nmy_secret = x', ["zY9!kkQ2pp"]),
+        ('signing_secret = """zY9!kkQ2pp"""', ["zY9!kkQ2pp"]),
+        ("signing_secret = '''zY9!kkQ2pp'''", ["zY9!kkQ2pp"]),
+        ("client_secret = `zY9!kkQ2pp`", ["zY9!kkQ2pp"]),
+        ("my_password: |\n  zY9!kkQ2pp\n  aB3$xxL8qq\nother: 1", ["zY9!kkQ2pp", "aB3$xxL8qq"]),
+        ('password_hint = "please enter your own password"', []),
+        ('db_password = os.getenv("DB_PASSWORD")', []),
+        ('db_password = f("a", "b") * 2', []),
+        ("my_secret = (((((((", []),
+    ],
+)
+def test_literals_of_other_forms(text, found):
+    assert literals(text) == found
+
+
+def test_nested_calls_take_linear_time():
+    began = time.time()
+    secrets.spans_of("secret = f(" * 20_000 + '"zY9!kkQ2pp"' + ")" * 20_000)
+    secrets.spans_of("secret: |\n  x = 1\n" * 20_000 + "secret = " + "(" * 50_000)
+    assert time.time() - began < 10
