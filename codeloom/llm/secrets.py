@@ -41,7 +41,7 @@ SENSITIVE = {"password": 3.0, "passwd": 3.0, "passphrase": 3.0, "pwd": 2.5, "sec
 EXCUSES = {"public": -2.5, "example": -2.0, "test": -1.0, "sample": -2.0, "placeholder": -3.0, "name": -1.0, "path": -2.0, "file": -1.5, "url": -1.0, "count": -2.0, "length": -2.0, "limit": -2.0}
 REACH = 4.0
 
-_LEX = re.compile(r"""(?P<string>\"{3}(?:[^"\\]|\\[\s\S]|\"(?!\"\"))*\"{3}|\'{3}(?:[^'\\]|\\[\s\S]|\'(?!\'\'))*\'{3}|`[^`\n]*`|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*)|(?P<op>=>|:=|==|!=|<=|>=|[=:+,;{}()\[\]])|(?P<line>\n)|(?P<bare>[^\s"'`=:+,;{}()\[\]]+)""")
+_LEX = re.compile(r"""(?P<string>\"{3}(?:[^"\\]++|\\[\s\S]|\"(?!\"\"))*+\"{3}|\'{3}(?:[^'\\]++|\\[\s\S]|\'(?!\'\'))*+\'{3}|`[^`\n]*+`|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+')|(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*)|(?P<op>=>|:=|==|!=|<=|>=|[=:+,;{}()\[\]])|(?P<line>\n)|(?P<bare>[^\s"'`=:+,;{}()\[\]]+)""")
 #: The lines of a YAML block: all that are indented, behind the sign of the block.
 _BLOCK = re.compile(r"[|>][-+]?[ \t]*\n((?:[ \t]+[^\n]*(?:\n|\Z))+)")
 #: How deep in a call's arguments literals are looked for; what a literal with blanks loses.
