@@ -42,7 +42,8 @@ KINDS = ("email", "ip", "card", "phone", "general", "remove")
 
 REACH, SUPPORT = 4, 3
 GENERALISE, REMOVE = 0.8, 0.95
-LEAST_TERM = 3
+#: Terms in a batch that a task passes on.
+TERMS = 1 << 16
 #: Texts that share more than this part of their terms, two by two on average, are versions of one text.
 VERSIONS = 0.9
 #: Terms are counted in one of so many texts first, then in more, then in all.
@@ -124,7 +125,7 @@ def terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, i
     ordered, at, reached = sorted((a, b) for _, a, b in spans), 0, 0
     for m in _WORD.finditer(text):
         word = _STRIPPED.sub("", m[0])
-        if len(word) < LEAST_TERM:
+        if not word:
             continue
         start = m.start() + m[0].index(word)
         while at < len(ordered) and ordered[at][0] < start + len(word):
@@ -159,28 +160,47 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple[bytes, str, int, int]] = []
+
+    def full() -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.string(), pa.int32(), pa.int32()), strict=True)], ["key", "term", "start", "stop"])
+
     for batch in batches:
         for row in range(batch.num_rows):
-            text, spans = batch.column("text")[row].as_py(), batch.column("base")[row].as_py()
-            columns = list(zip(*terms(text, [(s["kind"], s["start"], s["stop"]) for s in spans]), strict=True)) or [()] * 3
-            key = pa.array([batch.column("key")[row].as_py()] * len(columns[0]), pa.binary())
-            yield pa.RecordBatch.from_arrays([key, pa.array(columns[0], pa.string()), *(pa.array(c, pa.int32()) for c in columns[1:])], ["key", "term", "start", "stop"])
+            key, text, spans = (batch.column(c)[row].as_py() for c in ("key", "text", "base"))
+            for term in terms(text, [(s["kind"], s["start"], s["stop"]) for s in spans]):
+                rows.append((key, *term))
+                if len(rows) == TERMS:
+                    yield full()
+    yield full()
+
+
+def _alikeness(said: DataFrame, met: DataFrame, at: DataFrame) -> DataFrame:
+    """(entity, texts, alike): how many texts with terms mention an entity, and which part of their terms they share, two by two on average (null for one text).
+
+    met: (entity, term, both), how many of the entity's texts hold a term; at: (key, term, start, stop).
+    """
+    sizes = at.select("key", "term").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    texts = said.select("key", "entity").distinct().join(sizes, "key").groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.avg("n").alias("n"))
+    shared = met.groupBy("entity").agg(F.sum(F.col("both") * (F.col("both") - 1)).alias("shared"))
+    pairs = F.col("n") * F.col("texts") * (F.col("texts") - 1)
+    return texts.join(shared, "entity", "left").select("entity", "texts", F.when(pairs > 0, F.coalesce("shared", F.lit(0)) / pairs).alias("alike"))
 
 
-def _disclosing(said: DataFrame, at: DataFrame, docs: DataFrame) -> DataFrame:
+def _disclosing(said: DataFrame, at: DataFrame, docs: DataFrame, support: int, versions: float) -> DataFrame:
     """(entity, term, disclosure) of the terms that disclose an entity beyond GENERALISE.
 
-    said: distinct (key, entity, place) of the entities that have SUPPORT places or more; at: (key, term, start, stop) of their texts.
+    said: distinct (key, entity, place) of the entities that have `support` places or more; at: (key, term, start, stop) of their texts.
     Every count is grouped with map-side combine, so an entity that a third of all texts mention is no hot key.
     """
     held = at.select("key", "term").distinct()
     met = said.select("key", "entity").distinct().join(held, "key").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    places = said.join(held, "key").select("entity", "term", "place").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") >= SUPPORT)
+    places = said.join(held, "key").select("entity", "term", "place").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") >= support)
     met = staged(met, "met")
     # an entity whose texts share nearly all of their terms, two by two on average, is in versions of one text
-    texts = said.select("key", "entity").distinct().join(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").groupBy("entity").agg(F.count(F.lit(1)).alias("m"), F.avg("n").alias("n"))
-    shared = met.groupBy("entity").agg(F.sum(F.col("both") * (F.col("both") - 1)).alias("shared"))
-    apart = texts.join(shared, "entity").where(F.col("shared") <= VERSIONS * F.col("n") * F.col("m") * (F.col("m") - 1)).select("entity")
+    apart = _alikeness(said, met, at).where(F.coalesce(F.col("alike") <= versions, F.lit(True))).select("entity")
     pairs = staged(met.join(places, ["entity", "term"]).join(apart, "entity", "left_semi"), "pairs")
     with_entity = said.select("key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
     contents = docs.select(_key(F.col("text")).alias("key"), "text")
@@ -202,20 +222,48 @@ def _disclosing(said: DataFrame, at: DataFrame, docs: DataFrame) -> DataFrame:
     return counted.select("entity", "term", "disclosure") if "disclosure" in counted.columns else counted.select("entity", "term", F.lit(0.0).alias("disclosure"))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, key (of its text) and spans, array of (kind number, start, stop)."""
+def _scanned(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts by key, each document's base spans and mentions, and the distinct (key, entity, place)."""
     source = docs.select("doc_id", _key(F.col("text")).alias("key"), "text")
     scanned = staged(source.mapInArrow(_scan, f"doc_id bigint, key binary, base {_SPANS}, mentions array<struct<entity:string,place:bigint>>"), "scanned")
-    said = staged(scanned.select("key", F.explode("mentions").alias("x")).select("key", "x.*").distinct(), "mentions")
-    known = said.select("entity", "place").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT).select("entity")
-    said = staged(said.join(small_side(staged(known, "entities")), "entity", "left_semi"), "said")
-    if said.isEmpty():
-        return scanned.select("doc_id", "key", F.col("base").alias("spans"))
+    return source, scanned, staged(scanned.select("key", F.explode("mentions").alias("x")).select("key", "x.*").distinct(), "mentions")
+
 
+def _supported(mentioned: DataFrame, support: int) -> DataFrame:
+    """The mentions of entities in `support` surroundings or more."""
+    known = mentioned.select("entity", "place").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("entity")
+    return staged(mentioned.join(small_side(staged(known, "entities")), "entity", "left_semi"), "said")
+
+
+def _terms_of(source: DataFrame, scanned: DataFrame, said: DataFrame) -> DataFrame:
+    """(key, term, start, stop) of the texts that mention the entities of `said`."""
     wanted = staged(said.select("key").distinct().join(scanned.select("key", "base").dropDuplicates(["key"]), "key"), "carriers")
     texts = source.select("key", "text").join(small_side(wanted), "key").dropDuplicates(["key"])
-    at = staged(texts.mapInArrow(_terms, "key binary, term string, start int, stop int").withColumn("term", F.lower("term")), "terms")
-    disclosing = staged(_disclosing(said, at, docs), "disclosing")
+    return staged(texts.mapInArrow(_terms, "key binary, term string, start int, stop int").withColumn("term", F.lower("term")), "terms")
+
+
+def entities(docs: DataFrame, support: int = SUPPORT, versions: float = VERSIONS) -> DataFrame:
+    """One row per protected entity, and why its terms are not sought: entity, texts, surroundings, alike (see VERSIONS; null
+    where no terms were counted, or for one text), status (`few surroundings`, `versions of one text` or `sought`).
+    """
+    source, scanned, mentioned = _scanned(docs)
+    seen = mentioned.groupBy("entity").agg(F.countDistinct("key").alias("texts"), F.countDistinct("place").alias("surroundings"))
+    said = _supported(mentioned, support)
+    at = _terms_of(source, scanned, said)
+    met = said.select("key", "entity").distinct().join(at.select("key", "term").distinct(), "key").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
+    status = F.when(F.col("surroundings") < support, "few surroundings").when(F.col("alike") > versions, "versions of one text").otherwise("sought")
+    return seen.join(_alikeness(said, met, at).drop("texts"), "entity", "left").withColumn("status", status)
+
+
+def find(docs: DataFrame, support: int = SUPPORT, versions: float = VERSIONS) -> DataFrame:
+    """One row per document: doc_id, key (of its text) and spans, array of (kind number, start, stop)."""
+    source, scanned, mentioned = _scanned(docs)
+    said = _supported(mentioned, support)
+    if said.isEmpty():
+        return scanned.select("doc_id", "key", F.col("base").alias("spans"))
+
+    at = _terms_of(source, scanned, said)
+    disclosing = staged(_disclosing(said, at, docs, support, versions), "disclosing")
     kind = F.when(F.col("disclosure") > REMOVE, 5).otherwise(4)
     worst = said.select("key", "entity").distinct().join(small_side(disclosing), "entity").groupBy("key", "term").agg(F.max(kind).alias("kind"))
     added = at.join(worst, ["key", "term"]).groupBy("key").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("added"))  # as long as the text has words

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,7 +134,7 @@ def plain_disclosures(texts):
     for t in texts:
         spans = pii.base_spans(t)
         outside = [m for m in re.finditer(r"\S+", t) if not any(m.start() < b and a < m.end() for _, a, b in spans)]
-        held.append({strip(m[0]).lower() for m in outside if len(strip(m[0])) >= pii.LEAST_TERM})
+        held.append({strip(m[0]).lower() for m in outside if strip(m[0])})
         said.append(pii.mentions(t, spans))
     every = [{strip(w).lower() for w in t.split()} for t in texts]
     out = {}
@@ -185,6 +186,39 @@ def test_terms_far_from_a_mention_and_behind_long_words_are_counted(spark):
     assert all(f"remove:{at}:{at + 8}" in got[k] and f"remove:{at + 9}:{at + 9 + len(long)}" in got[k] for k in range(4))
 
 
+def test_names_of_one_or_two_letters_are_terms(spark):
+    rows = [(k, f"filler{k} agent Xu, of Q at jo@ex.org wrote more{k} text") for k in range(4)] + [(10 + k, f"plain text of words wrote agent {k} at -") for k in range(60)]
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.scan(docs_of(spark, rows)).collect()}
+    text = rows[0][1]
+    for name in ("Xu", "Q"):
+        at = text.index(name)
+        assert all(f"remove:{at}:{at + len(name)}" in got[k] for k in range(4))
+    assert all(got[10 + k] == [""] for k in range(60))
+
+
+@pytest.mark.parametrize(("support", "versions"), [(3, 0.9), (2, 0.5)])
+def test_status_of_entities_equals_brute_force(spark, support, versions):
+    rng = random.Random(support)
+    words = [f"w{k}" for k in range(40)]
+    texts = [f"head {' '.join(rng.sample(words, 8))} mail a@x.org {' '.join(rng.sample(words, 8))}" for _ in range(4)]  # apart
+    same = rng.sample(words, 20)
+    texts += [f"{' '.join(same[:10])} v{k} b@x.org y{k} {' '.join(same[10:])}" for k in range(4)]  # versions
+    texts += [f"u{k} c@x.org {' '.join(rng.sample(words, 3 + k))}" for k in range(2)] + ["d@x.org", ""]
+    want = {}
+    for e in "abcd":
+        mine = [t for t in texts if f"{e}@x.org" in t]
+        held = [set(t.split()) - {f"{e}@x.org"} for t in mine]
+        held = [x for x in held if x]
+        places = len({p for t in mine for _, p in pii.mentions(t, pii.base_spans(t))})
+        pairs = [len(x & y) for i, x in enumerate(held) for j, y in enumerate(held) if i != j]
+        alike = sum(pairs) / (sum(map(len, held)) * (len(held) - 1)) if places >= support and len(held) > 1 else None
+        want[f"email:{e}@x.org"] = (len(mine), places, alike and round(alike, 9), "few surroundings" if places < support else "versions of one text" if alike is not None and alike > versions else "sought")
+    docs = docs_of(spark, list(enumerate(texts)) + [(90, texts[0]), (None, texts[0]), (91, None)])
+    got = {r["entity"]: (r["texts"], r["surroundings"], r["alike"] and round(r["alike"], 9), r["status"]) for r in pii.entities(docs, support, versions).collect()}
+    assert got == want and len({x[3] for x in want.values()}) >= 2
+    assert pii.entities(docs_of(spark, []), support, versions).count() == 0
+
+
 # Tokens
 
 
@@ -294,6 +328,90 @@ def test_composition_equals_one_after_another():
         assert got == want
 
 
+def plain_scores(text, words, stems):
+    """Scores of the clauses and the number of words, by one pass with plain variables."""
+    said = quoted = False
+    negated = before = waits = n = 0
+    value = total = 0.0
+    scores = []
+    for token in re.findall(r"[^\W\d_]+|[\"“”«»„]|[.!?\n]", text.lower()):
+        if token in ".!?\n":
+            said, quoted, negated, before, waits, value = False, quoted and token != "\n", 0, 0, 0, 0.0
+            scores.append(total)
+            total = 0.0
+            continue
+        n += 1
+        if token in '"“”«»„':
+            quoted = not quoted
+            continue
+        weight = 0.0
+        if token not in toxicity.TARGETS and token not in toxicity.NEGATIONS and token not in toxicity.REPORTS:
+            known = words.get(token) or next((stems[token[:k]] for k in sorted(toxicity.STEMS, reverse=True) if len(token) >= k and token[:k] in stems), 0.0)
+            if known:
+                weight = min(max(round(known), 1), 3) * (1.5 if before else 1.0)
+            elif token in toxicity.THREATS:
+                weight = 1.5 * (1.5 if before else 0.3)
+        if weight:
+            weight = round(weight * (0.3 if negated else 1.0) * (0.5 if said or quoted else 1.0), 6)
+            total, value, waits, before, negated = total + weight, weight, 3, max(before - 1, 0), max(negated - 1, 0)
+        elif token in toxicity.TARGETS:
+            total, value, waits, before, negated = total + 0.5 * value, 0.0, 0, 4, max(negated - 1, 0)
+        else:
+            said = said or token in toxicity.REPORTS
+            negated = 3 if token in toxicity.NEGATIONS else max(negated - 1, 0)
+            before, waits = max(before - 1, 0), max(waits - 1, 0)
+            value = value if waits else 0.0
+    return [*scores, total], n
+
+
+def plain_lexicon(docs, labels):
+    """Words and beginnings that speak for label 1, counted plainly on the labelled documents that may be learned from."""
+    toxic = {}
+    for doc_id, label in labels:
+        if zlib.crc32(str(doc_id).encode()) % 3 != 1:
+            toxic[doc_id] = max(label, toxic.get(doc_id, 0))
+    texts = [(t, toxic[i]) for i, t in docs if i in toxic and t and t.strip(" ")]
+    often, inside, total, number = {}, {}, [0, 0], [0, 0]
+    for text, label in texts:
+        found = [w for w in re.findall(r"[^\W\d_]+", text.lower()) if len(w) > 2]
+        terms = [x for w in found for x in ["=" + w, *(w[:k] for k in toxicity.STEMS if len(w) >= k)]]
+        total[label] += len(found)
+        number[label] += 1
+        for term in terms:
+            often.setdefault(term, [0, 0])[label] += 1
+        for term in set(terms):
+            inside.setdefault(term, [0, 0])[label] += 1
+    words, stems = dict(toxicity.INSULTS), {}
+    for term, (bad, good) in ((t, (x[1], x[0])) for t, x in often.items()):
+        rate = (bad + 0.5) / total[1] / ((good + 0.5) / total[0])
+        share = inside[term][1] / number[1] - inside[term][0] / number[0]
+        if inside[term][1] >= toxicity.LEAST_DOCS and rate >= toxicity.REASON and share > toxicity.LEAST_SHARE:
+            (words if term[0] == "=" else stems)[term.removeprefix("=")] = min(3.0, math.log(rate))
+    return texts, words, stems
+
+
+def test_learning_and_scores_equal_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    texts, words, stems = plain_lexicon(rows, [(r["doc_id"], r["toxic"]) for r in labels.collect()])
+    grammar = toxicity.learn(docs, labels)
+    near = lambda x: {k: round(v, 9) for k, v in x.items()}
+    assert near(grammar.words) == near(words) and near(grammar.stems) == near(stems) and len(stems) > 3
+
+    def features(text):
+        scores, n = plain_scores(text or "", words, stems)
+        return math.log1p(sum(scores)), min(100 * sum(scores) / n, 20.0) if n else 0.0, min(max(scores), 10.0)
+
+    # the fit is the least penalised loss: its gradient vanishes
+    weights = (grammar.intercept, *grammar.weights)
+    chance = lambda x: 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w * v for w, v in zip(weights, (1.0, *x), strict=True))))))
+    seen = [((1.0, *features(t)), chance(features(t)), y) for t, y in texts]
+    for k, ridge in enumerate((1e-6, 1.0, 1.0, 1.0)):
+        assert abs(sum((p - y) * x[k] for x, p, y in seen) + ridge * weights[k]) < 1e-5
+    got = {r["doc_id"]: (r["held_out"], round(r["score"], 9), r["predicted"]) for r in toxicity.judge(docs, labels).collect()}
+    assert got == {i: (zlib.crc32(str(i).encode()) % 3 == 1, round(chance(features(t)), 9), int(chance(features(t)) >= 0.7)) for i, t in rows}
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.judge(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
@@ -552,6 +670,41 @@ def test_literals_of_other_forms(text, found):
     assert literals(text) == found
 
 
+def test_literal_spans_equal_made_programs(spark):
+    """Programs whose secrets are known as they are made: literals that reach a sensitive name, by way of constants, sums and calls."""
+    rng = random.Random(9)
+    strong = lambda: "".join(rng.choice(x) for x in ("abcdefghkm", "ABCDEFGHKM", "23456789", "!#@%") * 5)[:17]
+    rows, want = [], {}
+    for number in range(120):
+        text, spans, held = "", set(), {}
+        for line in range(rng.randrange(1, 25)):
+            secret = rng.random() < 0.3
+            target = rng.choice(["db_password", "authToken", "client.secret"]) if secret else f"v{rng.randrange(6)}"
+            text += target + " = "
+            kinds, reached = rng.sample(["literal", "weak", "name", "call"], rng.choice([1, 1, 2, 3])), set()
+            for at, kind in enumerate(kinds):
+                text += " + " if at else ""
+                if kind == "name":
+                    other = f"v{rng.randrange(6)}" if held else "v9"
+                    reached |= held.get(other, set())
+                    text += other
+                    continue
+                value, quote = ("blue" if kind == "weak" else strong()), rng.choice("\"'`")
+                text += ("f(g(1), " if kind == "call" else "") + quote
+                if kind != "weak":
+                    reached.add((len(text), len(text) + len(value)))
+                text += value + quote + (")" if kind == "call" else "")
+            text += rng.choice(["\n", ";\n", "; // done\n"])
+            held[target] = reached
+            spans |= reached if secret else set()
+        rows.append((number, text))
+        want[number] = spans
+    for r in secrets.scan(docs_of(spark, rows)).collect():
+        got = {(int(a), int(b)) for kind, a, b in (x.split(":") for x in r["spans"].split(",") if x) if kind == "literal"}
+        assert got == want[r["doc_id"]], rows[r["doc_id"]][1]
+    assert sum(map(len, want.values())) > 200
+
+
 def test_nested_calls_take_linear_time():
     began = time.time()
     secrets.spans_of("secret = f(" * 20_000 + '"zY9!kkQ2pp"' + ")" * 20_000)
