@@ -77,7 +77,7 @@ def _code(text: Column) -> Column:
     return F.concat(F.lit(CODE_HEAD), text, F.lit(CODE_FOOT))
 
 
-def filled(template: str, value: Column) -> Column:
+def filled(template: str | Column, value: Column) -> Column:
     """The template with `{str1}` replaced, literally."""
     return F.replace(F.lit(template), F.lit("{str1}"), value)
 

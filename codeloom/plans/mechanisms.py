@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import registry
-from codeloom.operators import lookup, sequence
+from codeloom.operators import enrich, lookup, sequence
 from codeloom.plans.diffs import _folder, _versions
 from codeloom.plans.facts import table
+from codeloom.session import small_side, staged
 from codeloom.sources import code
 from codeloom.streaming import ingest
 
@@ -87,6 +88,43 @@ def repeated_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target).groupBy("o_orderkey", "twice").agg(F.count(F.lit(1)).alias("n"))
 
 
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-time windows of six hours over a stream of two files in no order, closed by a watermark: as the table's are."""
+    source, target, state = (_folder(spark, x) for x in ("in", "out", "state"))
+    events = table(spark, sf_dir, "events").select("event_type", "value", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"))
+    # the last event of all closes the windows before it; its own stays open
+    end = events.agg((F.max("ts") + F.expr("interval 1000 days")).alias("ts")).select(F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), "ts", F.lit(-1).cast("long").alias("id"))
+    for part in (events.where("id % 2 = 0"), events.where("id % 2 = 1"), end):
+        part.repartition(1).write.mode("append").parquet(source)
+    with ingest.rocks(spark):
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        query = ingest.windowed(stream, "ts", "6 hours", "900 days", "event_type", "value").writeStream.format("parquet").option("path", target).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(target).select(F.unix_timestamp("window.start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+def settings_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as settings, a file for each nation, with comments, values that go on in the next line and a name that each gives again; read back."""
+    at = _folder(spark, "settings")
+    key, rest = F.col("c_custkey").cast("string"), F.col("c_mktsegment")
+    broken = F.concat(F.lit("  c."), key, F.lit(": "), F.substring(rest, 1, 3), F.lit("\\\n"), F.expr("substring(c_mktsegment, 4)"))
+    line = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("# c."), key, F.lit(" = "), rest)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("c."), key, F.lit(" = "), rest)).otherwise(broken)
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.concat(line, F.lit("\nshared="), key).alias("value"))
+    rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select("c_nationkey", "value").write.partitionBy("c_nationkey").text(at)
+    return code.settings(spark, at).select(F.regexp_extract("file", "c_nationkey=([0-9]+)", 1).alias("nation"), "name", "value")
+
+
+def template_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt templates in JSON files, one for each market segment with a text for each nation, filled for each customer."""
+    at = _folder(spark, "templates")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("name"))
+    text = F.concat(F.lit('Ask "'), "segment", F.lit('" {str1}\n\\ of '), "name", F.lit(": {str1}{str2}"))
+    made = customers.select("segment", "name", text.alias("text")).distinct().groupBy("segment").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "text")))).alias("value"))
+    made.repartition("segment").write.partitionBy("segment").text(at)
+    found = code.template_texts(spark, at).select(F.url_decode(F.regexp_extract("file", "segment=([^/]*)", 1)).alias("segment"), "name", "template")
+    return customers.join(small_side(staged(found, "found")), ["segment", "name"]).select("c_custkey", enrich.filled(F.col("template"), F.col("c_custkey").cast("string")).alias("prompt"))
+
+
 #: A query in SQL alone: tries of new texts by LATERAL, edits of them, and names of the knowledge base by ending.
 _SQL = """
 SELECT v.l_orderkey, t.place, t.start, t.end, t.types, count(e.edit) AS n_new FROM sql_versions v, LATERAL loom_tries(v.after) t, LATERAL loom_edits(v.before, v.after) e
@@ -105,7 +143,7 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_SQL)
 
 
-QUERIES = {f.__name__: f for f in (suffix_join, suffix_join_like, pattern_join, nesting_runs, json_arrays, stream_phases, repeated_ingest, sql_functions)}
+QUERIES = {f.__name__: f for f in (suffix_join, suffix_join_like, pattern_join, nesting_runs, json_arrays, stream_phases, stream_windows, repeated_ingest, settings_files, template_prompts, sql_functions)}
 
 _N = "n AS (SELECT DISTINCT lower(p_type) || '.' || replace(p_name, ' ', '.') || '.' || p_partkey AS name FROM part)"
 _S = f"{_N}, s AS (SELECT array_to_string(string_split(name, '.')[-2:], '.') AS suffix FROM n UNION SELECT (s_suppkey % 1000)::VARCHAR FROM supplier UNION SELECT upper(name) FROM n)"
@@ -116,6 +154,9 @@ SELECT l_orderkey, 0 AS place, 2 AS start, n + 5 + CASE WHEN nested THEN 3 ELSE
 UNION ALL SELECT l_orderkey, 1, 3, n + 5, 'In', n_new FROM e WHERE nested
 UNION ALL SELECT s_suppkey, 0, length(name) - length(string_split(name, '.')[-1]) - 1, length(string_split(name, '.')[-1]), name, 0 FROM supplier JOIN n ON ends_with(name, '.' || s_suppkey % 1000)""",
     "json_arrays": "SELECT source AS repo_id, 'p' || doc_id AS patch, md5('a } \"b{\" \\ [' || substring(text, 1, 300) || '\\') AS text, lang || ',}' AS types, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS label, 0 AS changed FROM documents",
+    "stream_windows": "SELECT (floor(epoch(ts) / 21600) * 21600)::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
+    "settings_files": "SELECT c_nationkey::VARCHAR AS nation, 'c.' || c_custkey AS name, c_mktsegment AS value FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_nationkey::VARCHAR, 'shared', max(c_custkey)::VARCHAR FROM customer GROUP BY c_nationkey",
+    "template_prompts": "SELECT c_custkey, 'Ask \"' || c_mktsegment || '\" ' || c_custkey || chr(10) || '\\ of n' || c_nationkey || ': ' || c_custkey || '{str2}' AS prompt FROM customer",
     "repeated_ingest": "SELECT o_orderkey, o_custkey * 2 AS twice, 1 AS n FROM orders",
     "stream_phases": """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, ts, event_type = 'view' AS v FROM events WHERE event_type IN ('view', 'click')),
 w AS (SELECT DISTINCT user_id, 0::BIGINT AS r, NULL::TIMESTAMP AS t, 0::BIGINT AS s, 0::BIGINT AS n FROM e UNION ALL SELECT w.user_id, e.r, CASE WHEN t IS NULL THEN CASE WHEN v THEN e.ts END WHEN v THEN t END, CASE WHEN t IS NOT NULL AND NOT v THEN s + (floor(epoch(e.ts)) - floor(epoch(t)))::BIGINT ELSE s END, CASE WHEN t IS NOT NULL AND NOT v THEN n + 1 ELSE n END FROM w JOIN e ON e.user_id = w.user_id AND e.r = w.r + 1)

@@ -178,6 +178,21 @@ def properties(path: str) -> dict[str, str]:
     return {m[1]: m[2].strip() for m in found if m}
 
 
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, value) of all settings files below a folder, in the form that properties() reads; of a name given twice the last counts."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = files.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\\\r?\n", ""), r"\r?\n")).alias("at", "line"))
+    part = lambda k: F.regexp_extract("line", r"(?s)^\s*([^#!\s][^=:\s]*)\s*[=:\s]\s*(.*)$", k)
+    named = lines.select("file", "at", part(1).alias("name"), F.trim(part(2)).alias("value")).where("name != ''")
+    return named.groupBy("file", "name").agg(F.max_by("value", "at").alias("value"))
+
+
+def template_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, template) of all JSON object files below a folder; a file that is no object has none."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("file"), F.explode(F.from_json("value", "map<string,string>")).alias("name", "template"))
+
+
 def record_of(cases: DataFrame, cache: DataFrame, mark: str) -> DataFrame:
     """cases (case_id) with the cached record of a mark, or null."""
     known = cache.where(F.col("mark") == mark).groupBy("case_id").agg(F.max("value").alias("value"))

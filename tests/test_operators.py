@@ -280,6 +280,22 @@ def test_requests_and_dispatch(spark):
         enrich.dispatched(rows.withColumn("kind", F.lit("?")), templates).collect()
 
 
+def test_settings_and_templates_of_folders(spark, tmp_path):
+    (tmp_path / "s").mkdir(), (tmp_path / "t").mkdir()
+    odd = ["# no\n! no\nroot = /a/b\nname: x=y\nlong = a\\\nb\n\n", "", "a = 1\r\na: 2\nalone\n  b  c d  \n#a=3", "k =\n"]
+    for k, text in enumerate(odd):
+        (tmp_path / "s" / f"{k}.properties").write_bytes(text.encode())
+    got = {}
+    for r in code.settings(spark, str(tmp_path / "s")).collect():
+        got.setdefault(int(r["file"][-12]), {})[r["name"]] = r["value"]
+    assert got == {0: {"root": "/a/b", "name": "x=y", "long": "ab"}, 2: {"a": "2", "b": "c d"}, 3: {"k": ""}}
+    for k in (0, 2):
+        assert got[k] == code.properties(str(tmp_path / "s" / f"{k}.properties"))
+    for k, text in enumerate(['{"q": "a {str1}", "n": 5, "e": ""}', "[1]", "no", ""]):
+        (tmp_path / "t" / f"{k}.json").write_text(text)
+    assert {(r["name"], r["template"]) for r in code.template_texts(spark, str(tmp_path / "t")).collect()} == {("q", "a {str1}"), ("n", "5"), ("e", "")}
+
+
 def test_settings_templates_and_whole_replacement(spark, tmp_path):
     (tmp_path / "c.properties").write_text("# no\n! no\nroot = /a/b\nname: x=y\nlong = a\\\nb\n\n")
     assert code.properties(str(tmp_path / "c.properties")) == {"root": "/a/b", "name": "x=y", "long": "ab"}
