@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, staged, words
+from .common import small_side, staged
 
 # The base patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -48,13 +48,16 @@ TERMS = 1 << 16
 VERSIONS = 0.9
 #: Terms are counted in one of so many texts first, then in more, then in all.
 PARTS = (64, 8, 1)
+#: Bytes of texts that a task looks at together while it counts; a longer text is looked at alone.
+TOGETHER = 2 << 20
+#: Wanted terms of so many characters in all are first sought as one pattern, which most texts do not match.
+SOUGHT = 1 << 12
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-#: What is stripped from a word's ends; for Python and Spark alike.
-_EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
-_STRIPPED = regex.compile(_EDGE)
+#: A word without what is neither letter nor number at its ends; in time linear in the word.
+_CORE = regex.compile(r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", regex.DOTALL)
 
 
 def luhn(digits: str) -> bool:
@@ -121,18 +124,26 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, in
 
 
 def terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
-    """(term, start, end) of the words outside the spans, without what is neither letter nor number at their ends."""
+    """(term, start, end) of the words outside the spans, in lower case, without what is neither letter nor number at their ends."""
     ordered, at, reached = sorted((a, b) for _, a, b in spans), 0, 0
     for m in _WORD.finditer(text):
-        word = _STRIPPED.sub("", m[0])
-        if not word:
+        core = _CORE.search(m[0])
+        if not core:
             continue
-        start = m.start() + m[0].index(word)
-        while at < len(ordered) and ordered[at][0] < start + len(word):
+        start, end = m.start() + core.start(), m.start() + core.end()
+        while at < len(ordered) and ordered[at][0] < end:
             reached = max(reached, ordered[at][1])
             at += 1
         if reached <= start:
-            yield word, start, start + len(word)
+            yield core[0].lower(), start, end
+
+
+def _term(word: str) -> str:
+    """The term that a word is, empty if none."""
+    if word.isalnum():  # most words: nothing to strip
+        return word.lower()
+    core = _CORE.search(word)
+    return core[0].lower() if core else ""
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -177,6 +188,72 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield full()
 
 
+def _sought(terms: list[str]) -> str:
+    """A pattern that matches every text that holds one of the terms in any case (and some that do not: beyond ASCII it only tells that there is a character)."""
+
+    def one(c: str) -> str:
+        if not c.isascii():
+            return r"[^\x00-\x7F]" + ("?" if c == "\u0307" else "")  # U+0130 is i and U+0307 in lower case
+        more = {"i": "\u0130", "k": "\u212a"}.get(c, "")
+        return f"[{c}{c.upper()}{more}]" if c.isalpha() else f"\\x{ord(c):02x}"
+
+    return "|".join("".join(map(one, t)) for t in terms)
+
+
+def _holding(wanted: list[str] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task over (key, text): (key, term) of the different terms of each text, base spans included; of the wanted ones alone if they are given."""
+    kept = None if wanted is None else frozenset(wanted)
+    pattern = _sought(wanted) if wanted and sum(map(len, wanted)) <= SOUGHT else None
+
+    def held(texts: list[tuple[bytes, bytes]]) -> Iterator[tuple[bytes, str]]:
+        # bytes split at space and U+0009 to U+000D, as _WORD does
+        split = [text.split() for _, text in texts]
+        known = {}
+        for word in set().union(*split):
+            term = _term(word.decode())
+            if term and (kept is None or term in kept):
+                known[word] = term
+        hits = frozenset(known)
+        for (key, _), words in zip(texts, split, strict=True):
+            for term in {known[word] for word in hits.intersection(words)}:
+                yield key, term
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[tuple[bytes, bytes]] = []
+        size = 0
+
+        def full() -> pa.RecordBatch:
+            keys, found = list(zip(*held(texts), strict=True)) or ((), ())
+            texts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.string())], ["key", "term"])
+
+        for batch in batches:
+            if pattern:
+                batch = batch.filter(pc.fill_null(pc.match_substring_regex(batch.column("text").cast(pa.large_string()), pattern), False))
+            for key, text in zip(batch.column("key"), batch.column("text").cast(pa.large_binary()), strict=True):
+                texts.append((key.as_py(), text.as_py() or b""))
+                size += len(texts[-1][1])
+                if size >= TOGETHER:
+                    yield full()
+                    size = 0
+        yield full()
+
+    return run
+
+
+def _with_term(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, with_term): how many different texts hold each wanted term, those that no text holds left out.
+
+    texts: (key, text); wanted: distinct (term), staged. Wanted terms that may be broadcast go to the tasks, which pass on
+    nothing else; more of them meet all terms of the texts by a shuffle.
+    """
+    near = small_side(wanted)
+    listed = None if near is wanted else [r["term"] for r in wanted.collect()]
+    held = texts.mapInArrow(_holding(listed), "key binary, term string")
+    met = held if listed is not None else held.join(wanted, "term")
+    return met.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+
+
 def _alikeness(said: DataFrame, met: DataFrame, at: DataFrame) -> DataFrame:
     """(entity, texts, alike): how many texts with terms mention an entity, and which part of their terms they share, two by two on average (null for one text).
 
@@ -189,10 +266,11 @@ def _alikeness(said: DataFrame, met: DataFrame, at: DataFrame) -> DataFrame:
     return texts.join(shared, "entity", "left").select("entity", "texts", F.when(pairs > 0, F.coalesce("shared", F.lit(0)) / pairs).alias("alike"))
 
 
-def _disclosing(said: DataFrame, at: DataFrame, docs: DataFrame, support: int, versions: float) -> DataFrame:
+def _disclosing(said: DataFrame, at: DataFrame, source: DataFrame, scanned: DataFrame, support: int, versions: float) -> DataFrame:
     """(entity, term, disclosure) of the terms that disclose an entity beyond GENERALISE.
 
-    said: distinct (key, entity, place) of the entities that have `support` places or more; at: (key, term, start, stop) of their texts.
+    said: distinct (key, entity, place) of the entities that have `support` places or more; at: (key, term, start, stop) of their texts;
+    source, scanned: all texts, and their keys as staged.
     Every count is grouped with map-side combine, so an entity that a third of all texts mention is no hot key.
     """
     held = at.select("key", "term").distinct()
@@ -203,8 +281,7 @@ def _disclosing(said: DataFrame, at: DataFrame, docs: DataFrame, support: int, v
     apart = _alikeness(said, met, at).where(F.coalesce(F.col("alike") <= versions, F.lit(True))).select("entity")
     pairs = staged(met.join(places, ["entity", "term"]).join(apart, "entity", "left_semi"), "pairs")
     with_entity = said.select("key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    contents = docs.select(_key(F.col("text")).alias("key"), "text")
-    total = contents.select("key").distinct().count()
+    total = scanned.select("key").distinct().count()
     counted = pairs.join(with_entity, "entity").where(F.col("with_entity") < total)
     share = lambda c: F.col(c) / F.lit(total)
     pmi = F.log(share("both") / (share("with_entity") * F.greatest(share("with_term"), share("both"))))
@@ -212,11 +289,9 @@ def _disclosing(said: DataFrame, at: DataFrame, docs: DataFrame, support: int, v
     # how many texts hold a term: counted in a part of the texts first, which is never more than in all of them, so a pair
     # below the threshold there is below it for good; frequent words go before they are counted everywhere
     for part in PARTS if not pairs.isEmpty() else ():
-        wanted = small_side(staged(counted.select("term").distinct(), "wanted"))
-        some = contents.where(F.pmod(F.xxhash64("key"), F.lit(part)) == 0).select("key", F.array_distinct(words(F.col("text"))).alias("w"))
-        spread = some.select("key", F.explode_outer("w").alias("word")).select("key", F.lower(F.regexp_replace("word", _EDGE, "")).alias("term"))
-        with_term = spread.join(wanted, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-        known = counted.join(with_term, "term", "left").withColumn("with_term", F.coalesce("with_term", F.lit(0)))
+        wanted = staged(counted.select("term").distinct(), "wanted")
+        some = (source if part == 1 else source.where(F.pmod(F.xxhash64("key"), F.lit(part)) == 0)).select("key", "text")
+        known = counted.join(_with_term(some, wanted), "term", "left").withColumn("with_term", F.coalesce("with_term", F.lit(0)))
         known = known.withColumn("disclosure", disclosure).where(F.col("disclosure") > GENERALISE)
         counted = staged(known.select("entity", "term", "both", "with_entity", "disclosure"), "counted").drop(*(["disclosure"] if part > 1 else []))
     return counted.select("entity", "term", "disclosure") if "disclosure" in counted.columns else counted.select("entity", "term", F.lit(0.0).alias("disclosure"))
@@ -239,7 +314,7 @@ def _terms_of(source: DataFrame, scanned: DataFrame, said: DataFrame) -> DataFra
     """(key, term, start, stop) of the texts that mention the entities of `said`."""
     wanted = staged(said.select("key").distinct().join(scanned.select("key", "base").dropDuplicates(["key"]), "key"), "carriers")
     texts = source.select("key", "text").join(small_side(wanted), "key").dropDuplicates(["key"])
-    return staged(texts.mapInArrow(_terms, "key binary, term string, start int, stop int").withColumn("term", F.lower("term")), "terms")
+    return staged(texts.mapInArrow(_terms, "key binary, term string, start int, stop int"), "terms")
 
 
 def entities(docs: DataFrame, support: int = SUPPORT, versions: float = VERSIONS) -> DataFrame:
@@ -263,7 +338,7 @@ def find(docs: DataFrame, support: int = SUPPORT, versions: float = VERSIONS) ->
         return scanned.select("doc_id", "key", F.col("base").alias("spans"))
 
     at = _terms_of(source, scanned, said)
-    disclosing = staged(_disclosing(said, at, docs, support, versions), "disclosing")
+    disclosing = staged(_disclosing(said, at, source, scanned, support, versions), "disclosing")
     kind = F.when(F.col("disclosure") > REMOVE, 5).otherwise(4)
     worst = said.select("key", "entity").distinct().join(small_side(disclosing), "entity").groupBy("key", "term").agg(F.max(kind).alias("kind"))
     added = at.join(worst, ["key", "term"]).groupBy("key").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("added"))  # as long as the text has words

@@ -9,6 +9,8 @@ import re
 import time
 import zlib
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +198,55 @@ def test_names_of_one_or_two_letters_are_terms(spark):
     assert all(got[10 + k] == [""] for k in range(60))
 
 
+def test_wanted_terms_are_counted_alone_and_by_distinct_text(spark, monkeypatch):
+    rng = random.Random(13)
+    bits = ["Zorbulon", "(zorbulon)", "ZORBULON,", "Été", "ÉTÉ!", "ΟΔΟΣ", "a\u00a0b", "x" + "-" * 30_000 + "y", "--", "q", "rare", "and", "the"]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", "\n", "\t\x0b", "\x0c\r"]) for _ in range(rng.randrange(12))) for _ in range(300)]
+    texts += ["", None, *texts[:20]]
+    strip = lambda w: re.sub(r"^[\W_]+|[\W_]+$", "", w)
+    every = [{strip(w).lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t.replace("-" * 30_000, "-"))} for t in set(texts) - {None}]
+    wanted = ["zorbulon", "été", "οδος", "a\u00a0b", "rare", "nowhere", "x" + "-" * 30_000 + "y"]
+    assert sum(map(len, wanted[:-1])) < pii.SOUGHT < len(wanted[-1])
+    want = {w: sum(w.replace("-" * 30_000, "-") in x for x in every) for w in wanted if w != "nowhere"}
+    source = spark.createDataFrame([(hashlib.md5((t or "").encode()).digest(), t) for t in texts], "key binary, text string")
+    asked = spark.createDataFrame([(w,) for w in wanted], "term string")
+    for together in (pii.TOGETHER, 200, 1):  # all texts, some, each alone
+        monkeypatch.setattr(pii, "TOGETHER", together)
+        assert {r["term"]: r["with_term"] for r in pii._with_term(source, asked).collect()} == want
+    short = asked.where("length(term) < 100")  # sought by a pattern first
+    assert {r["term"]: r["with_term"] for r in pii._with_term(source, short).collect()} == {w: n for w, n in want.items() if len(w) < 100}
+    # what tasks pass on is what is wanted, not every word of every text
+    passed = source.mapInArrow(pii._holding(wanted), "key binary, term string").distinct().collect()
+    assert {r["term"] for r in passed} == set(want) and len(passed) == sum(want.values())
+    monkeypatch.setattr(pii, "small_side", lambda df: df)  # too many to be listed
+    assert {r["term"]: r["with_term"] for r in pii._with_term(source, asked).collect()} == want
+
+
+def test_the_pattern_matches_all_cases_of_a_term():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalnum()]
+    texts = pa.array([f"({c}{c}a{c}." for c in every], pa.large_string())
+    terms = [pii._term(x) for x in texts.to_pylist()]
+    by_pattern = {}
+    for k, term in enumerate(terms):
+        by_pattern.setdefault(pii._sought([term]), []).append(k)
+    assert len(by_pattern) < 60  # all but ASCII letters and figures share a few
+    for pattern, rows in by_pattern.items():
+        assert pc.all(pc.match_substring_regex(texts.take(rows), pattern)).as_py()
+    odd = ["a.b", "c++", "x|y", "[z]z", "a\\d", "q^$q", "a\x00b", "a-b"]
+    for k, term in enumerate(odd):
+        matches = pc.match_substring_regex(pa.array([f"<{t.upper()}>" for t in odd]), pii._sought([term])).to_pylist()
+        assert matches == [j == k for j in range(len(odd))]
+
+
+def test_words_are_stripped_alike_where_they_are_found_and_counted(spark):
+    # letters younger than the JVM's tables (Unicode 14 and 16)
+    rows = [(k, f"filler{k} words agent Zorbulon \u2c5fko \u1c8ako at jo@ex.org wrote more{k} text") for k in range(4)] + [(10 + k, f"plain text \u2c5fko \u1c8ako words wrote agent {k} at") for k in range(60)]
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.scan(docs_of(spark, rows)).collect()}
+    for k, text in rows[:4]:
+        found = {text[int(a) : int(b)] for kind, a, b in (x.split(":") for x in got[k]) if kind in ("general", "remove")}
+        assert found == {"Zorbulon"}
+
+
 @pytest.mark.parametrize(("support", "versions"), [(3, 0.9), (2, 0.5)])
 def test_status_of_entities_equals_brute_force(spark, support, versions):
     rng = random.Random(support)
