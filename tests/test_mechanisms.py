@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions import registry
-from codeloom.operators import cases, closure, lookup, sequence
+from codeloom.operators import align, cases, closure, lookup, sequence
 from codeloom.sources import code
 from codeloom.streaming import ingest
 
@@ -160,3 +160,22 @@ def test_functions_in_sql(spark):
     row = spark.sql("SELECT loom_simple_name('a.b.f'), loom_owner('a.b.f(x.Y)'), loom_erased('Map<K, List<V>>.Entry')").first()
     assert tuple(row) == ("f", "a.b", "Map.Entry")
     assert [tuple(r) for r in spark.sql("SELECT t.start, t.end, t.types FROM VALUES ('try {\n} catch (E e) {\n}'), (CAST(NULL AS STRING)) v(x), LATERAL loom_tries(v.x) t").collect()] == [(0, 3, "E")]
+
+
+def test_endings_in_sql_are_met_by_equality(spark):
+    spark.createDataFrame([("a.b.C",), ("x.C",), ("C",), ("a.BC",), ("y.",), ("",), (None,)], "name string").createOrReplaceTempView("ending_names")
+    spark.createDataFrame([("C",), ("b.C",), ("",), ("BC",), (None,)], "suffix string").createOrReplaceTempView("ending_suffixes")
+    registry.register(spark, "ending_names")
+    met = spark.sql("SELECT s.suffix, n.name FROM ending_suffixes s, LATERAL loom_ending(s.suffix) n")
+    assert sorted(map(tuple, met.collect())) == [("", ""), ("", "y."), ("BC", "a.BC"), ("C", "C"), ("C", "a.b.C"), ("C", "x.C"), ("b.C", "a.b.C")]
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_small_tables_take_the_path_of_large_ones(monkeypatch):
+    rng = np.random.default_rng(7)
+    lines = ["a", "  a ", "T x = f();", "x = f();", "try (x = f()) {", "try (T x = f()) {", "}", "f ( a)", "f(a)"]
+    pairs = [([lines[k] for k in rng.integers(0, 9, n)], [lines[k] for k in rng.integers(0, 9, m)]) for n, m in rng.integers(0, 9, (300, 2))]
+    small = [align.steps(*p) for p in pairs]
+    monkeypatch.setattr(align, "SMALL", -1)
+    assert small == [align.steps(*p) for p in pairs]
