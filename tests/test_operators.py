@@ -358,3 +358,16 @@ def test_windows_over_a_stream(spark, tmp_path):
     closed = {(str(r["window"]["start"]), r["kind"], r["n"], r["total"]) for r in spark.read.parquet(target).collect()}
     every = {(str(r["window"]["start"]), r["kind"], r["n"], r["total"]) for r in ingest.event_windows(rows, "at", "1 minute", "kind", "v").collect()}
     assert closed <= every and len(closed) == 6  # the last minute is still open
+
+
+@pytest.mark.parametrize("hops", [1, 2, 3, 4])
+def test_reached_throws_equal_the_walk(spark, hops):
+    rng = np.random.default_rng(hops)
+    pairs = [(f"m{a}", f"m{b}") for a, b in rng.integers(0, 150, (400, 2))] + [(None, "m1"), ("m2", None), ("m3", "m3")]
+    calls = spark.createDataFrame(pairs + pairs[:50], "caller string, callee string")
+    thrown = [(f"m{a}", int(e) if e else None) for a, e in rng.integers(0, 130, (170, 2))] + [("m1", 5), ("m1", 5), (None, 4)]
+    throws = spark.createDataFrame(thrown, "target string, exception int")
+    want = kb.khop(calls, hops).join(throws, "target").groupBy("root").agg(F.count(F.lit(1)), F.countDistinct("exception"), F.min("target"))
+    got = kb.khop_throws(calls, hops, throws)
+    assert got.columns == ["root", "targets", "exceptions", "least"]
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in want.toDF(*got.columns).collect())
