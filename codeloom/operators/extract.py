@@ -1,33 +1,31 @@
-"""Facts from Java source, out of token rows: types, methods, calls, throws, handlers, comments.
+"""Facts from Java source, out of tokens: types, methods, calls, throws, handlers, comments.
 
 A fact is a token or a statement, and what is around it: the types and the method it belongs to,
 the handlers of the tries in whose bodies it stands, the condition of the innermost `if` (which
 also stands for its else branch). Calls and throws outside methods (in initializers, and in
 fields, lambdas there too) are no facts; the methods of an anonymous class are methods of
 `Created{}`. Names are as they are written, but for packages and outer types; names.py qualifies
-them. All of it is DataFrame functions.
+them. A file is read by itself in Arrow batches, so files are not shuffled, nor are their tokens;
+all that follows is DataFrame functions.
 
-Null and empty texts have no facts; broken ones have those that can be read; a path that occurs twice
-is read as one file after another would be, so paths must differ.
+Null and empty texts have no facts; broken ones have those that can be read; names are looked up by
+path, so paths must differ.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+from functools import cache, lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators import closure
-from codeloom.operators.tokens import KEYWORDS, WORD, flat, last_of, statements, surrounding, texts
+from codeloom.operators.tokens import KEYWORDS, SPACE, Source, Statement, name_pattern
 from codeloom.session import staged
 
-_NAME = r"[\p{L}_$][\p{L}\p{N}_$]*"
-#: Patterns of statements' heads, with blanks between their tokens.
-_TYPE = rf"(?:^|\s)(class|interface|enum|record) ({_NAME})(?: |$)"
-_CREATES = r"(?:^|\s)new ([^(){};=]*) \( \) \{$"
-_METHOD = rf"^([^=]*?)({_NAME}) \( \)(?: \[ \])*(?: throws ([^{{;]*?))? [{{;]$"
-_PLAIN = rf"^(?:, )?(?!(?:static|else|do|try|finally) )({_NAME}) \{{$"
-_MODIFIERS = r"^(?:(?:public|protected|private|static|abstract|final|native|synchronized|transient|strictfp|default|@ [^ ]+(?: \. [^ ]+)*(?: \( \))?) )*"
-
 # The throwables of java.lang that name others, and their parents.
 THROWABLES = {
     "Throwable": "Throwable",
@@ -58,98 +56,240 @@ THROWABLES = {
 }
 
 
-def closed(name: Column) -> Column:
+_ARGUMENTS = re.compile(r"<[^<>]*>")
+_REMARK = re.compile(r"/\*[\s\S]*?\*/|//[^\n]*")
+_ANNOTATION = r"@[A-Za-z0-9_$.]+(?:\([^)]*\))?"
+
+
+def _without(pattern: re.Pattern, text: str, times: int) -> str:
+    for _ in range(times):
+        text = pattern.sub("", text)
+    return text
+
+
+def closed(name: str) -> str:
     """A name of several tokens, without the blanks between them and without type arguments."""
-    bare = name
-    for _ in range(4):
-        bare = F.regexp_replace(bare, r"<[^<>]*>", "")
-    return F.regexp_replace(F.replace(bare, F.lit(" "), F.lit("")), r"@[^.]*", "")
+    return re.sub(r"@[^.]*", "", _without(_ARGUMENTS, name, 4).replace(" ", ""))
 
 
-def listed(names: Column) -> Column:
+def listed(names: str) -> list[str]:
     """Names between commas, type arguments left out."""
-    bare = names
-    for _ in range(4):
-        bare = F.regexp_replace(bare, r"<[^<>]*>", "")
-    return F.filter(F.transform(F.split(bare, ","), lambda x: F.replace(x, F.lit(" "), F.lit(""))), lambda x: x != "")
-
-
-def parameter_types(text: Column) -> Column:
-    """The types of a parameter list as it is written: simple names with their type arguments, `...` as an array."""
-    clean = F.regexp_replace(F.regexp_replace(text, r"/\*[\s\S]*?\*/|//[^\n]*", " "), r"@[\w$.]+(\([^)]*\))?|\bfinal\b", " ")
-    parts = F.regexp_extract_all(clean, F.lit(r"[\p{L}\p{N}_$]+|\.\.\.|[^\s]"), 0)
-    none = F.struct(F.lit(0).alias("deep"), F.lit("").alias("out"))
-    joined = F.aggregate(parts, none, lambda s, x: F.struct((s["deep"] + F.when(x == "<", 1).when(x == ">", -1).otherwise(0)).alias("deep"), F.concat(s["out"], F.when((x == ",") & (s["deep"] == 0), "\n").otherwise(F.concat(x, F.lit(" ")))).alias("out")))["out"]
-
-    def kind(p: Column) -> Column:
-        trimmed = F.trim(p)
-        unnamed = F.regexp_replace(trimmed, rf"\s*{_NAME}((?: \[ \])*)$", "$1")
-        arrays = F.regexp_replace(unnamed, r"\.\.\.", "[ ]")
-        simple = F.regexp_replace(arrays, rf"(?:{_NAME} \. )+", "")
-        spaced = F.regexp_replace(simple, r" ?\b(extends|super)\b ?", "\t$1\t")
-        return F.replace(F.replace(F.replace(spaced, F.lit(" "), F.lit("")), F.lit("\t"), F.lit(" ")), F.lit("&"), F.lit(" & "))
-
-    return F.transform(F.filter(F.split(joined, "\n"), lambda p: F.trim(p) != ""), kind)
-
-
-def _paren(after: Column) -> Column:
-    """(start, end) of the first bracket pair of `items` at or behind a place."""
-    start = F.filter("items", lambda x: (x["i"] >= after) & (x["token"] == "("))
-    first = F.get(start, F.lit(0))["i"]
-    return F.when(first.isNotNull(), F.struct(first.alias("start"), F.get(F.filter("items", lambda x: (x["i"] > first) & (x["token"] == ")")), F.lit(0))["i"].alias("end")))
-
-
-def marked(files: DataFrame, shown: DataFrame) -> DataFrame:
-    """Statements with kind, name, package, condition, the types of a catch clause, and those of the handlers of a try."""
-    each = statements(shown)
-    head = F.col("head")
-    is_type = head.rlike(_TYPE) & head.endswith("{") & ~head.rlike(r"\. class ")
-    kind = (
-        F.when(is_type, "type").when(head.rlike(_CREATES) | head.rlike(_PLAIN), "anonymous").when(head.endswith("-> {"), "lambda")
-        .when(head.rlike(r"(^|\s)try (\( \) )?\{$"), "try").when(head.rlike(r"^catch \( \) \{$"), "catch").when(head.rlike(_METHOD), "method").otherwise("other")
-    )
-    each = each.withColumn("kind", kind)
-    creates = F.concat(closed(F.coalesce(F.nullif(F.regexp_extract("head", _CREATES, 1), F.lit("")), F.regexp_extract("head", _PLAIN, 1))), F.lit("{}"))
-    name = F.when(F.col("kind") == "type", F.regexp_extract("head", _TYPE, 2)).when(F.col("kind") == "anonymous", creates).when(F.col("kind") == "method", F.regexp_extract("head", _METHOD, 2))
-    typed = F.regexp_replace(F.regexp_extract("head", _METHOD, 1), _MODIFIERS, "").rlike(r"[\p{L}\p{N}_$>\]] $")
-    last_if = F.try_element_at(F.filter("items", lambda x: x["token"] == "if"), F.lit(-1))["i"]
-    opening = F.try_element_at(F.filter("items", lambda x: (x["token"] == "(") & (x["i"] < F.coalesce("body", F.lit(1 << 30)))), F.lit(-1))["i"]
-    shown_name = each.withColumns({"name": name, "typed": typed, "condition_at": F.when(last_if.isNotNull(), _paren(last_if)), "list_at": F.when(F.col("kind").isin("method", "catch"), _paren(F.when(F.col("kind") == "catch", F.col("start")).otherwise(opening)))})
-    package = F.regexp_extract("head", r"^(?:@ .* )?package ([^;]*) ;$", 1)
-    found = staged(shown_name.withColumn("package", F.max(F.nullif(F.replace(package, F.lit(" "), F.lit("")), F.lit(""))).over(Window.partitionBy("path"))), "statements")
-    asked = found.select("path", "condition_at.*").where("end is not null").unionByName(found.select("path", "list_at.*").where("end is not null"))
-    read = staged(texts(files, asked), "texts")
-    for at, name_ in (("condition_at", "condition"), ("list_at", "list")):
-        side = read.select(F.col("path").alias("_p"), F.col("start").alias("_s"), F.trim("text").alias(name_))
-        found = found.join(side, (F.col("path") == F.col("_p")) & (F.col(f"{at}.start") == F.col("_s")), "left").drop("_p", "_s")
-    run = Window.partitionBy("path", "around", "run").orderBy("start")
-    declared = F.regexp_replace(F.regexp_replace("list", r"/\*[\s\S]*?\*/|//[^\n]*|\bfinal\b|@[\w$.]+(\([^)]*\))?", " "), rf"\s+({_NAME})\s*$", "")
-    types = F.when(F.col("kind") == "catch", F.filter(F.transform(F.split(declared, r"\|"), lambda x: F.regexp_replace(x, r"\s", "")), lambda x: x != ""))
-    variable = F.when(F.col("kind") == "catch", F.regexp_extract("list", rf"({_NAME})\s*$", 1))
-    found = found.withColumns({"types": types, "variable": variable, "condition": F.last("condition", ignorenulls=True).over(run)})
-    handlers = F.flatten(F.collect_list("types").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return staged(found.withColumn("handlers", F.when(F.col("kind") == "try", handlers)).drop("condition_at", "list_at"), "marked")
-
-
-_RECORD = ["around", "body", "kind", "name", "typed", "list", "package", "condition", "types", "variable", "handlers"]
-
-
-def _settled(outer: Column) -> Column:
-    """The statements around a place, with kind `method` only for those in the body of a type; a nameless one there with a body is a constant's."""
-
-    def constant(s: Column, k: Column) -> Column:
-        above = F.get(outer, k - 1)
-        is_one = (s["kind"] == "method") & ~s["typed"] & s["body"].isNotNull() & (above["kind"] == "type") & (above["body"] == s["around"]) & (s["name"] != above["name"])
-        return F.when(is_one, s.withField("kind", F.lit("anonymous")).withField("name", F.concat(s["name"], F.lit("{}")))).otherwise(s)
-
-    once = F.transform(outer, constant)
-
-    def method(s: Column, k: Column) -> Column:
-        above = F.get(once, k - 1)
-        inside = F.coalesce((above["body"] == s["around"]) & above["kind"].isin("type", "anonymous") & (s["typed"] | (s["name"] == above["name"])), F.lit(False))
-        return s.withField("kind", F.when((s["kind"] == "method") & ~inside, "other").otherwise(s["kind"]))
-
-    return F.transform(once, method)
+    return [x for x in (x.replace(" ", "") for x in _without(_ARGUMENTS, names, 4).split(",")) if x]
+
+
+class _Patterns:
+    """Patterns of statements' heads, with blanks between their tokens."""
+
+    def __init__(self) -> None:
+        name = name_pattern()
+        end = r"(?:\n?\Z)"
+        self.type = re.compile(rf"(?:^|[{SPACE}])(class|interface|enum|record) ({name})(?: |{end})")
+        self.creates = re.compile(r"(?:^|[ \t\n\x0B\f\r])new ([^(){};=]*) \( \) \{$")
+        self.method = re.compile(rf"^([^=]*?)({name}) \( \)(?: \[ \])*(?: throws ([^{{;]*?))? [{{;]$")
+        self.plain = re.compile(rf"^(?:, )?(?!(?:static|else|do|try|finally) )({name}) \{{$")
+        self.modifiers = re.compile(r"^(?:(?:public|protected|private|static|abstract|final|native|synchronized|transient|strictfp|default|@ [^ ]+(?: \. [^ ]+)*(?: \( \))?) )*")
+        self.typed = re.compile(r"(?:\w|[$>\]]) $")
+        self.tries = re.compile(r"(?:^|[ \t\n\x0B\f\r])try (?:\( \) )?\{$")
+        self.package = re.compile(r"^(?:@ .* )?package ([^;]*) ;$")
+        self.last_name = re.compile(rf"({name})[{SPACE}]*$")
+        self.last_word = re.compile(rf"[{SPACE}]+{name}[{SPACE}]*$")
+        self.declared = re.compile(rf"{_REMARK.pattern}|\bfinal\b|{_ANNOTATION}")
+        self.word = re.compile(name)
+        self.variable = re.compile(rf"^({name}) ;$")
+        self.new = re.compile(rf"^new ((?:{name} \. )*{name})")
+        self.parents = {"extends": re.compile(r" extends (.*?)(?: implements .*| permits .*)? \{$"), "implements": re.compile(r" implements (.*?)(?: permits .*)? \{$")}
+        self.sort = re.compile(r"^(.*?)(?:class|interface|enum|record) ")
+        self.leaves = re.compile(rf"{_ANNOTATION}|\bfinal\b")
+        self.parts = re.compile(rf"[\w$]+|\.\.\.|[^{SPACE}]")
+        self.unnamed = re.compile(rf"[{SPACE}]*{name}((?: \[ \])*)$")
+        self.outer = re.compile(rf"(?:{name} \. )+")
+
+
+_patterns = cache(_Patterns)
+
+
+@lru_cache(1 << 12)
+def parameter_types(text: str) -> str:
+    """The types of a parameter list as it is written, between commas: simple names with their type arguments, `...` as an array."""
+    p = _patterns()
+    deep, joined = 0, []
+    for x in p.parts.findall(p.leaves.sub(" ", _REMARK.sub(" ", text))):
+        joined.append("\n" if x == "," and deep == 0 else x + " ")
+        deep += (x == "<") - (x == ">")
+
+    def kind(of: str) -> str:
+        simple = p.outer.sub("", p.unnamed.sub(r"\1", of.strip(" ")).replace("...", "[ ]"))
+        return re.sub(r" ?\b(extends|super)\b ?", r"\t\1\t", simple).replace(" ", "").replace("\t", " ").replace("&", " & ")
+
+    return ",".join(kind(x) for x in "".join(joined).split("\n") if x.strip(" "))
+
+
+def _group(pattern: re.Pattern, text: str, n: int) -> str:
+    m = pattern.search(text)
+    return (m[n] if m else "") or ""
+
+
+def _paren(s: Statement, after: int) -> tuple[int, int] | None:
+    """(start, end) of the first bracket pair of a statement at or behind a place."""
+    start = None
+    for x in s.items:
+        if start is None:
+            if x.text == "(" and x.i >= after:
+                start = x.i
+        elif x.text == ")":
+            return start, x.i
+    return None
+
+
+def _mark(source: Source) -> str | None:
+    """Statements get kind, name, condition, the types of a catch clause, and those of the handlers of a try; returned is the file's package."""
+    p, packages, runs = _patterns(), [], {}
+    for s in sorted((s for of in source.statements.values() for s in of), key=lambda s: s.start):
+        head, brace = s.head, s.head[-1] == "{"
+        method = None
+        if brace and p.type.search(head) and ". class " not in head:
+            s.kind, s.name = "type", _group(p.type, head, 2)
+        elif brace and (p.creates.search(head) or p.plain.search(head)):
+            s.kind, s.name = "anonymous", closed(_group(p.creates, head, 1) or _group(p.plain, head, 1)) + "{}"
+        elif head.endswith("-> {"):
+            s.kind = "lambda"
+        elif brace and p.tries.search(head):
+            s.kind = "try"
+        elif head == "catch ( ) {":
+            s.kind = "catch"
+        elif (brace or head[-1] == ";") and " ( ) " in head and (method := p.method.search(head)):
+            s.kind, s.name = "method", method[2]
+        if (method := method or (p.method.search(head) if s.kind != "other" and " ( ) " in head else None)) is not None:
+            s.typed = p.typed.search(p.modifiers.sub("", method[1], count=1)) is not None
+        ifs = [x.i for x in s.items if x.text == "if"]
+        at = _paren(s, ifs[-1]) if ifs else None
+        if at is not None:
+            s.condition = source.between(*at).strip(" ")
+        if s.kind in ("method", "catch"):
+            opening = [x.i for x in s.items if x.text == "(" and (s.body is None or x.i < s.body)]
+            at = _paren(s, s.start) if s.kind == "catch" else _paren(s, opening[-1]) if opening else None
+            if at is not None:
+                s.inside = source.between(*at).strip(" ")
+        if s.kind == "catch" and s.inside is not None:
+            declared = p.last_word.sub("", p.declared.sub(" ", s.inside))
+            s.types = [x for x in (re.sub(rf"[{SPACE}]", "", x) for x in declared.split("|")) if x]
+            s.variable = _group(p.last_name, s.inside, 1)
+        if "package" in head and (name := _group(p.package, head, 1).replace(" ", "")):
+            packages.append(name)
+        run = runs.setdefault((s.around, s.run), [None, []])
+        s.condition = run[0] = run[0] if s.condition is None else s.condition
+        run[1] += s.types or []
+        if s.kind == "try":
+            s.handlers = run[1]  # the list of the run, which its later clauses fill
+    return max(packages, default=None)
+
+
+def _settled(outer: list[Statement]) -> list[tuple[Statement, str, str | None]]:
+    """The statements around a place with kind and name: `method` only for those in the body of a type; a nameless one there with a body is a constant's."""
+    out: list[tuple[Statement, str, str | None]] = []
+    for k, s in enumerate(outer):
+        above = outer[k - 1] if k else None
+        constant = s.kind == "method" and not s.typed and s.body is not None and above is not None and above.kind == "type" and above.body == s.around and s.name != above.name
+        out.append((s, "anonymous", s.name + "{}") if constant else (s, s.kind, s.name))
+    for k, (s, kind, name) in enumerate(out):
+        if kind == "method" and not (k and _inside(s, name, out[k - 1])):
+            out[k] = s, "other", name
+    return out
+
+
+def _inside(s: Statement, name: str | None, above: tuple[Statement, str, str | None]) -> bool:
+    """Whether a statement that looks like a method is one of the type above it."""
+    return above[1] in ("type", "anonymous") and above[0].body == s.around and (s.typed or name == above[2])
+
+
+def _dotted(*names: str | None) -> str:
+    return ".".join(x for x in names if x is not None)
+
+
+def source_facts(text: str | None) -> Iterator[tuple]:
+    """The facts of one file, see extract(): kind, owner, name, detail, catches, handler, line, seq."""
+    if not text:
+        return
+    source, p = Source(text), _patterns()
+    package = _mark(source)
+    full = lambda s: f"{s.name}({parameter_types(s.inside or '')})"
+    places: dict[tuple, tuple] = {}
+
+    def of(outer: list[Statement]) -> tuple:
+        """What a place has from the statements around it: settled, the class, the method's name, the handlers by tries, clause, condition."""
+        key = tuple(s.start for s in outer)
+        if key not in places:
+            settled = _settled(outer)
+            types = [(s, n) for s, k, n in settled if k in ("type", "anonymous")]
+            class_ = _dotted(package, ".".join(n for _, n in types) or None)
+            method = next((s for s, k, _ in reversed(settled) if k == "method"), None)
+            owner, inner = None, []
+            if method is not None:
+                inner = [(s, k) for s, k, _ in settled if s.start > method.start]
+                owner = _dotted(package, _dotted(".".join(n for s, n in types if s.start < method.start), full(method)) or None)
+            clause = next((s for s, k in reversed(inner) if k == "catch"), None)
+            condition = next((s.condition for s, _ in reversed(inner) if s.condition is not None), "")
+            tries = [s for s, k in reversed(inner) if k == "try"]
+            places[key] = settled, class_, owner, tries, clause, condition
+        return places[key]
+
+    def caught(tries: list[Statement], i: int) -> list[str]:
+        return [x for s in tries if i > s.body for x in s.handlers]
+
+    def handler(clause: Statement | None) -> str:
+        return "|".join(clause.types or []) if clause is not None else ""
+
+    for level, tokens in source.levels.items():
+        for t in tokens:
+            if t.next == "(" and t.text not in KEYWORDS and t.chain not in ("new", "@") and p.word.fullmatch(t.text):
+                settled, _, owner, tries, clause, _ = of(source.around(t.i, level))
+                above = settled[-1] if settled else None
+                # a name at the level of its own declaration is no call
+                if owner is not None and not (above[1] in ("method", "type") and above[0].around == t.around):
+                    yield "call", owner, t.text, "", caught(tries, t.i), handler(clause), t.line, t.i
+    for level, statements in source.statements.items():
+        for s in statements:
+            for k, t in enumerate(s.items):
+                if t.text == "throw":
+                    _, _, owner, tries, clause, condition = of(source.around(t.i, level))
+                    if owner is not None:
+                        head = " ".join(x.text for x in s.items[k + 1 :])
+                        name = closed(_group(p.new, head, 1))
+                        if not name and clause is not None and clause.types is not None and len(clause.types) == 1 and _group(p.variable, head, 1) == clause.variable:
+                            name = clause.types[0]
+                        yield "throw", owner, name, condition, caught(tries, t.i), handler(clause), t.line, t.i
+            if s.head.startswith("import "):
+                static = s.head.startswith("import static ")
+                yield "import", package or "", re.sub(r"[ ;]", "", s.head[len("import static " if static else "import ") :]), "static" if static else "", [], "", s.line, s.start
+            if s.kind not in ("type", "method", "catch"):
+                continue
+            settled, class_, owner, tries, clause, _ = of(source.around(s.start, level - 1))
+            doc = s.doc is not None and s.doc.startswith("/**")
+            rest = [], "", s.line, s.start
+            if s.kind == "catch":
+                if owner is not None:
+                    yield "catch", owner, None if s.types is None else "|".join(s.types), "", caught(tries, s.start), handler(clause), s.line, s.start
+            elif s.kind == "type":
+                whole, sort = _dotted(class_ or None, s.name), _group(p.type, s.head, 1)
+                abstract = re.search(r"(?:^| )abstract ", _group(p.sort, s.head, 1))
+                yield "type", class_, whole, "interface" if "@ interface " in s.head or sort == "interface" else "abstract class" if abstract else "class", *rest
+                bare = _without(_ARGUMENTS, s.head, 3)
+                for clause_, pattern in p.parents.items():
+                    for parent in listed(_group(pattern, bare, 1)):
+                        yield clause_, whole, parent, "Realization" if clause_ == "implements" or sort == "interface" else "Inheritance", *rest
+                if doc:
+                    yield "comment", whole, s.doc, "type", *rest
+            elif settled and _inside(s, s.name, settled[-1]):
+                yield "method", class_, full(s), "", *rest
+                for thrown in listed(_group(p.method, s.head, 3)):
+                    yield "declares", _dotted(class_, full(s)), thrown, "", *rest
+                if doc:
+                    yield "comment", _dotted(class_, full(s)), s.doc, "method", *rest
+
+
+#: Facts of at most so many rows make a batch, but for the last file's.
+BATCH = 20_000
+FACTS = "path string, kind string, owner string, name string, detail string, catches array<string>, handler string, line int, seq int"
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -160,73 +300,23 @@ def extract(files: DataFrame) -> DataFrame:
     comment (of a type or method), import. catches: types of the handlers around, innermost first; handler: the catch
     clause a throw or call stands in.
     """
-    files = files.select("path", "content")
-    shown = staged(flat(files), "tokens")
-    known = marked(files, shown)
-    here = shown.where(~F.col("opens"))
-    word = F.col("token").rlike(WORD) & ~F.col("token").isin(KEYWORDS)
-    none = F.lit(None).cast("string")
-    called = here.where(word & (F.col("next") == "(") & ~F.coalesce(F.col("chain"), F.lit("")).isin("new", "@")).select("path", "i", "level", "line", F.lit("call").alias("fact"), F.col("token").alias("name"), none.alias("head"), none.alias("list"), none.alias("doc"), none.alias("package"), F.lit(None).cast("boolean").alias("typed"), F.lit(None).cast("array<string>").alias("types"), F.lit(None).cast("int").alias("body"), F.col("around"))
-    after = lambda i: F.array_join(F.transform(F.filter("items", lambda x: x["i"] > i), lambda x: x["token"]), " ")
-    thrown = known.withColumn("t", F.explode(F.filter("items", lambda x: x["token"] == "throw"))).select("path", F.col("t.i").alias("i"), "level", F.col("t.line").alias("line"), F.lit("throw").alias("fact"), none.alias("name"), after(F.col("t.i")).alias("head"), none.alias("list"), none.alias("doc"), "package", F.lit(None).cast("boolean").alias("typed"), F.lit(None).cast("array<string>").alias("types"), F.lit(None).cast("int").alias("body"), "around")
-    declared = known.where(F.col("kind").isin("type", "method", "catch")).select("path", F.col("start").alias("i"), (F.col("level") - 1).alias("level"), "line", F.col("kind").alias("fact"), "name", "head", "list", "doc", "package", "typed", "types", "body", "around")
-    met = surrounding(called.unionByName(thrown).unionByName(declared), known, _RECORD)
-    none_around = F.array().cast(met.schema["outer"].dataType)
-    met = met.withColumn("outer", _settled(F.coalesce("outer", none_around)))
-    met = staged(met, "around")
-
-    types = F.filter("outer", lambda s: s["kind"].isin("type", "anonymous"))
-    package = F.coalesce("package", F.get("outer", F.lit(0))["package"])
-    chain = F.array_join(F.transform(types, lambda s: s["name"]), ".")
-    whole = lambda p, n: F.concat_ws(".", p, F.nullif(n, F.lit("")))
-    method = last_of(F.col("outer"), lambda s: s["kind"] == "method")
-    above = F.try_element_at("outer", F.lit(-1))
-    full = lambda name, params: F.concat(name, F.lit("("), F.array_join(parameter_types(F.coalesce(params, F.lit(""))), ","), F.lit(")"))
-    placed = met.withColumns({"class": whole(package, chain), "m": method, "above": above})
-    in_method = F.col("m").isNotNull()
-    method_types = F.filter("outer", lambda s: s["kind"].isin("type", "anonymous") & (s["start"] < F.col("m.start")))
-    owner = whole(package, F.concat_ws(".", F.array_join(F.transform(method_types, lambda s: s["name"]), "."), full(F.col("m.name"), F.col("m.list"))))
-    inner = F.filter("outer", lambda s: s["start"] > F.col("m.start"))
-    tries = F.filter(inner, lambda s: (s["kind"] == "try") & (F.col("i") > s["body"]))
-    catches = F.flatten(F.transform(F.reverse(tries), lambda s: s["handlers"]))
-    clause = last_of(inner, lambda s: s["kind"] == "catch")
-    condition = last_of(inner, lambda s: s["condition"].isNotNull())["condition"]
-    placed = placed.withColumns({"method_name": owner, "catches": F.coalesce(F.when(in_method, catches), F.array().cast("array<string>")), "clause": clause, "condition": F.coalesce(condition, F.lit(""))})
-    variable = F.regexp_extract("head", rf"^({_NAME}) ;$", 1)
-    new_name = closed(F.regexp_extract("head", rf"^new ((?:{_NAME} \. )*{_NAME})", 1))
-    thrown_name = F.coalesce(F.nullif(new_name, F.lit("")), F.when((variable == F.col("clause.variable")) & (F.size("clause.types") == 1), F.col("clause.types")[0]), F.lit(""))
-    empty = F.lit("")
-    nothing = F.array().cast("array<string>")
-
-    def fact(rows: DataFrame, kind: str | Column, owner_: Column, name: Column, detail: Column = empty, catches_: Column = nothing, handler: Column = empty) -> DataFrame:
-        kind = F.lit(kind) if isinstance(kind, str) else kind
-        return rows.select("path", kind.alias("kind"), owner_.alias("owner"), name.alias("name"), detail.alias("detail"), catches_.alias("catches"), handler.alias("handler"), "line", F.col("i").alias("seq"))
-
-    handler = F.coalesce(F.array_join("clause.types", "|"), empty)
-    # a name at the level of its own declaration is no call
-    is_declared = F.coalesce(F.col("above.kind").isin("method", "type") & (F.col("above.around") == F.col("around")), F.lit(False))
-    out = fact(placed.where((F.col("fact") == "call") & in_method & ~is_declared), "call", F.col("method_name"), F.col("name"), empty, F.col("catches"), handler)
-    out = out.unionByName(fact(placed.where((F.col("fact") == "throw") & in_method), "throw", F.col("method_name"), thrown_name, F.col("condition"), F.col("catches"), handler))
-    out = out.unionByName(fact(placed.where((F.col("fact") == "catch") & in_method), "catch", F.col("method_name"), F.array_join("types", "|"), empty, F.col("catches"), handler))
-    typed = placed.where("fact = 'type'").withColumn("whole", F.concat_ws(".", F.nullif("class", empty), "name"))
-    sort = F.regexp_extract("head", _TYPE, 1)
-    class_type = F.when(F.col("head").contains("@ interface ") | (sort == "interface"), "interface").when(F.regexp_extract("head", r"^(.*?)(?:class|interface|enum|record) ", 1).rlike(r"(^| )abstract "), "abstract class").otherwise("class")
-    out = out.unionByName(fact(typed, "type", F.col("class"), F.col("whole"), class_type))
-    for clause_, pattern in (("extends", r" extends (.*?)(?: implements .*| permits .*)? \{$"), ("implements", r" implements (.*?)(?: permits .*)? \{$")):
-        rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("head", r"<[^<>]*>", ""), r"<[^<>]*>", ""), r"<[^<>]*>", "")
-        parents = typed.withColumn("parent", F.explode(listed(F.regexp_extract(rest, pattern, 1))))
-        relation = F.when((F.lit(clause_) == "implements") | (sort == "interface"), "Realization").otherwise("Inheritance")
-        out = out.unionByName(fact(parents, clause_, F.col("whole"), F.col("parent"), relation))
-    inside = F.coalesce(F.col("above.kind").isin("type", "anonymous") & (F.col("above.body") == F.col("around")) & (F.col("typed") | (F.col("name") == F.col("above.name"))), F.lit(False))
-    methods = placed.where((F.col("fact") == "method") & inside).withColumn("full", full(F.col("name"), F.col("list")))
-    out = out.unionByName(fact(methods, "method", F.col("class"), F.col("full")))
-    declares = methods.withColumn("thrown", F.explode(listed(F.regexp_extract("head", _METHOD, 3))))
-    out = out.unionByName(fact(declares, "declares", F.concat_ws(".", "class", "full"), F.col("thrown")))
-    doc = F.col("doc").startswith("/**")
-    out = out.unionByName(fact(methods.where(doc), "comment", F.concat_ws(".", "class", "full"), F.col("doc"), F.lit("method"))).unionByName(fact(typed.where(doc), "comment", F.col("whole"), F.col("doc"), F.lit("type")))
-    imports = known.where(F.col("head").rlike("^import ")).select("path", F.col("start").alias("i"), "line", F.col("package"), F.regexp_replace(F.regexp_replace("head", "^import (static )?", ""), "[ ;]", "").alias("name"), F.col("head").startswith("import static ").alias("static"))
-    out = out.unionByName(fact(imports, "import", F.coalesce("package", empty), F.col("name"), F.when(F.col("static"), "static").otherwise("")))
-    return out
+    files = files.select(F.col("path").cast("string"), F.col("content").cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("path", pa.string()), *((c, pa.string()) for c in ("kind", "owner", "name", "detail")), ("catches", pa.list_(pa.string())), ("handler", pa.string()), ("line", pa.int32()), ("seq", pa.int32())])
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+        rows: list[tuple] = []
+        for batch in batches:
+            for path, text in zip(batch.column(0), batch.column(1), strict=True):
+                where = path.as_py()
+                rows += ((where, *fact) for fact in source_facts(text.as_py()))
+                if len(rows) >= BATCH:
+                    yield made(rows)
+                    rows = []
+        if rows:
+            yield made(rows)
+
+    return files.mapInArrow(run, FACTS)
 
 
 def call_sites(found: DataFrame) -> DataFrame:

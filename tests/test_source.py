@@ -81,3 +81,10 @@ def test_knowledge_tables_have_exceptions(spark):
     tables = extract.knowledge(found, names.qualified(found))
     assert sorted(tuple(r) for r in tables["exceptions"].select("qualified_name", "parent", "exception_type").collect()) == [("a.b.My", "java.lang.Exception", "checked"), ("q.R", "java.lang.IllegalStateException", "runtime"), ("q.S", "q.R", "runtime")]
     assert ("q.S.f()", "q.S") in {(r["method"], r["exception"]) for r in tables["throws"].collect()}
+
+
+def test_files_are_read_where_they_lie(spark):
+    files = spark.createDataFrame([("a.java", ORDINARY)], "path string, content string")
+    plan = extract.extract(files)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Window" not in plan
+    assert plan.count("Scan") == 1
