@@ -371,3 +371,22 @@ def test_reached_throws_equal_the_walk(spark, hops):
     got = kb.khop_throws(calls, hops, throws)
     assert got.columns == ["root", "targets", "exceptions", "least"]
     assert sorted(map(str, got.collect())) == sorted(str(r) for r in want.toDF(*got.columns).collect())
+
+
+def test_edges_of_a_kind_catch_alike(spark):
+    """Against plain sets; the plan has no row for each (site, exception), so an edge is met once by its kind."""
+    rng = np.random.default_rng(5)
+    above = {k: {k, k // 2, k // 4, k // 8, 0} for k in range(12)}
+    parents = spark.createDataFrame([(k, a) for k, of in above.items() for a in of], "child int, ancestor int")
+    rows = [(int(a), int(b), int(s), [int(t) for t in rng.integers(0, 12, n)]) for a, b, s, n in rng.integers([0, 0, 0, 0], [4, 4, 3, 4], (60, 4))] + [(None, 1, 0, [0]), (9, 9, 0, None), (9, 9, 1, [0]), (8, 8, 0, None), (8, 8, 0, [1])]
+    sites: dict = {}
+    for a, b, s, types in rows:
+        sites.setdefault((a, b), {}).setdefault(s, set()).update(types or [])
+    want = {(a, b, e) for (a, b), of in sites.items() for e in above if all(above[e] & types for types in of.values())}
+    table = spark.createDataFrame(rows, "caller int, callee int, site_id int, catch_types array<int>")
+    got = [tuple(r) for r in graph.edge_catches(table, parents).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    asked = spark.createDataFrame([(int(a), int(b), int(e)) for a, b, e in rng.integers(0, 12, (500, 3))], "caller int, callee int, exception int")
+    assert {tuple(r) for r in graph.edge_catches(table, parents, asked).collect()} == want & {tuple(r) for r in asked.collect()}
+    edges, caught = graph.edge_kinds(table, parents)
+    assert edges.count() == len(sites) and caught.groupBy("kind", "exception").count().where("count > 1").isEmpty()
