@@ -19,6 +19,8 @@ def suffix_join(names: DataFrame, suffixes: DataFrame, match: str = "segment") -
     A suffix is a prefix of the name read backwards. Each stands under its longest block, a prefix of a
     power of two; names stand under their blocks of the lengths that suffixes have. So a suffix meets the names
     that share its block, all suffixes in one shuffle. The empty suffix fits every name. Nulls fit nothing.
+    Both sides are shuffled: Spark would take the names, as long as their files are small, for a side to broadcast,
+    but a name stands under several blocks, and in memory is many times its place in a compressed file.
     """
     if match not in ("segment", "end", "like"):
         raise ValueError(f"unknown match {match}")
@@ -30,7 +32,7 @@ def suffix_join(names: DataFrame, suffixes: DataFrame, match: str = "segment") -
     known = names.select("name").where("name is not null").distinct().withColumn("_r", F.reverse(form(F.col("name"))))
     keys = F.filter(F.array(*map(F.lit, lengths or [0])), lambda n: n <= F.length("_r"))
     known = known.withColumn("_n", F.explode(keys)).withColumn("_b", F.substring(F.col("_r"), F.lit(1), F.col("_n")))
-    met = known.join(asked, ["_n", "_b"]).where(F.col("_r").startswith(F.col("_s")))
+    met = known.join(asked.hint("merge"), ["_n", "_b"]).where(F.col("_r").startswith(F.col("_s")))
     if match == "segment":
         met = met.where((F.length("_r") == F.length("_s")) | (F.substring(F.col("_r"), F.length("_s") + 1, F.lit(1)) == "."))
     return met.select("suffix", "name")

@@ -179,3 +179,10 @@ def test_small_tables_take_the_path_of_large_ones(monkeypatch):
     small = [align.steps(*p) for p in pairs]
     monkeypatch.setattr(align, "SMALL", -1)
     assert small == [align.steps(*p) for p in pairs]
+
+
+@pytest.mark.parametrize("match", ["segment", "like"])
+def test_suffixes_and_names_are_shuffled(spark, match):
+    names = spark.range(100).selectExpr("concat('a.b', id) AS name")
+    plan = lookup.suffix_join(names, names.selectExpr("name AS suffix"), match)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
