@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as tx
 from codeloom.operators import align, cases, closure, enrich, graph, handlers, kb, metrics, nodes, sequence
+from codeloom.session import staged
 from codeloom.sources import code
 from codeloom.streaming import ingest
 
@@ -390,3 +391,20 @@ def test_edges_of_a_kind_catch_alike(spark):
     assert {tuple(r) for r in graph.edge_catches(table, parents, asked).collect()} == want & {tuple(r) for r in asked.collect()}
     edges, caught = graph.edge_kinds(table, parents)
     assert edges.count() == len(sites) and caught.groupBy("kind", "exception").count().where("count > 1").isEmpty()
+
+
+def test_uncaught_keeps_no_row_for_each_candidate_and_exception(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(graph, "staged", lambda df, label: kept.append(df.count()) or staged(df, label))
+    edges = spark.createDataFrame([("r", f"m{k}") for k in range(10)] + [(f"m{k}", f"n{k}") for k in range(10)], "caller string, callee string")
+    throws = spark.createDataFrame([(f"n{k}", e) for k in range(10) for e in range(12)], "method string, exception int")
+    # m0 > n0 catches 0 to 5 by 5's children, r > m1 catches 7, and r > m2 has a site that catches nothing
+    parents = spark.createDataFrame([(e, e) for e in range(12)] + [(e, 5) for e in range(5)], "child int, ancestor int")
+    sites = spark.createDataFrame([("m0", "n0", 1, [5]), ("r", "m1", 2, [7]), ("r", "m2", 3, [8]), ("r", "m2", 4, [])], "caller string, callee string, site_id int, catch_types array<int>")
+    trees = graph.spanning_trees(spark.createDataFrame([(1, "r")], "case_id int, root string"), edges)
+    kept.clear()
+    got = {(r["method"], ">".join(r["path"]), r["exception"]) for r in graph.uncaught(trees, edges, throws, sites, parents).collect()}
+    want = {(f"n{k}", f"r>m{k}>n{k}", e) for k in range(10) for e in range(12)}
+    assert got == want - {("n0", "r>m0>n0", e) for e in range(6)} - {("n1", "r>m1>n1", 7)}
+    # the throws themselves are the largest table
+    assert sorted(kept)[-1] == 120 and sorted(kept)[-2] < 60
