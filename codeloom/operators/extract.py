@@ -348,7 +348,7 @@ def knowledge(found: DataFrame, qualified: DataFrame | None = None) -> dict[str,
         if qualified is None:
             return rows
         known = qualified.where("qualified is not null").select(F.col("path").alias("_p"), F.col("scope").alias("_s"), F.col("name").alias("_n"), "qualified")
-        return rows.join(known, (F.col("path") == F.col("_p")) & (F.col("owner") == F.col("_s")) & (F.col("name") == F.col("_n")), "left").withColumn("name", F.coalesce("qualified", "name")).drop("_p", "_s", "_n", "qualified")
+        return rows.join(known.hint("merge"), (F.col("path") == F.col("_p")) & (F.col("owner") == F.col("_s")) & (F.col("name") == F.col("_n")), "left").withColumn("name", F.coalesce("qualified", "name")).drop("_p", "_s", "_n", "qualified")
 
     comments = of("comment").groupBy(F.col("owner").alias("_owner"), F.col("detail").alias("_of")).agg(F.max_by("name", "seq").alias("comment"))
     about = lambda rows, of_: rows.join(comments.where(F.col("_of") == of_), F.col("qualified_name") == F.col("_owner"), "left").drop("_owner", "_of")

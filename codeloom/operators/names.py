@@ -80,6 +80,7 @@ def with_qualified_catches(sites: DataFrame, names: DataFrame) -> DataFrame:
     each = sites.withColumn("_id", F.monotonically_increasing_id())
     each = staged(each, "sites")
     one = each.select("_id", "path", F.col("owner").alias("scope"), F.posexplode("catches").alias("at", "name"))
-    met = one.join(names.select("path", "scope", "name", "qualified"), ["path", "scope", "name"], "left")
+    # shuffled: by its files' size Spark would broadcast the names, which are many times larger in memory
+    met = one.join(names.select("path", "scope", "name", "qualified").hint("merge"), ["path", "scope", "name"], "left")
     lists = met.groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("qualified", "name").alias("q")))), lambda x: x["q"]).alias("_c"))
     return each.join(lists, "_id", "left").withColumn("catches", F.coalesce("_c", "catches")).drop("_id", "_c")

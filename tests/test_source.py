@@ -88,3 +88,11 @@ def test_files_are_read_where_they_lie(spark):
     plan = extract.extract(files)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Exchange" not in plan and "Window" not in plan
     assert plan.count("Scan") == 1
+
+
+def test_names_are_not_broadcast_by_their_files(spark):
+    found = facts_of(spark, ORDINARY)
+    known = staged(names.qualified(found), "known")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan(extract.knowledge(found, known)["throws"]) and "Broadcast" not in plan(extract.knowledge(found, known)["throws"])
+    assert "SortMergeJoin [path" in plan(names.with_qualified_catches(found.where("kind = 'call'"), known))
